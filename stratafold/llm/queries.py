@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import bpe, chat, decontaminate
 
 QUERIES = {
+    "op3_bpe_encode": bpe.op3_bpe_encode,
+    "op5_chat_windows": chat.op5_chat_windows,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_token_counts": bpe.op8_token_counts,
 }
 ORACLES = {
+    "op5_chat_windows": chat.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
