@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate
+from . import bpe, chat, decontaminate, language, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_bpe_encode": bpe.op3_bpe_encode,
     "op5_chat_windows": chat.op5_chat_windows,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_token_counts": bpe.op8_token_counts,
+    "op10_language": language.op10_language,
 }
 ORACLES = {
     "op5_chat_windows": chat.OP5_SQL,
