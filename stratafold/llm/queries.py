@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, language, simhash
+from . import bpe, chat, decontaminate, language, lm, pii, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_bpe_encode": bpe.op3_bpe_encode,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_chat_windows": chat.op5_chat_windows,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_token_counts": bpe.op8_token_counts,
+    "op9_pii": pii.op9_pii,
     "op10_language": language.op10_language,
 }
 ORACLES = {
+    "op4_lm_score": lm.op4_lm_score,
     "op5_chat_windows": chat.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
