@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, language, lm, pii, simhash
+from . import ann, bpe, chat, decontaminate, html, language, lm, pii, simhash
 
 QUERIES = {
+    "op1_html_text": html.op1_html_text,
     "op2_simhash": simhash.op2_simhash,
     "op3_bpe_encode": bpe.op3_bpe_encode,
     "op4_lm_score": lm.op4_lm_score,
     "op5_chat_windows": chat.op5_chat_windows,
+    "op6_ann": ann.op6_ann,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_token_counts": bpe.op8_token_counts,
     "op9_pii": pii.op9_pii,
