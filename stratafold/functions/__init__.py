@@ -1 +1 @@
-
+"""Scalar functions over Columns and their numpy twins."""

@@ -1 +1 @@
-
+"""Operators over sequence, block and posterior tables."""

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import core, evaluation, models, prediction  # noqa: F401  (they register themselves)
+from .registry import ORACLES, QUERIES  # noqa: F401

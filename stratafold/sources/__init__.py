@@ -1 +1 @@
-
+"""Where sequences come from and results go."""
