@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,3 +16,155 @@ def robust_variance(seq: DataFrame) -> DataFrame:
     m = d.groupBy("seq_id").agg(F.median("d").alias("m"))
     mad = F.median(F.abs(F.col("d") - F.col("m")))
     return d.join(m, "seq_id").groupBy("seq_id").agg(F.greatest(F.pow(1.4826 * mad, 2) / 2, F.lit(1e-6)).alias("sigma2"))
+
+
+def match(predicted: list[float], reference: list[float], tolerance: float) -> list[tuple[float, float]]:
+    """One-to-one matches within the tolerance, as many as possible, then of least total distance. On a line some best
+    matching never crosses, so an alignment of the two sorted lists finds it."""
+    a, b = sorted(predicted), sorted(reference)
+    best = [[(0, 0.0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        options = [best[i - 1][j], best[i][j - 1]]
+        d = abs(a[i - 1] - b[j - 1])
+        if d <= tolerance:
+            options.append((best[i - 1][j - 1][0] + 1, best[i - 1][j - 1][1] - d))
+        best[i][j] = max(options)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            out.append((a[i - 1], b[j - 1]))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
+def greedy_match(predicted: list[float], reference: list[float], tolerance: float) -> list[tuple[float, float]]:
+    """Shortest edges first; may match fewer than `match`."""
+    edges = sorted((abs(p - r), p, r) for p in predicted for r in reference if abs(p - r) <= tolerance)
+    used_p, used_r, out = set(), set(), []
+    for _, p, r in edges:
+        if p not in used_p and r not in used_r:
+            used_p.add(p)
+            used_r.add(r)
+            out.append((p, r))
+    return sorted(out)
+
+
+def boundary_scores(boundaries: DataFrame, tolerances: tuple[float, ...] = (0, 1, 3, 5)) -> DataFrame:
+    """boundaries (seq_id, kind predicted|reference, pos) to precision, recall, f1 and mae per tolerance. Both sides
+    empty count as perfect; one empty side gives 0 and no mae."""
+
+    def run(key, pdf):
+        p, r = (pdf.loc[pdf["kind"] == k, "pos"].tolist() for k in ("predicted", "reference"))
+        rows = []
+        for t in tolerances:
+            m = match(p, r, t)
+            prec, rec = (len(m) / len(x) if x else float(not p and not r) for x in (p, r))
+            f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
+            mae = float(np.mean([abs(a - b) for a, b in m])) if m else None
+            rows.append((key[0], float(t), len(m), prec, rec, f1, mae))
+        return pd.DataFrame(rows, columns=["seq_id", "tolerance", "matched", "precision", "recall", "f1", "mae"])
+
+    return boundaries.groupBy("seq_id").applyInPandas(run, "seq_id string, tolerance double, matched int, precision double, recall double, f1 double, mae double")
+
+
+def probability_scores(marginal: DataFrame, truth: DataFrame) -> DataFrame:
+    """marginal (seq_id, pos, p) against truth (seq_id, pos): mean Brier and log score (p clipped at 1e-12)."""
+    t = marginal.join(truth.select("seq_id", "pos", F.lit(1.0).alias("hit")), ["seq_id", "pos"], "left").withColumn("hit", F.coalesce("hit", F.lit(0.0)))
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("p")))
+    return t.groupBy("seq_id").agg(F.avg(F.pow(F.col("p") - F.col("hit"), 2)).alias("brier"), F.avg(F.when(F.col("hit") == 1, F.log(p)).otherwise(F.log1p(-p))).alias("log_score"))
+
+
+def calibration(probs: DataFrame, bins: int = 10) -> DataFrame:
+    """probs (p, hit, and a unique key) in equal-mass bins of floor(N / bins), the rest in the last: bin, n, mean_p, rate.
+    Ranks come from per-bucket counts of a coarse grid of p first, so no task sorts everything."""
+    grid = F.least(F.floor(F.col("p") * 1024), F.lit(1023)).cast("int")
+    t = probs.withColumn("cell", grid)
+    sizes = t.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("m").over(Window.partitionBy()))
+    keys = [c for c in probs.columns if c not in ("p", "hit")]
+    t = t.join(F.broadcast(before.drop("m")), "cell")  # at most 1,024 rows
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("p", *keys)) + F.col("before")
+    size = F.greatest(F.lit(1), F.floor(F.col("total") / bins))
+    t = t.withColumn("rank", rank).withColumn("bin", F.least(F.floor((F.col("rank") - 1) / size), F.lit(bins - 1)).cast("int"))
+    return t.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("hit").alias("rate"))
+
+
+def expected_calibration_error(bins: DataFrame) -> DataFrame:
+    return bins.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n")).alias("ece"))
+
+
+def bootstrap_ci(values: DataFrame, by: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """Percentile interval of the mean over `draws` resamples. Each row draws its multiplicity (Poisson) per resample, so
+    the resamples are sums over rows and need no second copy of the data."""
+
+    def run(key, pdf):
+        v = pdf[value].to_numpy(float)
+        rng = np.random.default_rng([seed, *np.frombuffer(str(key[0]).encode(), np.uint8)])
+        means = v[rng.integers(0, len(v), (draws, len(v)))].mean(axis=1) if len(v) < 5000 else np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(draws)])
+        return pd.DataFrame([(key[0], v.mean(), *np.percentile(means, [2.5, 97.5]))], columns=[by, "mean", "low", "high"])
+
+    return values.groupBy(by).applyInPandas(run, f"{by} string, mean double, low double, high double")
+
+
+def ks_uniform(pit: DataFrame) -> DataFrame:
+    """Kolmogorov-Smirnov distance of pit from uniform per sequence."""
+    w = Window.partitionBy("seq_id")
+    t = pit.withColumn("rn", F.row_number().over(w.orderBy("pit"))).withColumn("n", F.count(F.lit(1)).over(w))
+    return t.groupBy("seq_id").agg(F.max(F.greatest(F.col("rn") / F.col("n") - F.col("pit"), F.col("pit") - (F.col("rn") - 1) / F.col("n"))).alias("ks"))
+
+
+def k_width(posterior_k: DataFrame, mass: float = 0.95) -> DataFrame:
+    """Width (max - min) of the smallest set of k that holds `mass`, most probable first."""
+    by = Window.partitionBy("seq_id").orderBy(F.desc("post"), "k")
+    t = posterior_k.withColumn("before", F.coalesce(F.sum("post").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).where(F.col("before") < mass)
+    return t.groupBy("seq_id").agg((F.max("k") - F.min("k")).alias("width"), F.count(F.lit(1)).alias("size"))
+
+
+def contingency(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("truth", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
+def adjusted_rand(labels: DataFrame) -> DataFrame:
+    """Adjusted Rand index of (truth, found) from the contingency table."""
+    c = contingency(labels)
+    two = lambda x: F.col(x) * (F.col(x) - 1) / 2
+    cells = c.agg(F.sum(two("n")).alias("cells"), F.sum("n").alias("total"))
+    rows = c.groupBy("truth").agg(F.sum("n").alias("n")).agg(F.sum(two("n")).alias("a"))
+    found = c.groupBy("found").agg(F.sum("n").alias("n")).agg(F.sum(two("n")).alias("b"))
+    t = cells.join(rows, F.lit(True)).join(found, F.lit(True))  # one row each
+    chance = F.col("a") * F.col("b") / two("total")
+    return t.select(F.when((F.col("a") + F.col("b")) / 2 == chance, 1.0).otherwise((F.col("cells") - chance) / ((F.col("a") + F.col("b")) / 2 - chance)).alias("ari"))
+
+
+def permuted_accuracy(labels: DataFrame) -> float:
+    """Best accuracy over relabellings; the contingency table has one row per pair of groups."""
+    rows = contingency(labels).collect()
+    truth, found = sorted({r["truth"] for r in rows}), sorted({r["found"] for r in rows})
+    n = {(r["truth"], r["found"]): r["n"] for r in rows}
+    size = max(len(truth), len(found))
+    truth, found = truth + [None] * (size - len(truth)), found + [None] * (size - len(found))
+    best = max(sum(n.get((a, b), 0) for a, b in zip(truth, p, strict=True)) for p in itertools.permutations(found))
+    return best / sum(n.values())
+
+
+def mask_random(seq: DataFrame, rate: float, seed: int = 0) -> DataFrame:
+    """Hides rows completely at random, by a hash of the key so that reruns agree."""
+    u = F.pmod(F.xxhash64("seq_id", "idx", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    return seq.withColumn("a", F.when(u < rate, 0.0).otherwise(F.col("a")))
+
+
+def mask_block(seq: DataFrame, share: float = 0.15, at: float = 0.4) -> DataFrame:
+    """Hides one run of floor(share n) rows that starts after floor(at n)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("seq_id"))
+    lo = F.floor(n * at)
+    return seq.withColumn("a", F.when((F.col("idx") > lo) & (F.col("idx") <= lo + F.floor(n * share)), 0.0).otherwise(F.col("a")))
+
+
+def holdout(seq: DataFrame, low: float, high: float) -> DataFrame:
+    """Adds `held`: rows between round(low n) and round(high n)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("seq_id"))
+    return seq.withColumn("held", (F.col("idx") > F.round(n * low)) & (F.col("idx") <= F.round(n * high)))

@@ -13,7 +13,7 @@ from ..functions.special import arrays
 from . import dp, families, prior
 
 RESULT = (
-    "seq_id string, n int, k_max int, k_map int, log_evidence double, log_joint_map double, log_c array<double>, log_left_n array<double>, "
+    "seq_id string, n int, k_max int, k_map int, log_evidence double, log_joint_map double, log_c array<double>, log_left_n array<double>, log_right_0 array<double>, "
     "log_post array<double>, boundaries array<int>, means array<double>, marginal array<double>, marginal_mixed array<double>, "
     "location array<array<double>>, curve_fixed array<double>, curve_mixed array<double>, error string"
 )
@@ -37,7 +37,7 @@ def solve(seq_id: str, s: np.ndarray, mean: np.ndarray, g: np.ndarray | None, k_
     fixed[k_map - 1] = 1.0
     mixed = sum(np.exp(post[q - 1]) * dp.marginals(left, right, q) for q in range(2, k_max + 1) if np.isfinite(post[q - 1]))
     return row | {
-        "k_map": k_map, "log_evidence": z, "log_joint_map": float(best[k_map, n]), "log_c": log_c, "log_left_n": left[1:, n], "log_post": post,
+        "k_map": k_map, "log_evidence": z, "log_joint_map": float(best[k_map, n]), "log_c": log_c, "log_left_n": left[1:, n], "log_right_0": right[1:, 0], "log_post": post,
         "boundaries": cut, "means": [float(mean[a, b]) for a, b in zip(cut[:-1], cut[1:], strict=True)],
         "marginal": dp.marginals(left, right, k_map), "marginal_mixed": mixed + np.zeros(n + 1), "location": [x.tolist() for x in dp.locations(left, right, k_map)],
         "curve_fixed": dp.curve(s, mean, left, right, fixed) if curves else None, "curve_mixed": dp.curve(s, mean, left, right, np.exp(post)) if curves else None,

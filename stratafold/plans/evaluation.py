@@ -1 +1,233 @@
-"""Queries."""
+"""Queries over metrics, diagnostics and baselines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import baselines, diagnose, metrics, quadrature, segment
+from .core import block_table, given, sequence
+from .registry import SEQ, query, rounded, sql_backward, sql_blocks, sql_forward, sql_posterior
+from .core import GIVEN
+
+_EV = sql_blocks(SEQ["events"], "poisson", GIVEN["poisson"])
+
+
+def _fit(spark, sf, k_max=4, **kw):
+    s = sequence(spark, sf, "events")
+    return segment.segment(s, "poisson", k_max, given(s, "poisson"), curves=False, **kw)
+
+
+@query(f"with s as ({SEQ['events']}) select seq_id, c.name, true as passed from (select distinct seq_id from s), (values ('posterior_sums_to_one'), ('left_equals_right'), ('marginals_sum_to_k_minus_1'), ('map_within_sum')) c(name)")
+def dp_diagnostics(spark, sf):
+    return diagnose.invariants(_fit(spark, sf)).select("seq_id", "name", "passed")
+
+
+@query(f"with s as ({SEQ['events']}) select distinct seq_id, 0.0::double as gap from s")
+def map_score_check(spark, sf):
+    return rounded(diagnose.map_score_check(_fit(spark, sf, k=3), block_table(sequence(spark, sf, "events"), "poisson")))
+
+
+@query()
+def diagnostic_report(spark, sf):
+    return diagnose.report(diagnose.invariants(_fit(spark, sf)))
+
+
+@query()
+def prior_sensitivity(spark, sf):
+    return diagnose.prior_sensitivity(block_table(sequence(spark, sf, "events"), "poisson"), 4)
+
+
+_NB = sql_blocks(SEQ["events"], "negbin", GIVEN["negbin"])
+_ERR = sql_blocks(SEQ["values"], "gaussian", GIVEN["gaussian"]) + ", oth as (select seq_id, i, j, s + 0.01 * (j - i) as s from blk), d as (select b.seq_id, abs(b.s - o.s) as d from blk b join oth o using (seq_id, i, j) join len using (seq_id) where case when b.i > 0 then 1 else 0 end + 1 + case when b.j < n then 1 else 0 end <= 3), e as (select seq_id, 0::bigint as mismatched, max(d) as max_error, median(d) as median_error, avg(d) as mean_error from d group by 1)"
+
+
+def _error(spark, sf):
+    b = block_table(sequence(spark, sf, "values"), "gaussian")
+    return diagnose.block_error(b, b.withColumn("log_a0", F.col("log_a0") + 0.01 * (F.col("j") - F.col("i"))), 3)
+
+
+@query(_ERR + " select seq_id, mismatched, round(max_error, 6) as max_error, round(median_error, 6) as median_error, round(mean_error, 6) as mean_error from e")
+def block_error_bounds(spark, sf):
+    return rounded(_error(spark, sf))
+
+
+@query(_ERR + " select seq_id, round(3 * max_error, 6) as eta, round(6 * max_error, 6) as log_odds, round(exp(-6 * max_error), 6) as ratio_low, round(exp(6 * max_error), 6) as ratio_high, round(least(1.0, exp(6 * max_error) - 1), 6) as tv from e")
+def tv_bound(spark, sf):
+    return rounded(diagnose.bounds(_error(spark, sf), 3))
+
+
+@query(_EV + " select b.seq_id, count(*) as n_rows_rule, count(*) filter (case when i > 0 then 1 else 0 end + 1 + case when j < n then 1 else 0 end <= 2) as n_blocks_rule from (select b.*, n from blk b join len using (seq_id)) b where i + n - j + 1 <= 6 group by 1")
+def reachable_blocks(spark, sf):
+    b = block_table(sequence(spark, sf, "events"), "poisson")
+    r = diagnose.reachable(b, 6)
+    m = r.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_rows_rule"))
+    k = r.where((F.col("i") > 0).cast("int") + 1 + (F.col("j") < F.col("n")).cast("int") <= 2)
+    return rounded(m.join(k.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_blocks_rule")), "seq_id"))
+
+
+# ---- metrics ---------------------------------------------------------------------------------------------------------
+
+
+def _marked(spark, sf):
+    """Each month's step of the shipment sequences as boundaries: predicted at multiples of 9, reference of 10."""
+    s = sequence(spark, sf, "ship").select("seq_id", F.col("idx").cast("double").alias("pos"))
+    p = s.where("pos % 9 = 0").withColumn("kind", F.lit("predicted"))
+    return p.unionByName(s.where("pos % 10 = 0").withColumn("kind", F.lit("reference")))
+
+
+@query(f"with s as ({SEQ['ship']}), p as (select seq_id, idx from s where idx % 9 = 0), r as (select seq_id, idx from s where idx % 10 = 0), m as (select p.seq_id, count(*) as m from p join r using (seq_id, idx) group by 1), np as (select seq_id, count(*) as np from p group by 1), nr as (select seq_id, count(*) as nr from r group by 1) select np.seq_id, 0.0::double as tolerance, coalesce(m, 0) as matched, round(coalesce(m, 0) / np, 6) as precision, round(coalesce(m, 0) / nr, 6) as recall, round(case when coalesce(m, 0) > 0 then 2.0 * m / (np + nr) else 0 end, 6) as f1 from np join nr using (seq_id) left join m using (seq_id)")
+def boundary_f1_exact(spark, sf):
+    return rounded(metrics.boundary_scores(_marked(spark, sf), (0.0,)).drop("mae"))
+
+
+@query()
+def boundary_f1(spark, sf):
+    return metrics.boundary_scores(_marked(spark, sf))
+
+
+_MARG = _EV + ", " + sql_forward(3) + ", " + sql_backward(3) + ", marg as (select f.seq_id, f.j as pos, sum(exp(f.l + b.l - t.l)) as p from fwd f join bwd b on f.seq_id = b.seq_id and f.j = b.i and f.k + b.k = 3 join len on len.seq_id = f.seq_id join fwd t on t.seq_id = f.seq_id and t.j = len.n and t.k = 3 group by 1, 2), lab as (select m.seq_id, m.pos, least(1.0, p) as p, case when pos % 10 = 0 then 1.0 else 0.0 end as hit from marg m join len using (seq_id) where pos < n)"
+
+
+def _probs(spark, sf):
+    m = _fit(spark, sf, k=3).boundary_marginal.select("seq_id", "pos", F.least(F.lit(1.0), F.col("p")).alias("p"))
+    return m, m.where("pos % 10 = 0").select("seq_id", "pos")
+
+
+@query(_MARG + " select seq_id, round(avg(pow(p - hit, 2)), 6) as brier, round(avg(case when hit = 1 then ln(greatest(1e-12, least(1 - 1e-12, p))) else ln(1 - greatest(1e-12, least(1 - 1e-12, p))) end), 6) as log_score from lab group by 1")
+def brier_logscore(spark, sf):
+    return rounded(metrics.probability_scores(*_probs(spark, sf)))
+
+
+@query(_MARG + ", r as (select *, row_number() over (order by p, seq_id, pos) as rn, count(*) over () as n from lab), b as (select least(cast(floor((rn - 1) / floor(n / 10)) as bigint), 9) as bin, p, hit from r) select bin, count(*) as n, round(avg(p), 6) as mean_p, round(avg(hit), 6) as rate from b group by 1")
+def ece_bins(spark, sf):
+    m, t = _probs(spark, sf)
+    lab = m.join(t.withColumn("hit", F.lit(1.0)), ["seq_id", "pos"], "left").withColumn("hit", F.coalesce("hit", F.lit(0.0)))
+    return rounded(metrics.calibration(lab))
+
+
+@query(_MARG + ", r as (select *, row_number() over (order by p, seq_id, pos) as rn, count(*) over () as n from lab), b as (select least(cast(floor((rn - 1) / floor(n / 10)) as bigint), 9) as bin, p, hit from r), c as (select bin, count(*) as n, avg(p) as mp, avg(hit) as rate from b group by 1) select round(sum(n * abs(mp - rate)) / sum(n), 6) as ece from c")
+def calibration_error(spark, sf):
+    m, t = _probs(spark, sf)
+    lab = m.join(t.withColumn("hit", F.lit(1.0)), ["seq_id", "pos"], "left").withColumn("hit", F.coalesce("hit", F.lit(0.0)))
+    return rounded(metrics.expected_calibration_error(metrics.calibration(lab)))
+
+
+@query(f"with s as ({SEQ['labels']}), u as (select seq_id, (idx - 0.3 * y) / 61.0 as pit from s), r as (select *, row_number() over (partition by seq_id order by pit) as rn, count(*) over (partition by seq_id) as n from u) select seq_id, round(max(greatest(rn / n - pit, pit - (rn - 1) / n)), 6) as ks from r group by 1")
+def ks_uniform(spark, sf):
+    t = sequence(spark, sf, "labels").withColumn("pit", (F.col("idx") - 0.3 * F.col("y")) / 61)
+    return rounded(metrics.ks_uniform(t))
+
+
+@query(_EV + ", " + sql_forward(4) + ", " + sql_posterior() + ", o as (select seq_id, k, exp(log_post) as p, coalesce(sum(exp(log_post)) over (partition by seq_id order by log_post desc, k rows between unbounded preceding and 1 preceding), 0) as before from post) select seq_id, max(k) - min(k) as width, count(*) as size from o where before < 0.95 group by 1")
+def k_credible_width(spark, sf):
+    return rounded(metrics.k_width(_fit(spark, sf).posterior_k))
+
+
+@query("with l as (select quality as truth, toxic as found from labels), c as (select truth, found, count(*) as n from l group by 1, 2), t as (select sum(n * (n - 1) / 2) as cells, sum(n) as total from c), a as (select sum(n * (n - 1) / 2) as a from (select sum(n) as n from c group by truth)), b as (select sum(n * (n - 1) / 2) as b from (select sum(n) as n from c group by found)) select round((cells - a * b / (total * (total - 1) / 2)) / ((a + b) / 2 - a * b / (total * (total - 1) / 2)), 6) as ari from t, a, b")
+def adjusted_rand(spark, sf):
+    from .registry import load
+
+    return rounded(metrics.adjusted_rand(load(spark, sf, "labels").select(F.col("quality").alias("truth"), F.col("toxic").alias("found"))))
+
+
+@query()
+def bootstrap_ci(spark, sf):
+    return metrics.bootstrap_ci(sequence(spark, sf, "values"), "seq_id", "y", 500)
+
+
+@query(f"with s as ({SEQ['ship']}), n as (select *, count(*) over (partition by seq_id) as n from s) select seq_id, idx from n where idx > floor(n * 0.4) and idx <= floor(n * 0.4) + floor(n * 0.15)")
+def missing_block(spark, sf):
+    return rounded(metrics.mask_block(sequence(spark, sf, "ship")).where("a = 0").select("seq_id", "idx"))
+
+
+@query(f"with s as ({SEQ['ship']}), n as (select *, count(*) over (partition by seq_id) as n from s) select seq_id, idx from n where idx > round(n * 0.3) and idx <= round(n * 0.45)")
+def holdout_window(spark, sf):
+    return rounded(metrics.holdout(sequence(spark, sf, "ship"), 0.3, 0.45).where("held").select("seq_id", "idx"))
+
+
+# ---- quadrature families ---------------------------------------------------------------------------------------------
+
+
+def _short(spark, sf, data, n=24):
+    return sequence(spark, sf, data).where(F.col("idx") <= n)
+
+
+def _fixed(s, **h):
+    return s.select("seq_id").distinct().select("seq_id", *[F.lit(v).alias(k) for k, v in h.items()])
+
+
+_X, _W = quadrature.legendre(16)
+_NODES = "(values " + ", ".join(f"({g}, {a!r}::double, {b!r}::double)" for g, (a, b) in enumerate(zip(_X.tolist(), _W.tolist(), strict=True))) + ") t(g, x, wt)"
+_HX, _HW = quadrature.hermite(20)
+_HNODES = "(values " + ", ".join(f"({g}, {a!r}::double, {b!r}::double)" for g, (a, b) in enumerate(zip(_HX.tolist(), _HW.tolist(), strict=True))) + ") t(g, x, wt)"
+
+
+def _node_sql(data: str, nodes: str, term: str, base: str, mean: str) -> str:
+    return f"""with seq as (select * from ({SEQ[data]}) where idx <= 24), nodes as (select * from {nodes}),
+    v as (select seq_id, idx, g, x, wt, sum({term}) over (partition by seq_id, g order by idx) as p from seq, nodes),
+    pre as (select seq_id, idx as pos, g, x, wt, p from v union all select distinct seq_id, 0, g, x, wt, 0.0 from v),
+    lw as (select a.seq_id, a.pos as i, b.pos as j, {base} + b.p - a.p as lw, {mean} as mean from (select *, x as xx from pre) a join pre b on a.seq_id = b.seq_id and a.g = b.g and a.pos < b.pos),
+    m as (select *, max(lw) over (partition by seq_id, i, j) as top from lw)
+    select seq_id, i, j, round(max(top) + ln(sum(exp(lw - top))), 6) as log_a0, round(sum(exp(lw - top) * mean) / sum(exp(lw - top)), 6) as a1 from m group by 1, 2, 3"""
+
+
+@query(_node_sql("discount", _NODES, "lgamma(phi) - lgamma(phi * x) - lgamma(phi * (1 - x)) + (phi * x - 1) * ln(y) + (phi * (1 - x) - 1) * ln(1 - y)", "ln(b.wt) + 3 * ln(b.x) + 3 * ln(1 - b.x) - (2 * lgamma(4.0) - lgamma(8.0))", "b.x"))
+def beta_obs_blocks(spark, sf):
+    s = _short(spark, sf, "discount")
+    return rounded(quadrature.node_blocks(s, _fixed(s, alpha=4.0, beta=4.0), "beta_obs", 16))
+
+
+_TH = "(-0.5 + sqrt(2 * 0.8) * {0}x)"
+
+
+@query(_node_sql("orders", _HNODES, f"y * {_TH.format('')} - n_trials * (greatest({_TH.format('')}, 0) + ln(1 + exp(-abs({_TH.format('')}))))", "ln(b.wt) - 0.5 * ln(pi())", f"1 / (1 + exp(-{_TH.format('b.')}))"))
+def gh_blocks(spark, sf):
+    s = _short(spark, sf, "orders")
+    return rounded(quadrature.node_blocks(s, _fixed(s, nu=-0.5, rho2=0.8), "logistic_normal", 20))
+
+
+def _approx(name):
+    def run(spark, sf):
+        s = _short(spark, sf, "orders", 16)
+        return quadrature.approximate_blocks(s, _fixed(s, nu=-0.5, rho2=0.8), name)
+
+    run.__name__ = f"{name}_blocks"
+    return query()(run)
+
+
+laplace_blocks, jj_blocks, ep_blocks = (_approx(n) for n in ("laplace", "jj", "ep"))
+
+
+@query()
+def certify_laplace(spark, sf):
+    """Error of the Laplace approximation against 120-node quadrature, and the bound that follows."""
+    s = _short(spark, sf, "orders", 16)
+    h = _fixed(s, nu=-0.5, rho2=0.8)
+    e = diagnose.block_error(quadrature.approximate_blocks(s, h, "quadrature"), quadrature.approximate_blocks(s, h, "laplace"), 4)
+    return e.join(diagnose.bounds(e, 4), "seq_id")
+
+
+# ---- baselines -------------------------------------------------------------------------------------------------------
+
+_L2 = f"""with s as ({SEQ['ship']}), p as (select seq_id, idx as pos, sum(y) over w as s, sum(y * y) over w as q from s window w as (partition by seq_id order by idx) union all select distinct seq_id, 0, 0.0, 0.0 from s),
+c as (select a.seq_id, a.pos as i, b.pos as j, b.q - a.q - pow(b.s - a.s, 2) / (b.pos - a.pos) as c from p a join p b on a.seq_id = b.seq_id and b.pos - a.pos >= 2), n as (select seq_id, max(pos) as n from p group by 1)"""
+
+
+@query(_L2 + " select x.seq_id, round(min(x.c + y.c + z.c) / 1000, 5) as cost from c x join c y on x.seq_id = y.seq_id and y.i = x.j join c z on z.seq_id = x.seq_id and z.i = y.j join n on n.seq_id = x.seq_id and z.j = n.n where x.i = 0 group by 1")
+def optimal_partition_l2(spark, sf):
+    return rounded(baselines.detect(sequence(spark, sf, "ship"), "optimal", changes=2).select("seq_id", (F.col("cost") / 1000).alias("cost")), 5)
+
+
+@query()
+def pelt(spark, sf):
+    return baselines.detect(sequence(spark, sf, "ship"), "pelt", scale=2.0)
+
+
+@query()
+def binary_segmentation(spark, sf):
+    return baselines.detect(sequence(spark, sf, "ship"), "binseg", changes=2)
+
+
+@query()
+def wbs(spark, sf):
+    return baselines.detect(sequence(spark, sf, "ship"), "wbs", changes=2)

@@ -1 +1,23 @@
-"""Queries."""
+"""Queries over latent groups and streams."""
+
+from __future__ import annotations
+
+from ..operators import mixture
+from ..streaming import resegment
+from .core import block_table, sequence
+from .registry import query
+
+
+@query()
+def mixture_em(spark, sf):
+    return mixture.fit(block_table(sequence(spark, sf, "events"), "poisson"), 2, 3, 2, rounds=6)["members"]
+
+
+@query()
+def mixture_select_g(spark, sf):
+    return mixture.choose_groups(block_table(sequence(spark, sf, "events"), "poisson"), [1, 2], 3, folds=2, restarts=1)
+
+
+@query()
+def stream_resegment(spark, sf):
+    return resegment.stream_events(spark, sf)

@@ -1 +1,226 @@
-"""Queries."""
+"""Queries over fitted segments: assignment, prediction, predictive densities, PIT, units, groups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.special import cols
+from ..operators import pooled, predict, segment
+from ..sources import sequences as src
+from .core import GIVEN, given, sequence
+from .registry import FAMILY, SEQ, load, query, rounded, sql_blocks, sql_forward, sql_posterior
+
+#: Fixed segmentation of every sequence into thirds, so that prediction is checked apart from fitting.
+THIRDS = "cut as (select seq_id, max(idx) as n from seq group by 1), seg as (select seq_id, 1::bigint as q, 0::bigint as i, n // 3 as j from cut union all select seq_id, 2, n // 3, 2 * n // 3 from cut union all select seq_id, 3, 2 * n // 3, n from cut)"
+
+
+def thirds(seq):
+    n = seq.groupBy("seq_id").agg(F.max("idx").alias("n"))
+    s = F.array(*[F.struct(F.lit(q).alias("q"), F.floor(F.col("n") * (q - 1) / 3).cast("int").alias("i"), F.floor(F.col("n") * q / 3).cast("int").alias("j")) for q in (1, 2, 3)])
+    return n.select("seq_id", F.explode(s).alias("s")).select("seq_id", "s.*", F.lit(0.0).alias("mean"))
+
+
+def queries_at(seq):
+    """Query points between and beyond the training points, with the observation there as y."""
+    return seq.select("seq_id", (F.col("x") + F.when(F.col("idx") % 2 == 0, 0.4).otherwise(-0.7)).alias("x"), "y", "w", "n_trials", "r", F.col("idx").alias("point"))
+
+
+_Q = "qs as (select seq_id, idx as point, idx + case when idx % 2 = 0 then 0.4 else -0.7 end as x, y from seq)"
+
+
+@query(f"with seq as ({SEQ['events']}), {_Q} select seq_id, point, round(x, 6) as x, greatest(1, cast(floor(x) as bigint)) as idx from qs")
+def asof_assign(spark, sf):
+    s = sequence(spark, sf, "events")
+    return rounded(predict.locate(s, queries_at(s)).select("seq_id", "point", "x", "idx"))
+
+
+@query(f"with seq as ({SEQ['events']}), {_Q}, {THIRDS} select qs.seq_id, point, q from qs join seg on seg.seq_id = qs.seq_id and greatest(1, floor(x)) > i and greatest(1, floor(x)) <= j")
+def segment_index(spark, sf):
+    s = sequence(spark, sf, "events")
+    return rounded(predict.predict(s, thirds(s), queries_at(s)).select("seq_id", "point", "q"))
+
+
+_STEP = "with seq as ({0}), {1}, {2}, m as (select seg.seq_id, q, i, j, avg(y) as mean from seg join seq on seq.seq_id = seg.seq_id and idx > i and idx <= j group by all)"
+
+
+@query(_STEP.format(SEQ["events"], _Q, THIRDS) + " select qs.seq_id, point, round(mean, 6) as mean from qs join m on m.seq_id = qs.seq_id and greatest(1, floor(x)) > i and greatest(1, floor(x)) <= j")
+def predict_step(spark, sf):
+    s = sequence(spark, sf, "events")
+    t = thirds(s).drop("mean")
+    means = s.join(t, "seq_id").where("idx > i and idx <= j").groupBy("seq_id", "q", "i", "j").agg(F.avg("y").alias("mean"))
+    return rounded(predict.predict(s, means, queries_at(s)).select("seq_id", "point", "mean"))
+
+
+_DENS = {
+    "gaussian": ("values", "-0.5 * ln(2 * pi() * v) - pow(y - mu, 2) / (2 * v)", "(rho2 * s_s + sigma2 * nu) / (rho2 * s_w + sigma2) as mu, sigma2 / greatest(w, 1e-12) + rho2 * sigma2 / (rho2 * s_w + sigma2) as v"),
+    "poisson": ("events", "lgamma(y + r0) - lgamma(r0) - lgamma(y + 1) + r0 * ln(bb / (bb + 1)) + y * ln(1 / (bb + 1))", "alpha + s_s as r0, beta + s_e as bb"),
+    "binomial": ("orders", "lgamma(n_trials + 1) - lgamma(y + 1) - lgamma(n_trials - y + 1) + (lgamma(a0 + y) + lgamma(b0 + n_trials - y) - lgamma(a0 + b0 + n_trials)) - (lgamma(a0) + lgamma(b0) - lgamma(a0 + b0))", "alpha + s_s as a0, beta + s_m - s_s as b0"),
+    "bernoulli": ("labels", "y * ln(a0 / (a0 + b0)) + (1 - y) * ln(1 - a0 / (a0 + b0))", "alpha + s_s as a0, beta + s_m - s_s as b0"),
+    "beta": ("discount", "(a0 - 1) * ln(y) + (b0 - 1) * ln(1 - y) - (lgamma(a0) + lgamma(b0) - lgamma(a0 + b0))", "alpha + s_s as a0, beta + s_m - s_s as b0"),
+    "negbin": ("events", "lgamma(y + r) - lgamma(y + 1) - lgamma(r) + (lgamma(a0 + r) + lgamma(b0 + y) - lgamma(a0 + b0 + r + y)) - (lgamma(a0) + lgamma(b0) - lgamma(a0 + b0))", "alpha + s_m as a0, beta + s_s as b0"),
+}
+
+
+def sql_scored(fam: str) -> str:
+    data, dens, pars = _DENS[fam]
+    sums = ", ".join(f"q2.p_{k} - q1.p_{k} as s_{k}" for k in FAMILY[fam][0])
+    hyp = ", ".join(f"{v}::double as {k}" for k, v in GIVEN[fam].items())
+    return (
+        sql_blocks(SEQ[data], fam, GIVEN[fam])
+        + f", {THIRDS}, par as (select seg.seq_id, q, i, j, {sums}, {hyp} from seg join pre q1 on q1.seq_id = seg.seq_id and q1.pos = i join pre q2 on q2.seq_id = seg.seq_id and q2.pos = j), pt as (select seq.*, par.* exclude (seq_id), {pars} from seq join par on par.seq_id = seq.seq_id and idx > i and idx <= j), scored as (select *, {dens} as ld from pt)"
+    )
+
+
+def scored(spark, sf, fam):
+    s = sequence(spark, sf, _DENS[fam][0])
+    q = s.select("seq_id", "x", "y", "w", "n_trials", "r", F.col("idx").alias("point"))
+    return predict.score_points(s, fam, thirds(s), given(s, fam), q)
+
+
+def _register():
+    for fam in _DENS:
+
+        def run(spark, sf, fam=fam):
+            return rounded(scored(spark, sf, fam).select("seq_id", "point", F.col("log_density").alias("ld")))
+
+        run.__name__ = f"predictive_{fam}"
+        query(sql_scored(fam) + " select seq_id, idx as point, round(ld, 6) as ld from scored")(run)
+
+
+_register()
+
+
+@query(sql_scored("gaussian") + " select seq_id, idx as point, round(sum(ld) over (partition by seq_id order by idx), 6) as total, round(row_number() over (partition by seq_id order by idx) / count(*) over (partition by seq_id), 6) as share from scored")
+def hll_trace(spark, sf):
+    return rounded(predict.trace(scored(spark, sf, "gaussian")).select("seq_id", "point", "total", "share"))
+
+
+@query(sql_scored("poisson") + " select seq_id, round(avg(ld), 6) as score from scored group by 1")
+def model_score(spark, sf):
+    return rounded(scored(spark, sf, "poisson").groupBy("seq_id").agg(F.avg("log_density").alias("score")))
+
+
+@query(sql_scored("poisson") + ", u as (select seq_id, cast(floor((idx - 1) / 5) as bigint) as unit_id, sum(ld) as log_score from scored group by 1, 2) select *  replace (round(log_score, 6) as log_score) from u")
+def unit_scores(spark, sf):
+    t = scored(spark, sf, "poisson").withColumn("unit_id", F.floor((F.col("point") - 1) / 5))
+    return rounded(predict.unit_scores(t).select("seq_id", "unit_id", "log_score"))
+
+
+@query(sql_scored("poisson") + ", u as (select seq_id, cast(floor((idx - 1) / 5) as bigint) as unit_id, sum(ld) as log_score from scored group by 1, 2), e as (select *, exp(log_score - max(log_score) over (partition by unit_id)) as e from u) select seq_id, unit_id, round(e / sum(e) over (partition by unit_id), 6) as prob from e")
+def unit_responsibility(spark, sf):
+    t = scored(spark, sf, "poisson").withColumn("unit_id", F.floor((F.col("point") - 1) / 5))
+    return rounded(predict.unit_responsibility(predict.unit_scores(t)).select("seq_id", "unit_id", "prob"))
+
+
+@query(sql_scored("gaussian") + " select seq_id, idx as point, round((y - mu) / sqrt(v), 6) as z from scored")
+def pit_gauss_z(spark, sf):
+    return rounded(predict.pit_gaussian(scored(spark, sf, "gaussian")).select("seq_id", "point", "z"))
+
+
+@query()
+def pit_gauss(spark, sf):
+    return rounded(predict.pit_gaussian(scored(spark, sf, "gaussian")).select("seq_id", "point", "pit"))
+
+
+_PMF = "lgamma(k + r0) - lgamma(r0) - lgamma(k + 1) + r0 * ln(bb / (bb + 1)) + k * ln(1 / (bb + 1))"
+
+
+@query(sql_scored("poisson") + f", g as (select seq_id, idx, y, unnest(range(0, cast(y as bigint) + 1)) as k, r0, bb from scored) select seq_id, idx as point, round(coalesce(sum(exp({_PMF})) filter (k < y), 0), 6) as pit_low, round(sum(exp({_PMF})), 6) as pit_high from g group by 1, 2")
+def pit_discrete_bounds(spark, sf):
+    return rounded(predict.pit_bounds(scored(spark, sf, "poisson"), "poisson").select("seq_id", "point", "pit_low", "pit_high"))
+
+
+@query(sql_scored("gaussian") + ", z as (select seq_id, (y - mu) / sqrt(v) as z from scored) select seq_id, round(avg(case when abs(z) <= 1.959963984540054 then 1.0 else 0 end), 6) as coverage from z group by 1")
+def interval_coverage(spark, sf):
+    t = predict.pit_gaussian(scored(spark, sf, "gaussian"))
+    return rounded(t.groupBy("seq_id").agg(F.avg(F.when((F.col("pit") >= 0.025) & (F.col("pit") <= 0.975), 1.0).otherwise(0.0)).alias("coverage")))
+
+
+# ---- shared boundaries -----------------------------------------------------------------------------------------------
+
+_POOL = sql_blocks(SEQ["events"], "poisson", GIVEN["poisson"]).replace("blk as (", "own as (") .replace(
+    "len as (select seq_id, max(j) as n from blk group by 1)",
+    "blk as (select 'all' as seq_id, i, j, sum(s) as s, avg(a1) as a1 from own group by i, j), len as (select seq_id, max(j) as n from blk group by 1)",
+) + ", " + sql_forward(4)
+
+
+def members(spark, sf):
+    s = sequence(spark, sf, "events")
+    return s.withColumn("member", F.col("seq_id")).withColumn("seq_id", F.lit("all"))
+
+
+def member_hyper(s):
+    return s.select(F.concat_ws("|", "seq_id", "member").alias("seq_id")).distinct().select("seq_id", *[F.lit(v).alias(k) for k, v in GIVEN["poisson"].items()])
+
+
+@query(_POOL + " select seq_id, i, j, round(s, 6) as log_a0, round(a1, 6) as a1 from blk")
+def pooled_blocks(spark, sf):
+    s = members(spark, sf)
+    return rounded(pooled.pool(pooled.member_blocks(s, "poisson", "member", member_hyper(s))))
+
+
+@query(_POOL + ", " + sql_posterior() + " select seq_id, k, round(log_py_k, 6) as log_py_k, round(exp(log_post), 6) as post from post")
+def pooled_replicates(spark, sf):
+    s = members(spark, sf)
+    return rounded(pooled.shared(s, "poisson", "member", 4, None, member_hyper(s))[0].posterior_k.select("seq_id", "k", "log_py_k", "post"))
+
+
+_POOL_U = _POOL + ", " + sql_posterior(prior="1.0")
+
+
+@query(_POOL_U + " select distinct seq_id, round(z, 6) as log_evidence from post")
+def pooled_channels(spark, sf):
+    s = members(spark, sf)
+    return rounded(pooled.shared(s, "poisson", "member", 4, "uniform", member_hyper(s))[0].summary.select("seq_id", "log_evidence"))
+
+
+@query()
+def replicate_means(spark, sf):
+    return pooled.shared(members(spark, sf), "poisson", "member", 4, None)[1]
+
+
+@query(sql_blocks(SEQ["events"], "poisson", GIVEN["poisson"]) + ", " + sql_forward(4) + ", " + sql_posterior() + ", z as (select distinct seq_id, z from post) select 'all' as seq_id, round(sum(z), 6) as log_evidence, count(*) as members from z")
+def independent_channels(spark, sf):
+    s = members(spark, sf)
+    return rounded(pooled.independent(s, "poisson", "member", 4, member_hyper(s))[1])
+
+
+@query()
+def quantity_channels(spark, sf):
+    s = src.complete(src.quantity_channels(load(spark, sf, "lineitem")))
+    return pooled.shared(s, "gaussian", "channel", 6)[1]
+
+
+@query()
+def group_classifier(spark, sf):
+    """Labels are two halves of the event types; the fresh sequences are the event types themselves."""
+    s = sequence(spark, sf, "events").withColumn("label", F.when(F.col("seq_id") < "f", "early").otherwise("late"))
+    return pooled.classify(s, s, "poisson", 3)
+
+
+@query(f"with s as ({SEQ['events']}), l as (select *, case when seq_id < 'f' then 'early' else 'late' end as label from s) select label as seq_id, idx, round(sum(w * y) / sum(w), 6) as y, sum(w) as w from l group by 1, 2")
+def group_exemplars(spark, sf):
+    s = sequence(spark, sf, "events").withColumn("label", F.when(F.col("seq_id") < "f", "early").otherwise("late"))
+    return rounded(pooled.exemplars(s).select("seq_id", "idx", "y", "w"))
+
+
+@query("select x, round(lgamma(x), 6) as lgamma, round(lgamma(x) + lgamma(2.5) - lgamma(x + 2.5), 6) as lnbeta, round(1 / (1 + exp(-x)), 6) as sigmoid, round(greatest(x, 0) + ln(1 + exp(-abs(x))), 6) as softplus from (select (t.i * t.i + 1) / 40.0 as x from range(1, 200) t(i))")
+def special_functions(spark, sf):
+    x = spark.range(1, 200).select(((F.col("id") * F.col("id") + 1) / 40.0).alias("x"))
+    c = F.col("x")
+    return x.select("x", *[(F.round(e, 6) + 0.0).alias(n) for n, e in (("lgamma", cols.lgamma(c)), ("lnbeta", cols.lnbeta(c, F.lit(2.5))), ("sigmoid", cols.sigmoid(c)), ("softplus", cols.softplus(c)))])
+
+
+@query()
+def sliding_window(spark, sf):
+    from ..operators import sliding
+
+    s = sequence(spark, sf, "ship")
+    return sliding.fit(s, "poisson", 4, 40, 10, given(s, "poisson"))["curve"]
+
+
+@query(f"with s as ({SEQ['ship']}), n as (select seq_id, max(idx) as n from s group by 1), st as (select distinct seq_id, least(g * 30, greatest(0, n - 40)) as start from n, range(0, 100) t(g) where g * 30 < n) select seq_id || '#' || start as seq_id, count(*) as n from st join s using (seq_id) where idx > start and idx <= start + 40 group by 1")
+def sliding_window_rows(spark, sf):
+    from ..operators import sliding
+
+    return rounded(sliding.windows(sequence(spark, sf, "ship"), 40, 10).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")))
