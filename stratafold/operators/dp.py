@@ -13,27 +13,38 @@ import numpy as np
 from ..functions.special import lse
 
 
+def potentials(s: np.ndarray) -> np.ndarray:
+    """Best score of any partition of the first j rows (0 where there is none). Scores less the potential they gain are
+    at most 0 on reachable rows, so sums over partitions stay near 1 however long the sequence."""
+    n = len(s) - 1
+    best = np.full(n + 1, -np.inf)
+    best[0] = 0.0
+    for j in range(1, n + 1):
+        best[j] = (best[:j] + s[:j, j]).max()
+    return best
+
+
 def forward(s: np.ndarray, k_max: int) -> np.ndarray:
     """L[k, j]: log sum over partitions of the first j rows into k blocks."""
     n = len(s) - 1
     out = np.full((k_max + 1, n + 1), -np.inf)
     out[0, 0] = 0.0
-    # shifting each column by its maximum lets one matrix product serve all h at once
-    top = s.max(axis=0)
-    top = np.where(np.isfinite(top), top, 0.0)
-    e = np.exp(s - top)
+    best = potentials(s)
+    pot = np.where(np.isfinite(best), best, 0.0)
+    e = np.exp(np.where(np.isfinite(best)[:, None], s + pot[:, None] - pot[None, :], -np.inf))
     with np.errstate(divide="ignore"):
         for k in range(k_max):
-            prev = out[k]
+            prev = out[k] - pot
             m = prev.max()
             if not np.isfinite(m):
                 break
-            fast = np.log(np.exp(prev - m) @ e) + m + top
-            weak = ~np.isfinite(fast) | (fast < m + top - 600)
-            weak &= np.isfinite(s).any(axis=0)
-            if weak.any():  # sums that underflow under the common shift, done exactly
-                fast[weak] = lse(prev[:, None] + s[:, weak], axis=0)
-            out[k + 1] = fast
+            fast = np.log(np.exp(prev - m) @ e)
+            # terms lost to underflow are below e^-745 of the scale: sums that small are done exactly
+            weak = np.flatnonzero((fast < -600) & np.isfinite(s).any(axis=0))
+            out[k + 1] = fast + m + pot
+            for lo in range(0, len(weak), 256):
+                part = weak[lo : lo + 256]
+                out[k + 1, part] = lse(out[k][:, None] + s[:, part], axis=0)
     return out
 
 
@@ -103,18 +114,21 @@ def curve(s: np.ndarray, mean: np.ndarray, left: np.ndarray, right: np.ndarray,
     n = len(s) - 1
     total = np.zeros((n + 1, n + 1))
     finite = np.isfinite(s)
+    best = potentials(s)
+    pot = np.where(np.isfinite(best), best, 0.0)
+    e = np.exp(np.where(np.isfinite(best)[:, None], s + pot[:, None] - pot[None, :], -np.inf))
     for k in np.flatnonzero(weights > 0) + 1:
         z = left[k, n]
         if not np.isfinite(z):
             continue
-        a = np.exp(np.clip(left[:k] - z / 2, -745, 700))
-        b = np.exp(np.clip(right[:k][::-1] - z / 2, -745, 700))
-        direct = np.isfinite(left[:k].max()) and left[:k][np.isfinite(left[:k])].max() - z / 2 < 300 and right[:k][np.isfinite(right[:k])].max() - z / 2 < 300
-        if direct and abs(z) < 500:
-            w = (np.where(np.isfinite(left[:k]), a, 0.0).T @ np.where(np.isfinite(right[:k][::-1]), b, 0.0)) * np.exp(np.where(finite, s, -np.inf))
+        a, b = left[:k] - pot, right[:k][::-1] + pot  # one row per number of blocks before and after
+        a0, b0 = a.max(), b.max()
+        scale = a0 + b0 - z
+        if scale < 600:  # then what underflows is below e^-100 of the whole
+            w = (np.exp(a - a0).T @ np.exp(b - b0)) * e * np.exp(scale)
         else:
-            w = np.exp(lse(left[:k, :, None] + right[:k][::-1][:, None, :], axis=0) + s - z)
-        total += weights[k - 1] * np.where(finite, w, 0.0)
+            w = sum(np.exp(left[p][:, None] + right[k - 1 - p][None, :] + s - z) for p in range(k))
+        total += weights[k - 1] * w
     c = np.where(finite & ~np.isnan(mean), total * np.nan_to_num(mean), 0.0)
     diff = c.sum(axis=1) - c.sum(axis=0)
     return np.cumsum(diff)[:n]

@@ -378,3 +378,12 @@ def segment_events_poisson(spark, sf):
 def segment_users_irregular(spark, sf):
     """One Gaussian segmentation per user over irregular times: the throughput query."""
     return segment.segment(src.complete(src.user_values(load(spark, sf, "events"))), "gaussian", 4, curves=False).segment
+
+
+@query()
+def segment_ship_daily(spark, sf):
+    """Long sequences: daily shipments per return flag, about 2,500 days each, up to 20 segments."""
+    from ..sources.sequences import bucketed
+
+    days = bucketed(load(spark, sf, "lineitem"), F.col("l_returnflag"), F.date_trunc("day", "l_shipdate"), F.count(F.lit(1)).cast("double"))
+    return segment.segment(src.complete(days), "poisson", 20, curves=False).segment
