@@ -143,3 +143,22 @@ def detect(seq: DataFrame, method: str, scale: float | None = None, **parameters
         return pd.DataFrame([(group[0], cut, float(sum(c(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True))))], columns=["seq_id", "boundaries", "cost"])
 
     return seq.groupBy("seq_id").applyInPandas(run, "seq_id string, boundaries array<int>, cost double")
+
+
+TASKS = ("univariate", "multivariate")
+
+
+def request(seq: DataFrame, task: str, budget: int) -> DataFrame:
+    """A validated comparator input: raw finite observations on a strictly increasing axis, one channel for univariate
+    tasks. Fails on the first violation when it is read."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    if task not in TASKS or budget < 1:
+        raise ValueError("unknown task or empty tuning budget")
+    keys = ["seq_id", *(["channel"] if "channel" in seq.columns else [])]
+    if task == "univariate" and len(keys) == 2:
+        raise ValueError("a univariate task takes one channel")
+    dx = F.col("x") - F.lag("x").over(Window.partitionBy(*keys).orderBy("idx"))
+    ok = (F.coalesce(dx, F.lit(1.0)) > 0) & ~F.isnan("y") & (F.abs("y") < float("inf")) & F.col("y").isNotNull()
+    return seq.withColumn("y", F.when(ok, F.col("y")).otherwise(F.raise_error("comparator input needs finite y and increasing x").cast("double")))

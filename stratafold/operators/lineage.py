@@ -21,3 +21,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stratafold/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remembered(spark: SparkSession, key: str, build) -> DataFrame:
+    """`build()` written once per key below the shared folder; later calls with the key read it. The key should hold a
+    digest of the data (sources.sequences.content_hash) and the parameters."""
+    import hashlib
+
+    path = f"{shared_dir(spark)}/stratafold/kept-{hashlib.sha256(key.encode()).hexdigest()}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -86,3 +86,9 @@ def with_prior(block: DataFrame, bound: DataFrame, prior: Partition) -> DataFram
 def log_ck_uniform(n: Column, k: Column) -> Column:
     """ln C(n - 1, k - 1)."""
     return cols.lnchoose(n.cast("double") - 1, k.cast("double") - 1)
+
+
+def partition_log_prior(blocks: DataFrame, segment: DataFrame) -> DataFrame:
+    """Sum of log_g along each sequence's segments (seq_id, i, j); null where a segment has no support."""
+    t = segment.select("seq_id", "i", "j").join(blocks.select("seq_id", "i", "j", "log_g"), ["seq_id", "i", "j"], "left")
+    return t.groupBy("seq_id").agg(F.when(F.count_if(F.col("log_g").isNull()) == 0, F.sum("log_g")).alias("log_prior"))

@@ -155,3 +155,26 @@ def segment(seq: DataFrame, name: str, k_max: int, hyper_df: DataFrame | None =
         return pd.DataFrame([solve(key[0], s, mean, g, k_max, count, curves, k)])
 
     return Fit(rows.groupBy("seq_id").applyInPandas(run, RESULT))
+
+
+def renewal(seq: DataFrame, name: str, k_max: int, rate: float, power: float, hyper_df: DataFrame | None = None) -> Fit:
+    """A fit under a geometric number of changes, p(k) ~ (1 - rate)^(k - 1) rate, and segment factors span^power."""
+    from ..sources.sequences import bounds
+
+    h = families.hyper(seq, name) if hyper_df is None else hyper_df
+    b = prior.with_prior(families.blocks(seq, name, h), bounds(seq), prior.Partition(cohesion="span", power=power))
+    return fit_blocks(b, k_max, lambda k: (1 - rate) ** (k - 1) * rate)
+
+
+def null_comparison(seq: DataFrame, name: str, k_max: int, low: float, high: float, hyper_df: DataFrame | None = None) -> DataFrame:
+    """Mean held-out log density of the fit and of a single segment, on the rows between round(low n) and round(high n):
+    seq_id, fitted, single, gain."""
+    from . import metrics, predict
+
+    h = metrics.holdout(seq, low, high)
+    train = h.withColumn("a", F.when(F.col("held"), 0.0).otherwise(F.col("a"))).drop("held")
+    held = h.where("held").select("seq_id", "x", "y", "w", "n_trials", "r")
+    hyp = families.hyper(train, name) if hyper_df is None else hyper_df
+    one = lambda k: predict.score_points(train, name, segment(train, name, k, hyp, curves=False).segment, hyp, held).groupBy("seq_id").agg(F.avg("log_density").alias("v"))
+    t = one(k_max).withColumnRenamed("v", "fitted").join(one(1).withColumnRenamed("v", "single"), "seq_id")
+    return t.withColumn("gain", F.col("fitted") - F.col("single"))

@@ -231,3 +231,27 @@ def binary_segmentation(spark, sf):
 @query()
 def wbs(spark, sf):
     return baselines.detect(sequence(spark, sf, "ship"), "wbs", changes=2)
+
+
+@query()
+def null_comparison(spark, sf):
+    s = sequence(spark, sf, "ship")
+    return segment.null_comparison(s, "poisson", 4, 0.3, 0.45, given(s, "poisson"))
+
+
+@query()
+def renewal_fit(spark, sf):
+    s = sequence(spark, sf, "events")
+    return segment.renewal(s, "poisson", 4, 0.2, 0.5, given(s, "poisson")).segment
+
+
+@query(_EV + ", t as (select seq_id, n // 3 as t, n from len) select seq_id, round(0.5 * ln(t) + 0.5 * ln(n - t), 6) as log_prior from t")
+def partition_prior(spark, sf):
+    from ..operators import prior
+    from ..sources import sequences as src
+
+    s = sequence(spark, sf, "events")
+    b = prior.with_prior(block_table(s, "poisson"), src.bounds(s), prior.Partition(cohesion="span", power=0.5))
+    n = s.groupBy("seq_id").agg(F.max("idx").alias("n")).withColumn("t", F.floor(F.col("n") / 3).cast("int"))
+    path = n.select("seq_id", F.lit(0).alias("i"), F.col("t").alias("j")).unionByName(n.select("seq_id", F.col("t").alias("i"), F.col("n").alias("j")))
+    return rounded(prior.partition_log_prior(b, path))

@@ -46,26 +46,88 @@ def read_probes(spark: SparkSession, path: str, name: str = "probes") -> DataFra
     return mad_weights(read_values(spark, path, name))
 
 
-#: Fixed values: (length, level) of the pieces of each simulated shape.
+#: Fixed values of the simulated shapes: the levels, the pieces' shares or lengths, noise and edge weights.
+WELLLOG_LEVELS = [112.0, 115.0, 118.5, 116.2, 113.8, 119.4, 121.0, 118.1, 114.9, 117.6]
+WELLLOG_SHARES = [0.08, 0.12, 0.10, 0.14, 0.09, 0.07, 0.13, 0.11, 0.08, 0.08]
+CGH_PIECES = [(0.00, 380), (0.72, 85), (0.00, 210), (-0.55, 60), (0.00, 150), (0.48, 115), (0.00, 100)]
+SPX_LEVELS, SPX_SHARES = [0.010, 0.028, 0.012, 0.038, 0.015], [0.28, 0.16, 0.22, 0.14, 0.20]
+METHYLATION_PIECES = [(0.18, 140), (0.82, 110), (0.42, 130), (0.88, 100), (0.25, 120)]
+WELLLOG_N, WELLLOG_SD, CGH_SD, CGH_EDGE, CGH_EDGE_WEIGHT, SPX_N, CONCENTRATION = 4050, 1.6, 0.18, 50, 0.6, 1500, 70.0
+#: Human annotators' change points of the public well-log series, on its 675-point axis (every 6th value).
+WELLLOG_ANNOTATIONS = {
+    "6": (179, 255, 281, 311, 343, 402, 413, 422, 432, 462, 464),
+    "7": (179, 255, 281, 312, 343, 402, 412, 422, 432),
+    "8": (179, 255, 282, 312, 343, 402, 413, 422, 432),
+    "12": (177, 467),
+    "13": (4, 179, 255, 281, 311, 344, 402, 412, 422, 432, 462, 464, 521, 526, 620, 643, 661),
+}
+ANNOTATION_STRIDE = 6
+
+
+def _shared_out(levels: list[float], shares: list[float], n: int) -> list[tuple[float, int]]:
+    """(level, length) pieces: each share of n rounded down, the last takes the rest."""
+    size = [int(s / sum(shares) * n) for s in shares[:-1]]
+    return list(zip(levels, [*size, n - sum(size)], strict=True))
+
+
 SHAPES = {
-    "welllog": [(405, 110.0), (608, 125.0), (405, 118.0), (810, 132.0), (607, 112.0), (608, 121.0), (607, 128.0)],
-    "cgh": [(200, 0.0), (150, 0.6), (150, 0.0), (100, -0.5), (200, 0.0), (100, 0.4), (200, 0.0)],
-    "spx": [(300, 0.6), (300, 1.2), (300, 0.7), (200, 2.5), (400, 0.9)],
-    "methylation": [(150, 0.8), (150, 0.2), (150, 0.6), (150, 0.1)],
+    "welllog": _shared_out(WELLLOG_LEVELS, WELLLOG_SHARES, WELLLOG_N),
+    "cgh": CGH_PIECES,
+    "spx": _shared_out(SPX_LEVELS, SPX_SHARES, SPX_N),
+    "methylation": METHYLATION_PIECES,
 }
 
 
-def simulate(spark: SparkSession, shape: str, seed: int = 0, sd: float = 0.25) -> DataFrame:
-    """A piecewise signal with noise: seq_id, idx, x, y and the true level. Generated in parallel from the index."""
-    pieces, n = SHAPES[shape], sum(k for k, _ in SHAPES[shape])
-    expr, end = None, 0
-    for length, value in pieces:
+def simulate(spark: SparkSession, shape: str, seed: int = 0) -> DataFrame:
+    """A piecewise signal with noise: seq_id, idx, x, y, w and the true level, generated in parallel from the index. The
+    bounded shape draws its beta values by inverting their normal approximation on the logit scale."""
+    pieces, expr, end = SHAPES[shape], None, 0
+    for level, length in pieces:
         end += length
-        expr = F.when(F.col("id") < end, F.lit(value)) if expr is None else expr.when(F.col("id") < end, F.lit(value))
-    noise = F.randn(seed)
-    y = {"spx": F.col("level") * noise, "methylation": F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("level") + 0.05 * noise))}.get(shape, F.col("level") + sd * noise)
-    t = spark.range(n).withColumn("level", expr).withColumn("y", y)
-    return t.select(F.lit(shape).alias("seq_id"), (F.col("id") + 1).cast("int").alias("idx"), (F.col("id") + 1.0).alias("x"), "y", "level")
+        expr = F.when(F.col("id") < end, F.lit(level)) if expr is None else expr.when(F.col("id") < end, F.lit(level))
+    noise, m = F.randn(seed), F.col("level")
+    logit = F.log(m / (1 - m)) + noise / F.sqrt((CONCENTRATION + 1) * m * (1 - m))
+    y = {
+        "welllog": m + WELLLOG_SD * noise, "cgh": m + CGH_SD * noise, "spx": F.log(F.pow(m * noise, 2) + 1e-8),
+        "methylation": F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), 1 / (1 + F.exp(-logit)))),
+    }[shape]
+    edge = (F.col("id") < CGH_EDGE) | (F.col("id") >= end - CGH_EDGE)
+    w = F.when(edge, CGH_EDGE_WEIGHT).otherwise(1.0) if shape == "cgh" else F.lit(1.0)
+    t = spark.range(end).withColumn("level", expr).withColumn("y", y)
+    return t.select(F.lit(shape).alias("seq_id"), (F.col("id") + 1).cast("int").alias("idx"), (F.col("id") + 1.0).alias("x"), "y", w.alias("w"), "level")
+
+
+def true_boundaries(shape: str, stride: int = 1) -> list[int]:
+    """Interior boundaries of a simulated shape after keeping every `stride`-th row."""
+    at = [0]
+    for _, length in SHAPES[shape]:
+        at.append(at[-1] + length)
+    return [-(-b // stride) for b in at[1:-1]]
+
+
+def annotations(spark: SparkSession) -> DataFrame:
+    """dataset, annotator, pos: external change points on the native axis of the well log."""
+    rows = [("welllog", who, ANNOTATION_STRIDE * p) for who, at in WELLLOG_ANNOTATIONS.items() for p in at]
+    return spark.createDataFrame(rows, "dataset string, annotator string, pos int")
+
+
+def load(spark: SparkSession, dataset: str, path: str | None = None, stride: int = 1, seed: int = 0) -> tuple[DataFrame, dict]:
+    """(sequence, card): a file of the dataset's format, or its simulated shape if there is no path."""
+    from .sequences import subsample
+
+    readers = {"welllog": read_values, "cgh": read_probes, "spx": read_closes, "methylation": read_methylation}
+    if dataset not in readers:
+        raise ValueError(f"unknown dataset {dataset!r}")
+    seq = readers[dataset](spark, path) if path else simulate(spark, dataset, seed)
+    card = {"dataset": dataset, "source": "file" if path else "simulated", "stride": stride, "boundaries": None if path else true_boundaries(dataset, stride)}
+    return (subsample(seq, stride) if stride > 1 else seq), card
+
+
+def read_closes(spark: SparkSession, path: str) -> DataFrame:
+    """Closing prices, one per line, as log squared returns."""
+    from .sequences import log_squared_change
+
+    return log_squared_change(read_values(spark, path, "spx").where("y > 0"))
 
 
 _ID, _SHA = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*"), re.compile(r"[0-9a-f]{64}")

@@ -147,9 +147,33 @@ def test_readers_and_simulators(spark, tmp_path):
     m = files.read_methylation(spark, str(tmp_path / "m.tsv")).orderBy("idx").collect()
     assert [(r["x"], r["y"], r["w"]) for r in m] == [(2.0, 0.5, 4.0), (5.0, 0.999, 10.0)]
     for shape, pieces in files.SHAPES.items():
-        assert files.simulate(spark, shape).count() == sum(n for n, _ in pieces)
+        t = files.simulate(spark, shape)
+        assert t.count() == sum(n for _, n in pieces) and t.where("y is null or isnan(y)").count() == 0
+    assert [sum(n for _, n in files.SHAPES[k]) for k in ("welllog", "cgh", "spx", "methylation")] == [4050, 1100, 1500, 600]
+    assert files.annotations(spark).where("annotator = '12'").orderBy("pos").first()["pos"] == 1062
+    seq, card = files.load(spark, "cgh", stride=5)
+    assert seq.count() == 220 and card["boundaries"][0] == 76
     rec = files.record("r1", "ok", {"a": "0" * 64}, ["out/x.json"], {"m": 1.0})
     files.write_record(spark, rec, str(tmp_path / "rec"))
     assert files.read_record(spark, str(tmp_path / "rec")) == rec
     with pytest.raises(ValueError):
         files.record("r1", "ok", {}, ["/abs"], {})
+
+
+def test_remembered_and_requests(spark):
+    from stratafold.operators import lineage
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    key = f"k{np.random.default_rng().integers(1 << 40)}"
+    assert lineage.remembered(spark, key, build).count() == lineage.remembered(spark, key, build).count() == 3 and len(calls) == 1
+    s = piecewise(spark, "r", [0, 1], 5)
+    assert baselines.request(s, "univariate", 10).count() == 10
+    with pytest.raises(Exception, match="increasing"):
+        baselines.request(s.withColumn("x", src.F.lit(1.0)), "univariate", 10).collect()
+    with pytest.raises(NotImplementedError):
+        baselines.detect(s, "CBS")
