@@ -98,8 +98,8 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def bootstrap_ci(values: DataFrame, by: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean over `draws` resamples. Each row draws its multiplicity (Poisson) per resample, so
-    the resamples are sums over rows and need no second copy of the data."""
+    """Percentile interval of the mean over `draws` resamples with replacement, seeded by the group's name. A group is one
+    sequence of scores or replicates; long ones are resampled one draw at a time to bound memory."""
 
     def run(key, pdf):
         v = pdf[value].to_numpy(float)

@@ -52,7 +52,8 @@ def classify(train: DataFrame, fresh: DataFrame, name: str, k_max: int, hyper: D
     h = hyper if hyper is not None else families.hyper(ex, name)
     fit = segment.segment(ex, name, k_max, h, curves=False)
     labels = train.groupBy(F.col("label").cast("string").alias("seq_id")).agg(F.count_distinct("seq_id").cast("double").alias("weight"))
-    asked = labels.select("seq_id").join(fresh.select(F.col("seq_id").alias("unit_id"), "x", "y", "w"), F.lit(True))
+    names = F.array(*[F.lit(r["seq_id"]) for r in labels.select("seq_id").collect()])  # one row per group
+    asked = fresh.select(F.explode(names).alias("seq_id"), F.col("seq_id").alias("unit_id"), "x", "y", "w")
     scores = predict.unit_scores(predict.score_points(ex, name, fit.segment, h, asked))
     out = predict.unit_responsibility(scores, labels if prior == "empirical" else None)
     return out.select("unit_id", F.col("seq_id").alias("label"), "log_score", "prob")

@@ -164,9 +164,10 @@ def tables(pdf: pd.DataFrame, name: str, h: dict[str, float]) -> tuple[np.ndarra
     return beta_obs(pdf, h)[:2] if name == "beta_obs" else logistic(pdf, h)
 
 
-def node_table(spark, nodes: int, kind: str = "legendre") -> DataFrame:
-    x, w = legendre(nodes) if kind == "legendre" else hermite(nodes)
-    return spark.createDataFrame([(g, float(a), float(b)) for g, (a, b) in enumerate(zip(x, w, strict=True))], "g int, x double, wt double")
+def nodes_of(kind: str, number: int):
+    """The quadrature nodes as a literal array of (g, node, wt), to be exploded next to each row."""
+    x, w = legendre(number) if kind == "legendre" else hermite(number)
+    return F.array(*[F.struct(F.lit(g).alias("g"), F.lit(float(a)).alias("node"), F.lit(float(b)).alias("wt")) for g, (a, b) in enumerate(zip(x, w, strict=True))])
 
 
 def _lse_blocks(t: DataFrame, mean) -> DataFrame:
@@ -179,8 +180,7 @@ def _lse_blocks(t: DataFrame, mean) -> DataFrame:
 def node_blocks(seq: DataFrame, hyper: DataFrame, name: str, nodes: int) -> DataFrame:
     """Block table by quadrature as DataFrame operations; name is beta_obs or logistic_normal."""
     kind = "legendre" if name == "beta_obs" else "hermite"
-    node = F.broadcast(node_table(seq.sparkSession, nodes, kind).withColumnRenamed("x", "node"))  # `nodes` rows
-    t = seq.join(hyper, "seq_id").crossJoin(node)
+    t = seq.join(hyper, "seq_id").withColumn("nd", F.explode(nodes_of(kind, nodes))).select("*", "nd.*").drop("nd")
     if name == "beta_obs":
         v = _beta_node_terms(F.col("y"), F.col("phi"), F.col("node"), cols)
         base = F.log("wt") + (F.col("alpha") - 1) * F.log("node") + (F.col("beta") - 1) * F.log1p(-F.col("node")) - cols.lnbeta(F.col("alpha"), F.col("beta"))
