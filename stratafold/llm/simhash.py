@@ -10,7 +10,7 @@ exact scheme); wide fingerprints take random parts (a pair is missed with the sm
 `near_duplicates`). Pairs that share a key are compared by a pivot table: the Hamming distances of each fingerprint to
 `PIVOTS` reference fingerprints are computed once, pairs whose coordinates differ by more than `distance` anywhere are
 discarded (triangle inequality), survivors are verified. Each bucket emits a star per local class, at most one row per
-member, so groups of copies never become pairs; the stars are joined to components by repeated contraction.
+member, so groups of copies never become pairs; long buckets are linked through member references; the stars are joined to components by repeated contraction.
 
 Skew. Buckets over `most` members are split into chunks and each pair of chunks is a task of its own; nothing is capped.
 
@@ -124,10 +124,62 @@ def _keyed(unique: DataFrame, masks: list[bytes], width: int) -> DataFrame:
     return unique.select("node", "fp").mapInArrow(run, "key long, node long, fp binary")
 
 
-def compare(key: np.ndarray, x: np.ndarray, distance: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) of rows with equal, adjacent keys that lie within `distance`: pivot filter, then verification."""
+def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+
+def crowd(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect all rows of `x` within `distance`, for long buckets. Members serve as reference fingerprints
+    in turn: each takes the free rows near it as its cluster and is linked to every row near it. Then only rows of two
+    clusters that are still apart, both with more than their reference, can hold unseen links; these are compared if
+    the references are within three distances. A tight group of m copies so costs m comparisons per reference."""
+    owner, refs, left, right, rows = np.full(len(x), -1), [], [], [], []
+    for p in range(len(x)):
+        if owner[p] < 0:
+            d = hamming(x, x[p])
+            near = np.flatnonzero(d <= distance)
+            left.append(np.full(len(near), p))
+            right.append(near)
+            owner[near[owner[near] < 0]] = len(refs)
+            refs.append(p)
+            rows.append(d)
+    a, b = np.concatenate(left), np.concatenate(right)
+    label = stars(len(x), a, b)
+    size = np.bincount(owner, minlength=len(refs))
+    many = np.flatnonzero(size > 1)
+    at = np.array(refs)[many]
+    for k, c in enumerate(many):
+        close = hamming(x[at[k + 1 :]], x[refs[c]]) <= 3 * distance
+        for e in many[k + 1 :][close & (label[at[k + 1 :]] != label[refs[c]])]:
+            if label[refs[c]] == label[refs[e]]:
+                continue
+            u, v = np.flatnonzero(owner == c), np.flatnonzero(owner == e)
+            for lo in range(0, len(u), 256):
+                i, j = np.nonzero(hamming(x[u[lo : lo + 256], None], x[None, v]) <= distance)
+                if len(i):
+                    a, b = np.append(a, u[lo + i[0]]), np.append(b, v[j[0]])
+                    low, high = sorted((label[refs[c]], label[refs[e]]))
+                    label[label == high] = low
+                    break
+    return a, b
+
+
+#: Buckets from this length on are linked through reference members.
+LONG = 128
+
+
+def compare(key: np.ndarray, x: np.ndarray, distance: int, pivots: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows with equal, adjacent keys that connect all those within `distance`: pivot filter, then
+    verification; long buckets by `crowd`."""
     dist = np.bitwise_count(x[:, None, :] ^ pivots[None]).sum(axis=2, dtype=np.int16)  # the distance table
-    left, right, idx, d = [], [], np.arange(len(x)), 0
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(edge)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in np.flatnonzero(size >= long):
+        a, b = crowd(x[edge[k] : edge[k + 1]], distance)
+        left.append(a + edge[k])
+        right.append(b + edge[k])
+    idx, d = np.flatnonzero(np.repeat(size < long, size)), 0
     while True:
         d += 1
         idx = idx[idx + d < len(x)]
@@ -137,10 +189,10 @@ def compare(key: np.ndarray, x: np.ndarray, distance: int, pivots: np.ndarray) -
         near = idx
         for p in range(0, len(pivots), 4):
             near = near[(np.abs(dist[near, p : p + 4] - dist[near + d, p : p + 4]) <= distance).all(axis=1)]
-        near = near[np.bitwise_count(x[near] ^ x[near + d]).sum(axis=1, dtype=np.int16) <= distance]
+        near = near[hamming(x[near], x[near + d]) <= distance]
         left.append(near)
         right.append(near + d)
-    return (np.concatenate(left), np.concatenate(right)) if left else (idx, idx)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -88,3 +88,18 @@ def test_near_duplicates(spark):
     other = list(rng.choice(words, 400))
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edit)), (3, " ".join(other))], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_long_buckets_equal_all_pairs():
+    rng = np.random.default_rng(0)
+    pivots = rng.integers(0, 1 << 64, (16, 1), dtype=np.uint64)
+    for _ in range(200):
+        n = int(rng.integers(2, 80))
+        x = rng.integers(0, 1 << 64, 4, dtype=np.uint64)[rng.integers(0, 4, n)]
+        for _ in range(int(rng.integers(0, 7))):
+            x = x ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+        x, key = x.reshape(-1, 1), np.sort(rng.integers(0, 2, n))
+        a, b = np.nonzero((np.bitwise_count(x ^ x.T) <= 4) & (key[:, None] == key[None]))
+        want = simhash.stars(n, a, b)
+        for long in (2, 1000):
+            assert (simhash.stars(n, *simhash.compare(key, x, 4, pivots, long)) == want).all()
