@@ -7,7 +7,7 @@ XXH64 (seed 42) and a fingerprint bit is 1 if it is set in over half of the hash
 Links. Equal fingerprints are one class at once. Distinct fingerprints meet by keys, masked parts of the fingerprint:
 for `distance` bits out of 64, split into blocks, so many whole blocks must agree that any linked pair shares a key (an
 exact scheme); wide fingerprints take random parts (a pair is missed with the small probability stated at
-`near_duplicates`). Pairs that share a key are compared by a pivot table: the Hamming distances of each fingerprint to
+`near_duplicates`, the same at every number of documents). Pairs that share a key are compared by a pivot table: the Hamming distances of each fingerprint to
 `PIVOTS` reference fingerprints are computed once, pairs whose coordinates differ by more than `distance` anywhere are
 discarded (triangle inequality), survivors are verified. Each bucket emits a star per local class, at most one row per
 member, so groups of copies never become pairs; long buckets are linked through member references; the stars are joined to components by repeated contraction.
@@ -21,6 +21,7 @@ sequence is the shingle. Repeated rows get a row each. A null doc_id is never th
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -263,17 +264,40 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) ->
     return classes(fps, block_masks(distance, n), distance, 1)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4, keys: int = 80) -> DataFrame:
+def recall(p: float, bits: int, distance: int, part: int, keys: int) -> float:
+    """Share of pairs whose fingerprints of `bits` bits differ in each with probability `p` that share one of `keys`
+    random parts of `part` bits and differ in `distance` bits or fewer."""
+    found = 0.0
+    for d in range(distance + 1):
+        miss = (1 - math.comb(bits - d, part) / math.comb(bits, part)) ** keys
+        found += math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * (1 - miss)
+    return found
+
+
+#: Near-duplicates: share of the pairs just at the similarity that must be found, and log2 of a random bucket's length.
+RECALL, FILL = 0.97, 6
+
+
+def near_plan(n: int, similarity: float = 0.8, width: int = 4) -> tuple[int, int, int]:
+    """Distance, bits of a part and number of parts for `n` fingerprints. Parts grow with log2(n) so that random buckets
+    hold about 2^FILL members at every n, and as many are taken as `RECALL` at `similarity` needs."""
+    p, bits = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 64 * width
+    distance = int(bits * p + 3 * (bits * p * (1 - p)) ** 0.5)
+    part, keys = max(8, int(np.log2(max(n, 2))) - FILL), 1
+    while recall(p, bits, distance, part, keys) < RECALL:
+        keys += 1
+    return distance, part, keys
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
     """Documents whose shingle sets overlap by `similarity` (Jaccard) or more, as far as 64 * `width` SimHash bits tell:
     doc_id, fp, component_id. At Jaccard J two bits differ with probability acos(2J / (1 + J)) / pi; pairs link up to
-    the mean plus two standard deviations at `similarity`. A pair is found by one of `keys` random parts of log2(n)
-    bits: at 250,000 documents about 0.97 of the pairs at J = 0.8, 0.99 at 0.85, all but a few in 10,000 at 0.9;
-    groups are connected through any of their pairs."""
+    the mean plus three standard deviations at `similarity`. A pair at `similarity` is found with probability `RECALL`
+    whatever the number of documents, a closer one more often (`near_plan`); groups are connected through any of their
+    pairs."""
     fps = materialise(fingerprints(docs, shingle, width))
-    n = fps.select("node").distinct().count()
-    p, bits = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 64 * width
-    distance = int(bits * p + 2 * (bits * p * (1 - p)) ** 0.5)
-    return classes(fps, random_masks(width, int(np.log2(max(n, 256))), keys), distance, width)
+    distance, part, keys = near_plan(fps.select("node").distinct().count(), similarity, width)
+    return classes(fps, random_masks(width, part, keys), distance, width)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

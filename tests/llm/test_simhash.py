@@ -103,3 +103,15 @@ def test_long_buckets_equal_all_pairs():
         want = simhash.stars(n, a, b)
         for long in (2, 1000):
             assert (simhash.stars(n, *simhash.compare(key, x, 4, pivots, long)) == want).all()
+
+
+def test_recall_at_the_similarity_holds_at_every_size():
+    rng = np.random.default_rng(3)
+    for n in (1000, 50_000, 250_000, 3_000_000, 15_000_000, 10**9):
+        distance, part, keys = simhash.near_plan(n)
+        p = np.arccos(1.6 / 1.8) / np.pi
+        assert simhash.recall(p, 256, distance, part, keys) >= 0.97
+        masks = np.frombuffer(b"".join(simhash.random_masks(4, part, keys)), np.uint64).reshape(keys, 4)
+        diff = np.packbits(rng.random((4000, 256)) < p, axis=1).view(np.uint64)
+        met = ((diff[:, None] & masks[None]) == 0).all(axis=2).any(axis=1)
+        assert (met & (np.bitwise_count(diff).sum(axis=1) <= distance)).mean() > 0.955
