@@ -11,6 +11,7 @@ exact scheme); wide fingerprints take random parts (a pair is missed with the sm
 `PIVOTS` reference fingerprints are computed once, pairs whose coordinates differ by more than `distance` anywhere are
 discarded (triangle inequality), survivors are verified. Each bucket emits a star per local class, at most one row per
 member, so groups of copies never become pairs; long buckets are linked through member references; the stars are joined to components by repeated contraction.
+Near-duplicates take these links as candidates only: an edge counts once the two texts' shingle sets have been compared.
 
 Skew. Buckets over `most` members are split into chunks and each pair of chunks is a task of its own; nothing is capped.
 
@@ -35,20 +36,29 @@ SEED, PIVOTS = 42, 16
 MOST = 2048
 
 
-def fingerprint(text: str | None, shingle: int = 4, width: int = 1) -> bytes:
-    """`width` big-endian 64-bit words."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle in order, repeats included; none if there are no words."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8 * width)
+        return np.empty(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([digest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4, width: int = 1) -> bytes:
+    """`width` big-endian 64-bit words."""
+    return folded(shingles(text, shingle), width)
+
+
+def folded(hashes: np.ndarray, width: int) -> bytes:
+    if not len(hashes):
+        return bytes(8 * width)
     out = b""
     for k in range(width):
         h = hashes if not k else mixed(hashes, k)
@@ -289,15 +299,157 @@ def near_plan(n: int, similarity: float = 0.8, width: int = 4) -> tuple[int, int
     return distance, part, keys
 
 
+#: Members and bytes of text of a unit, the part of a group whose sets one task holds.
+UNIT, UNIT_BYTES = 512, 1 << 24
+
+
+def set_fingerprints(rows: DataFrame, shingle: int, width: int) -> DataFrame:
+    """row, doc_id, fp (each shingle once), node LONG: rows with the same set of shingles share a node."""
+    import pyarrow as pa
+    import xxhash
+
+    rows = rows.select("row", "doc_id", "text")
+
+    def run(batches):
+        for b in batches:
+            found = [np.unique(shingles(t, shingle)) for t in b.column("text").to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
+            fps = pa.array([folded(h, width) for h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), fps, pa.array(node)], ["row", "doc_id", "fp", "node"])
+
+    return rows.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp binary, node long")
+
+
+def jaccard(a: set, b: set) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def checked(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The `edges` (u, v) whose texts' sets of shingles overlap by `similarity` or more."""
+    import pyarrow as pa
+
+    both = edges.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+
+    def run(batches):
+        last, held = None, set()  # a centre's rows come one after another
+        for b in batches:
+            keep = []
+            for v, tu, tv in zip(*(b.column(c).to_pylist() for c in ("v", "tu", "tv")), strict=True):
+                if v != last:
+                    last, held = v, set(shingles(tv, shingle).tolist())
+                keep.append(jaccard(set(shingles(tu, shingle).tolist()), held) >= similarity)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+
+
+def united(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root, label: the smallest node that `edges` connect each node of `near` (node, root) to."""
+    found = components(edges).withColumnRenamed("root", "label")
+    return near.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def across(open_: DataFrame, distance: int, width: int, shingle: int, similarity: float, unit: int = UNIT) -> DataFrame:
+    """Edges (u, v) that connect, within each root, all labels some pair of which lies within `distance` and overlaps by
+    `similarity`. `open_` has node, root, label, fp, text. Labels of many members are cut into units of their own, the
+    others of a root share units; each two units of a root but those of one label meet in a task."""
+    import pyarrow as pa
+
+    size = open_.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    parts = lambda n, b: F.greatest(F.ceil(n / unit), F.ceil(F.coalesce(b, F.lit(0)) / UNIT_BYTES), F.lit(1)).cast("int")
+    size = size.withColumn("parts", parts(F.col("n"), F.col("b")))
+    size = size.withColumn("whole", F.when(F.col("parts") > 1, F.col("label")))  # labels with units of their own
+    owners = size.groupBy("root", "whole").agg(F.when(F.col("whole").isNull(), parts(F.sum("n"), F.sum("b"))).otherwise(F.max("parts")).alias("units"))
+    size, owners = materialise(size.select("root", "label", "whole")), materialise(owners)
+    units = owners.select("root", "whole", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("k")).withColumn("unit", F.xxhash64(F.coalesce("whole", F.lit(0)), F.col("whole").isNull(), "k"))
+    a, b = (units.select("root", F.col("unit").alias(f"{x}u"), F.col("whole").alias(f"{x}w")) for x in "ab")
+    meets = a.join(b, "root").where((F.col("au") <= F.col("bu")) & ~F.coalesce(F.col("aw") == F.col("bw"), F.lit(False)))
+    meets = meets.withColumn("key", F.xxhash64("root", "au", "bu"))
+    sides = meets.select("root", F.col("au").alias("unit"), "key", (F.col("au") != F.col("bu")).alias("two"))
+    sides = sides.unionByName(meets.where("au <> bu").select("root", F.col("bu").alias("unit"), "key", F.lit(True).alias("two")))
+    members = open_.join(size, ["root", "label"]).join(owners.select("root", F.col("whole").alias("w"), "units"), "root").where(F.col("whole").eqNullSafe(F.col("w")))
+    members = members.withColumn("unit", F.xxhash64(F.coalesce("whole", F.lit(0)), F.col("whole").isNull(), F.pmod(F.xxhash64("node"), F.col("units")).cast("int")))
+    j = members.join(sides, ["root", "unit"]).select("key", "unit", "two", "node", "label", "fp", "text")
+
+    def group(rows):
+        if len(rows) < 2:
+            return
+        x = np.frombuffer(b"".join(r["fp"] for r in rows), np.uint64).reshape(-1, width)
+        side = np.array([r["unit"] for r in rows])
+        names, label = np.unique(np.array([r["label"] for r in rows]), return_inverse=True)
+        sets: dict[int, set] = {}
+        parent = list(range(len(names)))
+
+        def find(k):
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        def of(k):
+            if k not in sets:
+                sets[k] = set(shingles(rows[k]["text"], shingle).tolist())
+            return sets[k]
+
+        pairs = []
+        for k in range(len(rows) - 1):
+            d = hamming(x[k + 1 :], x[k])
+            near = np.flatnonzero((d <= distance) & (label[k + 1 :] != label[k]) & ((side[k + 1 :] != side[k]) | (not rows[k]["two"])))
+            pairs.append(np.stack([d[near], np.full(len(near), k), near + k + 1], axis=1))
+        pairs = np.concatenate(pairs)
+        for _, k, m in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():  # the nearest first: they save the others
+            r, q = find(label[k]), find(label[m])
+            if r != q and jaccard(of(k), of(m)) >= similarity:
+                parent[max(r, q)] = min(r, q)
+                yield rows[k]["node"], rows[m]["node"]
+
+    def run(batches):
+        key, rows = None, []
+
+        def flush():
+            found = list(group(rows))
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["key"] != key:
+                    yield flush()
+                    key, rows = r["key"], []
+                rows.append(r)
+        yield flush()
+
+    return j.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def near_classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
+    """rows (row long, unique and fixed; doc_id; text) to row, doc_id, fp, root: rows connected by pairs whose sets of
+    `shingle`-word shingles overlap by `similarity` (Jaccard) or more share a root.
+
+    At Jaccard J two bits differ with probability acos(2J / (1 + J)) / pi; pairs are candidates up to the mean plus three
+    standard deviations at `similarity`. A pair at `similarity` is a candidate with probability `RECALL` whatever the
+    number of documents, a closer one more often (`near_plan`). SimHash only groups the candidates: each member's star
+    edge is checked on the texts, then, in groups that these do not connect, all candidates across what is still apart.
+    """
+    fps = materialise(set_fingerprints(rows, shingle, width))
+    unique = materialise(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row")))
+    distance, part, keys = near_plan(unique.count(), similarity, width)
+    star = materialise(links(unique, random_masks(width, part, keys), distance, width).distinct())
+    near = materialise(components(star))
+    texts = materialise(near.join(unique, "node").join(rows.select("row", "text"), "row").select("node", "root", "fp", "text"))
+    edges = materialise(checked(star.groupBy("u").agg(F.min("v").alias("v")), texts, shingle, similarity))
+    named = materialise(united(near, edges))
+    apart = named.groupBy("root").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("root")
+    rest = across(texts.join(named.select("node", "label"), "node").join(apart, "root", "left_semi"), distance, width, shingle, similarity)
+    roots = components(edges.unionByName(rest))
+    return fps.join(roots, "node", "left").select("row", "doc_id", "fp", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
-    """Documents whose shingle sets overlap by `similarity` (Jaccard) or more, as far as 64 * `width` SimHash bits tell:
-    doc_id, fp, component_id. At Jaccard J two bits differ with probability acos(2J / (1 + J)) / pi; pairs link up to
-    the mean plus three standard deviations at `similarity`. A pair at `similarity` is found with probability `RECALL`
-    whatever the number of documents, a closer one more often (`near_plan`); groups are connected through any of their
-    pairs."""
-    fps = materialise(fingerprints(docs, shingle, width))
-    distance, part, keys = near_plan(fps.select("node").distinct().count(), similarity, width)
-    return classes(fps, random_masks(width, part, keys), distance, width)
+    """doc_id, fp, component_id: the smallest doc_id among the documents that `near_classes` connects."""
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    found = materialise(near_classes(rows, shingle, similarity, width))
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
