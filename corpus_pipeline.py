@@ -4,12 +4,13 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 `documents`. `run` writes every stage's result to the shared folder and reads it again.
 
 Decisions. Language ID drops documents without a letter (`und`) and those in which no language has half of the letters.
-Near-dedup keeps the document with the smallest id of each group (five-word shingles, similarity 0.8 or more).
+Near-dedup keeps one row of each group (five-word shingles, similarity 0.8 or more): that with the smallest id, of rows
+with equal ids that with the smallest text hash. Rows that share an id but not a text are different documents.
 Decontamination drops documents that hold a benchmark window. Personal data is replaced by its kind in brackets, and
 n_chars follows. Encoding returns doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of ids and text.
 
-Defined cases. Null text has no language and goes. Documents with a null id stay unless a group has another id. Repeated
-rows are copies: one stays. Empty tables pass through. Extra columns are dropped at the first stage.
+Defined cases. Null text has no language and goes. A null id comes last in its group and is otherwise a document like any
+other. Repeated rows are copies: one stays. Empty tables pass through. Extra columns are dropped at the first stage.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = materialise(simhash.near_duplicates(docs))
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first"))
-    kept = docs.join(first.distinct(), docs.doc_id.eqNullSafe(F.col("first")), "left_semi")
-    repeated = first.where("first is not null").groupBy("first").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    docs = materialise(docs.withColumn("row", F.monotonically_increasing_id()))  # written once: a retry sees the same
+    found = simhash.near_classes(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row")
+    first = found.groupBy("root").agg(F.min(key).alias("key")).select("key.row")
+    return docs.join(first, "row", "left_semi").drop("row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

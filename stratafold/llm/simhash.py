@@ -304,20 +304,21 @@ UNIT, UNIT_BYTES = 512, 1 << 24
 
 
 def set_fingerprints(rows: DataFrame, shingle: int, width: int) -> DataFrame:
-    """row, doc_id, fp (each shingle once), node LONG: rows with the same set of shingles share a node."""
+    """row, doc_id, text_key, fp (each shingle once), node LONG: rows with the same set of shingles share a node."""
     import pyarrow as pa
     import xxhash
 
-    rows = rows.select("row", "doc_id", "text")
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("text_key"), "text")
+    kept = ["row", "doc_id", "text_key"]
 
     def run(batches):
         for b in batches:
             found = [np.unique(shingles(t, shingle)) for t in b.column("text").to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
             fps = pa.array([folded(h, width) for h in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), fps, pa.array(node)], ["row", "doc_id", "fp", "node"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), fps, pa.array(node)], [*kept, "fp", "node"])
 
-    return rows.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp binary, node long")
+    return rows.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp binary, node long")
 
 
 def jaccard(a: set, b: set) -> float:
@@ -423,7 +424,7 @@ def across(open_: DataFrame, distance: int, width: int, shingle: int, similarity
 
 
 def near_classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
-    """rows (row long, unique and fixed; doc_id; text) to row, doc_id, fp, root: rows connected by pairs whose sets of
+    """rows (row long, unique and fixed; doc_id; text) to row, doc_id, text_key, fp, root: rows connected by pairs whose sets of
     `shingle`-word shingles overlap by `similarity` (Jaccard) or more share a root.
 
     At Jaccard J two bits differ with probability acos(2J / (1 + J)) / pi; pairs are candidates up to the mean plus three
@@ -442,7 +443,7 @@ def near_classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, wid
     apart = named.groupBy("root").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("root")
     rest = across(texts.join(named.select("node", "label"), "node").join(apart, "root", "left_semi"), distance, width, shingle, similarity)
     roots = components(edges.unionByName(rest))
-    return fps.join(roots, "node", "left").select("row", "doc_id", "fp", F.coalesce("root", "node").alias("root"))
+    return fps.join(roots, "node", "left").select("row", "doc_id", "text_key", "fp", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:

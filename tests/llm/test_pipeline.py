@@ -25,3 +25,14 @@ def test_odd_documents(spark, odd_docs, no_docs, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_near_dedup_keeps_rows_not_ids(spark):
+    def text(k):
+        return " ".join(f"w{k}x{i}" for i in range(30))
+
+    rows = [(1, text(0)), (1, text(0)), (2, text(1)), (2, text(2)), (None, text(3)), (None, text(4)), (None, text(5)), (5, text(5)), (None, text(6)), (None, text(6)), (7, text(0))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    want = [(1, text(0)), (2, text(1)), (2, text(2)), (None, text(3)), (None, text(4)), (5, text(5)), (None, text(6))]
+    assert sorted(got, key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
