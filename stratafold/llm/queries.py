@@ -17,7 +17,6 @@ QUERIES = {
     "op10_language": language.op10_language,
 }
 ORACLES = {
-    "op4_lm_score": lm.op4_lm_score,
     "op5_chat_windows": chat.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }

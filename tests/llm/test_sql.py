@@ -13,3 +13,7 @@ def test_equals_sql(spark, con, sf, name):
     assert cols == sorted(b.columns)
     rows = lambda x: sorted(map(tuple, x[cols].astype(str).values))
     assert rows(a) == rows(b)
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(q, str) for q in queries.ORACLES.values()) and set(queries.ORACLES) <= set(queries.QUERIES)
