@@ -20,13 +20,28 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert html.shared(a, b).sum() == lcs(a, b)
 
 
+def test_long_alignments_take_little_memory(monkeypatch):
+    rnd = random.Random(1)
+    monkeypatch.setattr(html, "CELLS", 16)
+    for _ in range(200):
+        a, b = ([rnd.randint(0, 5) for _ in range(rnd.randint(0, 20))] for _ in range(2))
+        got = html.shared(a, b)
+        common = [x for x, g in zip(a, got) if g]
+        rest = iter(b)
+        assert len(common) == lcs(a, b) and all(x in rest for x in common)
+    monkeypatch.undo()
+    a = np.arange(6000)
+    b = np.random.default_rng(0).permutation(6000)
+    assert 100 < html.shared(a, b).sum() < 200  # 36 million cells; about twice the root of the length
+
+
 def test_page_reading():
     page = """<!DOCTYPE html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li><a href="/">Home</a></ul></nav>
     <div class="cookie-banner">We use</div><article class="post"><h1>A &amp; B</h1><p><b>One
       two<br><p>Three <i>four</i><form><input value=">">Search</form><div class="comments"><p>Nice!</div><script>var x = "</p>";</script></article><footer>&copy; me</footer>"""
     lines, inside = html.page_lines(page)
     assert [x for x, i in zip(lines, inside) if i] == ["A & B", "One two", "Three four"]
-    assert html.page_lines("<p>cut off <b") == (["cut off"], [False])
+    assert html.page_lines("<p>cut off <b") == (["cut off"], [html.OUTSIDE])
     assert html.page_lines(None) == ([], [])
 
 
@@ -42,6 +57,69 @@ def test_differencing(spark):
     assert html.extract(df.where("page_id < 0")).count() == 0
 
 
+def brute_text(pages):
+    """Texts by the definition: quadratic alignments of each page with the nearest ones of its host."""
+    import re
+
+    read = [(r["page_id"], r["url"], *html.url_parts(r["url"]), *html.page_lines(r["html"])) for r in pages]
+    out = []
+    for pid, url, host, path, lines, marks in read:
+        if host:
+            first = {}
+            for p, _, h, q, ls, _ in read:
+                if h == host and ls:
+                    first[tuple(ls)] = min(first.get(tuple(ls), (q, p)), (q, p))
+            order = sorted(first, key=first.get)
+        else:
+            order = []
+        gone = None
+        if tuple(lines) in order:
+            at = order.index(tuple(lines))
+            own = first[tuple(lines)][0]
+            near = [(k, o) for k, o in enumerate(order) if 0 < abs(k - at) <= html.REACH]
+            near.sort(key=lambda n: (-len(re.match(r"(.*).*\0\1", own + "\0" + first[n[1]][0], re.S)[1]), abs(n[0] - at), n[0] - at))
+            for _, other in near:
+                now = html.shared([hash(v) for v in lines], [hash(v) for v in other])
+                assert now.sum() == lcs(lines, other)
+                if now.all() or now.sum() == len(other) or not now.any():
+                    continue
+                gone, enough = (now, now.sum() <= html.MUCH * len(lines)) if gone is None else (gone & now, True)
+                if enough:
+                    break
+        article = any(m != html.OUTSIDE for m in marks)
+        keep = lambda k, m: m == html.INSIDE or ((m == html.DOUBTFUL or not article) and not (gone is not None and gone[k]))
+        out.append((pid, "\n".join(v for k, (v, m) in enumerate(zip(lines, marks)) if keep(k, m))))
+    return sorted(out)
+
+
+def test_pages_without_article_tags_equal_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    plain = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    rows = []
+    for r in pages.collect():
+        h = r["html"].replace("<article", "<div").replace("</article", "</div").replace("<nav", "<div").replace("</nav", "</div").replace("<footer", "<p").replace("</footer", "</p")
+        rows.append((r["page_id"], f"http://h{r['page_id'] % 3}.org/{r['page_id'] % 7}/{r['page_id']}", h.replace("</body>", "<div>All rights</div></body>")))
+    rows += [(900 + k, f"http://h0.org/{k}/x", rows[0][2]) for k in range(6)]  # copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute_text([{"page_id": a, "url": b, "html": c} for a, b, c in rows])
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        assert sorted((r["page_id"], r["text"]) for r in html.extract(df).collect()) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum("All rights" in t for _, t in want) < len(want) / 20 and len(plain) == pages.count()
+
+
+def test_doubtful_names_are_decided_by_the_neighbours(spark):
+    def page(k):
+        return f"""<body><article><h1>Title {k}</h1><section class="share-price-report"><p>Price of {k}</p></section>
+        <div class="related-work"><p>Work {k}</p></div><div class="promo-teaser"><p>Buy our book</p></div><p>Same words</p>
+        <div class="comment-list"><p>Nice {k}</p></div></article><div>site</div></body>"""
+
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", page(k)) for k in range(3)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got == {k: f"Title {k}\nPrice of {k}\nWork {k}\nSame words" for k in range(3)}
+
+
 def test_chat_round_trip(spark):
     bad = r"\### Assistant: </turn> ok"
     rows = [(1, 0, "system", "be kind")] + [(1, k, "user" if k % 2 else "assistant", f"{bad} {'word ' * (k * 7)}end {k}") for k in range(1, 30)]
