@@ -10,8 +10,10 @@ is the encoding of its own text, so one shared token on either side proves the c
 grown to both ends is exact by definition.
 
 Counts. A text is cut at the spaces that follow a character other than white space, where the byte-level pattern always
-begins a new pre-token. Each distinct piece of a task is encoded once for its number of tokens, which is joined to the
-document's piece frequencies and summed; ids are never kept.
+begins a new pre-token. The distinct pieces of the corpus are gathered (combined per task, then by key), each is counted
+once, and the counts are joined to the documents' piece frequencies and summed; ids are never kept. The `FREQUENT` most
+frequent pieces are joined by a broadcast, all others by a shuffle on a 64-bit hash; pieces whose hashes collide (told
+by the table itself) are broadcast too. Pieces beyond `LONG_PIECE` characters never travel, they are counted in place.
 
 Defined cases. Null text is empty: no tokens. Repeated rows get a row each. Special strings in texts are special tokens,
 as the library has it. Other columns are ignored. Tokenizer files are a parameter; nothing is trained.
@@ -28,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frequent, materialise, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Entries of the per-worker table of encoded words.
@@ -290,7 +292,6 @@ def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_counted: dict[str, tuple[dict[str, int], dict[str, int]]] = {}
 _byte_split = regex.compile(BYTE_PATTERN)
 _ends_in_space = re.compile(r"\s ")
 _starts = re.compile(r"(?<=\S)(?= )")
@@ -307,8 +308,18 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+#: Pieces that are broadcast; distinct pieces that a task gathers before it lets go; characters of a piece that travels.
+FREQUENT, HELD, LONG_PIECE = 131_072, 500_000, 256
+
+
+def piece_key(piece: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(piece.encode()) - (1 << 63)
+
+
 def piece_tokens(piece: str, tok, known: dict[str, int], cache: int = CACHE) -> int:
-    """Tokens of one piece; each of its pre-tokens is counted once and kept in `known`."""
+    """Tokens of one piece; its pre-tokens are kept in `known`."""
     if UNUSUAL.search(piece):
         return len(tok.encode(piece, add_special_tokens=False).ids)
     total = 0
@@ -322,33 +333,78 @@ def piece_tokens(piece: str, tok, known: dict[str, int], cache: int = CACHE) ->
     return total
 
 
-def count_tokens(texts: list[str], path: str, cache: int = CACHE) -> list[int]:
-    """Tokens of each text: distinct pieces are counted once, then joined to the texts' piece frequencies."""
-    tok, (known, parts) = tokenizer(path), _counted.setdefault(path, ({}, {}))
-    freqs = [Counter(pieces(t)) for t in texts]
-    new = {p for f in freqs for p in f if p not in known}
-    if len(known) + len(new) > cache:
-        known.clear()
-        new = {p for f in freqs for p in f}
-    for p in new:
-        known[p] = piece_tokens(p, tok, parts, cache)
-    return [sum([known[p] * n for p, n in f.items()]) for f in freqs]
+def distinct_pieces(rows: DataFrame, path: str, held: int = HELD, key=piece_key) -> DataFrame:
+    """word (the piece), h (its key), c (occurrences), same (distinct pieces with that key), n (its tokens): one row for
+    every distinct piece of `rows` (text), each counted once; written once."""
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    def gather(batches):
+        c: Counter = Counter()
 
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array([key(p) for p in c], pa.int64()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["h", "word", "c"])
+
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                c.update(pieces(t))
+            if len(c) > held:
+                c = Counter({p: k for p, k in c.items() if len(p) <= LONG_PIECE})
+                yield emit()
+                c = Counter()
+        c = Counter({p: k for p, k in c.items() if len(p) <= LONG_PIECE})
+        yield emit()
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
+    def count(batches):
+        tok, parts = tokenizer(path), {}
+        for b in batches:
+            n = [piece_tokens(p, tok, parts) for p in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [*b.schema.names, "n"])
+
+    all_ = rows.select("text").mapInArrow(gather, "h long, word string, c long").repartition("h")
+    one = all_.groupBy("h", "word").agg(F.sum("c").alias("c")).withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    return materialise(one.mapInArrow(count, "h long, word string, c long, same long, n long"))
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 512, most: int = FREQUENT, key=piece_key) -> DataFrame:
     """Per row of `docs`: doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens)."""
     import pyarrow as pa
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def count(batches):
+    table_ = distinct_pieces(rows, path, key=key)
+    known = {r["word"]: r["n"] for r in frequent(table_, most)}
+    known |= {r["word"]: r["n"] for r in table_.where("same > 1").collect()}  # next to none at 64 bits
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def split(batches):
+        """The sum over frequent pieces, and the others with their frequencies."""
+        tok, find, parts = tokenizer(path), shared.value, {}
         for b in batches:
-            n = count_tokens(b.column("text").to_pylist(), path)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+            sums, keys, times = [], [], []
+            for t in b.column("text").to_pylist():
+                total, rare = 0, {}
+                for p, k in Counter(pieces(t)).items():
+                    n = find.get(p)
+                    if n is not None:
+                        total += n * k
+                    elif len(p) > LONG_PIECE:
+                        total += piece_tokens(p, tok, parts) * k
+                    else:
+                        rare[p] = k
+                sums.append(total)
+                keys.append([key(p) for p in rare])
+                times.append(list(rare.values()))
+            cols = [pa.array(sums, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *cols], ["doc_id", "n_bytes", "sums", "keys", "times"])
+
+    done = rows.mapInArrow(split, f"doc_id {kind}, n_bytes long, sums long, keys array<long>, times array<long>")
+    done = materialise(done.withColumn("row", F.monotonically_increasing_id()))
+    rare = done.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("h"), "x.times")
+    more = rare.join(table_.where("same = 1").select("h", "n"), "h").groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more"))
+    n = F.col("sums") + F.coalesce("more", F.lit(0))
+    return done.join(more, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all runs in one process
+    (tests) a temporary folder takes its place; on a cluster no other folder is known to be shared."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/stratafold-checkpoint-{uuid.uuid4().hex[:8]}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,7 +37,29 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratafold/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Frees what `materialise` wrote for `df`, by an empty table in its place; nothing unread may depend on it."""
+    path = df.written_at
+    df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def frequent(words: DataFrame, most: int) -> list:
+    """At most `most` rows (word, c, ...), largest counts first, ties by word: all words whose count reaches the smallest
+    threshold that so few reach. The threshold comes from a histogram of counts (some hundred rows), so the driver never
+    sees a task's own list of candidates."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    total, least = 0, None
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        if total + r["count"] > most:
+            break
+        total, least = total + r["count"], r["level"]
+    rows = words.where(level >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r["c"], r["word"]))
 
 
 def lower_ascii(col):

@@ -1,13 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index (DataFrame functions only).
 
-Method. The benchmark is cut into windows of `window` consecutive words. The corpus is counted once for the words that
-windows use; each window is keyed by its rarest word (its anchor). The positional index then stores, for anchor words
-only, postings (document, position). A posting of an anchor at offset `o` of a window proposes the start `position - o`;
-the lists of the other words, shifted by their own offsets, are intersected at that start, which is a comparison of the
-posting's neighbourhood with the window. No document text is shuffled: only hits are.
-
-Bounds. The anchors' windows are broadcast only if the benchmark holds at most `broadcast_words` words; beyond that the
-same joins run as shuffle joins. Hit rows are one per anchor posting, however many windows share the anchor.
+Index. Texts are cut into words once; every occurrence of a word that the benchmark uses is a posting (document row,
+term, position), stored as Parquet in the shared folder. A document's end is a posting of the empty term: its position
+is the number of words, and it carries the document's id and text hash.
+Search. The benchmark is cut into windows of `window` consecutive words, whose terms are ordered by the lengths of their
+posting lists, rarest first. A posting of the rarest term, shifted by its offset, proposes a start of the window in a
+document; the starts are intersected with the second list, shifted by its own offset, and what is left with all others.
+
+Scale. Postings stay in the order of the documents; only the lists of the two rarest terms of each window and the
+starts they propose are shuffled, by (document, position), which no frequent word makes hot. The other lists are met by
+a broadcast of the surviving starts if these are at most `BROADCAST_ROWS` rows, else by a shuffle on the same key. Terms
+and windows are broadcast if the benchmark holds at most `broadcast_words` words, beyond that they are joined by shuffles.
 
 Defined cases. Null and empty texts have no words. Items with fewer than `window` words (not none) are one window.
 Null item ids are ignored. Repeated document rows get one result each; rows that share an id but not a text are told
@@ -19,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise, table
+from .common import discard, lower_ascii, materialise, table
 
-#: Benchmarks with more words than this are joined by shuffles rather than broadcast.
-BROADCAST_WORDS = 200_000
+#: Benchmarks with more words than this are joined by shuffles rather than broadcast; so are more starts than this.
+BROADCAST_WORDS, BROADCAST_ROWS = 200_000, 500_000
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The term whose posting ends a document.
+END = 0
 
 
 def words(col):
@@ -32,104 +37,113 @@ def words(col):
     return F.array_remove(F.split(F.coalesce(lower_ascii(col), F.lit("")), SEPARATORS), "")
 
 
-def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows: terms ARRAY<STRING>, items ARRAY<item_id> (sorted as strings)."""
-    w = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
-    return (
-        w.select("item_id", "w", F.explode(F.expr(f"sequence(1, greatest(1, size(w) - {window - 1}))")).alias("s"))
-        .select("item_id", F.expr(f"slice(w, s, {window})").alias("terms"))
-        .groupBy("terms")
-        .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    )
-
-
 def _hint(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def anchored(docs: DataFrame, benchmark: DataFrame, window: int, small: bool) -> DataFrame:
-    """For each anchor word its windows: anchor, wins ARRAY<STRUCT<off, terms, items>>."""
-    win = windows(benchmark, window)
-    terms = win.select(F.explode("terms").alias("term")).distinct()
-    counts = (
-        docs.select(F.explode(words(F.col("text"))).alias("term"))
-        .join(_hint(terms, small), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    placed = win.select("terms", "items", F.posexplode("terms").alias("off", "term"))
-    rarest = (
-        placed.join(counts, "term", "left")
-        .groupBy("terms", "items")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off")).alias("a"))
-        .where("a.n > 0")  # a window with a word that the corpus lacks occurs nowhere
-    )
-    return rarest.groupBy(F.col("a.term").alias("anchor")).agg(
-        F.collect_list(F.struct(F.col("a.off").alias("off"), "terms", "items")).alias("wins")
-    )
-
-
-def _postings(docs: DataFrame, anchors: DataFrame, reach: int, small: bool) -> DataFrame:
-    """The index restricted to the anchors: key columns, pos (from 0), its neighbourhood `near` (the word itself stands
-    at `at` there, from 0) and the windows proposed there. Only postings leave a document, never its word array."""
-    doc = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w")).where("size(w) > 0")
-    at = F.expr("sequence(0, size(w) - 1)")
-    if small:  # the anchors are few: a hash-set test inside the array drops all other positions before any row is made
-        wanted = [r[0] for r in anchors.select("anchor").collect()]
-        at = F.filter(at, lambda i: F.col("w")[i].isin(wanted))
-    post = F.transform(
-        at,
-        lambda i: F.struct(
-            i.alias("pos"), F.col("w")[i].alias("anchor"), F.least(i, F.lit(reach - 1)).alias("at"),
-            F.slice(F.col("w"), F.greatest(i - (reach - 1), F.lit(0)) + 1, 2 * reach - 1).alias("near"),
-        ),
-    )
-    rows = doc.select("doc_id", "text_key", F.explode(post).alias("p")).select("doc_id", "text_key", "p.*")
-    return rows.join(_hint(anchors, small), "anchor")
-
-
-def _prepared(docs: DataFrame, benchmark: DataFrame, window: int, reach: int, broadcast_words: int) -> DataFrame:
-    size = benchmark.select(F.sum(F.size(words(F.col("text")))).alias("n")).first()["n"] or 0
-    small = size <= broadcast_words
-    return _postings(docs, materialise(anchored(docs, benchmark, window, small)), reach, small)
-
-
-def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """Exact phrase matches: doc_id, text_key, hits ARRAY<STRUCT<s, e, items>> (word positions, end exclusive)."""
-    post = _prepared(docs, benchmark, window, window, broadcast_words)
-    match = """transform(filter(wins, x -> at >= x.off and slice(near, at - x.off + 1, size(x.terms)) = x.terms),
-        x -> struct(pos - x.off as s, pos - x.off + size(x.terms) as e, x.items as items))"""
-    return (
-        post.select("doc_id", "text_key", F.expr(match).alias("hits"))
-        .where("size(hits) > 0")
-        .groupBy("doc_id", "text_key")
-        .agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    )
+class Index:
+    """The stored postings of all words that `benchmark` uses: `postings` (row, term, pos, doc_id, text_key; the last two
+    for ends only), `terms` (word, term) and `windows` (win, items ARRAY<STRING>, lists ARRAY<STRUCT<n, off, term>>
+    rarest first); windows with a word that the corpus lacks occur nowhere and are left out."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS):
+        items = materialise(benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0"))
+        self.small = (items.select(F.sum(F.size("w")).alias("n")).first()["n"] or 0) <= broadcast_words
+        used = items.select(F.explode("w").alias("word")).distinct()
+        self.terms = materialise(used.withColumn("term", F.monotonically_increasing_id() + 1).unionByName(docs.sparkSession.createDataFrame([("", END)], "word string, term long")))
+        doc = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
+        post = doc.select("row", "doc_id", "text_key", F.posexplode("w").alias("pos", "word")).join(_hint(self.terms, self.small), "word")
+        end = F.col("term") == END
+        self.postings = materialise(post.select("row", "term", "pos", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("text_key")).alias("text_key")))
+        counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        cut = items.select("item", "w", F.explode(F.expr(f"sequence(1, greatest(1, size(w) - {window - 1}))")).alias("s"))
+        wins = cut.groupBy(F.expr(f"slice(w, s, {window})").alias("words")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+        wins = materialise(wins.withColumn("win", F.monotonically_increasing_id()))
+        placed = wins.select("win", F.posexplode("words").alias("off", "word")).join(self.terms, "word").join(counts, "term")
+        lists = placed.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("lists"))
+        self.windows = materialise(wins.join(lists, "win").where("size(lists) = size(words)").select("win", "items", "lists"))
+
+    def documents(self) -> DataFrame:
+        """row, doc_id, text_key, n_words of every document."""
+        return self.postings.where(F.col("term") == END).select("row", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
+
+    def words_at(self) -> DataFrame:
+        return self.postings.where(F.col("term") != END).select("row", "term", "pos")
+
+    def rarest(self) -> DataFrame:
+        """row, win, start, size: the starts that postings of each window's rarest term propose."""
+        first = self.windows.select("win", F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["off"].alias("off"), F.size("lists").alias("size"))
+        return self.words_at().join(_hint(first, self.small), "term").where("pos >= off").select("row", "win", (F.col("pos") - F.col("off")).alias("start"), "size")
+
+    def phrases(self) -> DataFrame:
+        """row, win, start, size: exact occurrences, by intersection of the shifted lists from the rarest on."""
+        second = self.windows.where("size(lists) > 1").select("win", F.col("lists")[1]["term"].alias("term"), F.col("lists")[1]["off"].alias("off"))
+        listed = self.words_at().join(_hint(second.select("term").distinct(), self.small), "term", "left_semi")
+        seeds = self.rarest()
+        asked = seeds.where("size > 1").join(_hint(second, self.small), "win").select("row", "win", "start", "size", "term", (F.col("start") + F.col("off")).alias("pos"))
+        left = asked.join(listed, ["row", "pos", "term"]).select("row", "win", "start", "size").unionByName(seeds.where("size = 1"))
+        left = materialise(left)
+        others = self.windows.select("win", F.inline(F.slice("lists", 3, F.greatest(F.size("lists") - 2, F.lit(0))))).select("win", "off", "term")
+        asked = left.where("size > 2").join(_hint(others, self.small), "win").select("row", "win", "start", "size", "term", (F.col("start") + F.col("off")).alias("pos"))
+        few = left.count() * WINDOW <= BROADCAST_ROWS
+        met = self.words_at().join(F.broadcast(asked) if few else asked.hint("shuffle_hash"), ["row", "pos", "term"])
+        whole = met.groupBy("row", "win", "start", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size - 2").drop("n")
+        return whole.unionByName(left.where("size <= 2"))
+
+    def close(self) -> None:
+        """Frees the stored postings; results must have been written before."""
+        discard(self.postings)
+
+
+def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, text_key, n_words) of every document, and exact phrase matches (row, s, e, items), e exclusive."""
+    index = Index(docs, benchmark, window, broadcast_words)
+    found = index.phrases().join(_hint(index.windows.select("win", "items"), index.small), "win")
+    found = materialise(found.select("row", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"), "items"))
+    every = materialise(index.documents())
+    index.close()
+    return every, found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_key of the documents with an exact match."""
+    every, hits = phrase_hits(docs, benchmark, window)
+    return every.join(hits.select("row").distinct(), "row", "left_semi").select("doc_id", "text_key").distinct()
 
 
 def proximity_hits(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 5, broadcast_words: int = BROADCAST_WORDS
 ) -> DataFrame:
     """Proximity matches: doc_id, text_key, item_id, pos where all of a window's words lie within `window + slop` words
-    on each side of its anchor at `pos`, in any order. Every exact phrase is also a proximity match."""
-    post = _prepared(docs, benchmark, window, window + slop, broadcast_words)
-    found = F.expr("flatten(transform(filter(wins, x -> size(array_except(x.terms, near)) = 0), x -> x.items))")
-    return post.select("doc_id", "text_key", "pos", F.explode(F.array_distinct(found)).alias("item_id"))
+    on each side of its rarest term at `pos`, in any order. Every exact phrase is also a proximity match."""
+    index, reach = Index(docs, benchmark, window, broadcast_words), window + slop
+    wins = index.windows.select("win", F.col("lists")[0]["off"].alias("off"), F.array_distinct(F.transform("lists", lambda x: x["term"])).alias("terms"))
+    seeds = index.rarest().join(_hint(wins, index.small), "win").select("row", "win", (F.col("start") + F.col("off")).alias("at"), "terms")
+    seeds = seeds.unionByName(_early(index, wins)).distinct()
+    cell = F.floor(F.col("at") / reach)
+    asked = seeds.select("row", "win", "at", F.size("terms").alias("size"), F.explode("terms").alias("term"), F.array(cell - 1, cell, cell + 1).alias("cells"))
+    asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
+    met = index.words_at().withColumn("cell", F.floor(F.col("pos") / reach)).join(asked, ["row", "cell", "term"]).where(f"abs(pos - at) < {reach}")
+    whole = met.groupBy("row", "win", "at", "size").agg(F.count_distinct("term").alias("n")).where("n = size")
+    found = whole.join(index.windows.select("win", F.explode("items").alias("item_id")), "win").select("row", "item_id", F.col("at").alias("pos")).distinct()
+    return found.join(index.documents(), "row").select("doc_id", "text_key", "pos", "item_id")
+
+
+def _early(index: Index, wins: DataFrame) -> DataFrame:
+    """Postings of rarest terms too near a text's front for an exact match."""
+    first = index.windows.select("win", F.col("lists")[0]["term"].alias("term")).join(wins, "win")
+    return index.words_at().join(_hint(first, index.small), "term").where("pos < off").select("row", "win", F.col("pos").alias("at"), "terms")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Per document: doc_id, text_key, n_words, n_hit, items (sorted strings), contaminated."""
-    hits = phrase_hits(docs, benchmark, window, broadcast_words)
-    covered = """aggregate(array_sort(transform(hits, h -> struct(h.s as s, h.e as e))),
-        struct(cast(0 as bigint) as n, -1 as top),
+    every, hits = phrase_hits(docs, benchmark, window, broadcast_words)
+    covered = """aggregate(array_sort(hits), struct(cast(0 as bigint) as n, -1 as top),
         (a, h) -> struct(a.n + greatest(0, h.e - greatest(h.s, a.top)) as n, greatest(a.top, h.e) as top), a -> a.n)"""
-    found = hits.select(
-        F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), F.expr(covered).alias("n_hit"),
-        F.expr("array_sort(array_distinct(flatten(transform(hits, h -> h.items))))").alias("items"),
-    )
-    doc = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    return doc.join(found, doc.doc_id.eqNullSafe(found.hit_doc) & (doc.text_key == found.hit_key), "left").select(
-        doc.doc_id, "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    one = hits.groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("hits"), F.collect_set("items").alias("items"))
+    found = one.select("row", F.expr(covered).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    return every.join(found, "row", "left").select(
+        "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

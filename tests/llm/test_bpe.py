@@ -36,7 +36,7 @@ def test_equals_library():
 @given(st.text(max_size=80))
 def test_any_text(t):
     assert whole(t, 9)[0] == bpe.tokenizer(WORD).encode(t, add_special_tokens=False).ids
-    assert bpe.count_tokens([t], BYTE) == [len(bpe.tokenizer(BYTE).encode(t, add_special_tokens=False).ids)]
+    assert counted(t) == len(bpe.tokenizer(BYTE).encode(t, add_special_tokens=False).ids)
 
 
 def test_tree_on_unsplit_text():
@@ -48,13 +48,21 @@ def test_tree_on_unsplit_text():
     assert [i for _, _, i in bpe.tree_tokens(model, "a" * 3001, 8, 2)] == [t.id for t in model.tokenize("a" * 3001)]
 
 
-def test_counts():
-    for t in texts(100, 2):
-        assert bpe.count_tokens([t], BYTE)[0] == len(bpe.tokenizer(BYTE).encode(t, add_special_tokens=False).ids)
+def counted(t):
+    return sum(bpe.piece_tokens(p, bpe.tokenizer(BYTE), {}, 10) for p in bpe.pieces(t))
 
 
-def test_bounded_tables():
-    assert bpe.count_tokens([f"word{k} next{k}" for k in range(50)], BYTE, cache=10)[7] > 0
+def test_counts(spark):
+    tok, all_ = bpe.tokenizer(BYTE), [*texts(100, 2), "", None, "x" * 9000, "the the the"]
+    df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(all_)], "doc_id long, text string, n string").repartition(3)
+    want = {k: len(tok.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(all_)}
+    # all broadcast; nearly all joined; nearly all keys colliding; tasks that let go early
+    for most, key in ((1 << 17, bpe.piece_key), (3, bpe.piece_key), (3, lambda p: len(p) % 5)):
+        assert {r["doc_id"]: r["n_tokens"] for r in bpe.token_counts(df, BYTE, most=most, key=key).collect()} == want
+    one = bpe.distinct_pieces(df.select(bpe.F.coalesce("text", bpe.F.lit("")).alias("text")), BYTE, held=5)
+    every = [p for t in all_ for p in bpe.pieces(t or "") if len(p) <= bpe.LONG_PIECE]
+    got = {r["word"]: (r["c"], r["same"]) for r in one.collect()}
+    assert one.count() == len(got) == len(set(every)) and all(got[p] == (every.count(p), 1) for p in got)
 
 
 def test_odd_documents(spark, odd_docs, no_docs):
