@@ -42,7 +42,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate.phrase_hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit_doc"), "text_key")
+    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit_doc"), "text_key")
     return docs.join(hits, docs.doc_id.eqNullSafe(F.col("hit_doc")) & (F.xxhash64(docs.text) == F.col("text_key")), "left_anti")
 
 
