@@ -32,11 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+def materialise(df: DataFrame, *apart: str) -> DataFrame:
+    """Write `df` once as Parquet into the shared folder, in a folder per value of the columns `apart`, and read it back:
+    lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratafold/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*apart).parquet(path) if apart else df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -8,9 +8,11 @@ posting lists, rarest first. A posting of the rarest term, shifted by its offset
 document; the starts are intersected with the second list, shifted by its own offset, and what is left with all others.
 
 Scale. Postings stay in the order of the documents; only the lists of the two rarest terms of each window and the
-starts they propose are shuffled, by (document, position), which no frequent word makes hot. The other lists are met by
-a broadcast of the surviving starts if these are at most `BROADCAST_ROWS` rows, else by a shuffle on the same key. Terms
-and windows are broadcast if the benchmark holds at most `broadcast_words` words, beyond that they are joined by shuffles.
+starts they propose are shuffled, by (document, position), which no frequent word makes hot. The places that the
+surviving starts ask for, each once, meet the whole index by a broadcast if they are at most `BROADCAST_ROWS`, else by a
+shuffle on the same key. Terms and windows are broadcast if the benchmark holds at most `broadcast_words` words, beyond
+that they are joined by shuffles. The whole index is read three times: for the lists' lengths, for the short lists, for
+the places.
 
 Defined cases. Null and empty texts have no words. Items with fewer than `window` words (not none) are one window.
 Null item ids are ignored. Repeated document rows get one result each; rows that share an id but not a text are told
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, lower_ascii, materialise, table
 
-#: Benchmarks with more words than this are joined by shuffles rather than broadcast; so are more starts than this.
-BROADCAST_WORDS, BROADCAST_ROWS = 200_000, 500_000
+#: Benchmarks with more words than this are joined by shuffles rather than broadcast; so are more places than this.
+BROADCAST_WORDS, BROADCAST_ROWS = 200_000, 1_000_000
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The term whose posting ends a document.
@@ -43,7 +45,8 @@ def _hint(df: DataFrame, small: bool) -> DataFrame:
 
 class Index:
     """The stored postings of all words that `benchmark` uses: `postings` (row, term, pos, doc_id, text_key; the last two
-    for ends only), `terms` (word, term) and `windows` (win, items ARRAY<STRING>, lists ARRAY<STRUCT<n, off, term>>
+    for ends only; stored apart from them), `short` (row, term, pos: the lists of the two rarest terms of each window),
+    `terms` (word, term) and `windows` (win, items ARRAY<STRING>, lists ARRAY<STRUCT<n, off, term>>
     rarest first); windows with a word that the corpus lacks occur nowhere and are left out."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS):
@@ -54,7 +57,7 @@ class Index:
         doc = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
         post = doc.select("row", "doc_id", "text_key", F.posexplode("w").alias("pos", "word")).join(_hint(self.terms, self.small), "word")
         end = F.col("term") == END
-        self.postings = materialise(post.select("row", "term", "pos", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("text_key")).alias("text_key")))
+        self.postings = materialise(post.select("row", "term", "pos", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("text_key")).alias("text_key"), end.alias("ends")), "ends")
         counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         cut = items.select("item", "w", F.explode(F.expr(f"sequence(1, greatest(1, size(w) - {window - 1}))")).alias("s"))
         wins = cut.groupBy(F.expr(f"slice(w, s, {window})").alias("words")).agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -62,32 +65,33 @@ class Index:
         placed = wins.select("win", F.posexplode("words").alias("off", "word")).join(self.terms, "word").join(counts, "term")
         lists = placed.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("lists"))
         self.windows = materialise(wins.join(lists, "win").where("size(lists) = size(words)").select("win", "items", "lists"))
+        heads = self.windows.select(F.explode(F.slice("lists", 1, 2)).alias("x")).select("x.term").distinct()
+        self.short = materialise(self.words_at().join(_hint(heads, self.small), "term", "left_semi").select("row", "term", "pos"))
 
     def documents(self) -> DataFrame:
         """row, doc_id, text_key, n_words of every document."""
-        return self.postings.where(F.col("term") == END).select("row", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
+        return self.postings.where("ends").select("row", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
 
     def words_at(self) -> DataFrame:
-        return self.postings.where(F.col("term") != END).select("row", "term", "pos")
+        return self.postings.where("not ends").select("row", "term", "pos")
 
     def rarest(self) -> DataFrame:
         """row, win, start, size: the starts that postings of each window's rarest term propose."""
         first = self.windows.select("win", F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["off"].alias("off"), F.size("lists").alias("size"))
-        return self.words_at().join(_hint(first, self.small), "term").where("pos >= off").select("row", "win", (F.col("pos") - F.col("off")).alias("start"), "size")
+        return self.short.join(_hint(first, self.small), "term").where("pos >= off").select("row", "win", (F.col("pos") - F.col("off")).alias("start"), "size")
 
     def phrases(self) -> DataFrame:
         """row, win, start, size: exact occurrences, by intersection of the shifted lists from the rarest on."""
         second = self.windows.where("size(lists) > 1").select("win", F.col("lists")[1]["term"].alias("term"), F.col("lists")[1]["off"].alias("off"))
-        listed = self.words_at().join(_hint(second.select("term").distinct(), self.small), "term", "left_semi")
         seeds = self.rarest()
         asked = seeds.where("size > 1").join(_hint(second, self.small), "win").select("row", "win", "start", "size", "term", (F.col("start") + F.col("off")).alias("pos"))
-        left = asked.join(listed, ["row", "pos", "term"]).select("row", "win", "start", "size").unionByName(seeds.where("size = 1"))
-        left = materialise(left)
+        left = materialise(asked.join(self.short, ["row", "pos", "term"]).select("row", "win", "start", "size").unionByName(seeds.where("size = 1")))
         others = self.windows.select("win", F.inline(F.slice("lists", 3, F.greatest(F.size("lists") - 2, F.lit(0))))).select("win", "off", "term")
         asked = left.where("size > 2").join(_hint(others, self.small), "win").select("row", "win", "start", "size", "term", (F.col("start") + F.col("off")).alias("pos"))
-        few = left.count() * WINDOW <= BROADCAST_ROWS
-        met = self.words_at().join(F.broadcast(asked) if few else asked.hint("shuffle_hash"), ["row", "pos", "term"])
-        whole = met.groupBy("row", "win", "start", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size - 2").drop("n")
+        places = materialise(asked.select("row", "pos", "term").distinct())  # overlapping windows ask for the same ones
+        few = places.count() <= BROADCAST_ROWS
+        met = self.words_at().join(F.broadcast(places) if few else places.hint("shuffle_hash"), ["row", "pos", "term"])
+        whole = asked.join(met, ["row", "pos", "term"]).groupBy("row", "win", "start", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size - 2").drop("n")
         return whole.unionByName(left.where("size <= 2"))
 
     def close(self) -> None:
@@ -132,7 +136,7 @@ def proximity_hits(
 def _early(index: Index, wins: DataFrame) -> DataFrame:
     """Postings of rarest terms too near a text's front for an exact match."""
     first = index.windows.select("win", F.col("lists")[0]["term"].alias("term")).join(wins, "win")
-    return index.words_at().join(_hint(first, index.small), "term").where("pos < off").select("row", "win", F.col("pos").alias("at"), "terms")
+    return index.short.join(_hint(first, index.small), "term").where("pos < off").select("row", "win", F.col("pos").alias("at"), "terms")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
