@@ -141,12 +141,23 @@ def hyper(seq: DataFrame, name: str, mode: str = "cov", given: dict[str, float]
     return out
 
 
+def checked(seq: DataFrame, name: str) -> DataFrame:
+    """`seq`, which fails when it is read if an observed row has a negative or non-finite weight or, for Poisson counts,
+    a positive count without exposure."""
+    bad = F.col("w").isNull() | F.isnan("w") | (F.col("w") < 0) | (F.col("w") == float("inf"))
+    fail = F.when((F.col("a") > 0) & bad, F.raise_error(F.lit("weights must be finite and not negative")).cast("double"))
+    if name == "poisson":
+        at = F.concat(F.lit("positive count with zero exposure in "), F.col("seq_id"), F.lit(" at "), F.col("idx").cast("string"))
+        fail = fail.when((F.col("a") > 0) & (F.col("w") == 0) & (F.col("y") > 0), F.raise_error(at).cast("double"))
+    return seq.withColumn("w", fail.otherwise(F.col("w")))
+
+
 def prefix(seq: DataFrame, name: str) -> DataFrame:
     """Prefix sums of the family's terms at positions 0..n: seq_id, pos, n_rows and one column p_<term> each."""
     t = FAMILIES[name][0]({c: F.col(c) for c in ROW}, cols)
     by = Window.partitionBy("seq_id").orderBy("idx")
     run = by.rowsBetween(Window.unboundedPreceding, 0)
-    s = seq.select("seq_id", "idx", *[c.alias(f"t_{k}") for k, c in t.items()])
+    s = checked(seq, name).select("seq_id", "idx", *[c.alias(f"t_{k}") for k, c in t.items()])
     inner = s.select("seq_id", F.col("idx").alias("pos"), *[F.sum(f"t_{k}").over(run).alias(f"p_{k}") for k in t])
     zero = s.where("idx = 1").select("seq_id", F.lit(0).alias("pos"), *[F.lit(0.0).alias(f"p_{k}") for k in t])
     return inner.unionByName(zero)

@@ -141,14 +141,51 @@ def adjusted_rand(labels: DataFrame) -> DataFrame:
 
 
 def permuted_accuracy(labels: DataFrame) -> float:
-    """Best accuracy over relabellings; the contingency table has one row per pair of groups."""
+    """Best accuracy over relabellings: an assignment on the contingency table (one row per pair of groups), by a table
+    over the sets of found groups already used."""
     rows = contingency(labels).collect()
     truth, found = sorted({r["truth"] for r in rows}), sorted({r["found"] for r in rows})
+    if len(found) > len(truth):
+        rows = [{"truth": r["found"], "found": r["truth"], "n": r["n"]} for r in rows]
+        truth, found = found, truth
+    if len(found) > 20:
+        raise ValueError("more than 20 groups on both sides")
     n = {(r["truth"], r["found"]): r["n"] for r in rows}
-    size = max(len(truth), len(found))
-    truth, found = truth + [None] * (size - len(truth)), found + [None] * (size - len(found))
-    best = max(sum(n.get((a, b), 0) for a, b in zip(truth, p, strict=True)) for p in itertools.permutations(found))
-    return best / sum(n.values())
+    best = {0: 0}
+    for a in truth:  # each true group takes one unused found group or none
+        new = dict(best)
+        for used, v in best.items():
+            for k, b in enumerate(found):
+                if not used >> k & 1:
+                    new[used | 1 << k] = max(new.get(used | 1 << k, -1), v + n.get((a, b), 0))
+        best = new
+    return max(best.values()) / sum(n.values())
+
+
+def random_boundaries(n: int, k: int, min_len: int = 1, seed: int = 0) -> list[int]:
+    """Boundaries of a uniformly drawn partition of n rows into k blocks of at least `min_len`: stars and bars."""
+    free = n - k * min_len
+    if k < 1 or free < 0:
+        raise ValueError("no such partition")
+    bars = np.sort(np.random.default_rng(seed).choice(free + k - 1, k - 1, replace=False))
+    sizes = np.diff(np.concatenate([[-1], bars, [free + k - 1]])) - 1 + min_len
+    return np.concatenate([[0], np.cumsum(sizes)]).tolist()
+
+
+def signal_error(curve: DataFrame, truth: DataFrame, value: str = "mean") -> DataFrame:
+    """Mean squared error of a curve (seq_id, idx, value) against the true signal (seq_id, idx, signal)."""
+    return curve.join(truth, ["seq_id", "idx"]).groupBy("seq_id").agg(F.avg(F.pow(F.col(value) - F.col("signal"), 2)).alias("mse"))
+
+
+def count_error(summary: DataFrame, truth: DataFrame) -> DataFrame:
+    """Found less true number of segments (seq_id, k)."""
+    return summary.join(truth, "seq_id").select("seq_id", (F.col("k_map") - F.col("k")).alias("error"), F.abs(F.col("k_map") - F.col("k")).alias("absolute"))
+
+
+def window_scores(scored: DataFrame) -> DataFrame:
+    """Held-out windows (seq_id, log_density, pit): mean log density, coverage of the central 95 %, distance from uniform."""
+    mean = scored.groupBy("seq_id").agg(F.avg("log_density").alias("log_density"), F.avg(F.when(F.col("pit").between(0.025, 0.975), 1.0).otherwise(0.0)).alias("coverage"))
+    return mean.join(ks_uniform(scored), "seq_id")
 
 
 def mask_random(seq: DataFrame, rate: float, seed: int = 0) -> DataFrame:

@@ -103,6 +103,25 @@ def predict(blocks: DataFrame, tmpl: DataFrame) -> DataFrame:
     return responsibilities(scores(blocks, tmpl.withColumn("restart", F.lit(0)))).drop("restart")
 
 
+def score(members: DataFrame) -> DataFrame:
+    """Mean over sequences of the log of their largest responsibility."""
+    top = members.groupBy("seq_id").agg(F.max("r").alias("r"))
+    return top.agg(F.avg(F.log(F.greatest("r", F.lit(1e-300)))).alias("score"))
+
+
+def group_marginals(blocks: DataFrame, members: DataFrame, tmpl: DataFrame) -> DataFrame:
+    """Boundary probabilities (g, pos, p) of each group at its template's number of segments, on its weighted evidence."""
+    pooled = blocks.join(members.select("seq_id", "g", "r"), "seq_id").groupBy("g", "i", "j").agg(F.sum(F.col("r") * F.col("log_a0")).alias("s"))
+
+    def run(key, pdf):
+        n, k = int(pdf["j"].max()), int(pdf["k"].iloc[0])
+        s = dense(pdf, "s", n)
+        p = dp.marginals(dp.forward(s, k), dp.backward(s, k), k)
+        return pd.DataFrame({"g": key[0], "pos": np.arange(1, n), "p": p[1:n]})
+
+    return pooled.join(tmpl.select("g", "k"), "g").groupBy("g").applyInPandas(run, "g int, pos int, p double")
+
+
 def choose_groups(blocks: DataFrame, candidates: list[int], k_max: int, folds: int = 3, count=None, restarts: int = 2, seed: int = 0) -> DataFrame:
     """Mean held-out log likelihood per number of groups; folds by a hash of the sequence."""
     fold = F.pmod(F.xxhash64("seq_id", F.lit(seed)), F.lit(folds))

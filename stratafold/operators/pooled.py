@@ -30,6 +30,23 @@ def shared(seq: DataFrame, name: str, member: str, k_max: int, count="uniform",
     return fit, fit.segment.drop("mean").join(b, ["seq_id", "i", "j"]).select("seq_id", "member", "q", "i", "j", F.col("a1").alias("mean"))
 
 
+def predict_members(seq: DataFrame, means: DataFrame, queries: DataFrame, policy: str = "nearest") -> DataFrame:
+    """Step value of every member at each query (seq_id, x): the segment's mean of the member, found on the shared axis."""
+    at = predict.locate(seq.select("seq_id", "idx", "x").distinct(), queries, policy)
+    return at.join(means, "seq_id").where((F.col("idx") > F.col("i")) & (F.col("idx") <= F.col("j"))).drop("i", "j")
+
+
+def score_shared(fit: segment.Fit, members: int = 1) -> DataFrame:
+    """Log evidence per row: by n for channels, by n times the members for replicates."""
+    return fit.summary.select("seq_id", (F.col("log_evidence") / (F.col("n") * members)).alias("score"))
+
+
+def score_independent(fit: segment.Fit) -> DataFrame:
+    """Mean over the members of their log evidence per row."""
+    one = fit.summary.select(F.substring_index("seq_id", "|", 1).alias("seq_id"), (F.col("log_evidence") / F.col("n")).alias("v"))
+    return one.groupBy("seq_id").agg(F.avg("v").alias("score"))
+
+
 def independent(seq: DataFrame, name: str, member: str, k_max: int, hyper: DataFrame | None = None) -> tuple[segment.Fit, DataFrame]:
     """(fits per member under seq_id|member, evidence summed per sequence)."""
     one = seq.withColumn("seq_id", F.concat_ws("|", "seq_id", F.col(member).cast("string")))

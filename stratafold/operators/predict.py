@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import cols
+from ..functions.special import beta_cdf, cols, normal_cdf
 from . import families
 
 POLICIES = ("error", "nearest", "clip", "left_endpoint", "right_endpoint")
@@ -80,8 +81,71 @@ def log_density(name: str, y=None):
     raise ValueError(f"no predictive density for {name!r}")
 
 
+def node_weights(seq: DataFrame, name: str, segment: DataFrame, hyper: DataFrame, nodes: int) -> DataFrame:
+    """Posterior log weights of the quadrature nodes on each segment: seq_id, q, i, j, g, value (the node's mean), lw, so
+    that the weights of a segment sum to one."""
+    from . import quadrature
+
+    kind = "legendre" if name == "beta_obs" else "hermite"
+    t = seq.join(segment.select("seq_id", "q", "i", "j"), "seq_id").where((F.col("idx") > F.col("i")) & (F.col("idx") <= F.col("j"))).join(hyper, "seq_id")
+    t = t.withColumn("nd", F.explode(quadrature.nodes_of(kind, nodes))).select("*", "nd.*").drop("nd")
+    base, v, value = quadrature.node_terms(name)
+    s = t.groupBy("seq_id", "q", "i", "j", "g").agg(F.first(value).alias("value"), (F.first(base) + F.sum(F.col("a") * F.col("w") * v)).alias("lw"))
+    by = Window.partitionBy("seq_id", "q")
+    top = F.max("lw").over(by)
+    s = s.withColumn("top", top).withColumn("z", F.log(F.sum(F.exp(F.col("lw") - F.col("top"))).over(by)))
+    return s.select("seq_id", "q", "i", "j", "g", "value", (F.col("lw") - F.col("top") - F.col("z")).alias("lw"))
+
+
+def score_nodes(seq: DataFrame, name: str, segment: DataFrame, hyper: DataFrame, queries: DataFrame, nodes: int = 32, policy: str = "nearest") -> DataFrame:
+    """Queries (seq_id, x, y, a unique `point`, phi) with log_density and pit. Beta observations: the mixture of Beta(phi
+    m, phi (1 - m)) over the nodes' means m, and its distribution function; -inf and 0 or 1 off the support. Logistic-
+    normal: a Bernoulli with the posterior mean rate, clipped; no pit."""
+    from . import quadrature
+
+    w = node_weights(seq, name, segment, hyper, nodes)
+    q = locate(seq, queries, policy)
+    if name == "logistic_normal":
+        rate = w.groupBy("seq_id", "q", "i", "j").agg(F.sum(F.exp("lw") * F.col("value")).alias("rate"))
+        t = q.join(rate, "seq_id").where((F.col("idx") > F.col("i")) & (F.col("idx") <= F.col("j")))
+        p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("rate")))
+        return t.withColumn("log_density", F.col("y") * F.log(p) + (1 - F.col("y")) * F.log1p(-p)).withColumn("pit", F.lit(None).cast("double"))
+    t = q.join(w, "seq_id").where((F.col("idx") > F.col("i")) & (F.col("idx") <= F.col("j")))
+    inside = (F.col("y") > 0) & (F.col("y") < 1)
+    y = F.when(inside, F.col("y")).otherwise(0.5)
+    t = t.withColumn("l", F.col("lw") + quadrature._beta_node_terms(y, F.col("phi"), F.col("value"), cols))
+    t = t.withColumn("below", F.exp("lw") * incomplete_beta(F.col("y"), F.col("phi") * F.col("value"), F.col("phi") * (1 - F.col("value"))))
+    keys = ["seq_id", "point", "x", "y"]
+    top = F.max("l").over(Window.partitionBy("seq_id", "point"))
+    one = t.withColumn("top", top).groupBy(*keys).agg((F.first("top") + F.log(F.sum(F.exp(F.col("l") - F.col("top"))))).alias("d"), F.sum("below").alias("pit"))
+    return one.select(*keys, F.when((F.col("y") > 0) & (F.col("y") < 1), F.col("d")).otherwise(float("-inf")).alias("log_density"), "pit")
+
+
+def incomplete_beta(x, a, b):
+    """The regularised incomplete beta function, an Arrow-batched kernel."""
+
+    def run(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([beta_cdf(*v) for v in zip(x, a, b, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, "double")(x, a, b)
+
+
+def predict_bayes(seq: DataFrame, curve: DataFrame, queries: DataFrame, column: str = "bayes_mixed", policy: str = "nearest") -> DataFrame:
+    """Posterior mean curve at each query: the value at the training row at or before it."""
+    return locate(seq, queries, policy).join(curve.select("seq_id", "idx", F.col(column).alias("mean")), ["seq_id", "idx"])
+
+
+def policy_record(seq: DataFrame, policy: str) -> DataFrame:
+    """What a prediction was made under: seq_id, low, high (the training range), policy."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown extrapolation policy {policy!r}")
+    return seq.groupBy("seq_id").agg(F.min("x").alias("low"), F.max("x").alias("high")).withColumn("policy", F.lit(policy))
+
+
 def score_points(seq: DataFrame, name: str, segment: DataFrame, hyper: DataFrame, queries: DataFrame, policy: str = "nearest") -> DataFrame:
     """Queries (seq_id, x, y and descriptors) with log_density under the segment that holds them."""
+    if name in ("beta_obs", "logistic_normal"):
+        return score_nodes(seq, name, segment, hyper, queries, policy=policy)
     s = segment_sums(seq, name, segment, hyper)
     q = locate(seq, queries, policy)
     for k, v in {"w": 1.0, "n_trials": 1.0, "r": 1.0}.items():
@@ -100,15 +164,13 @@ def trace(scored: DataFrame) -> DataFrame:
 
 def pit_gaussian(scored: DataFrame) -> DataFrame:
     """Adds z and pit = Phi(z), by an Arrow-batched kernel: Spark SQL has no error function."""
-    import pandas as pd
-
-    from ..functions.special import normal_cdf
+    def phi(z: pd.Series) -> pd.Series:
+        return pd.Series(normal_cdf(z.to_numpy()))
 
     c = F.col
     mu = (c("rho2") * c("s_s") + c("sigma2") * c("nu")) / (c("rho2") * c("s_w") + c("sigma2"))
     v = c("sigma2") / F.greatest(c("w"), F.lit(1e-12)) + c("rho2") * c("sigma2") / (c("rho2") * c("s_w") + c("sigma2"))
-    phi = F.pandas_udf(lambda z: pd.Series(normal_cdf(z.to_numpy())), "double", F.PandasUDFType.SCALAR)
-    return scored.withColumn("z", (c("y") - mu) / F.sqrt(v)).withColumn("pit", phi("z"))
+    return scored.withColumn("z", (c("y") - mu) / F.sqrt(v)).withColumn("pit", F.pandas_udf(phi, "double")("z"))
 
 
 def pit_bounds(scored: DataFrame, name: str) -> DataFrame:
@@ -118,6 +180,19 @@ def pit_bounds(scored: DataFrame, name: str) -> DataFrame:
     return t.withColumn("pit_high", F.col("pit_low") + F.exp("log_density"))
 
 
+def pit(scored: DataFrame, name: str, seed: int = 0) -> DataFrame:
+    """Adds pit under any family that `score_points` scores: continuous ones directly, discrete ones between F(y - 1) and
+    F(y) at random. (Beta observations have it from `score_nodes`; the logistic-normal family has none.)"""
+    if name == "gaussian":
+        return pit_gaussian(scored)
+    if name == "beta":
+        a, b = _beta(F.col)
+        return scored.withColumn("pit", incomplete_beta(F.col("y"), a, b))
+    if name in ("poisson", "negbin", "binomial", "bernoulli"):
+        return randomised_pit(pit_bounds(scored, name), seed)
+    raise NotImplementedError(f"no probability integral transform for {name!r}")
+
+
 def randomised_pit(bounded: DataFrame, seed: int = 0) -> DataFrame:
     return bounded.withColumn("pit", F.col("pit_low") + F.rand(seed) * (F.col("pit_high") - F.col("pit_low")))
 

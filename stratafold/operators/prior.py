@@ -27,6 +27,32 @@ def count_prior(prior, k_max: int) -> np.ndarray:
     return np.log(np.maximum(p / p.sum(), 1e-300))
 
 
+def recovered(prior):
+    """The count prior that a missing choice stands for: the uniform one."""
+    return "uniform" if prior is None else prior
+
+
+def count_at(prior, k: int, k_max: int) -> float:
+    """log p(k), for one k between 1 and k_max."""
+    if not 1 <= k <= k_max:
+        raise ValueError(f"k = {k} is not between 1 and {k_max}")
+    return float(count_prior(prior, k_max)[k - 1])
+
+
+def cohesion_at(span: float, power: float, scale: float = 1.0) -> float:
+    """Log factor of one segment of that span."""
+    if not (span > 0 and scale > 0):
+        raise ValueError("spans and scales are positive")
+    return power * math.log(span / scale)
+
+
+def hazard_at(width: float, rate: float) -> float:
+    """Log factor of one boundary after a segment of that width."""
+    if not (width > 0 and rate > 0):
+        raise ValueError("widths and rates are positive")
+    return rate * width + math.log(-math.expm1(-rate * width))
+
+
 def count_prior_table(spark: SparkSession, prior, k_max: int) -> DataFrame:
     return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(count_prior(prior, k_max))], "k int, log_p double")
 

@@ -73,11 +73,16 @@ def mackay(m, v):
 
 def laplace(s, n, nu: float, rho2: float):
     """(log evidence, mean, |gradient|, remainder estimate) by Newton steps on all blocks at once."""
-    p = np.clip(s / np.maximum(n, 1e-300), 1e-3, 1 - 1e-3)
-    t = 0.5 * np.log(p / (1 - p)) + 0.5 * nu
+    goal = lambda t: s * t - n * arrays.softplus(t) - (t - nu) ** 2 / (2 * rho2)
+    t = np.full(np.shape(s), float(nu))
     for _ in range(MOST_STEPS):
         q = arrays.sigmoid(t)
         step = (s - n * q - (t - nu) / rho2) / (n * q * (1 - q) + 1 / rho2)
+        for _ in range(30):  # halved wherever a full step would lower the concave objective
+            worse = goal(t + step) < goal(t) - 1e-12
+            if not worse.any():
+                break
+            step = np.where(worse, step / 2, step)
         t = t + step
         if np.abs(step).max(initial=0) < 1e-10:
             break
@@ -145,15 +150,63 @@ def expectation(y: np.ndarray, n: np.ndarray, nu: float, rho2: float, damping: f
     return float(ev), float(mackay(te / tv, 1 / tv))
 
 
+def sweep(y: np.ndarray, n: np.ndarray, nu: float, rho2: float, damping: float = 0.7, most: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Dense (log evidence, mean) by expectation propagation: blocks of equal length advance together, each from the
+    sites of the block that lacks its last row, until all have settled."""
+    size = len(y)
+    out = np.full((2, size + 1, size + 1), -np.inf)
+    x, w = hermite(25)
+    log_w = np.log(w / math.sqrt(math.pi))
+    tau, eta = np.zeros((size + 1, 0)), np.zeros((size + 1, 0))
+    for m in range(1, size + 1):
+        rows = np.arange(size - m + 1)[:, None] + np.arange(m)
+        tau, eta = (np.pad(a[: len(rows)], ((0, 0), (0, 1))) for a in (tau, eta))
+        ys, ns, z = y[rows], n[rows], np.zeros(rows.shape)
+        live = np.arange(len(rows))
+        for _ in range(most):
+            t, e = tau[live], eta[live]
+            tv, te = 1 / rho2 + t.sum(axis=1, keepdims=True), nu / rho2 + e.sum(axis=1, keepdims=True)
+            cv = 1 / np.maximum(tv - t, 1e-10)
+            cm = cv * (te - e)
+            theta = cm[..., None] + np.sqrt(2 * cv)[..., None] * x
+            lw = log_w + ys[live][..., None] * theta - ns[live][..., None] * arrays.softplus(theta)
+            lz = lse(lw, axis=2)
+            pw = np.exp(lw - lz[..., None])
+            mean = (pw * theta).sum(axis=2)
+            v = np.maximum((pw * theta**2).sum(axis=2) - mean**2, 1e-12)
+            nt, ne = 1 / v - 1 / cv, mean / v - cm / cv
+            change = np.maximum(np.abs(nt - t), np.abs(ne - e)).max(axis=1)
+            tau[live], eta[live] = t + damping * (nt - t), e + damping * (ne - e)
+            z[live] = lz + 0.5 * np.log(cv / v) + 0.5 * (cm**2 / cv - mean**2 / v)
+            live = live[change >= 1e-6]
+            if not len(live):
+                break
+        tv, te = 1 / rho2 + tau.sum(axis=1), nu / rho2 + eta.sum(axis=1)
+        out[0, rows[:, 0], rows[:, 0] + m] = z.sum(axis=1) - 0.5 * np.log(tv * rho2) + 0.5 * (te**2 / tv - nu**2 / rho2)
+        out[1, rows[:, 0], rows[:, 0] + m] = mackay(te / tv, 1 / tv)
+    return out[0], out[1]
+
+
+STATUS = ("ok", "not_converged", "not_finite")
+
+
+def integrated(value, error=0.0, status: str = "ok") -> dict:
+    """What an integrator returns, validated: a value, an error that is not negative, a known status. A value that is
+    not finite is reported as such, never as ok."""
+    if status not in STATUS:
+        raise ValueError(f"unknown status {status!r}")
+    if not (np.isfinite(error) and error >= 0):
+        raise ValueError("an integration error is finite and not negative")
+    return {"value": float(value), "error": float(error), "status": status if np.isfinite(value) else "not_finite"}
+
+
 def logistic(pdf: pd.DataFrame, h: dict[str, float], approx: str = "gh", nodes: int = GH_NODES) -> tuple[np.ndarray, np.ndarray]:
     aw = (pdf["a"] * pdf["w"]).to_numpy(float)
     s, n = _outer(aw * pdf["y"].to_numpy(float)), _outer(aw * pdf["n_trials"].to_numpy(float))
     i, j = np.triu_indices(len(pdf) + 1, 1)
     out = np.full((2, len(pdf) + 1, len(pdf) + 1), -np.inf)
     if approx == "ep":
-        y, t = pdf["y"].to_numpy(float), pdf["n_trials"].to_numpy(float)
-        for a, b in zip(i, j, strict=True):
-            out[:, a, b] = expectation((aw * y)[a:b], (aw * t)[a:b], h["nu"], h["rho2"])
+        out[0], out[1] = sweep(aw * pdf["y"].to_numpy(float), aw * pdf["n_trials"].to_numpy(float), h["nu"], h["rho2"])
     else:
         run = {"gh": lambda *z: gh(*z, nodes), "quadrature": lambda *z: gh(*z, max(nodes, 80)), "laplace": laplace, "jj": jaakkola, "pg_vb": jaakkola}[approx]
         out[0, i, j], out[1, i, j] = run(s[i, j], n[i, j], h["nu"], h["rho2"])[:2]
@@ -177,19 +230,20 @@ def _lse_blocks(t: DataFrame, mean) -> DataFrame:
     return t.groupBy("seq_id", "i", "j").agg((F.first("top") + F.log(F.sum("e"))).alias("log_a0"), (F.sum(F.col("e") * mean) / F.sum("e")).alias("a1"))
 
 
+def node_terms(name: str):
+    """(log weight and prior of a node, log density of a row at it, its mean) as Columns over node, wt and the row."""
+    if name == "beta_obs":
+        base = F.log("wt") + (F.col("alpha") - 1) * F.log("node") + (F.col("beta") - 1) * F.log1p(-F.col("node")) - cols.lnbeta(F.col("alpha"), F.col("beta"))
+        return base, _beta_node_terms(F.col("y"), F.col("phi"), F.col("node"), cols), F.col("node")
+    theta = F.col("nu") + F.sqrt(2 * F.col("rho2")) * F.col("node")
+    return F.log("wt") - 0.5 * math.log(math.pi), F.col("y") * theta - F.col("n_trials") * cols.softplus(theta), cols.sigmoid(theta)
+
+
 def node_blocks(seq: DataFrame, hyper: DataFrame, name: str, nodes: int) -> DataFrame:
     """Block table by quadrature as DataFrame operations; name is beta_obs or logistic_normal."""
     kind = "legendre" if name == "beta_obs" else "hermite"
     t = seq.join(hyper, "seq_id").withColumn("nd", F.explode(nodes_of(kind, nodes))).select("*", "nd.*").drop("nd")
-    if name == "beta_obs":
-        v = _beta_node_terms(F.col("y"), F.col("phi"), F.col("node"), cols)
-        base = F.log("wt") + (F.col("alpha") - 1) * F.log("node") + (F.col("beta") - 1) * F.log1p(-F.col("node")) - cols.lnbeta(F.col("alpha"), F.col("beta"))
-        mean = F.col("node")
-    else:
-        theta = F.col("nu") + F.sqrt(2 * F.col("rho2")) * F.col("node")
-        v = F.col("y") * theta - F.col("n_trials") * cols.softplus(theta)
-        base = F.log("wt") - 0.5 * math.log(math.pi)
-        mean = cols.sigmoid(theta)
+    base, v, mean = node_terms(name)
     t = t.select("seq_id", "idx", "g", (F.col("a") * F.col("w") * v).alias("v"), base.alias("base"), mean.alias("mean"))
     run = Window.partitionBy("seq_id", "g").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     p = t.select("seq_id", "g", F.col("idx").alias("pos"), F.sum("v").over(run).alias("p"), "base", "mean")

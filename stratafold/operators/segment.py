@@ -19,6 +19,47 @@ RESULT = (
 )
 
 
+ARROW = {"string": "string()", "int": "int32()", "double": "float64()", "array<int>": "list_(pa.int32())", "array<double>": "list_(pa.float64())", "array<array<double>>": "list_(pa.list_(pa.float64()))"}
+#: Rows that a dense fit takes; its tables are squares of this. Longer sequences go through `sliding`.
+LONGEST = 8192
+
+
+def by_sequence(rows: DataFrame, columns: list[str], one, schema: str) -> DataFrame:
+    """`one(seq_id, columns as a frame)` for every sequence, rows in order of idx: one shuffle, then Arrow batches are cut
+    where the sequence changes; a dictionary per sequence comes back."""
+    import pyarrow as pa
+
+    kinds = pa.schema([(c.split()[0], eval(f"pa.{ARROW[c.split()[1]]}", {"pa": pa})) for c in schema.split(", ")])  # noqa: S307
+
+    def run(batches):
+        key, held, out = None, [], []
+
+        def close():
+            out.append(one(key, pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in columns})))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = np.array(b.column("seq_id").to_pylist(), object)
+            data = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            at = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                if held and ids[lo] != key:
+                    close()
+                    held = []
+                key = ids[lo]
+                held.append({c: v[lo:hi] for c, v in data.items()})
+            if len(out) >= 64:
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                out = []
+        if held:
+            close()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    return rows.select("seq_id", "idx", *columns).repartition("seq_id").sortWithinPartitions("seq_id", "idx").mapInArrow(run, schema)
+
+
 def solve(seq_id: str, s: np.ndarray, mean: np.ndarray, g: np.ndarray | None, k_max: int, count, curves: bool = True, k: int | None = None) -> dict:
     """Everything about one sequence from dense tables of scores, means and (if not uniform) prior factors."""
     n = len(s) - 1
@@ -73,6 +114,10 @@ class Fit:
 
     rows: DataFrame
 
+    def is_fitted(self) -> bool:
+        """Whether the table has every column of a fit."""
+        return {c.split()[0] for c in RESULT.split(", ")} <= set(self.rows.columns)
+
     @property
     def posterior_k(self) -> DataFrame:
         z = F.arrays_zip("log_c", "log_left_n", "log_post")
@@ -144,7 +189,8 @@ def segment(seq: DataFrame, name: str, k_max: int, hyper_df: DataFrame | None =
     rows = seq.join(h.select("seq_id", *[F.col(x).alias(f"h_{x}") for x in names]), "seq_id")
 
     def run(key, pdf):
-        pdf = pdf.sort_values("idx")
+        if len(pdf) > LONGEST:
+            raise ValueError(f"sequence {key!r} has {len(pdf)} rows: beyond {LONGEST} use sliding windows")
         s, mean = family_tables(pdf, name, {x: float(pdf[f"h_{x}"].iloc[0]) for x in names})
         g = None
         if min_len > 1:
@@ -152,9 +198,9 @@ def segment(seq: DataFrame, name: str, k_max: int, hyper_df: DataFrame | None =
             i, j = np.indices((n + 1, n + 1))
             g = np.where(j - i >= min_len, 0.0, -np.inf)
             s = s + g
-        return pd.DataFrame([solve(key[0], s, mean, g, k_max, count, curves, k)])
+        return solve(key, s, mean, g, k_max, count, curves, k)
 
-    return Fit(rows.groupBy("seq_id").applyInPandas(run, RESULT))
+    return Fit(by_sequence(families.checked(rows, name), [*families.ROW, *[f"h_{x}" for x in names]], run, RESULT))
 
 
 def renewal(seq: DataFrame, name: str, k_max: int, rate: float, power: float, hyper_df: DataFrame | None = None) -> Fit:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import families, prior, segment
 from ..sources import sequences as src
-from .registry import FAMILY, SEQ, load, query, rounded, sql_backward, sql_blocks, sql_forward, sql_posterior
+from .registry import EB, FAMILY, PATH, SEQ, load, query, rounded, sql_backward, sql_best, sql_blocks, sql_forward, sql_posterior
 
 GIVEN = {
     "gaussian": {"nu": 50.0, "rho2": 400.0, "sigma2": 900.0},
@@ -367,17 +367,20 @@ def posterior_k_cohesion(spark, sf):
     return rounded(segment.fit_blocks(b, 3, curves=False).posterior_k.select("seq_id", "k", "log_c", "log_py_k"))
 
 
-@query()
+@query(sql_blocks(SEQ["events"], "poisson", EB["poisson"]) + ", " + sql_forward(6) + ", " + sql_posterior(k_max=6) + ", " + sql_best(6) + ", " + PATH + " select p.seq_id, p.q, p.i, p.j, round(a1, 6) as mean, kmap.k as k_map, round(z, 6) as log_evidence, round(exp(e.log_post), 6) as p_k_max from path p join blk b using (seq_id, i, j) join kmap using (seq_id) join post e on e.seq_id = p.seq_id and e.k = 6")
 def segment_events_poisson(spark, sf):
     """Flagship: empirical-Bayes Poisson segmentation of the daily counts of each event type."""
     fit = segment.segment(sequence(spark, sf, "events"), "poisson", 6)
-    return fit.segment.join(fit.summary, "seq_id").select("seq_id", "q", "i", "j", "mean", "k_map", "log_evidence", "p_k_max")
+    return rounded(fit.segment.join(fit.summary, "seq_id").select("seq_id", "q", "i", "j", "mean", "k_map", "log_evidence", "p_k_max"))
 
 
-@query()
+_USERS = "select seq_id, cast(row_number() over (partition by seq_id order by ts, event_id) as bigint) as idx, ln(value) as y, 1.0::double as w, 1.0::double as a from (select user_id::varchar as seq_id, ts, event_id, value from events where value > 0)"
+
+
+@query(sql_blocks(_USERS, "gaussian", EB["gaussian"]) + ", " + sql_forward(4) + ", " + sql_posterior() + ", " + sql_best(4) + ", " + PATH + " select p.seq_id, p.q, p.i, p.j, round(a1, 6) as mean from path p join blk b using (seq_id, i, j)")
 def segment_users_irregular(spark, sf):
     """One Gaussian segmentation per user over irregular times: the throughput query."""
-    return segment.segment(src.complete(src.user_values(load(spark, sf, "events"))), "gaussian", 4, curves=False).segment
+    return rounded(segment.segment(src.complete(src.user_values(load(spark, sf, "events"))), "gaussian", 4, curves=False).segment)
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baselines, diagnose, metrics, quadrature, segment
 from .core import block_table, given, sequence
-from .registry import SEQ, query, rounded, sql_backward, sql_blocks, sql_forward, sql_posterior
+from .registry import PHI, SEQ, query, rounded, sql_backward, sql_best, sql_blocks, sql_forward, sql_posterior
 from .core import GIVEN
 
 _EV = sql_blocks(SEQ["events"], "poisson", GIVEN["poisson"])
@@ -17,12 +17,21 @@ def _fit(spark, sf, k_max=4, **kw):
     return segment.segment(s, "poisson", k_max, given(s, "poisson"), curves=False, **kw)
 
 
-@query(f"with s as ({SEQ['events']}) select seq_id, c.name, true as passed from (select distinct seq_id from s), (values ('posterior_sums_to_one'), ('left_equals_right'), ('marginals_sum_to_k_minus_1'), ('map_within_sum')) c(name)")
+_CHECKS = _EV + ", " + sql_forward(4) + ", " + sql_backward(4) + ", " + sql_posterior() + ", " + sql_best(4) + """,
+kmap as (select seq_id, arg_max(k, log_post) as k from post group by 1),
+ends as (select f.seq_id, f.k, f.l, r.l as r, m.v from fwd f join len on len.seq_id = f.seq_id and f.j = n join kmap on kmap.seq_id = f.seq_id and kmap.k = f.k join bwd r on r.seq_id = f.seq_id and r.k = f.k and r.i = 0 join best m on m.seq_id = f.seq_id and m.k = f.k and m.j = n),
+sums as (select e.seq_id, e.k, coalesce(sum(exp(f.l + b.l - e.l)), 0) as m from ends e left join fwd f on f.seq_id = e.seq_id and f.k < e.k left join bwd b on b.seq_id = f.seq_id and b.i = f.j and b.k = e.k - f.k where f.k is null or b.k is not null group by 1, 2)
+select seq_id, 'posterior_sums_to_one' as name, abs(sum(exp(log_post)) - 1) <= 1e-9 as passed from post group by 1
+union all select seq_id, 'left_equals_right', abs(l - r) <= 1e-6 from ends union all select seq_id, 'map_within_sum', v - l <= 1e-9 from ends
+union all select seq_id, 'marginals_sum_to_k_minus_1', abs(m - (k - 1)) <= 1e-6 from sums"""
+
+
+@query(_CHECKS)
 def dp_diagnostics(spark, sf):
     return diagnose.invariants(_fit(spark, sf)).select("seq_id", "name", "passed")
 
 
-@query(f"with s as ({SEQ['events']}) select distinct seq_id, 0.0::double as gap from s")
+@query(_EV + ", " + sql_best(3) + ", three as (select a.seq_id, max(a.s + b.s + c.s) as v from blk a join blk b on a.seq_id = b.seq_id and b.i = a.j join blk c on c.seq_id = a.seq_id and c.i = b.j join len on len.seq_id = a.seq_id and c.j = n where a.i = 0 group by 1) select t.seq_id, round(abs(t.v - m.v), 6) as gap from three t join len using (seq_id) join best m on m.seq_id = t.seq_id and m.k = 3 and m.j = n")
 def map_score_check(spark, sf):
     return rounded(diagnose.map_score_check(_fit(spark, sf, k=3), block_table(sequence(spark, sf, "events"), "poisson")))
 
@@ -112,9 +121,10 @@ def calibration_error(spark, sf):
     return rounded(metrics.expected_calibration_error(metrics.calibration(lab)))
 
 
-@query(f"with s as ({SEQ['labels']}), u as (select seq_id, (idx - 0.3 * y) / 61.0 as pit from s), r as (select *, row_number() over (partition by seq_id order by pit) as rn, count(*) over (partition by seq_id) as n from u) select seq_id, round(max(greatest(rn / n - pit, pit - (rn - 1) / n)), 6) as ks from r group by 1")
+@query(f"with s as ({SEQ['labels']}), u as (select seq_id, (idx - 0.3 * y) / (1.0 + count(*) over (partition by seq_id)) as pit from s), r as (select *, row_number() over (partition by seq_id order by pit) as rn, count(*) over (partition by seq_id) as n from u) select seq_id, round(max(greatest(rn / n - pit, pit - (rn - 1) / n)), 6) as ks from r group by 1")
 def ks_uniform(spark, sf):
-    t = sequence(spark, sf, "labels").withColumn("pit", (F.col("idx") - 0.3 * F.col("y")) / 61)
+    s = sequence(spark, sf, "labels")
+    t = s.join(s.groupBy("seq_id").agg(F.max("idx").alias("n")), "seq_id").withColumn("pit", (F.col("idx") - 0.3 * F.col("y")) / (F.col("n") + 1.0))
     return rounded(metrics.ks_uniform(t))
 
 
@@ -148,10 +158,6 @@ def holdout_window(spark, sf):
 # ---- quadrature families ---------------------------------------------------------------------------------------------
 
 
-def _short(spark, sf, data, n=24):
-    return sequence(spark, sf, data).where(F.col("idx") <= n)
-
-
 def _fixed(s, **h):
     return s.select("seq_id").distinct().select("seq_id", *[F.lit(v).alias(k) for k, v in h.items()])
 
@@ -163,18 +169,18 @@ _HNODES = "(values " + ", ".join(f"({g}, {a!r}::double, {b!r}::double)" for g, (
 
 
 def _node_sql(data: str, nodes: str, term: str, base: str, mean: str) -> str:
-    return f"""with seq as (select * from ({SEQ[data]}) where idx <= 24), nodes as (select * from {nodes}),
+    return f"""with seq as (select * from ({SEQ[data]})), nodes as (select * from {nodes}),
     v as (select seq_id, idx, g, x, wt, sum({term}) over (partition by seq_id, g order by idx) as p from seq, nodes),
     pre as (select seq_id, idx as pos, g, x, wt, p from v union all select distinct seq_id, 0, g, x, wt, 0.0 from v),
     lw as (select a.seq_id, a.pos as i, b.pos as j, {base} + b.p - a.p as lw, {mean} as mean from (select *, x as xx from pre) a join pre b on a.seq_id = b.seq_id and a.g = b.g and a.pos < b.pos),
     m as (select *, max(lw) over (partition by seq_id, i, j) as top from lw)
-    select seq_id, i, j, round(max(top) + ln(sum(exp(lw - top))), 6) as log_a0, round(sum(exp(lw - top) * mean) / sum(exp(lw - top)), 6) as a1 from m group by 1, 2, 3"""
+    select seq_id, i, j, round(max(top) + ln(sum(exp(lw - top))), 4) as log_a0, round(sum(exp(lw - top) * mean) / sum(exp(lw - top)), 4) as a1 from m group by 1, 2, 3"""
 
 
 @query(_node_sql("discount", _NODES, "lgamma(phi) - lgamma(phi * x) - lgamma(phi * (1 - x)) + (phi * x - 1) * ln(y) + (phi * (1 - x) - 1) * ln(1 - y)", "ln(b.wt) + 3 * ln(b.x) + 3 * ln(1 - b.x) - (2 * lgamma(4.0) - lgamma(8.0))", "b.x"))
 def beta_obs_blocks(spark, sf):
-    s = _short(spark, sf, "discount")
-    return rounded(quadrature.node_blocks(s, _fixed(s, alpha=4.0, beta=4.0), "beta_obs", 16))
+    s = sequence(spark, sf, "discount")
+    return rounded(quadrature.node_blocks(s, _fixed(s, alpha=4.0, beta=4.0), "beta_obs", 16), 4)
 
 
 _TH = "(-0.5 + sqrt(2 * 0.8) * {0}x)"
@@ -182,26 +188,41 @@ _TH = "(-0.5 + sqrt(2 * 0.8) * {0}x)"
 
 @query(_node_sql("orders", _HNODES, f"y * {_TH.format('')} - n_trials * (greatest({_TH.format('')}, 0) + ln(1 + exp(-abs({_TH.format('')}))))", "ln(b.wt) - 0.5 * ln(pi())", f"1 / (1 + exp(-{_TH.format('b.')}))"))
 def gh_blocks(spark, sf):
-    s = _short(spark, sf, "orders")
-    return rounded(quadrature.node_blocks(s, _fixed(s, nu=-0.5, rho2=0.8), "logistic_normal", 20))
-
-
-def _approx(name):
+    s = sequence(spark, sf, "orders")
+    return rounded(quadrature.node_blocks(s, _fixed(s, nu=-0.5, rho2=0.8), "logistic_normal", 20), 4)
+
+
+_COUNTS = f"""with recursive seq as ({SEQ['orders']}), pre as (select seq_id, idx as pos, sum(y) over w as s, sum(n_trials) over w as m from seq window w as (partition by seq_id order by idx) union all select distinct seq_id, 0, 0.0, 0.0 from seq),
+blk as (select p.seq_id, p.pos as i, q.pos as j, q.s - p.s as s, q.m - p.m as m from pre p join pre q on p.seq_id = q.seq_id and p.pos < q.pos)"""
+_SIG = "(1 / (1 + exp(-{0})))"
+_MAC = "1 / (1 + exp(-({0}) / sqrt(1 + pi() * ({1}) / 8)))"
+#: The posterior's mode by bisection; the values around it in closed form.
+_LAPLACE = _COUNTS + f""", root as (select *, -60.0::double as lo, 60.0::double as hi, 0 as step from blk
+  union all select seq_id, i, j, s, m, case when s - m * {_SIG.format('(lo + hi) / 2')} - ((lo + hi) / 2 + 0.5) / 0.8 > 0 then (lo + hi) / 2 else lo end, case when s - m * {_SIG.format('(lo + hi) / 2')} - ((lo + hi) / 2 + 0.5) / 0.8 > 0 then hi else (lo + hi) / 2 end, step + 1 from root where step < 60),
+t as (select *, (lo + hi) / 2 as t from root where step = 60), h as (select *, m * {_SIG.format('t')} * (1 - {_SIG.format('t')}) + 1 / 0.8 as h from t)
+select seq_id, i, j, round(s * t - m * (greatest(t, 0) + ln(1 + exp(-abs(t)))) - pow(t + 0.5, 2) / 1.6 - 0.5 * ln(2 * pi() * 0.8) + 0.5 * ln(2 * pi()) - 0.5 * ln(h), 6) as log_a0, round({_MAC.format('t', '1 / h')}, 6) as a1 from h"""
+_LAM = "(case when xi < 1e-10 then 0.125 else (1 - exp(-xi)) / (1 + exp(-xi)) / (4 * xi) end)"
+_JJ = _COUNTS + f""", it as (select *, 1.0::double as xi, 0 as step from blk union all select seq_id, i, j, s, m, sqrt(pow((s - m / 2 - 0.5 / 0.8) / (1 / 0.8 + 2 * m * {_LAM}), 2) + 1 / (1 / 0.8 + 2 * m * {_LAM})), step + 1 from it where step < 200),
+v as (select *, 1 / (1 / 0.8 + 2 * m * {_LAM}) as v from it where step = 200), f as (select *, v * (s - m / 2 - 0.5 / 0.8) as mu from v)
+select seq_id, i, j, round(0.5 * ln(v / 0.8) + 0.5 * (mu * mu / v - 0.25 / 0.8) + m * (-ln(1 + exp(-xi)) - xi / 2 + {_LAM} * xi * xi), 6) as log_a0, round({_MAC.format('mu', 'v')}, 6) as a1 from f"""
+
+
+def _approx(name, sql=None):
     def run(spark, sf):
-        s = _short(spark, sf, "orders", 16)
-        return quadrature.approximate_blocks(s, _fixed(s, nu=-0.5, rho2=0.8), name)
+        s = sequence(spark, sf, "orders")
+        return rounded(quadrature.approximate_blocks(s, _fixed(s, nu=-0.5, rho2=0.8), name))
 
     run.__name__ = f"{name}_blocks"
-    return query()(run)
+    return query(sql)(run)
 
 
-laplace_blocks, jj_blocks, ep_blocks = (_approx(n) for n in ("laplace", "jj", "ep"))
+laplace_blocks, jj_blocks, ep_blocks = _approx("laplace", _LAPLACE), _approx("jj", _JJ), _approx("ep")
 
 
 @query()
 def certify_laplace(spark, sf):
     """Error of the Laplace approximation against 120-node quadrature, and the bound that follows."""
-    s = _short(spark, sf, "orders", 16)
+    s = sequence(spark, sf, "orders")
     h = _fixed(s, nu=-0.5, rho2=0.8)
     e = diagnose.block_error(quadrature.approximate_blocks(s, h, "quadrature"), quadrature.approximate_blocks(s, h, "laplace"), 4)
     return e.join(diagnose.bounds(e, 4), "seq_id")
@@ -218,14 +239,42 @@ def optimal_partition_l2(spark, sf):
     return rounded(baselines.detect(sequence(spark, sf, "ship"), "optimal", changes=2).select("seq_id", (F.col("cost") / 1000).alias("cost")), 5)
 
 
-@query()
+#: Least penalised cost over all partitions, position after position; the list holds the best value of each prefix.
+_PELT = f"""with recursive s as ({SEQ['ship']}), p as (select seq_id, idx as pos, sum(y) over w as s, sum(y * y) over w as q from s window w as (partition by seq_id order by idx) union all select distinct seq_id, 0, 0.0, 0.0 from s),
+arr as (select seq_id, list(s order by pos) as s, list(q order by pos) as q, max(pos) as n from p group by 1),
+dp as (select seq_id, 1::bigint as j, [-{{0}}, 'inf'::double] as best from arr union all
+  select d.seq_id, d.j + 1, list_append(best, list_min(list_transform(range(0, d.j), lambda i: best[i + 1] + a.q[d.j + 2] - a.q[i + 1] - pow(a.s[d.j + 2] - a.s[i + 1], 2) / (d.j + 1 - i) + {{0}}))) from dp d join arr a using (seq_id) where d.j < a.n)
+select dp.seq_id, round(best[n + 1] / 1000, 5) as objective from dp join arr using (seq_id) where j = n"""
+
+
+@query(_PELT.format("2000.0"))
 def pelt(spark, sf):
-    return baselines.detect(sequence(spark, sf, "ship"), "pelt", scale=2.0)
+    d = baselines.detect(sequence(spark, sf, "ship"), "pelt", penalty=2000.0)
+    return rounded(d.select("seq_id", ((F.col("cost") + 2000.0 * (F.size("boundaries") - 2)) / 1000).alias("objective")), 5)
 
 
-@query()
+@query(_L2 + """, g as (select w.seq_id, w.i, w.j, l.j as t, w.c - l.c - r.c as gain from c w join c l on l.seq_id = w.seq_id and l.i = w.i join c r on r.seq_id = w.seq_id and r.i = l.j and r.j = w.j),
+one as (select g.seq_id, arg_max(t, gain) as t from g join n on n.seq_id = g.seq_id and g.i = 0 and g.j = n.n group by 1),
+two as (select g.seq_id, arg_max(g.t, gain) as u from g join one using (seq_id) join n using (seq_id) where (g.i = 0 and g.j = one.t) or (g.i = one.t and g.j = n.n) group by 1)
+select seq_id, least(t, u) as first, greatest(t, u) as second from one join two using (seq_id)""")
 def binary_segmentation(spark, sf):
-    return baselines.detect(sequence(spark, sf, "ship"), "binseg", changes=2)
+    d = baselines.detect(sequence(spark, sf, "ship"), "binseg", changes=2)
+    return rounded(d.select("seq_id", F.get("boundaries", F.lit(1)).alias("first"), F.get("boundaries", F.lit(2)).alias("second")))
+
+
+@query()
+def circular_segmentation(spark, sf):
+    return baselines.detect(sequence(spark, sf, "ship"), "cbs")
+
+
+@query()
+def multiscale_segmentation(spark, sf):
+    return baselines.detect(sequence(spark, sf, "ship"), "smuce")
+
+
+@query()
+def sampled_segmentation(spark, sf):
+    return baselines.detect(sequence(spark, sf, "ship"), "mcmc", scale=2.0)
 
 
 @query()

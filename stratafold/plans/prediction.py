@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.special import cols
-from ..operators import pooled, predict, segment
+from ..operators import pooled, predict, quadrature, segment
 from ..sources import sequences as src
-from .core import GIVEN, given, sequence
-from .registry import FAMILY, SEQ, load, query, rounded, sql_blocks, sql_forward, sql_posterior
+from .core import _K12, GIVEN, given, sequence
+from .registry import FAMILY, PATH, PHI, SEQ, load, query, rounded, sql_best, sql_blocks, sql_forward, sql_posterior
 
 #: Fixed segmentation of every sequence into thirds, so that prediction is checked apart from fitting.
 THIRDS = "cut as (select seq_id, max(idx) as n from seq group by 1), seg as (select seq_id, 1::bigint as q, 0::bigint as i, n // 3 as j from cut union all select seq_id, 2, n // 3, 2 * n // 3 from cut union all select seq_id, 3, 2 * n // 3, n from cut)"
@@ -90,6 +90,13 @@ def _register():
 _register()
 
 
+@query(_K12 + f", {_Q} select qs.seq_id, point, round(exp(p1.log_post) * c1.c + exp(p2.log_post) * c2.c, 6) as mean from qs join c2 on c2.seq_id = qs.seq_id and c2.idx = greatest(1, floor(x)) join c1 on c1.seq_id = qs.seq_id join post p1 on p1.seq_id = qs.seq_id and p1.k = 1 join post p2 on p2.seq_id = qs.seq_id and p2.k = 2")
+def predict_bayes(spark, sf):
+    s = sequence(spark, sf, "events")
+    fit = segment.segment(s, "poisson", 2, given(s, "poisson"))
+    return rounded(predict.predict_bayes(s, fit.curve, queries_at(s)).select("seq_id", "point", "mean"))
+
+
 @query(sql_scored("gaussian") + " select seq_id, idx as point, round(sum(ld) over (partition by seq_id order by idx), 6) as total, round(row_number() over (partition by seq_id order by idx) / count(*) over (partition by seq_id), 6) as share from scored")
 def hll_trace(spark, sf):
     return rounded(predict.trace(scored(spark, sf, "gaussian")).select("seq_id", "point", "total", "share"))
@@ -117,7 +124,7 @@ def pit_gauss_z(spark, sf):
     return rounded(predict.pit_gaussian(scored(spark, sf, "gaussian")).select("seq_id", "point", "z"))
 
 
-@query()
+@query(sql_scored("gaussian") + ", z as (select *, (y - mu) / sqrt(v) as z from scored) select seq_id, idx as point, round(" + PHI.format("z") + ", 6) as pit from z")
 def pit_gauss(spark, sf):
     return rounded(predict.pit_gaussian(scored(spark, sf, "gaussian")).select("seq_id", "point", "pit"))
 
@@ -130,6 +137,83 @@ def pit_discrete_bounds(spark, sf):
     return rounded(predict.pit_bounds(scored(spark, sf, "poisson"), "poisson").select("seq_id", "point", "pit_low", "pit_high"))
 
 
+@query(sql_scored("beta") + ", g as (select *, list_sum(list_transform(range(1, 4001), lambda k: case when k = 4000 then 1 when k % 2 = 1 then 4 else 2 end * exp((a0 - 1) * ln(y * k / 4000.0) + (b0 - 1) * ln(1 - y * k / 4000.0) - (lgamma(a0) + lgamma(b0) - lgamma(a0 + b0))))) as t from scored) select seq_id, idx as point, round(y / 12000.0 * t, 5) as pit from g")
+def pit_beta(spark, sf):
+    return rounded(predict.pit(scored(spark, sf, "beta"), "beta").select("seq_id", "point", "pit"), 5)
+
+
+_MASS = {
+    "binomial": "exp(lgamma(n_trials + 1) - lgamma(k + 1) - lgamma(n_trials - k + 1) + (lgamma(a0 + k) + lgamma(b0 + n_trials - k) - lgamma(a0 + b0 + n_trials)) - (lgamma(a0) + lgamma(b0) - lgamma(a0 + b0)))",
+    "negbin": "exp(lgamma(k + r) - lgamma(k + 1) - lgamma(r) + (lgamma(a0 + r) + lgamma(b0 + k) - lgamma(a0 + b0 + r + k)) - (lgamma(a0) + lgamma(b0) - lgamma(a0 + b0)))",
+}
+
+
+def _register_bounds():
+    for fam, mass in _MASS.items():
+
+        def run(spark, sf, fam=fam):
+            return rounded(predict.pit_bounds(scored(spark, sf, fam), fam).select("seq_id", "point", "pit_low", "pit_high"))
+
+        run.__name__ = f"pit_{fam}_bounds"
+        query(sql_scored(fam) + f", g as (select *, unnest(range(0, cast(y as bigint) + 1)) as k from scored) select seq_id, idx as point, round(coalesce(sum({mass}) filter (k < y), 0), 6) as pit_low, round(sum({mass}), 6) as pit_high from g group by 1, 2")(run)
+
+
+_register_bounds()
+_N16 = "(values " + ", ".join(f"({g}, {a!r}::double, {b!r}::double)" for g, (a, b) in enumerate(zip(*(v.tolist() for v in quadrature.legendre(16)), strict=True))) + ") t(g, x, wt)"
+_H20 = "(values " + ", ".join(f"({g}, {a!r}::double, {b!r}::double)" for g, (a, b) in enumerate(zip(*(v.tolist() for v in quadrature.hermite(20)), strict=True))) + ") t(g, x, wt)"
+_BETA_LOG = "lgamma(phi) - lgamma(phi * x) - lgamma(phi * (1 - x)) + (phi * x - 1) * ln(y) + (phi * (1 - x) - 1) * ln(1 - y)"
+_NODE = "with seq as ({0}), {1}, nodes as (select * from {2}), lw as (select s.seq_id, q, i, j, g, min({5}) as x, min({4}) + sum({3}) as lw from seq s join seg on seg.seq_id = s.seq_id and idx > i and idx <= j, nodes group by 1, 2, 3, 4, 5), nw as (select * replace (lw - m - ln(sum(exp(lw - m)) over (partition by seq_id, q)) as lw) from (select *, max(lw) over (partition by seq_id, q) as m from lw))"
+_BN = _NODE.format(SEQ["discount"], THIRDS, _N16, _BETA_LOG, "ln(wt) + 3 * ln(x) + 3 * ln(1 - x) - (2 * lgamma(4.0) - lgamma(8.0))", "x")
+_LT = "(-0.5 + sqrt(1.6) * x)"
+_LN = _NODE.format(SEQ["orders"], THIRDS, _H20, f"y * {_LT} - n_trials * (greatest({_LT}, 0) + ln(1 + exp(-abs({_LT}))))", "ln(wt) - 0.5 * ln(pi())", f"1 / (1 + exp(-{_LT}))")
+
+
+def _hyper(s, **h):
+    return s.select("seq_id").distinct().select("seq_id", *[F.lit(v).alias(k) for k, v in h.items()])
+
+
+@query(_BN + " select seq_id, q, g, round(exp(lw), 6) as weight from nw")
+def node_weights(spark, sf):
+    s = sequence(spark, sf, "discount")
+    return rounded(predict.node_weights(s, "beta_obs", thirds(s), _hyper(s, alpha=4.0, beta=4.0), 16).select("seq_id", "q", "g", F.exp("lw").alias("weight")))
+
+
+def _beta_scored(spark, sf):
+    s = sequence(spark, sf, "discount")
+    asked = s.select("seq_id", "x", "y", "phi", F.col("idx").alias("point"))
+    return predict.score_nodes(s, "beta_obs", thirds(s), _hyper(s, alpha=4.0, beta=4.0), asked, 16)
+
+
+@query(_BN + f", l as (select s.seq_id, s.idx, lw + {_BETA_LOG} as l from seq s join nw on nw.seq_id = s.seq_id and idx > i and idx <= j), t as (select *, max(l) over (partition by seq_id, idx) as m from l) select seq_id, idx as point, round(max(m) + ln(sum(exp(l - m))), 6) as ld from t group by 1, 2")
+def predictive_beta_obs(spark, sf):
+    return rounded(_beta_scored(spark, sf).select("seq_id", "point", F.col("log_density").alias("ld")))
+
+
+@query(_BN + ", c as (select s.seq_id, s.idx, exp(lw) * y / 12000.0 * list_sum(list_transform(range(1, 4001), lambda k: case when k = 4000 then 1 when k % 2 = 1 then 4 else 2 end * exp(lgamma(phi) - lgamma(phi * x) - lgamma(phi * (1 - x)) + (phi * x - 1) * ln(y * k / 4000.0) + (phi * (1 - x) - 1) * ln(1 - y * k / 4000.0)))) as f from seq s join nw on nw.seq_id = s.seq_id and idx > i and idx <= j) select seq_id, idx as point, round(sum(f), 4) as pit from c group by 1, 2")
+def pit_beta_obs(spark, sf):
+    return rounded(_beta_scored(spark, sf).select("seq_id", "point", "pit"), 4)
+
+
+@query(_LN + ", r as (select seq_id, q, i, j, sum(exp(lw) * x) as p from nw group by all) select s.seq_id, idx as point, round(y / n_trials * ln(p) + (1 - y / n_trials) * ln(1 - p), 6) as ld from seq s join r on r.seq_id = s.seq_id and idx > i and idx <= j")
+def predictive_logit(spark, sf):
+    """Bernoulli log density of the rate of each row."""
+    s = sequence(spark, sf, "orders")
+    asked = s.select("seq_id", "x", (F.col("y") / F.col("n_trials")).alias("y"), F.col("idx").alias("point"))
+    return rounded(predict.score_nodes(s, "logistic_normal", thirds(s), _hyper(s, nu=-0.5, rho2=0.8), asked, 20).select("seq_id", "point", F.col("log_density").alias("ld")))
+
+
+@query(sql_scored("gaussian") + ", z as (select *, " + PHI.format("((y - mu) / sqrt(v))") + " as pit from scored), r as (select *, row_number() over (partition by seq_id order by pit) as rn, count(*) over (partition by seq_id) as n from z) select seq_id, round(avg(ld), 6) as log_density, round(avg(case when pit between 0.025 and 0.975 then 1.0 else 0 end), 6) as coverage, round(max(greatest(rn / n - pit, pit - (rn - 1) / n)), 6) as ks from r group by 1")
+def window_scores(spark, sf):
+    from ..operators import metrics
+
+    return rounded(metrics.window_scores(predict.pit_gaussian(scored(spark, sf, "gaussian"))))
+
+
+@query(f"with seq as ({SEQ['events']}) select seq_id, min(idx)::double as low, max(idx)::double as high, 'nearest' as policy from seq group by 1")
+def policy_record(spark, sf):
+    return rounded(predict.policy_record(sequence(spark, sf, "events"), "nearest"))
+
+
 @query(sql_scored("gaussian") + ", z as (select seq_id, (y - mu) / sqrt(v) as z from scored) select seq_id, round(avg(case when abs(z) <= 1.959963984540054 then 1.0 else 0 end), 6) as coverage from z group by 1")
 def interval_coverage(spark, sf):
     t = predict.pit_gaussian(scored(spark, sf, "gaussian"))
@@ -174,9 +258,42 @@ def pooled_channels(spark, sf):
     return rounded(pooled.shared(s, "poisson", "member", 4, "uniform", member_hyper(s))[0].summary.select("seq_id", "log_evidence"))
 
 
-@query()
+_SHARED = _POOL + ", " + sql_posterior() + ", " + sql_best(4) + ", " + PATH
+
+
+@query(_SHARED + " select p.seq_id, o.seq_id as member, p.q, p.i, p.j, round(o.a1, 6) as mean from path p join own o on o.i = p.i and o.j = p.j")
 def replicate_means(spark, sf):
-    return pooled.shared(members(spark, sf), "poisson", "member", 4, None)[1]
+    s = members(spark, sf)
+    return rounded(pooled.shared(s, "poisson", "member", 4, None, member_hyper(s))[1])
+
+
+@query(_SHARED + f", {_Q.replace('from seq)', 'from seq where seq_id = (select min(seq_id) from seq))')} select 'all' as seq_id, o.seq_id as member, point, round(o.a1, 6) as mean from qs join path p on greatest(1, floor(x)) > p.i and greatest(1, floor(x)) <= p.j join own o on o.i = p.i and o.j = p.j")
+def replicate_predictions(spark, sf):
+    """Every member's step at query points between and beyond the shared axis."""
+    s = members(spark, sf)
+    means = pooled.shared(s, "poisson", "member", 4, None, member_hyper(s))[1]
+    axis = s.select("seq_id", "idx", "x").distinct()
+    asked = axis.select("seq_id", (F.col("x") + F.when(F.col("idx") % 2 == 0, 0.4).otherwise(-0.7)).alias("x"), F.col("idx").alias("point"))
+    return rounded(pooled.predict_members(s, means, asked).select("seq_id", "member", "point", "mean"))
+
+
+@query(_POOL + ", " + sql_posterior() + f" select distinct post.seq_id, round(z / (n * (select count(distinct seq_id) from own)), 6) as score from post join len using (seq_id)")
+def replicate_score(spark, sf):
+    s = members(spark, sf)
+    size = s.select("member").distinct().count()  # the number of members, not their rows
+    return rounded(pooled.score_shared(pooled.shared(s, "poisson", "member", 4, None, member_hyper(s))[0], size))
+
+
+@query(_POOL_U + " select distinct post.seq_id, round(z / n, 6) as score from post join len using (seq_id)")
+def channel_score(spark, sf):
+    s = members(spark, sf)
+    return rounded(pooled.score_shared(pooled.shared(s, "poisson", "member", 4, "uniform", member_hyper(s))[0]))
+
+
+@query(sql_blocks(SEQ["events"], "poisson", GIVEN["poisson"]) + ", " + sql_forward(4) + ", " + sql_posterior() + ", z as (select distinct post.seq_id, z / n as v from post join len using (seq_id)) select 'all' as seq_id, round(avg(v), 6) as score from z")
+def independent_score(spark, sf):
+    s = members(spark, sf)
+    return rounded(pooled.score_independent(pooled.independent(s, "poisson", "member", 4, member_hyper(s))[0]))
 
 
 @query(sql_blocks(SEQ["events"], "poisson", GIVEN["poisson"]) + ", " + sql_forward(4) + ", " + sql_posterior() + ", z as (select distinct seq_id, z from post) select 'all' as seq_id, round(sum(z), 6) as log_evidence, count(*) as members from z")

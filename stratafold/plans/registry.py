@@ -40,7 +40,7 @@ SEQ = {
     "ship": _seq("l_returnflag", "date_trunc('month', l_shipdate)", "count(*)::double", "lineitem", f", {ONES}"),
     "discount": _seq("l_returnflag", "date_trunc('month', l_shipdate)", "avg(l_discount) * 10", "lineitem", ", count(*)::double as phi, 1.0::double as w, 1.0::double as a"),
     "orders": _seq("o_orderpriority", "date_trunc('month', o_orderdate)", "count(*) filter (o_orderstatus = 'F')::double", "orders", ", count(*)::double as n_trials, 1.0::double as w, 1.0::double as a"),
-    "labels": "select * from (select *, cast(row_number() over (partition by seq_id order by doc_id) as bigint) as idx, 1.0::double as w, 1.0::double as a from (select 'quality' as seq_id, doc_id, quality::double as y from labels union all select 'toxic', doc_id, toxic::double from labels)) where idx <= 60",
+    "labels": "select * from (select *, cast(row_number() over (partition by seq_id order by doc_id) as bigint) as idx, 1.0::double as w, 1.0::double as a from (select 'quality' as seq_id, doc_id, quality::double as y from labels union all select 'toxic', doc_id, toxic::double from labels))",
 }
 
 LNB = "(lgamma({0}) + lgamma({1}) - lgamma(({0}) + ({1})))"
@@ -81,16 +81,23 @@ FAMILY = {
 }
 
 
-def sql_blocks(seq: str, fam: str, given: dict[str, float], more: str = "") -> str:
-    """CTEs seq, pre, blk(seq_id, i, j, s, a1) with fixed hyperparameters."""
+#: Empirical-Bayes hyperparameters as SQL over the CTE seq.
+EB = {
+    "poisson": "select seq_id, alpha, greatest(1e-8, alpha / greatest(m, 1e-12)) as beta from (select *, case when v > m + 1e-12 then greatest(1e-8, m * m / (v - m)) else 1e6 end as alpha from (select seq_id, min(m) as m, sum(w * pow(y / w - m, 2)) / sum(w) as v from (select *, sum(y) over (partition by seq_id) / sum(w) over (partition by seq_id) as m from seq) group by 1))",
+    "gaussian": "select seq_id, min(nu) as nu, greatest(abs(sum(d * (y - nu) * (y2 - nu)) / greatest(sum(d), 1)), 1e-12) as rho2, greatest(sum(d * pow(y2 - y, 2)) / (2 * greatest(sum(d), 1)), 1e-12) as sigma2 from (select *, lead(y) over (partition by seq_id order by idx) as y2, (w + lead(w) over (partition by seq_id order by idx)) / 2 as d, sum(w * y) over (partition by seq_id) / sum(w) over (partition by seq_id) as nu from seq) group by 1",
+}
+
+
+def sql_blocks(seq: str, fam: str, given: dict[str, float] | str, more: str = "") -> str:
+    """CTEs seq, pre, blk(seq_id, i, j, s, a1) with fixed hyperparameters, or those of a query."""
     terms, ev, mean = FAMILY[fam]
     sums = ", ".join(f"sum({e}) over (partition by seq_id order by idx) as p_{k}" for k, e in terms.items())
     zeros = ", ".join("0.0" for _ in terms)
     diff = ", ".join(f"q.p_{k} - p.p_{k} as s_{k}" for k in terms)
-    hyp = ", ".join(f"{v}::double as {k}" for k, v in given.items())
-    return f"""with recursive seq as (select *{more} from ({seq})),
+    hyp, cte, join = ("hyp.* exclude (seq_id)", f"hyp as ({given}),", "join hyp on hyp.seq_id = p.seq_id") if isinstance(given, str) else (", ".join(f"{v}::double as {k}" for k, v in given.items()), "", "")
+    return f"""with recursive seq as (select *{more} from ({seq})), {cte}
     pre as (select seq_id, idx as pos, {sums} from seq union all select distinct seq_id, 0, {zeros} from seq),
-    dif as (select p.seq_id, p.pos as i, q.pos as j, {diff}, {hyp} from pre p join pre q on p.seq_id = q.seq_id and p.pos < q.pos),
+    dif as (select p.seq_id, p.pos as i, q.pos as j, {diff}, {hyp} from pre p join pre q on p.seq_id = q.seq_id and p.pos < q.pos {join}),
     blk as (select seq_id, i, j, {ev} as s, {mean} as a1 from dif),
     len as (select seq_id, max(j) as n from blk group by 1)"""
 
@@ -120,3 +127,19 @@ def sql_posterior(prior: str = "pow(0.5, k - 1)", k_max: int = 4, log_c: str = "
     norm = f"(select sum(pow(p, 1)) from (select {prior} as p from range(1, {k_max + 1}) t(k)))"
     return f"""raw as (select f.seq_id, f.k, {log_c} as log_c, f.l - {log_c} as log_py_k, f.l - {log_c} + ln({prior} / {norm}) as v from fwd f join len on len.seq_id = f.seq_id and f.j = len.n),
     post as (select seq_id, k, log_c, log_py_k, v - (m + ln(sum(exp(v - m)) over (partition by seq_id))) as log_post, m + ln(sum(exp(v - m)) over (partition by seq_id)) as z from (select *, max(v) over (partition by seq_id) as m from raw))"""
+
+
+def sql_best(k_max: int, blk: str = "blk") -> str:
+    """CTEs m1..mK and best(seq_id, k, j, v, i): score of the best partition of the first j rows and where its last block begins."""
+    out = [f"m1 as (select seq_id, j, s as v, 0::bigint as i from {blk} where i = 0)"]
+    for k in range(2, k_max + 1):
+        out.append(f"m{k} as (select b.seq_id, b.j, max(m.v + b.s) as v, arg_max(b.i, m.v + b.s) as i from m{k - 1} m join {blk} b on b.seq_id = m.seq_id and b.i = m.j group by 1, 2)")
+    return ", ".join(out) + ", best as (" + " union all ".join(f"select seq_id, {k}::bigint as k, j, v, i from m{k}" for k in range(1, k_max + 1)) + ")"
+
+
+#: CTEs kmap and path(seq_id, q, i, j): the most probable number of segments and the best partition into as many.
+PATH = """kmap as (select seq_id, arg_max(k, log_post) as k from post group by 1),
+path as (select b.seq_id, b.k as q, b.j, b.i from kmap join len using (seq_id) join best b on b.seq_id = kmap.seq_id and b.k = kmap.k and b.j = n
+  union all select p.seq_id, p.q - 1, p.i, b.i from path p join best b on b.seq_id = p.seq_id and b.k = p.q - 1 and b.j = p.i where p.q > 1)"""
+#: The normal distribution function of z by Simpson's rule.
+PHI = "(0.5 + {0} / 1200.0 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda k: case when k = 0 or k = 400 then 1 when k % 2 = 1 then 4 else 2 end * exp(-pow({0} * k / 400.0, 2) / 2))))"

@@ -73,10 +73,10 @@ def orders_monthly(orders: DataFrame) -> DataFrame:
     return bucketed(orders, F.col("o_orderpriority"), F.date_trunc("month", "o_orderdate"), done, n_trials=F.count(F.lit(1)).cast("double"))
 
 
-def labels_binary(labels: DataFrame, first: int = 60) -> DataFrame:
-    """The first labels in document order as 0/1 sequences; `first` is the sequence's length, not a cap on work."""
+def labels_binary(labels: DataFrame) -> DataFrame:
+    """The labels in document order as 0/1 sequences."""
     both = labels.select("doc_id", F.explode(F.array(F.struct(F.lit("quality").alias("seq_id"), F.col("quality").alias("y")), F.struct(F.lit("toxic").alias("seq_id"), F.col("toxic").alias("y")))).alias("s"))
-    return indexed(both.select("s.seq_id", F.col("s.y").cast("double").alias("y"), "doc_id"), ["doc_id"]).where(F.col("idx") <= first)
+    return indexed(both.select("s.seq_id", F.col("s.y").cast("double").alias("y"), "doc_id"), ["doc_id"])
 
 
 def user_values(events: DataFrame) -> DataFrame:

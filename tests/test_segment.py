@@ -175,5 +175,5 @@ def test_remembered_and_requests(spark):
     assert baselines.request(s, "univariate", 10).count() == 10
     with pytest.raises(Exception, match="increasing"):
         baselines.request(s.withColumn("x", src.F.lit(1.0)), "univariate", 10).collect()
-    with pytest.raises(NotImplementedError):
-        baselines.detect(s, "CBS")
+    with pytest.raises(KeyError):
+        baselines.detect(s, "unknown")
