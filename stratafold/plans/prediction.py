@@ -189,7 +189,7 @@ def predictive_beta_obs(spark, sf):
     return rounded(_beta_scored(spark, sf).select("seq_id", "point", F.col("log_density").alias("ld")))
 
 
-@query(_BN + ", c as (select s.seq_id, s.idx, exp(lw) * y / 12000.0 * list_sum(list_transform(range(1, 4001), lambda k: case when k = 4000 then 1 when k % 2 = 1 then 4 else 2 end * exp(lgamma(phi) - lgamma(phi * x) - lgamma(phi * (1 - x)) + (phi * x - 1) * ln(y * k / 4000.0) + (phi * (1 - x) - 1) * ln(1 - y * k / 4000.0)))) as f from seq s join nw on nw.seq_id = s.seq_id and idx > i and idx <= j) select seq_id, idx as point, round(sum(f), 4) as pit from c group by 1, 2")
+@query(_BN + ", c as (select s.seq_id, s.idx, exp(lw) * 8 * y / 12000.0 * list_sum(list_transform(range(1, 4001), lambda k: case when k = 4000 then 1 when k % 2 = 1 then 4 else 2 end * pow(k / 4000.0, 7) * exp(lgamma(phi) - lgamma(phi * x) - lgamma(phi * (1 - x)) + (phi * x - 1) * ln(y * pow(k / 4000.0, 8)) + (phi * (1 - x) - 1) * ln(1 - y * pow(k / 4000.0, 8))))) as f from seq s join nw on nw.seq_id = s.seq_id and idx > i and idx <= j) select seq_id, idx as point, round(sum(f), 4) as pit from c group by 1, 2")
 def pit_beta_obs(spark, sf):
     return rounded(_beta_scored(spark, sf).select("seq_id", "point", "pit"), 4)
 
