@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .graph import components
+from .graph import attach, components
 
 SEED, PIVOTS = 42, 16
 #: Members of a bucket that one task compares with each other.
@@ -260,11 +260,12 @@ def links(unique: DataFrame, masks: list[bytes], distance: int, width: int, most
 
 def classes(fps: DataFrame, masks: list[bytes], distance: int, width: int) -> DataFrame:
     """fps (doc_id, fp, node) to doc_id, fp, component_id: the smallest doc_id of the component."""
-    unique = materialise(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("least")))
+    unique = materialise(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(unique, masks, distance, width))
-    named = unique.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    named = unique.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    found = materialise(attach(named.withColumnRenamed("n", "copies"), "root", least).select("node", "component_id", F.col("copies").alias("n")))
+    return attach(fps, "node", found).select("doc_id", "fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
