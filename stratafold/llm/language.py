@@ -7,7 +7,8 @@ and the model keeps the most frequent n-grams of each language, at most 4 * `NGR
 Prediction. A word's script (of its first letter) selects the languages in which that script has a share of letters;
 among these a word scores by its n-grams' log probabilities (bounded per word). Viterbi over the words, with a constant
 penalty for a switch, labels each word; runs of equal labels are the spans. (A text is one span at once if no run of
-words gains more than the penalty over its best single language, which the largest subarray sum tells exactly.) The document's language has most letters,
+words gains more over its best single language than the switches it takes: two inside the text, one at an end.) Words are
+what stands between white space; in scripts written without spaces, runs of `CHUNK` characters. The document's language has most letters,
 ties go to the smaller name; score is its share of the letters, 0 to 1. Documents of a batch are decoded together.
 
 Defined cases. Null text, or text without a letter: `und`, score 0, no spans. Scripts that no language has are scored
@@ -18,20 +19,26 @@ never inputs of a prediction.
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 UND = "und"
-#: Kept n-grams per language, most frequent first; a bound on the broadcast model.
-NGRAMS = 20_000
+#: Kept n-grams per language at most; a bound on the broadcast model.
+NGRAMS = 60_000
 #: Labelled rows that the classifier is fitted on, about.
 TRAIN_ROWS = 10_000
 SWITCH, FLOOR, MOST = 12.0, -4.0, 12
+#: Characters of scripts written without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han).
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+CHUNK = 4
+PARTS = re.compile(f"{UNSPACED.pattern}{{1,{CHUNK}}}|{UNSPACED.pattern.replace('[', '[^')}+")
 CACHE = 300_000
 #: First code points of script ranges, and their scripts.
 SCRIPT_STARTS = [0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0900, 0x0980, 0x0E00, 0x0E80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0]
@@ -42,6 +49,13 @@ def script(c: str) -> str:
     return SCRIPT_NAMES[bisect.bisect_right(SCRIPT_STARTS, ord(c)) - 1]
 
 
+def words(text: str) -> list[str]:
+    out = text.split()
+    if UNSPACED.search(text):
+        out = [p for w in out for p in (PARTS.findall(w) if UNSPACED.search(w) else (w,))]
+    return out
+
+
 def letters(word: str) -> str:
     """The lower-cased letters of a word."""
     w = word.lower()
@@ -62,16 +76,16 @@ def train(labelled: DataFrame, ngrams: int = NGRAMS) -> dict:
         total: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                total.setdefault(lang, Counter()).update(text.split())
+                total.setdefault(lang, Counter()).update(words(text))
             if sum(map(len, total.values())) > CACHE:
                 yield from emit(total)
                 total = {}
         yield from emit(total)
 
     def emit(total):
-        for lang, words in total.items():
+        for lang, counted in total.items():
             plain = Counter()
-            for w, n in words.items():
+            for w, n in counted.items():
                 plain[letters(w)] += n
             plain.pop("", None)
             out, scripts = Counter(), Counter()
@@ -84,13 +98,16 @@ def train(labelled: DataFrame, ngrams: int = NGRAMS) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out)), pa.array(list(out)), pa.array(list(out.values()), pa.int64())], ["lang", "gram", "n"])
 
     counts = labelled.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by = F.struct((-F.col("n")).alias("r"), "gram")
-    from pyspark.sql import Window
-
-    # rank within hashed parts first, so that no task sorts a whole language
-    part = F.pmod(F.xxhash64("gram"), F.lit(64))
-    local = counts.withColumn("rk", F.row_number().over(Window.partitionBy("lang", part).orderBy(by))).where(F.col("rk") <= ngrams // 16)
-    top = local.groupBy("lang", "gram").agg(F.first("n").alias("n")).collect()  # at most 4 * ngrams rows per language
+    counts = materialise(counts)
+    level, least, total = F.floor(F.log2("n") * 8).cast("int"), {}, Counter()
+    for r in sorted(counts.groupBy("lang", level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # some hundred rows a language
+        if total[r["lang"]] + r["count"] > ngrams:
+            total[r["lang"]] = ngrams  # no lower level of this language
+        else:
+            total[r["lang"]] += r["count"]
+            least[r["lang"]] = r["level"]
+    floor = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else F.lit(None).cast("map<string,int>")
+    top = counts.where((level >= floor[F.col("lang")]) | F.col("gram").startswith("#")).collect()  # at most ngrams a language, and its scripts
     langs = sorted({r["lang"] for r in top})
     at = {lang: k for k, lang in enumerate(langs)}
     table_: dict[str, np.ndarray] = {}
@@ -109,11 +126,27 @@ def train(labelled: DataFrame, ngrams: int = NGRAMS) -> dict:
     }
 
 
+class Places(dict):
+    """N-gram to its row; any other n-gram to the row of zeros."""
+
+    absent = 0
+
+    def __missing__(self, gram: str) -> int:
+        return self.absent
+
+
 class Speller:
     """Words to rows of a score matrix (one column per language), each scored once while a bounded table keeps it."""
 
     def __init__(self, model: dict):
         self.m = model
+        have = model["logp"]
+        none = Places(model["grams"])
+        none.absent = len(have)
+        self.find = none.__getitem__
+        self.logp = np.zeros((len(have) + 1, len(model["langs"]) + 1), np.float32)  # the last row is that of absent n-grams
+        self.logp[:-1, :-1], self.logp[:-1, -1] = have, 1
+        self.narrow = {s: ok for s, ok in model["scripts"].items() if ok.any() and not ok.all()}  # scripts of some languages only
         self.reset()
 
     def reset(self) -> None:
@@ -122,25 +155,22 @@ class Speller:
         self.size = np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        grams_at, scripts = self.m["grams"], self.m["scripts"]
         plain = [letters(w) for w in words]
-        at, starts, allowed = [], [], []
-        for w in plain:
-            starts.append(len(at))
-            if w:
-                at += [grams_at[g] for g in grams(w) if g in grams_at]
-            allowed.append(scripts.get(script(w[0])) if w else None)
+        at = [list(map(self.find, grams(w))) if w else [] for w in plain]
         size = np.array([len(w) for w in plain], np.int64)
-        ends = np.array([*starts[1:], len(at)])
-        n = ends - np.array(starts)
-        sums = np.vstack([np.zeros((1, self.scores.shape[1])), np.cumsum(self.m["logp"][at].astype(np.float64), axis=0)])
-        s = sums[ends] - sums[np.array(starts)]
-        s -= s.max(axis=1, keepdims=True)
+        ends = np.cumsum([len(x) for x in at])
+        flat = np.fromiter(itertools.chain.from_iterable(at), np.int64, int(ends[-1]))
+        sums = np.vstack([np.zeros((1, self.logp.shape[1])), np.cumsum(self.logp[flat], axis=0, dtype=np.float64)])
+        s = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+        n, s = s[:, -1], s[:, :-1]  # the last column counts the n-grams that the model has
+        s = s - s.max(axis=1, keepdims=True)
         # trigrams overlap, so a letter counts about once; a word's say is bounded
         s = np.maximum(s / np.maximum(n, 1)[:, None] * np.minimum(size, MOST)[:, None] / 2, 2 * FLOOR)
-        for k, ok in enumerate(allowed):
-            if ok is not None and not ok.all() and ok.any():
-                s[k] = np.where(ok, s[k], 4 * FLOOR)
+        if self.narrow:
+            for k, w in enumerate(plain):
+                ok = self.narrow.get(script(w[0])) if w else None
+                if ok is not None:
+                    s[k] = np.where(ok, s[k], 4 * FLOOR)
         s[size == 0] = 0
         self.row.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
         self.scores = np.vstack([self.scores, s.astype(np.float32)])
@@ -165,11 +195,13 @@ def label(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     out, search = [], []
     for k, s in enumerate(scores):
         best = int(s.sum(axis=0).argmax()) if len(s) else 0
-        out.append(np.full(len(s), best, np.int8))
+        out.append(np.full(len(s), best, np.int16))
         if s.shape[1] > 1 and len(s):
             rest = np.delete(s, best, axis=1).max(axis=1) - s[:, best]
             run = np.concatenate([[0], np.cumsum(rest, dtype=np.float64)])
-            if (run - np.minimum.accumulate(run)).max() > switch:
+            low = np.minimum.accumulate(run)
+            # the most that a stretch inside, one from the front and one to the end can gain over staying
+            if (run - low).max() > 2 * switch or run.max() > switch or run[-1] - low[-1] > switch:
                 search.append(k)
     for k, path in zip(search, viterbi([scores[k] for k in search], switch), strict=True):
         out[k] = path
@@ -181,7 +213,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
     lens = np.array([len(scores[k]) for k in order])
     if not len(lens) or not lens[0]:
-        return [np.zeros(len(s), np.int8) for s in scores]
+        return [np.zeros(len(s), np.int16) for s in scores]
     n_lang = scores[order[0]].shape[1]
     steps = int(lens[0])
     alive = np.searchsorted(-lens, -np.arange(1, steps + 1), side="right")  # documents with more than t words
@@ -195,11 +227,11 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
             best = v[:a].argmax(axis=1)
             jump = v[np.arange(a), best] - switch
             stay = v[:a] >= jump[:, None]
-            back[t] = np.where(stay, np.arange(n_lang, dtype=np.int8), best[:, None].astype(np.int8))
+            back[t] = np.where(stay, np.arange(n_lang, dtype=np.int16), best[:, None].astype(np.int16))
             v[:a] = np.where(stay, v[:a], jump[:, None])
         v[:a] += flat[ends[:a] + t]
     last = v.argmax(axis=1)
-    path = np.zeros(len(flat), np.int8)
+    path = np.zeros(len(flat), np.int16)
     for t in range(steps - 1, -1, -1):
         a = alive[t]
         path[ends[:a] + t] = last[:a]
@@ -218,14 +250,14 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     langs = model["langs"]
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # at most 4 * NGRAMS n-grams per language
+    shared = sc.broadcast(model)  # at most NGRAMS n-grams per language
     base = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")])
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
         speller = Speller(shared.value)
         for b in batches:
-            texts = [(t or "").split() for t in b.column("text").to_pylist()]
+            texts = [words(t or "") for t in b.column("text").to_pylist()]
             mats = speller.matrices(texts) if langs else [(np.zeros((0, 1)), np.zeros(0)) for _ in texts]
             pred, score, marked = [], [], []
             for (_, n), path in zip(mats, label([m for m, _ in mats]), strict=True):
