@@ -7,13 +7,14 @@ first leaves found. The number of visits is calibrated: on `PROBES` of the queri
 vectors, visits are widened by half until the recall reaches `RECALL`; with as many visits as leaves it is exact.
 Ranking. Candidates are ranked by the cosine in double precision on the original vectors.
 
-Scale and skew. Candidates meet queries by (leaf, part): a leaf with more than `PART` vectors is split into parts of
-about that size, so one crowded leaf is many tasks; each keeps the best `k` per query, so few rows go on. The tree, the
-probes and the calibration's brute force are bounded by parameters; brute force is a scan with `PROBES` broadcast vectors.
+Scale and skew. Candidates meet queries by (leaf, part, share): a leaf with more than `PART` vectors is split into parts
+of about that size, and one that more than `ASKED` queries visit into shares of them, so a crowded or popular leaf is
+many tasks, each with bounded sides; each keeps the best `k` per query, so few rows go on. The tree, the probes and the
+calibration's brute force are bounded by parameters; brute force is a scan with `PROBES` broadcast vectors.
 
 Defined cases. Vectors that are null, empty, zero or hold null or non-finite components, have a null id or another length
 than the most common one take no part. Equal scores go to the smaller id. Repeated rows of an id are candidates of their
-own. Fewer candidates than k: all of them. Empty tables give no rows.
+own; repeated queries each get theirs. Fewer candidates than k: all of them. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 BRANCH, LEAF, SAMPLE = 16, 256, 40_000
-PROBES, RECALL, PART = 128, 0.95, 2048
+PROBES, RECALL, PART, ASKED = 128, 0.95, 2048, 1024
 SEED = 5
 
 
@@ -116,17 +117,17 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -score[keep]))][:k]
 
 
-HITS = "query_id long, vec_id long, score double"
+HITS = "row long, query_id long, vec_id long, score double"
 
 
-def _scan(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+def _scan(vectors: DataFrame, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     """Exact best k of each broadcast query, by a scan of all vectors."""
     import pyarrow as pa
 
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(q)))
+    shared = vectors.sparkSession.sparkContext.broadcast((rows, ids, unit(q)))
 
     def run(batches):
-        qid, qs = shared.value
+        rows, qid, qs = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -135,14 +136,15 @@ def _scan(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFra
             for r in range(len(qid)):
                 other = np.flatnonzero(vid != qid[r])
                 top = other[best_of(s[r, other], vid[other], k)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), qid[r])), pa.array(vid[top]), pa.array(s[r, top])], ["query_id", "vec_id", "score"])
+                cols = [pa.array(np.full(len(top), rows[r])), pa.array(np.full(len(top), qid[r])), pa.array(vid[top]), pa.array(s[r, top])]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "query_id", "vec_id", "score"])
 
     return _ranked(vectors.mapInArrow(run, HITS), k)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    by = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("row", "query_id", "rank", "vec_id", "score")
 
 
 def _search(indexed: DataFrame, parts: DataFrame, queries: DataFrame, tree: Tree, visits: int, k: int) -> DataFrame:
@@ -154,28 +156,33 @@ def _search(indexed: DataFrame, parts: DataFrame, queries: DataFrame, tree: Tree
     def route(batches):
         t = shared.value
         for b in batches:
-            leaves = [t.visit(q, visits) for q in unit(matrix(b.column("v")))]
-            at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in leaves]))
-            yield pa.RecordBatch.from_arrays([pa.array([y for x in leaves for y in x], pa.int32()), b.column("vec_id").take(at), b.column("v").take(at)], ["leaf", "vec_id", "v"])
+            if b.num_rows:
+                leaves = [t.visit(q, visits) for q in unit(matrix(b.column("v")))]
+                at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in leaves]))
+                yield pa.RecordBatch.from_arrays([pa.array([y for x in leaves for y in x], pa.int32()), b.column("row").take(at)], ["leaf", "row"])
 
-    asked = queries.mapInArrow(route, "leaf int, vec_id long, v array<double>").join(parts, "leaf")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("leaf", "part", "vec_id", "v")
+    routed = materialise(queries.mapInArrow(route, "leaf int, row long"))
+    shares = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares"))  # one row per leaf
+    plan = F.broadcast(materialise(parts.join(shares, "leaf")))
+    asked = routed.join(plan, "leaf").withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(queries, "row").select("leaf", "part", "share", "row", "vec_id", "v")
+    indexed = indexed.join(plan, "leaf").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("leaf", "part", "share", "vec_id", "v")
 
     def match(key, left, right):
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        vid, qid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+        vid, qid, rows = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), right["row"].to_numpy()
         v, q = unit(np.stack(left["v"])), unit(np.stack(right["v"]))
         out = []
         for r in range(len(qid)):
             s = v @ q[r]
             other = np.flatnonzero(vid != qid[r])
             top = other[best_of(s[other], vid[other], k)]
-            out.append((np.full(len(top), qid[r]), vid[top], s[top]))
-        return pd.DataFrame({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("query_id", "vec_id", "score"))})
+            out.append((np.full(len(top), rows[r]), np.full(len(top), qid[r]), vid[top], s[top]))
+        return pd.DataFrame({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("row", "query_id", "vec_id", "score"))})
 
-    hits = indexed.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInPandas(match, HITS)
-    return _ranked(hits, k)
+    key = ["leaf", "part", "share"]
+    return _ranked(indexed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(match, HITS), k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = RECALL) -> DataFrame:
@@ -183,12 +190,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     import pyarrow as pa
 
     v = materialise(usable(vectors))
-    q = materialise(usable(queries))
+    q = materialise(usable(queries).withColumn("row", F.monotonically_increasing_id()))
     spark = v.sparkSession
     n = v.count()
     some = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * SAMPLE / max(n, 1)) + 1))
-    rows = some.orderBy("vec_id").limit(2 * SAMPLE).select("v").toArrow()  # a sample of about SAMPLE rows, by hash
-    tree = Tree(unit(matrix(rows.column("v").combine_chunks())) if rows.num_rows else np.zeros((0, 1)))
+    drawn = some.orderBy("vec_id").limit(2 * SAMPLE).select("v").toArrow()  # a sample of about SAMPLE rows, by hash
+    tree = Tree(unit(matrix(drawn.column("v").combine_chunks())) if drawn.num_rows else np.zeros((0, 1)))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):
@@ -199,19 +206,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     placed = materialise(v.mapInArrow(place, "vec_id long, v array<double>, leaf int"))
     parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))  # one row per leaf
     indexed = placed.join(F.broadcast(parts), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
-    probes = q.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES)
+    probes = q.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(PROBES)
     p = probes.toArrow()
     visits = min(8, tree.leaves)
     if p.num_rows:
-        ids, m = p.column("vec_id").to_numpy(), matrix(p.column("v").combine_chunks())
-        want = {(r["query_id"], r["vec_id"]) for r in _scan(v, ids, m, k).collect()}
-        few = q.where(F.col("vec_id").isin([int(x) for x in ids]))
+        rows, ids, m = p.column("row").to_numpy(), p.column("vec_id").to_numpy(), matrix(p.column("v").combine_chunks())
+        want = {(r["row"], r["vec_id"]) for r in _scan(v, rows, ids, m, k).collect()}
+        few = q.where(F.col("row").isin([int(x) for x in rows]))
         while visits < tree.leaves:
-            got = {(r["query_id"], r["vec_id"]) for r in _search(indexed, parts, few, tree, visits, k).collect()}
+            got = {(r["row"], r["vec_id"]) for r in _search(indexed, parts, few, tree, visits, k).collect()}
             if len(got & want) >= recall * len(want):
                 break
             visits = min(visits + max(1, visits // 2), tree.leaves)
-    return _search(indexed, parts, q, tree, visits, k)
+    return _search(indexed, parts, q, tree, visits, k).drop("row")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
