@@ -2,12 +2,14 @@
 
 Encoding. White space is a boundary that no merge crosses, so a word between ASCII white space is encoded once and kept
 in a bounded per-worker table. Texts beyond `split_bytes` are cut into leaves at arbitrary characters; the leaves are
-encoded by different tasks and concatenated as a tree: around each join the window grows to the white space on either
-side, where both sides agree. Unsplit text (a word beyond `long_word` characters) has no such place: its pre-tokens are
-halved down to `leaf` symbols, and around each join growing windows of whole tokens are encoded again until the window
-and either side share a token. A token sequence is the BPE encoding of its text exactly if each adjacent pair of tokens
-is the encoding of its own text, so one shared token on either side proves the concatenation exact; a window that has
-grown to both ends is exact by definition.
+encoded by different tasks and concatenated as a tree. Where a leaf begins or ends in white space, both sides agree at
+once; else the open words at its ends wait for their neighbours. An open word beyond `OPEN` bytes, as of unsplit text, is
+encoded by its leaf's task, with the places of its tokens: around each join a window of characters that doubles is
+encoded again until it shares a token with either side. A token sequence is the BPE encoding of its text exactly if each
+adjacent pair of tokens is the encoding of its own text, and a pre-token's extent is known to whoever sees its front and
+its end, so one shared token on either side proves the concatenation exact; a window that has grown to both ends is
+exact by definition. Inside a task the pre-tokens of words beyond `long_word` characters are halved down to `leaf`
+symbols and joined in the same way.
 
 Counts. A text is cut at the spaces that follow a character other than white space, where the byte-level pattern always
 begins a new pre-token. The distinct pieces of the corpus are gathered (combined per task, then by key), each is counted
@@ -179,37 +181,103 @@ def encoder(path: str) -> WordEncoder:
 SPACES = b" \t\n\r\x0b\x0c"
 
 
-def leaf_piece(data: bytes, enc: WordEncoder) -> tuple[bytes, bytes | None, bytes | None, bytes | None]:
-    """A leaf as (head, ids, text, tail): the open word at either end and the encoded words between; a leaf without
-    white space is all head and has None for the rest."""
+#: Bytes of an open word from which on its tokens are kept; characters of the first window around a join.
+OPEN, FIRST = 2048, 64
+
+
+def placed(tok, text: str, at: int = 0) -> list[tuple[int, int, int]]:
+    """(start, end, id) of the tokens of `text`, places in characters from `at`."""
+    e = tok.encode(text, add_special_tokens=False)
+    return [(a + at, b + at, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
+
+
+def alone(t: list, k: int) -> bool:
+    """Whether token `k` shares no character with its neighbours (a character may be cut into several tokens)."""
+    return (k == 0 or t[k - 1][1] <= t[k][0]) and (k + 1 == len(t) or t[k][1] <= t[k + 1][0])
+
+
+def joined_tokens(tok, x: str, a: list, y: str, b: list, first: int = FIRST) -> list:
+    """Tokens of x + y from those of `x` and of `y`, by windows around the join that grow until both sides agree."""
+    mid, text, w = len(x), x + y, first
+    b = [(s + mid, e + mid, i) for s, e, i in b]
+    while True:
+        lo, hi = max(0, mid - w), min(len(text), mid + w)
+        got = placed(tok, text[lo:hi], lo)
+        here = {t: k for k, t in enumerate(a) if t[0] >= lo and alone(a, k)}
+        there = {t: k for k, t in enumerate(b) if t[1] <= hi and alone(b, k)}
+        left = 0 if lo == 0 else next((k for k in range(1, len(got)) if got[k] in here and alone(got, k)), None)
+        right = len(got) if hi == len(text) else next((k for k in range(len(got) - 2, -1, -1) if got[k] in there and alone(got, k)), None)
+        if left is not None and right is not None and left <= right:
+            front = [] if lo == 0 else a[: here[got[left]]]
+            return front + got[left:right] + ([] if hi == len(text) else b[there[got[right]] :])
+        w *= 2
+
+
+def packed(t: list) -> bytes:
+    import numpy as np
+
+    return np.array(t, np.int64).tobytes()
+
+
+def unpacked(t: bytes) -> list:
+    import numpy as np
+
+    return list(map(tuple, np.frombuffer(t, np.int64).reshape(-1, 3).tolist()))
+
+
+NONE = (b"", None)
+
+
+def opened(word: bytes, enc: WordEncoder, least: int = OPEN) -> tuple[bytes, bytes | None]:
+    """An open word and, if it is long, its tokens."""
+    return word, packed(placed(enc.tok, word.decode())) if len(word) >= least else None
+
+
+def glued(a: tuple, b: tuple, enc: WordEncoder, least: int = OPEN) -> tuple[bytes, bytes | None]:
+    """Two open words as one."""
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    if a[1] is None and b[1] is None:
+        return opened(a[0] + b[0], enc, least)
+    (x, s), (y, t) = ((w.decode(), unpacked(k) if k is not None else placed(enc.tok, w.decode())) for w, k in (a, b))
+    return a[0] + b[0], packed(joined_tokens(enc.tok, x, s, y, t))
+
+
+def settled(word: tuple, enc: WordEncoder) -> tuple[bytes, bytes]:
+    if word[1] is not None:
+        return enc.both([i for _, _, i in unpacked(word[1])])
+    return enc.encode([word[0]]) if word[0] else (b"", b"")
+
+
+def leaf_piece(data: bytes, enc: WordEncoder, least: int = OPEN) -> tuple:
+    """A leaf as (head, its tokens, ids, text, tail, its tokens): the open word at either end and the encoded words
+    between; a leaf without white space is all head and has None for ids and text."""
     words = data.split()
     inner = len(words) > 1 or not words or data[0] in SPACES or data[-1] in SPACES
     if not inner:
-        return data, None, None, None
+        return *opened(data, enc, least), None, None, *NONE
     head = b"" if not words or data[0] in SPACES else words.pop(0)
     tail = b"" if not words or data[-1] in SPACES else words.pop()
-    return head, *enc.encode(words), tail
+    return *opened(head, enc, least), *enc.encode(words), *opened(tail, enc, least)
 
 
-def concat(a: tuple, b: tuple, enc: WordEncoder) -> tuple:
-    """Two neighbouring pieces as one: the window around the join is the word that spans it."""
-    if a[1] is None:
-        return (a[0] + b[0], *b[1:])
-    if b[1] is None:
-        return (*a[:3], a[3] + b[0])
-    span = a[3] + b[0]
-    ids, text = enc.encode([span]) if span else (b"", b"")
-    return a[0], a[1] + ids + b[1], a[2] + text + b[2], b[3]
+def concat(a: tuple, b: tuple, enc: WordEncoder, least: int = OPEN) -> tuple:
+    """Two neighbouring pieces as one: what spans the join is one word."""
+    if a[2] is None:
+        return *glued(a[:2], b[:2], enc, least), *b[2:]
+    if b[2] is None:
+        return *a[:4], *glued(a[4:], b[:2], enc, least)
+    ids, text = settled(glued(a[4:], b[:2], enc, least), enc)
+    return *a[:2], a[2] + ids + b[2], a[3] + text + b[3], *b[4:]
 
 
-def concat_all(pieces: list[tuple], enc: WordEncoder) -> tuple[bytes, bytes]:
+def concat_all(pieces: list[tuple], enc: WordEncoder, least: int = OPEN) -> tuple[bytes, bytes]:
     """Pieces in order to the id bytes and decoded text of the whole, joined pairwise as a tree."""
     while len(pieces) > 1:
-        pieces = [concat(*pieces[k : k + 2], enc) if k + 1 < len(pieces) else pieces[k] for k in range(0, len(pieces), 2)]
-    head, ids, text, tail = pieces[0]
-    first = enc.encode([head]) if head else (b"", b"")
-    last = enc.encode([tail]) if tail else (b"", b"")
-    return first[0] + (ids or b"") + last[0], (first[1] + (text or b"") + last[1])[:-1]
+        pieces = [concat(*pieces[k : k + 2], enc, least) if k + 1 < len(pieces) else pieces[k] for k in range(0, len(pieces), 2)]
+    p = pieces[0]
+    first, last = settled(p[:2], enc), settled(p[4:], enc)
+    return first[0] + (p[2] or b"") + last[0], (first[1] + (p[3] or b"") + last[1])[:-1]
 
 
 def leaves(data: bytes, size: int) -> list[bytes]:
@@ -223,6 +291,7 @@ def leaves(data: bytes, size: int) -> list[bytes]:
 
 
 ENCODED = "ids binary, decoded binary"
+PIECE = ("head", "head_tokens", "ids", "decoded", "tail", "tail_tokens")
 
 
 def encode(docs: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -257,15 +326,15 @@ def encode(docs: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> DataFr
         for b in batches:
             out = [leaf_piece(t, enc) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("row", "doc_id", "leaf")), *(pa.array([x[k] for x in out], pa.binary()) for k in range(4))],
-                ["row", "doc_id", "leaf", "head", "ids", "decoded", "tail"],
+                [*(b.column(c) for c in ("row", "doc_id", "leaf")), *(pa.array([x[k] for x in out], pa.binary()) for k in range(6))],
+                ["row", "doc_id", "leaf", *PIECE],
             )
 
     def joined(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("leaf")
-        pieces = list(zip(pdf["head"], pdf["ids"], pdf["decoded"], pdf["tail"], strict=True))
+        pieces = list(zip(*(pdf[c] for c in PIECE), strict=True))
         ids, text = concat_all(pieces, encoder(path))
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1].array, "ids": [ids], "decoded": [text]})
 
@@ -273,7 +342,7 @@ def encode(docs: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> DataFr
     short = rows.where(size <= split_bytes).mapInArrow(whole, f"doc_id {kind}, {ENCODED}")
     long = rows.where(size > split_bytes).withColumn("row", F.monotonically_increasing_id())
     parts = long.mapInArrow(cut, f"row long, doc_id {kind}, leaf int, text binary").repartition("row", "leaf")
-    pieces = parts.mapInArrow(encoded, f"row long, doc_id {kind}, leaf int, head binary, ids binary, decoded binary, tail binary")
+    pieces = parts.mapInArrow(encoded, f"row long, doc_id {kind}, leaf int, " + ", ".join(f"{c} binary" for c in PIECE))
     return short.unionByName(pieces.groupBy("row").applyInPandas(joined, f"doc_id {kind}, {ENCODED}"))
 
 

@@ -17,9 +17,9 @@ def texts(n=150, seed=1):
         yield "".join(rnd.choice(PARTS + seps) for _ in range(rnd.choice([2, 30, 300])))
 
 
-def whole(t, size=1 << 16):
+def whole(t, size=1 << 16, least=bpe.OPEN):
     enc = bpe.encoder(WORD)
-    ids, text = bpe.concat_all([bpe.leaf_piece(x, enc) for x in bpe.leaves(t.encode(), size)], enc)
+    ids, text = bpe.concat_all([bpe.leaf_piece(x, enc, least) for x in bpe.leaves(t.encode(), size)], enc, least)
     return [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)], text.decode(), ids
 
 
@@ -27,15 +27,15 @@ def test_equals_library():
     tok = bpe.tokenizer(WORD)
     for t in texts():
         want = tok.encode(t, add_special_tokens=False).ids
-        for size in (1 << 16, 64, 7):
-            ids, text, raw = whole(t, size)
+        for size, least in ((1 << 16, 2048), (64, 2048), (7, 2048), (64, 1), (300, 20), (7, 1)):
+            ids, text, raw = whole(t, size, least)
             assert ids == want and text == tok.decode(want, skip_special_tokens=False) == bpe.decode(raw, WORD)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_any_text(t):
-    assert whole(t, 9)[0] == bpe.tokenizer(WORD).encode(t, add_special_tokens=False).ids
+    assert whole(t, 9)[0] == whole(t, 9, 1)[0] == bpe.tokenizer(WORD).encode(t, add_special_tokens=False).ids
     assert counted(t) == len(bpe.tokenizer(BYTE).encode(t, add_special_tokens=False).ids)
 
 
@@ -48,6 +48,16 @@ def test_tree_on_unsplit_text():
     assert [i for _, _, i in bpe.tree_tokens(model, "a" * 3001, 8, 2)] == [t.id for t in model.tokenize("a" * 3001)]
 
 
+def test_unsplit_text_in_leaves():
+    tok, rnd = bpe.tokenizer(WORD), random.Random(5)
+    cases = ["a" * 70001, "".join(rnd.choice("aeinrst") for _ in range(60000)), "".join(rnd.choice(["the", "ing", "é", "'s", "'", "!!", "7", "漢", "ß", "🙂"]) for _ in range(30000)), "ab" * 20000 + " end", "!'" * 9000 + "s" + "x" * 9000]
+    for t in cases:
+        want = tok.encode(t, add_special_tokens=False).ids
+        for size in (1 << 15, 5000, 4097):
+            ids, text, _ = whole(t, size)
+            assert ids == want and text == tok.decode(want, skip_special_tokens=False)
+
+
 def counted(t):
     return sum(bpe.piece_tokens(p, bpe.tokenizer(BYTE), {}, 10) for p in bpe.pieces(t))
 
