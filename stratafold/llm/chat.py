@@ -5,7 +5,8 @@ are written `\b`, `\l`, `\h`, `\c`, so no text can hold a control string and the
 
 Windows. A turn costs its words plus `overhead` tokens. Prefix sums of these costs place each turn on a line that is cut
 into cells of `budget - history - system` tokens: turns inside a cell form one window, a turn that crosses a cell's end
-is a window of its own. So windows are turn-aligned and within the budget, unless one turn alone exceeds it (never cut).
+is a window of its own. So windows are turn-aligned and within the budget, unless one turn alone exceeds it (never cut)
+or the system turn alone exceeds `budget - history`: then every turn is a window of its own behind the system turn.
 Each window repeats the conversation's system turn and the last turns before it, up to `history` tokens. The loss mask
 covers assistant texts that are not repeats, so each is learnt exactly once.
 

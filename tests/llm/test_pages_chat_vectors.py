@@ -160,3 +160,32 @@ def test_nearest(spark):
     few = df.where("vec_id in (0, 50, 51)")
     assert ann.nearest(few, few.where("vec_id = 0")).count() == 2
     assert ann.nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
+
+
+def test_nearest_ties_and_repeated_rows(spark):
+    rows = [(k, [1.0, 0.0]) for k in (3, 1, 2)] + [(50, [2.0, 0.0]), (50, [0.0, 1.0]), (7, [0.0, 3.0]), (7, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest(df, df.where("vec_id = 50"), 3).collect())
+    assert got == sorted([(50, 1, 1, 1.0), (50, 2, 2, 1.0), (50, 3, 3, 1.0), (50, 1, 7, 1.0), (50, 2, 7, 1.0), (50, 3, 1, 0.0)])
+
+
+def test_one_leaf_asked_by_many(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ASKED", 7)
+    monkeypatch.setattr(ann, "PART", 9)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df, df, 4).collect()}
+    assert got == {(q, k + 1): int(v) for q in range(60) for k, v in enumerate(np.argsort(-s[q])[:4])}
+
+
+def test_a_system_turn_beyond_the_budget(spark):
+    rows = [(1, 0, "system", "rule " * 600)] + [(1, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(1, 7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    w = chat.windows(df)
+    back = chat.read_back(w).orderBy("window").collect()
+    assert [t["text"] for r in back for t in r["turns"]] == [r[3] for r in rows]
+    assert [x for r in back for x in r["learnt"]] == [f"turn {k}" for k in (2, 4, 6)]

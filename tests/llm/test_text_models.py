@@ -52,6 +52,47 @@ def test_model_finds_held_out_spans():
     assert pii.spans_of(p, ["", "no digits here"]) == [([], []), ([], [])]
 
 
+def test_precision_of_held_out_spans():
+    p = pii.fit(*pii.drawn(900), steps=120)
+    x, y = pii.drawn(300, seed=123)
+    got = pii.decode(p, x)
+
+    def spans(tags):
+        out = set()
+        for r, row in enumerate((tags + 1) // 2):
+            cuts = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
+            out |= {(r, a, b, int(row[a])) for a, b in zip(cuts[:-1], cuts[1:]) if row[a]}
+        return out
+
+    want, found = spans(y), spans(got)
+    assert len(want) > 100 and len(want & found) / len(found) > 0.85 and len(want & found) / len(want) > 0.85
+    clean = ["in 1999 there were 12 of 345 items, version 3.14, page 7 of 10, ratio 3:2, room 101 @ home"] * 20
+    assert sum(len(e) for _, e in pii.spans_of(p, clean)) == 0
+
+
+def test_find_takes_odd_rows(spark, odd_docs, no_docs):
+    p = pii.init(np.random.default_rng(0))
+    text = "a" * 70000 + " mail me@x.org now " + "7" * 3000
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(50, text), (50, text)], "doc_id long, text string")).selectExpr("*", "'clash' as spans")
+    got = pii.find(docs, p)
+    assert got.count() == 12 and pii.find(no_docs, p).count() == 0
+
+
+def test_many_languages_and_unspaced_scripts(spark, odd_docs):
+    rng = np.random.default_rng(1)
+    scores = [rng.normal(0, 3, (9, 200)).astype(np.float32)]
+    path = language.label(scores, 2.0)[0]
+    assert path.max() > 127 or path.min() >= 0
+    assert language.label([np.eye(200, dtype=np.float32)[[180] * 4] * 50], 2.0)[0].tolist() == [180] * 4
+    train = [("zh", "今天天气很好我们去公园散步吧"), ("ja", "きょうはてんきがいいのでこうえんへいきます"), ("en", "the house and the garden with this and that")] * 20
+    model = language.train(spark.createDataFrame(train, "lang string, text string"))
+    ask = spark.createDataFrame([(1, "我们今天去公园很好的天气散步吧今天天气很好the house and the garden with this and that house and garden")], "doc_id long, text string")
+    got = language.identify(ask, model).first()
+    assert {s["lang"] for s in got["lang_spans"]} == {"zh", "en"}
+    few = language.train(spark.createDataFrame(train, "lang string, text string"), ngrams=5)
+    assert all((few["logp"][:, k] > few["logp"][:, k].min()).sum() <= 5 for k in range(3))
+
+
 def test_redaction_keeps_columns(spark, odd_docs, no_docs):
     p = pii.init(np.random.default_rng(0))
     got = pii.redact(odd_docs, p)
