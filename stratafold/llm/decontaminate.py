@@ -11,8 +11,8 @@ Scale. Postings stay in the order of the documents; only the lists of the two ra
 starts they propose are shuffled, by (document, position), which no frequent word makes hot. The places that the
 surviving starts ask for, each once, meet the whole index by a broadcast if they are at most `BROADCAST_ROWS`, else by a
 shuffle on the same key. Terms and windows are broadcast if the benchmark holds at most `broadcast_words` words, beyond
-that they are joined by shuffles. The whole index is read three times: for the lists' lengths, for the short lists, for
-the places.
+that they are joined by shuffles. The whole index is read four times: for the lists' lengths, for the short lists, for
+the places and for the documents' ends.
 
 Defined cases. Null and empty texts have no words. Items with fewer than `window` words (not none) are one window.
 Null item ids are ignored. Repeated document rows get one result each; rows that share an id but not a text are told
@@ -45,7 +45,7 @@ def _hint(df: DataFrame, small: bool) -> DataFrame:
 
 class Index:
     """The stored postings of all words that `benchmark` uses: `postings` (row, term, pos, doc_id, text_key; the last two
-    for ends only; stored apart from them), `short` (row, term, pos: the lists of the two rarest terms of each window),
+    for ends only), `short` (row, term, pos: the lists of the two rarest terms of each window),
     `terms` (word, term) and `windows` (win, items ARRAY<STRING>, lists ARRAY<STRUCT<n, off, term>>
     rarest first); windows with a word that the corpus lacks occur nowhere and are left out."""
 
@@ -57,7 +57,7 @@ class Index:
         doc = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
         post = doc.select("row", "doc_id", "text_key", F.posexplode("w").alias("pos", "word")).join(_hint(self.terms, self.small), "word")
         end = F.col("term") == END
-        self.postings = materialise(post.select("row", "term", "pos", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("text_key")).alias("text_key"), end.alias("ends")), "ends")
+        self.postings = materialise(post.select("row", "term", "pos", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("text_key")).alias("text_key")))
         counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         cut = items.select("item", "w", F.explode(F.expr(f"sequence(1, greatest(1, size(w) - {window - 1}))")).alias("s"))
         wins = cut.groupBy(F.expr(f"slice(w, s, {window})").alias("words")).agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -70,10 +70,10 @@ class Index:
 
     def documents(self) -> DataFrame:
         """row, doc_id, text_key, n_words of every document."""
-        return self.postings.where("ends").select("row", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
+        return self.postings.where(F.col("term") == END).select("row", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
 
     def words_at(self) -> DataFrame:
-        return self.postings.where("not ends").select("row", "term", "pos")
+        return self.postings.where(F.col("term") != END).select("row", "term", "pos")
 
     def rarest(self) -> DataFrame:
         """row, win, start, size: the starts that postings of each window's rarest term propose."""
