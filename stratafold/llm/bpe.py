@@ -160,6 +160,12 @@ class WordEncoder:
             if w not in self.ids:
                 self.ids[w], self.text[w] = self.word(w.decode())
 
+    def forget(self) -> None:
+        """Empties the tables: the worker's memory is the next stage's."""
+        self.parts.clear()
+        self.ids.clear()
+        self.text.clear()
+
     def encode(self, words: list[bytes]) -> tuple[bytes, bytes]:
         """Id bytes, and the decoded tokens, each followed by a space."""
         try:
@@ -310,6 +316,7 @@ def encode(docs: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> DataFr
                 [b.column("doc_id"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1][:-1] for x in out], pa.binary())],
                 ["doc_id", "ids", "decoded"],
             )
+        enc.forget()
 
     def cut(batches):
         for b in batches:
@@ -329,6 +336,7 @@ def encode(docs: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> DataFr
                 [*(b.column(c) for c in ("row", "doc_id", "leaf")), *(pa.array([x[k] for x in out], pa.binary()) for k in range(6))],
                 ["row", "doc_id", "leaf", *PIECE],
             )
+        enc.forget()
 
     def joined(pdf):
         import pandas as pd

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import pickle
 import re
 from collections import Counter
 
@@ -68,6 +69,17 @@ def grams(w: str) -> list[str]:
     return [p[i : i + 3] for i in range(len(w))] + [f"={w}"]
 
 
+class Places(dict):
+    """N-gram to its row; any other n-gram to the row of zeros, `absent`."""
+
+    def __init__(self, rows=(), absent: int = 0):
+        super().__init__(rows)
+        self.absent = absent
+
+    def __missing__(self, gram: str) -> int:
+        return self.absent
+
+
 def train(labelled: DataFrame, ngrams: int = NGRAMS) -> dict:
     """`labelled` (lang, text) to a model: languages, log probabilities per n-gram, candidates per script."""
     import pyarrow as pa
@@ -120,30 +132,19 @@ def train(labelled: DataFrame, ngrams: int = NGRAMS) -> dict:
     share = sum(scripts.values(), np.zeros(len(langs)))
     return {
         "langs": langs,
-        "grams": {g: k for k, g in enumerate(table_)},
+        "grams": Places({g: k for k, g in enumerate(table_)}, len(table_)),
         "logp": np.log((rows + 0.5) / (total + 1.0)).astype(np.float32),
         "scripts": {s: (c / np.maximum(share, 1)) >= 0.001 for s, c in scripts.items()},
     }
 
 
-class Places(dict):
-    """N-gram to its row; any other n-gram to the row of zeros."""
-
-    absent = 0
-
-    def __missing__(self, gram: str) -> int:
-        return self.absent
-
-
 class Speller:
     """Words to rows of a score matrix (one column per language), each scored once while a bounded table keeps it."""
 
     def __init__(self, model: dict):
         self.m = model
         have = model["logp"]
-        none = Places(model["grams"])
-        none.absent = len(have)
-        self.find = none.__getitem__
+        self.find = model["grams"].__getitem__
         self.logp = np.zeros((len(have) + 1, len(model["langs"]) + 1), np.float32)  # the last row is that of absent n-grams
         self.logp[:-1, :-1], self.logp[:-1, -1] = have, 1
         self.narrow = {s: ok for s, ok in model["scripts"].items() if ok.any() and not ok.all()}  # scripts of some languages only
@@ -250,12 +251,12 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     langs = model["langs"]
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # at most NGRAMS n-grams per language
+    shared = sc.broadcast(pickle.dumps(model))  # at most NGRAMS n-grams per language; workers keep the bytes, tasks the model
     base = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")])
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
-        speller = Speller(shared.value)
+        speller = Speller(pickle.loads(shared.value))  # noqa: S301
         for b in batches:
             texts = [words(t or "") for t in b.column("text").to_pylist()]
             mats = speller.matrices(texts) if langs else [(np.zeros((0, 1)), np.zeros(0)) for _ in texts]
