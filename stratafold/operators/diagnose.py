@@ -75,6 +75,17 @@ def compare(a: segment.Fit, b: segment.Fit) -> DataFrame:
     return pk.join(m, "seq_id").join(s, "seq_id")
 
 
+def non_conjugate(approx: segment.Fit, exact: segment.Fit, approx_blocks: DataFrame, exact_blocks: DataFrame, k_max: int, quantiles: tuple[float, ...] = (0.5, 0.95, 1.0)) -> DataFrame:
+    """An approximate fit against a reference, one row per sequence: errors of log evidence on reachable blocks (maximum,
+    median, mean, `quantiles`), distances of the posteriors, overlap of MAP boundaries, the total variation of p(k) with
+    the bound that the largest error allows, and whether the bound holds."""
+    e = block_error(exact_blocks, approx_blocks, k_max)
+    a = reachable(exact_blocks, k_max, "blocks").select("seq_id", "i", "j", F.col("log_a0").alias("e"))
+    d = a.join(approx_blocks.select("seq_id", "i", "j", "log_a0"), ["seq_id", "i", "j"]).groupBy("seq_id").agg(F.percentile(F.abs(F.col("e") - F.col("log_a0")), F.array(*[F.lit(q) for q in quantiles])).alias("quantiles"))
+    t = e.join(d, "seq_id").join(bounds(e, k_max).select("seq_id", F.col("tv").alias("tv_bound")), "seq_id").join(compare(exact, approx), "seq_id")
+    return t.withColumn("tv", F.col("l1_k") / 2).withColumn("bound_holds", F.col("l1_k") / 2 <= F.col("tv_bound") + 1e-9)
+
+
 SENSITIVITY = {"uniform": 1.0, "geometric_0.8": 0.8, "inverse": lambda k: 1.0 / k}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -210,5 +211,27 @@ def unit_scores(scored_points: DataFrame) -> DataFrame:
 
 def unit_responsibility(scores: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Group probabilities of each unit, with an optional (seq_id, weight) prior."""
-    s = scores if prior is None else scores.join(prior, "seq_id").withColumn("log_score", F.col("log_score") + F.log("weight"))
+    s = scores if prior is None else scores.join(prior, "seq_id").withColumn("log_score", F.col("log_score") + F.log(F.greatest("weight", F.lit(1e-300))))
     return softmax(s, "log_score", ["unit_id"])
+
+
+def interval_units(points: DataFrame, edges: list[float]) -> DataFrame:
+    """Points (x, ...) with `unit_id`, low and high of the interval (low, high] between neighbouring edges that holds x;
+    points outside all intervals go. Each point meets the edges by a binary search of the literal list, not by a join."""
+    if len(edges) < 2 or any(not a < b for a, b in zip(edges[:-1], edges[1:], strict=True)):
+        raise ValueError("intervals need increasing edges")
+
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, x.to_numpy(), side="left") - 1, dtype="int32")
+
+    t = points.withColumn("unit_id", F.pandas_udf(place, "int")("x")).where(F.col("unit_id").between(0, len(edges) - 2))
+    at = F.array(*[F.lit(float(e)) for e in edges])
+    return t.withColumn("low", F.get(at, F.col("unit_id"))).withColumn("high", F.get(at, F.col("unit_id") + 1))
+
+
+def predict_group(scored: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Groups of fresh data from points scored under every group (unit_id, seq_id, log_density): log_score, the sum over
+    all points of all units, and prob under the optional (seq_id, weight) prior; one row per group."""
+    total = unit_scores(scored.withColumn("unit_id", F.lit(0)))
+    out = unit_responsibility(total.withColumn("raw", F.col("log_score")), prior)
+    return out.select("seq_id", F.col("raw").alias("log_score"), "prob")

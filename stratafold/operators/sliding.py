@@ -21,7 +21,8 @@ def windows(seq: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def fit(seq: DataFrame, name: str, k_max: int, size: int, overlap: int, hyper: DataFrame | None = None) -> dict[str, DataFrame]:
-    """boundaries (union over windows), curve (mean over covering windows), marginal (mean) and evidence (sum over
+    """boundaries (union over windows), curve and step (means over covering windows of the posterior mean and of the MAP
+    curve), marginal (mean) and evidence (sum over
     windows, approximate because windows overlap)."""
     from .families import hyper as estimate
 
@@ -35,6 +36,15 @@ def fit(seq: DataFrame, name: str, k_max: int, size: int, overlap: int, hyper: D
     base, start = F.substring_index("seq_id", "#", 1).alias("seq_id"), F.substring_index("seq_id", "#", -1).cast("int")
     cut = f.segment.where("i > 0").select(base, (F.col("i") + start).alias("pos")).distinct()
     curve = f.curve.select(base, (F.col("idx") + start).alias("idx"), "bayes_mixed").groupBy("seq_id", "idx").agg(F.avg("bayes_mixed").alias("mean"), F.count(F.lit(1)).alias("windows"))
+    step = f.map_curve.select(base, (F.col("idx") + start).alias("idx"), "mean").groupBy("seq_id", "idx").agg(F.avg("mean").alias("mean"))
     marg = f.boundary_marginal_mixed.select(base, (F.col("pos") + start).alias("pos"), "p").groupBy("seq_id", "pos").agg(F.avg("p").alias("p"))
     ev = f.summary.select(base, "log_evidence").groupBy("seq_id").agg(F.sum("log_evidence").alias("log_evidence"), F.count(F.lit(1)).alias("windows"))
-    return {"boundaries": cut, "curve": curve, "marginal": marg, "evidence": ev, "k_hat": cut.groupBy("seq_id").agg((F.count(F.lit(1)) + 1).alias("k_hat"))}
+    return {"boundaries": cut, "curve": curve, "step": step, "marginal": marg, "evidence": ev, "k_hat": cut.groupBy("seq_id").agg((F.count(F.lit(1)) + 1).alias("k_hat"))}
+
+
+def predict(seq: DataFrame, fitted: dict[str, DataFrame], queries: DataFrame, policy: str = "error") -> DataFrame:
+    """Queries (seq_id, x, ...) with `mean`: the covering windows' mean step value at the training row at or before x.
+    Every training row lies in a window, so no query is left without one."""
+    from .predict import locate
+
+    return locate(seq, queries, policy).join(fitted["step"], ["seq_id", "idx"])

@@ -1,6 +1,7 @@
 """Readers of the dataset formats, simulators of their shapes, and the record sink.
 
-Readers keep rows that parse and drop the rest, as distributed scans; whether enough rows are left is the caller's check.
+Readers keep rows that parse and drop the rest, as distributed scans. `load` takes the simulated shape instead of a file
+with too few of them, and its card says so.
 """
 
 from __future__ import annotations
@@ -8,10 +9,15 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sequences import indexed, mad_weights
+from .sequences import digest, indexed, mad_weights, rolling_mad
+
+#: Rows that a file of plain values needs to count as a dataset.
+LEAST = 50
 
 
 def read_values(spark: SparkSession, path: str, name: str = "values") -> DataFrame:
@@ -29,21 +35,52 @@ def read_json_values(spark: SparkSession, path: str, name: str = "values") -> Da
     return indexed(v.withColumn("seq_id", F.lit(name)), ["at"]).select("seq_id", "idx", "x", "y")
 
 
-def read_methylation(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated with columns chr, base, coverage, freqC (a table), or one fraction per line."""
+def _finite(text) -> object:
+    """A number, or null if the text is none or not finite (Spark holds NaN to be greater than all numbers)."""
+    v = text.try_cast("double")
+    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
+
+
+def is_table(spark: SparkSession, path: str) -> bool:
+    """Whether the first line names the columns coverage and freqC, in any case."""
     head = spark.read.text(path).first()
-    if head and "coverage" in head[0] and "freqC" in head[0]:
-        t = spark.read.option("sep", "\t").option("header", True).csv(path)
-        t = t.select(F.col("chr").alias("seq_id"), *(F.expr(f"try_cast({c} as double)").alias(c) for c in ("base", "coverage", "freqC")))
-        t = t.where("base is not null and coverage > 0 and freqC is not null")
-        y = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("freqC") / 100))
-        return indexed(t.select("seq_id", F.col("base").alias("x"), y.alias("y"), F.col("coverage").alias("w")), ["x", "y", "w"])
-    return read_values(spark, path, "methylation").where("y > 0 and y < 1")
+    return bool(head) and all(name in head[0].lower() for name in ("coverage", "freqc"))
 
 
-def read_probes(spark: SparkSession, path: str, name: str = "probes") -> DataFrame:
-    """A single column of log ratios, weighted by rolling scale."""
-    return mad_weights(read_values(spark, path, name))
+def read_methylation(spark: SparkSession, path: str) -> DataFrame:
+    """A table of seven tab-separated fields (name, chr, base, strand, coverage, freqC, freqT; one sequence per chr, in
+    order of base), or one fraction per line. Rows without a whole base, a positive coverage or a frequency go."""
+    if not is_table(spark, path):
+        return indexed(read_values(spark, path, "methylation").where("y > 0 and y < 1").drop("idx"), ["x"]).withColumn("x", F.col("idx").cast("double"))
+    part = F.split(F.trim("value"), "\t")
+    field = lambda k: F.trim(F.get(part, F.lit(k)))
+    t = spark.read.text(path).where(F.size(part) >= 7).select(field(1).alias("seq_id"), field(2).try_cast("bigint").cast("double").alias("x"), _finite(field(4)).alias("w"), (_finite(field(5)) / 100).alias("y"))
+    t = t.where("x is not null and w > 0 and y is not null").withColumn("y", F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("y"))))
+    return indexed(t, ["x", "y", "w"]).select("seq_id", "idx", "x", "y", "w")
+
+
+def read_probes(spark: SparkSession, path: str, name: str = "probes", individuals: list[int] | None = None) -> DataFrame:
+    """Log ratios, one probe per line, weighted by rolling scale. A single column gives one sequence; a comma-separated
+    matrix has a column per individual, of which `individuals` (from 0) are kept: one sequence per `channel` on a shared
+    axis of the probes at which all kept cells are numbers, weighted against the median scale of all channels."""
+    head = spark.read.text(path).first()
+    width = len(head[0].split(",")) if head else 1
+    kept = [k for k in (range(width) if individuals is None else individuals) if 0 <= k < width]
+    if not kept:
+        raise ValueError("none of the individuals is a column")
+    if width == 1:
+        return mad_weights(read_values(spark, path, name))
+    part = F.split("value", ",")
+    cells = F.array(*[_finite(F.trim(F.get(part, F.lit(k)))) for k in kept])
+    t = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), cells.alias("v")).where(F.forall("v", lambda v: v.isNotNull()))
+    t = indexed(t.withColumn("seq_id", F.lit(name)), ["at"])
+    each = F.array(*[F.struct(F.lit(k).alias("channel"), F.get("v", F.lit(n)).alias("y")) for n, k in enumerate(kept)])
+    long = t.select("seq_id", "idx", "x", F.inline(each)).select("seq_id", "idx", "x", "channel", "y")
+    key = F.concat_ws("|", "seq_id", F.col("channel").cast("string"))
+    m = rolling_mad(long.withColumn("seq_id", key)).withColumnRenamed("seq_id", "key")
+    mid = m.agg(F.median("mad").alias("mid"))
+    t = long.withColumn("key", key).join(m, ["key", "idx"]).join(F.broadcast(mid), F.lit(True))  # one row
+    return t.select("seq_id", "idx", "x", "channel", "y", F.pow(F.col("mid") / F.col("mad"), 2).alias("w"))
 
 
 #: Fixed values of the simulated shapes: the levels, the pieces' shares or lengths, noise and edge weights.
@@ -78,18 +115,26 @@ SHAPES = {
 }
 
 
+def _beta_draws(seed: int):
+    """Beta(c m, c (1 - m)) at level m, a generator per row, so that a task run again draws the same."""
+
+    def draw(at: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, k]).beta(CONCENTRATION * v, CONCENTRATION * (1 - v)) for k, v in zip(at, m, strict=True)], dtype=float)
+
+    return F.pandas_udf(draw, "double")
+
+
 def simulate(spark: SparkSession, shape: str, seed: int = 0) -> DataFrame:
     """A piecewise signal with noise: seq_id, idx, x, y, w and the true level, generated in parallel from the index. The
-    bounded shape draws its beta values by inverting their normal approximation on the logit scale."""
+    bounded shape draws beta values of its concentration around the level."""
     pieces, expr, end = SHAPES[shape], None, 0
     for level, length in pieces:
         end += length
         expr = F.when(F.col("id") < end, F.lit(level)) if expr is None else expr.when(F.col("id") < end, F.lit(level))
     noise, m = F.randn(seed), F.col("level")
-    logit = F.log(m / (1 - m)) + noise / F.sqrt((CONCENTRATION + 1) * m * (1 - m))
     y = {
         "welllog": m + WELLLOG_SD * noise, "cgh": m + CGH_SD * noise, "spx": F.log(F.pow(m * noise, 2) + 1e-8),
-        "methylation": F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), 1 / (1 + F.exp(-logit)))),
+        "methylation": F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), _beta_draws(seed)("id", "level"))),
     }[shape]
     edge = (F.col("id") < CGH_EDGE) | (F.col("id") >= end - CGH_EDGE)
     w = F.when(edge, CGH_EDGE_WEIGHT).otherwise(1.0) if shape == "cgh" else F.lit(1.0)
@@ -111,23 +156,72 @@ def annotations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, annotator string, pos int")
 
 
-def load(spark: SparkSession, dataset: str, path: str | None = None, stride: int = 1, seed: int = 0) -> tuple[DataFrame, dict]:
-    """(sequence, card): a file of the dataset's format, or its simulated shape if there is no path."""
-    from .sequences import subsample
+#: What a card says of each dataset: family, coordinate axis and role of the weights.
+CARDS = {
+    "welllog": ("gaussian", "observation-index", "none"),
+    "cgh": ("gaussian", "probe-index", "precision"),
+    "spx": ("gaussian", "trading-day-index", "none"),
+    "methylation": ("beta", "genomic-position", "coverage"),
+}
 
-    readers = {"welllog": read_values, "cgh": read_probes, "spx": read_closes, "methylation": read_methylation}
-    if dataset not in readers:
-        raise ValueError(f"unknown dataset {dataset!r}")
-    seq = readers[dataset](spark, path) if path else simulate(spark, dataset, seed)
-    card = {"dataset": dataset, "source": "file" if path else "simulated", "stride": stride, "boundaries": None if path else true_boundaries(dataset, stride)}
-    return (subsample(seq, stride) if stride > 1 else seq), card
+
+def read_any(spark: SparkSession, dataset: str, path: str, **options) -> DataFrame:
+    readers = {"welllog": read_welllog, "cgh": read_probes, "spx": read_closes, "methylation": read_methylation}
+    return readers[dataset](spark, path, **options)
 
 
-def read_closes(spark: SparkSession, path: str) -> DataFrame:
-    """Closing prices, one per line, as log squared returns."""
+def read_welllog(spark: SparkSession, path: str) -> DataFrame:
+    """Numbers by line, or JSON if the file has none."""
+    t = read_values(spark, path, "welllog")
+    return t if t.limit(LEAST).count() == LEAST else read_json_values(spark, path, "welllog")
+
+
+def load(spark: SparkSession, dataset: str, path: str | None = None, stride: int = 1, seed: int = 0, source_date: str | None = None, **options) -> tuple[DataFrame, dict]:
+    """(sequence, card): a file of the dataset's format, or its simulated shape if there is no path or the file holds
+    fewer than `LEAST` values (a table needs one row). The card has the origin, its date as given, the sizes, digests of
+    data and weights, the boundaries of a simulated shape and the external annotations of a real one."""
+    from .sequences import subsample
+
+    if dataset not in CARDS:
+        raise ValueError(f"unknown dataset {dataset!r}")
+    if not isinstance(stride, int) or isinstance(stride, bool) or stride < 1:
+        raise ValueError("stride must be a positive integer")
+    if source_date is not None and not isinstance(source_date, str):
+        raise TypeError("source_date must be a string")
+    seq = read_any(spark, dataset, path, **options) if path else None
+    least = 1 if path and dataset == "methylation" and is_table(spark, path) else LEAST
+    real = seq is not None and seq.limit(least).count() == least
+    seq = seq if real else simulate(spark, dataset, seed)
+    seq = subsample(seq, stride) if stride > 1 else seq
+    family, axis, role = CARDS[dataset]
+    weighted = "w" in seq.columns and role != "none"
+    size = seq.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq_id", *(["channel"] if "channel" in seq.columns else [])).alias("m")).first()
+    notes = annotations(spark).where(F.col("dataset") == dataset)
+    card = {
+        "dataset": dataset, "source": "file" if real else "simulated", "uri": path if real else f"simulated:{dataset}:{seed}", "date": source_date, "stride": stride,
+        "observations": size["n"], "sequences": size["m"], "family": family, "axis": axis if real else "observation-index", "weights": role if weighted else "none",
+        "data_sha256": digest(seq, ["x", "y"]), "weights_sha256": digest(seq, ["w"]) if weighted else None,
+        "boundaries": None if real else true_boundaries(dataset, stride), "annotators": sorted(r["annotator"] for r in notes.select("annotator").distinct().collect()) if real else [],
+    }
+    return seq, card
+
+
+def read_closes(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Closing prices as log squared returns: one price per line, or lines of date,price in any order, of which those from
+    `start` (included) to `end` (excluded) are kept."""
     from .sequences import log_squared_change
 
-    return log_squared_change(read_values(spark, path, "spx").where("y > 0"))
+    head = spark.read.text(path).first()
+    if not head or "," not in head[0]:
+        if start or end:
+            raise ValueError("a file without dates has no date window")
+        return log_squared_change(read_values(spark, path, "spx").where("y > 0"))
+    part = F.split("value", ",")
+    t = spark.read.text(path).select(F.lit("spx").alias("seq_id"), F.trim(F.get(part, F.lit(0))).try_cast("date").alias("day"), _finite(F.trim(F.get(part, F.lit(1)))).alias("y"))
+    t = t.where("day is not null and y > 0")
+    t = t.where(F.col("day") >= F.lit(start).cast("date")) if start else t
+    t = t.where(F.col("day") < F.lit(end).cast("date")) if end else t
+    return log_squared_change(indexed(t, ["day", "y"]))
 
 
 _ID, _SHA = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*"), re.compile(r"[0-9a-f]{64}")
@@ -154,3 +248,14 @@ def write_record(spark: SparkSession, rec: dict, path: str) -> None:
 def read_record(spark: SparkSession, path: str) -> dict:
     rec = json.loads(spark.read.text(path).first()[0])
     return record(**rec)
+
+
+def write_run(spark: SparkSession, path: str, dataset: str, source: str, figure: str, extra: dict | None = None) -> None:
+    """Appends one row to a table of runs: what was drawn, from which dataset, when, and further values as JSON texts."""
+    if figure.startswith("/") or ".." in figure.split("/"):
+        raise ValueError("a run record needs a relative figure path")
+    if source not in ("file", "simulated"):
+        raise ValueError(f"unknown source {source!r}")
+    more = {k: json.dumps(v, sort_keys=True, default=str) for k, v in (extra or {}).items()}
+    row = spark.createDataFrame([(dataset, source, figure, more)], "dataset string, source string, figure string, extra map<string,string>")
+    row.withColumn("ran_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)

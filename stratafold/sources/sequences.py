@@ -138,3 +138,17 @@ def content_hash(seq: DataFrame) -> DataFrame:
     """SHA-256 per sequence over its rows in order."""
     one = seq.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.concat_ws(":", F.col("idx").cast("string"), F.format_string("%.9f", "y")).alias("s")))).alias("v"))
     return one.select("seq_id", F.sha2(F.concat_ws(",", F.col("v.s")).cast("binary"), 256).alias("sha256"))
+
+
+def digest(seq: DataFrame, columns: list[str], chunk: int = 4096) -> str:
+    """SHA-256 of a whole sequence table in order of (seq_id, channel, idx): rows are hashed in chunks, chunks in sequences,
+    so no task holds more than a chunk's rows or a sequence's chunk digests. The text of a double is exact."""
+    by = ["seq_id", *(["channel"] if "channel" in seq.columns else [])]
+    row = F.struct("idx", F.concat_ws(":", F.col("idx").cast("string"), *[F.coalesce(F.col(c).cast("double").cast("string"), F.lit("null")) for c in columns]).alias("s"))
+    sha = lambda rows: F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(rows))["s"]).cast("binary"), 256)
+    part = seq.groupBy(*by, F.floor(F.col("idx") / chunk).alias("c")).agg(sha(row).alias("h"))
+    one = part.groupBy(*by).agg(sha(F.struct("c", F.col("h").alias("s"))).alias("h"))
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
+    slot = F.substring("h", 1, 2)  # 256 groups of sequences
+    few = one.groupBy(slot.alias("c")).agg(sha(F.struct(key.alias("k"), F.concat_ws("=", key, F.col("h")).alias("s"))).alias("h"))
+    return few.agg(sha(F.struct("c", F.col("h").alias("s")))).first()[0]
