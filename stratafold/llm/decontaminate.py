@@ -62,7 +62,7 @@ class Index:
         cut = items.select("item", "w", F.explode(F.expr(f"sequence(1, greatest(1, size(w) - {window - 1}))")).alias("s"))
         wins = cut.groupBy(F.expr(f"slice(w, s, {window})").alias("words")).agg(F.array_sort(F.collect_set("item")).alias("items"))
         wins = materialise(wins.withColumn("win", F.monotonically_increasing_id()))
-        placed = wins.select("win", F.posexplode("words").alias("off", "word")).join(self.terms, "word").join(counts, "term")
+        placed = wins.select("win", F.posexplode("words").alias("off", "word")).join(_hint(self.terms, self.small), "word").join(_hint(counts, self.small), "term")
         lists = placed.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("lists"))
         self.windows = materialise(wins.join(lists, "win").where("size(lists) = size(words)").select("win", "items", "lists"))
         heads = self.windows.select(F.explode(F.slice("lists", 1, 2)).alias("x")).select("x.term").distinct()
