@@ -228,6 +228,15 @@ def certify_laplace(spark, sf):
     return e.join(diagnose.bounds(e, 4), "seq_id")
 
 
+@query()
+def laplace_report(spark, sf):
+    """The fit on Laplace evidence against the fit on quadrature."""
+    s = sequence(spark, sf, "orders")
+    h = _fixed(s, nu=-0.5, rho2=0.8)
+    exact, approx = (quadrature.approximate_blocks(s, h, m) for m in ("quadrature", "laplace"))
+    return diagnose.non_conjugate(segment.fit_blocks(approx, 4), segment.fit_blocks(exact, 4), approx, exact, 4)
+
+
 # ---- baselines -------------------------------------------------------------------------------------------------------
 
 _L2 = f"""with s as ({SEQ['ship']}), p as (select seq_id, idx as pos, sum(y) over w as s, sum(y * y) over w as q from s window w as (partition by seq_id order by idx) union all select distinct seq_id, 0, 0.0, 0.0 from s),

@@ -119,6 +119,24 @@ def unit_responsibility(spark, sf):
     return rounded(predict.unit_responsibility(predict.unit_scores(t)).select("seq_id", "unit_id", "prob"))
 
 
+#: Edges of the unit intervals, on the axis of the event sequences.
+_EDGES = [0.5, 5.0, 12.0, 20.5, 26.0]
+
+
+@query(f"with seq as ({SEQ['events']}), {_Q}, e as (select * from (values {', '.join(f'({k}::bigint, {a}::double, {b}::double)' for k, (a, b) in enumerate(zip(_EDGES[:-1], _EDGES[1:], strict=True)))}) t(unit_id, low, high)) select seq_id, point, unit_id, low, high from qs join e on x > low and x <= high")
+def interval_units(spark, sf):
+    s = sequence(spark, sf, "events")
+    return rounded(predict.interval_units(queries_at(s), _EDGES).select("seq_id", "point", "unit_id", "low", "high"))
+
+
+@query(sql_scored("poisson") + ", g as (select seq_id, sum(ld) as s, case when seq_id < 'f' then 3.0 else 1.0 end as w from scored group by 1), p as (select *, s + ln(w) - max(s + ln(w)) over () as d from g) select seq_id, round(s, 6) as log_score, round(exp(d) / sum(exp(d)) over (), 6) as prob from p")
+def group_prediction(spark, sf):
+    """Each event type's model as a group; the fresh data are each group's own points."""
+    t = scored(spark, sf, "poisson").withColumn("unit_id", F.col("point"))
+    prior = t.select("seq_id").distinct().withColumn("weight", F.when(F.col("seq_id") < "f", 3.0).otherwise(1.0))
+    return rounded(predict.predict_group(t, prior))
+
+
 @query(sql_scored("gaussian") + " select seq_id, idx as point, round((y - mu) / sqrt(v), 6) as z from scored")
 def pit_gauss_z(spark, sf):
     return rounded(predict.pit_gaussian(scored(spark, sf, "gaussian")).select("seq_id", "point", "z"))
@@ -341,3 +359,11 @@ def sliding_window_rows(spark, sf):
     from ..operators import sliding
 
     return rounded(sliding.windows(sequence(spark, sf, "ship"), 40, 10).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query()
+def sliding_predict(spark, sf):
+    from ..operators import sliding
+
+    s = sequence(spark, sf, "ship")
+    return sliding.predict(s, sliding.fit(s, "poisson", 4, 40, 10, given(s, "poisson")), queries_at(s), "nearest").select("seq_id", "point", "x", "idx", "mean")

@@ -13,7 +13,7 @@ SAMPLE = ["seq_events", "poisson_hyper", "gauss_blocks", "posterior_k", "map_seg
 SAMPLE += [
     "segment_events_poisson", "segment_users_irregular", "dp_diagnostics", "map_score_check", "ks_uniform", "laplace_blocks", "jj_blocks", "beta_obs_blocks", "pelt", "binary_segmentation",
     "pit_gauss", "pit_beta", "pit_binomial_bounds", "pit_negbin_bounds", "node_weights", "predictive_beta_obs", "predictive_logit", "window_scores", "policy_record",
-    "replicate_means", "replicate_predictions", "replicate_score", "channel_score", "independent_score", "predict_bayes",
+    "replicate_means", "replicate_predictions", "replicate_score", "channel_score", "independent_score", "predict_bayes", "interval_units", "group_prediction",
 ]
 
 
