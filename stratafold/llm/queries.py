@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, decontaminate, html, language, lm, pii, simhash
+from . import ann, bpe, chat, decontaminate, exact, html, language, lm, pii, simhash
 
 QUERIES = {
     "op1_html_text": html.op1_html_text,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_token_counts": bpe.op8_token_counts,
     "op9_pii": pii.op9_pii,
     "op10_language": language.op10_language,
+    "op11_exact_dedup": exact.op11_exact_dedup,
 }
 ORACLES = {
     "op5_chat_windows": chat.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op11_exact_dedup": exact.OP11_SQL,
 }
