@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, decontaminate, exact, html, language, lm, pii, runs, simhash
+from . import ann, bpe, chat, decontaminate, exact, html, language, lm, pii, runs, simhash, spelling
 
 QUERIES = {
     "op1_html_text": html.op1_html_text,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_language": language.op10_language,
     "op11_exact_dedup": exact.op11_exact_dedup,
     "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLES = {
     "op5_chat_windows": chat.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op11_exact_dedup": exact.OP11_SQL,
     "op12_periodic_runs": runs.OP12_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
