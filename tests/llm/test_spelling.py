@@ -75,4 +75,4 @@ def test_counts_and_odd_rows(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, word string")
     for loses in (3, 199):
         assert dict(map(tuple, spelling.word_counts(docs, loses=loses).collect())) == brute_counts(rows, loses)
-    assert spelling.variants(spelling.word_counts(odd_docs)).count() >= 1
+    assert spelling.variants(spelling.word_counts(odd_docs, least=1)).count() == len({w for r in odd_docs.collect() for w in re.findall("[a-zà-ÿ]{6,}", (r.text or "").lower())})
