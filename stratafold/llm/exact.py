@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, table
 
-#: Bytes of text that a bucket may hold, and how many bits the directory may grow beyond its first estimate: texts larger
-#: than the capacity cannot be parted any better.
-CAPACITY, MORE_BITS = 64 << 20, 6
+#: Bytes of text that a bucket may hold: a 2^18th of all, at least `CAPACITY`, so that the directory stays short. How many
+#: bits the directory may grow beyond its first estimate: texts larger than the capacity cannot be parted any better.
+CAPACITY, MOST_BUCKETS, MORE_BITS = 8 << 20, 1 << 18, 4
 #: Rows of a key from which it is hot, hot keys and directory entries that are broadcast at most.
-HOT, MOST_HOT, MOST_SLOTS = 32, 100_000, 1 << 20
+HOT, MOST_HOT, MOST_SLOTS = 32, 100_000, 1 << 21
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -55,6 +55,7 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
     A bucket's name is its first slot's place among all keys: names order as key ranges."""
     spark = keys.sparkSession
     total = keys.agg(F.sum("load")).first()[0] or 0
+    capacity = max(capacity, total // MOST_BUCKETS)
     first = depth = max(0, int(2 * total // capacity).bit_length())
     live, leaves = keys, []
     while True:
