@@ -33,6 +33,9 @@ SEED = 5
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one. Each is first brought near 1 by a power of two, which is exact, so that squares of very large
+    or very small components neither overflow nor vanish."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -186,7 +189,8 @@ def _search(indexed: DataFrame, parts: DataFrame, queries: DataFrame, tree: Tree
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = RECALL) -> DataFrame:
-    """Best k of `vectors` for each row of `queries` (both vec_id long, embedding): query_id, rank, vec_id, score."""
+    """Best k of `vectors` for each row of `queries` (both vec_id long, embedding): query_id, rank, vec_id, score. The
+    result's attributes `visits`, `leaves` and `recall` say what the calibration came to."""
     import pyarrow as pa
 
     v = materialise(usable(vectors))
@@ -208,17 +212,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     indexed = placed.join(F.broadcast(parts), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
     probes = q.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(PROBES)
     p = probes.toArrow()
-    visits = min(8, tree.leaves)
+    visits, reached = min(8, tree.leaves), 1.0
     if p.num_rows:
         rows, ids, m = p.column("row").to_numpy(), p.column("vec_id").to_numpy(), matrix(p.column("v").combine_chunks())
         want = {(r["row"], r["vec_id"]) for r in _scan(v, rows, ids, m, k).collect()}
         few = q.where(F.col("row").isin([int(x) for x in rows]))
         while visits < tree.leaves:
             got = {(r["row"], r["vec_id"]) for r in _search(indexed, parts, few, tree, visits, k).collect()}
-            if len(got & want) >= recall * len(want):
+            reached = len(got & want) / max(1, len(want))
+            if reached >= recall:
                 break
-            visits = min(visits + max(1, visits // 2), tree.leaves)
-    return _search(indexed, parts, q, tree, visits, k).drop("row")
+            visits, reached = min(visits + max(1, visits // 2), tree.leaves), 1.0
+    out = _search(indexed, parts, q, tree, visits, k).drop("row")
+    out.visits, out.leaves, out.recall = visits, tree.leaves, reached
+    return out
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

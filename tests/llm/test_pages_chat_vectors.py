@@ -162,6 +162,34 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+def test_nearest_of_very_large_and_small_vectors(spark, monkeypatch):
+    """Squares of such components overflow or vanish; every finite, not zero vector takes part all the same."""
+    from fractions import Fraction
+
+    monkeypatch.setattr(ann, "LEAF", 8)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4))
+    x[:5], x[5:10] = 1e-200, 1e200
+    x[10] = [1e-300, 1, 2, 3]
+    x[11] = [5e-324, 0, 0, 0]
+    x[12] = [-1.7e308, 1.7e308, 0, 0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    exact = [[Fraction(c) for c in v] for v in x]
+    norm = [sum(c * c for c in v) for v in exact]
+    assert set(got) == set(range(40))
+    for q, rows in got.items():
+        cos = {}
+        for i in range(40):
+            if i != q:
+                dot = sum(a * b for a, b in zip(exact[q], exact[i], strict=True))
+                cos[i] = (1 if dot > 0 else -1) * float(dot * dot / norm[q] / norm[i]) ** 0.5
+        want = sorted((-round(c, 12), i) for i, c in cos.items())[:3]
+        assert [(-round(s, 12), i) for _, i, s in sorted(rows)] == want
+
+
 def test_nearest_ties_and_repeated_rows(spark):
     rows = [(k, [1.0, 0.0]) for k in (3, 1, 2)] + [(50, [2.0, 0.0]), (50, [0.0, 1.0]), (7, [0.0, 3.0]), (7, [0.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
