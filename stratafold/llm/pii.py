@@ -3,11 +3,14 @@
 Base spans. Four patterns, leftmost and non-overlapping per kind, with a check of each match (parts, Luhn, digits).
 Model. Characters fall into classes; two LSTMs read a window in either direction, a linear layer scores tags (outside, and
 begin and inside per kind), learnt transitions tie neighbouring tags; training is gradient descent (Adam) on the CRF's
-likelihood of labelled spans: base spans in windows of a bounded sample of documents, and drawn examples of each kind.
-Decoding. Windows of `SPAN` characters overlap by half. A span must hold a digit or an @, so a window with neither is all
-outside by definition and is skipped; all others are decoded by Viterbi. Each character takes the tag of the window in
+likelihood of labelled spans: base spans in windows of a bounded sample of documents, and drawn examples of each kind,
+also in forms that the patterns do not see: addresses with "(at)" and "dot", phone numbers without a country, addresses
+with spaced or bracketed dots, cards with other separators or two in a row.
+Decoding. Windows of `SPAN` characters overlap by half. A span holds a digit, an @ or a bracketed "at", so a window with
+none is all outside by definition; all others are decoded by Viterbi. Each character takes the tag of the window in
 which it stands most centrally, and spans are read from the whole text's tags, so none ends at a window's edge. A model
-span counts if it overlaps no base span and has the digits (or the @ and dot) that its kind needs.
+span is widened to whole words of letters and digits. It counts if it overlaps no base span and its kind's own test holds
+(Luhn's sum, parts at most 255, number of digits, an address's form), so the model proposes and the test decides.
 
 Defined cases. Null text is empty: no spans. Ties between windows go to the earlier one. Offsets are code points, ends
 exclusive. Repeated rows get a row each. Other columns are kept by `redact`, ignored by `find`. Time is linear in text.
@@ -34,7 +37,12 @@ _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_trigger = re.compile(r"[0-9@]")
+_trigger = re.compile(r"[0-9@]|[(\[{] ?(?:at|AT) ?[)\]}]")
+#: What a model span of each kind must look like.
+_email = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?(?:at|AT) ?[)\]}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{] ?(?:dot|DOT) ?[)\]}]| dot ) ?[A-Za-z0-9-]+)+")
+_parts = re.compile(r"([0-9]{1,3})(?: ?[(\[{]? ?(?:\.|dot) ?[)\]}]? ?([0-9]{1,3})){3}")
+_number = re.compile(r"[0-9](?: ?[-./] ?[0-9]| {0,2}[0-9])+")
+_local_phone = re.compile(r"(?:\(0?[0-9]{2,4}\)|\+[0-9]{1,3}|0[0-9]{1,4}|[2-9][0-9]{2}(?=[ .-][0-9]{3}[ .-][0-9]{4}$))[ ./-]{0,2}[0-9]{2,}(?:[ ./-][0-9]{2,})*")
 
 
 def luhn(digits: str) -> bool:
@@ -231,23 +239,40 @@ def drawn(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     word = lambda k=0: "".join(pick("abcdefghiklmnoprstuvwéüñ") for _ in range(k or rng.integers(2, 10)))
     low = lambda: "".join(pick("abcdefghiklmnoprstuvw") for _ in range(rng.integers(3, 9)))
+    def card() -> str:
+        s = num(15)
+        return next(s + d for d in "0123456789" if luhn(s + d))
+
+    def failing() -> str:
+        s = num(16)
+        return s if not luhn(s) else failing()
+
     xs, ys = [], []
     for k in range(n):
         kind = (*KINDS, None)[k % 5]
         if kind == "email":
             s = f"{low()}{pick(['', '.', '_'])}{pick(['', num(2), low()])}@{low()}{pick(['', num(1)])}.{pick(['com', 'org', 'example.com', 'net', 'de'])}"
+            if k % 3 == 0:
+                at, dot = pick([(" (at) ", " (dot) "), (" [at] ", "."), ("(at)", "."), (" [at] ", " dot "), ("[at]", "[dot]")])
+                s = s.replace("@", at).replace(".", dot)
         elif kind == "ip":
-            s = ".".join(str(rng.integers(1, 256)) for _ in range(4))
+            s = pick([".", ".", " . ", "[.]", "(.)"]).join(str(rng.integers(1, 256)) for _ in range(4))
         elif kind == "card":
-            s = pick(["", " ", "-"]).join(num(4) for _ in range(4))
+            s = pick(["", "", " ", "-", ".", "/"]).join(re.findall("....", card()))
         elif kind == "phone":
             s = f"+{rng.integers(1, 99)}{pick([' ', '-', ' ('])}{num(3)}{pick([') ', ' ', '-'])}{num(3)}{pick(['-', ' ', ''])}{num(4)}"
+            if k % 2:
+                s = pick([f"(0{num(2)}) {num(3)}-{num(4)}", f"0{num(3)} {num(7)}", f"0{num(2)}/{num(7)}", f"({num(3)}) {num(3)}-{num(4)}", f"{rng.integers(2, 10)}{num(2)}-{num(3)}-{num(4)}"])
         else:
-            s = pick([f"{num(4)}", f"{num(1)}.{num(1)}", f"key={''.join(pick('0123456789abcdef') for _ in range(18))}", f"{num(2)}.", f"AK{''.join(pick('ABCDEFGHJKLMNPQRSTUVWXYZ0123456789') for _ in range(16))}", f"{num(2)}:{num(2)}"])
+            s = pick([f"{num(4)}", f"{num(1)}.{num(1)}", f"key={''.join(pick('0123456789abcdef') for _ in range(18))}", f"{num(2)}.", f"AK{''.join(pick('ABCDEFGHJKLMNPQRSTUVWXYZ0123456789') for _ in range(16))}", f"{num(2)}:{num(2)}", f"{num(4)}-{num(2)}-{num(2)} {num(2)}:{num(2)}", failing(), f"{num(1)}.{num(2)}.{num(1)}", f"(at) {low()}", num(12)])
+        more = pick(["", "", f" {s}"]) if kind == "card" and s.isdigit() else ""  # two in a row are two spans
         left = " ".join(word() for _ in range(6)) + pick([" ", "\n", " ", "("])
-        text = left + s + pick([" ", ". ", ", ", "\n"]) + " ".join(word() for _ in range(12))
+        text = left + s + more + pick([" ", ". ", ", ", "\n"]) + " ".join(word() for _ in range(12))
         off = int(rng.integers(0, max(1, min(len(left), len(text) - SPAN))))
-        y = tags_of(len(text), [(kind, len(left), len(left) + len(s))] if kind else [])
+        spans = [(kind, len(left), len(left) + len(s))] if kind else []
+        if more:
+            spans.append((kind, spans[0][2] + 1, spans[0][2] + len(more)))
+        y = tags_of(len(text), spans)
         xs.append(classes(text[off : off + SPAN]))
         ys.append(y[off : off + SPAN])
     full = [k for k in range(n) if len(xs[k]) == SPAN]
@@ -301,7 +326,7 @@ def decode(p, x: np.ndarray) -> np.ndarray:
 
 def model_spans(p, texts: list[str], block: int = 512) -> list[list[tuple[str, int, int]]]:
     """Spans of each whole text by the model alone, windows of all texts decoded together."""
-    at, wins = [], []
+    at, wins = [], []  # at: text, start of the window, its place in wins (none if it is all outside)
     for k, text in enumerate(texts):
         hits = [m.start() for m in _trigger.finditer(text)]
         if not hits:
@@ -309,14 +334,17 @@ def model_spans(p, texts: list[str], block: int = 512) -> list[list[tuple[str, i
         x, hits = classes(text), np.array(hits)
         for a in starts(len(text)):
             lo = np.searchsorted(hits, a)
-            if lo < len(hits) and hits[lo] < a + SPAN:
+            found = lo < len(hits) and hits[lo] < a + SPAN
+            at.append((k, a, len(wins) if found else None))
+            if found:
                 w = x[a : a + SPAN]
                 wins.append(np.concatenate([w, np.full(SPAN - len(w), PAD)]))
-                at.append((k, a))
     tags = [t for lo in range(0, len(wins), block) for t in decode(p, np.array(wins[lo : lo + block]))]
+    outside = np.zeros(SPAN, np.int64)
     best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     centre = SPAN / 2 - np.abs(np.arange(SPAN) - (SPAN - 1) / 2)
-    for (k, a), t in zip(at, tags, strict=True):
+    for k, a, w in at:
+        t = outside if w is None else tags[w]
         if k not in best:
             best[k] = np.zeros(len(texts[k]), np.int64), np.zeros(len(texts[k]))
         y, how = best[k]
@@ -333,10 +361,42 @@ def model_spans(p, texts: list[str], block: int = 512) -> list[list[tuple[str, i
 
 
 def plausible(kind: str, s: str) -> bool:
-    n = len(digits_of(s))
+    """The test of each kind that a model span must pass."""
+    d = digits_of(s)
     if kind == "email":
-        return "@" in s[1:-1] and "." in s[s.index("@") :] and " " not in s
-    return {"ip": n >= 4 and s.count(".") == 3, "card": 13 <= n <= 19, "phone": 9 <= n <= 15}[kind]
+        return bool(_email.fullmatch(s))
+    if kind == "ip":
+        return bool(_parts.fullmatch(s)) and all(int(x) <= 255 for x in re.findall("[0-9]+", s))
+    if kind == "card":
+        return bool(_number.fullmatch(s)) and 13 <= len(d) <= 19 and luhn(d) and len(set(d)) > 2
+    return bool(_local_phone.fullmatch(s)) and 9 <= len(d) <= 15 and not re.fullmatch(r"[0-9]{1,4}([-./])[0-9]{1,2}\1[0-9]{1,4}", s)
+
+
+def widened(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span (a, b) without white space and stops at its ends, then widened to whole runs of letters and digits, and
+    to a bracket that opens before it."""
+    while a < b and (text[a].isspace() or text[a] in ".,;:"):
+        a += 1
+    while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
+        b -= 1
+    while a and b > a and text[a - 1].isalnum() and text[a].isalnum():
+        a -= 1
+    while b < len(text) and b > a and text[b].isalnum() and text[b - 1].isalnum():
+        b += 1
+    if a and b > a and text[a - 1] in "(+" and text[a - 1] not in text[a:b]:
+        a -= text[a - 1] == "+" or ")" in text[a:b]
+    return a, b
+
+
+def candidates(text: str, spans) -> list[tuple[str, int, int]]:
+    """The model's spans widened; those with too many digits for one number also as their parts between blanks."""
+    out = []
+    for kind, a, b in spans:
+        a, b = widened(text, a, b)
+        out.append((kind, a, b))
+        if kind in ("card", "phone") and len(digits_of(text[a:b])) > 15:
+            out += [(kind, a + m.start(), a + m.end()) for m in re.finditer(r"\S+", text[a:b])]
+    return out
 
 
 def spans_of(p, texts: list[str]) -> list[tuple[list, list]]:
@@ -344,13 +404,9 @@ def spans_of(p, texts: list[str]) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, model_spans(p, texts), strict=True):
         base = base_spans(text)
-        new = []
-        for kind, a, b in more:
-            while a < b and text[a].isspace():
-                a += 1
-            while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
-                b -= 1
-            if plausible(kind, text[a:b]) and all(b <= c or a >= d for _, c, d in base):
+        new: list[tuple[str, int, int]] = []
+        for kind, a, b in candidates(text, more):
+            if plausible(kind, text[a:b]) and all(b <= c or a >= d for _, c, d in base + new):
                 new.append((kind, a, b))
         out.append((base, sorted([*base, *new], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out

@@ -70,6 +70,84 @@ def test_precision_of_held_out_spans():
     assert sum(len(e) for _, e in pii.spans_of(p, clean)) == 0
 
 
+def planted(rng):
+    """Texts with forms that the patterns miss, and with numbers that are none; the exact spans wanted."""
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuéñ") for _ in range(rng.randint(2, 9)))
+    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    words = lambda k: " ".join(word() for _ in range(k))
+
+    def card(good=True):
+        while True:
+            s = num(16)
+            if pii.luhn(s) == good and len(set(s)) > 4:
+                return s
+
+    what = [("email", f"{word().encode('ascii', 'ignore').decode()}xy (at) example (dot) com"), ("phone", f"({num(3)}) {num(3)}-{num(4)}"), ("ip", "[.]".join(str(rng.randint(1, 255)) for _ in range(4))),
+            ("card", ".".join(re.findall("....", card()))), (None, card(False)), (None, f"{num(4)}-{num(2)}-{num(2)}"), (None, num(8)), (None, f"{num(2)}.{num(3)}")]
+    text, spans = words(rng.randint(3, 30)), []
+    for kind, s in rng.sample(what, 5):
+        text += " "
+        if kind:
+            spans.append((kind, len(text), len(text) + len(s)))
+        text += s + " " + words(rng.randint(10, 40))
+    return text, spans
+
+
+def test_precision_of_added_spans():
+    p, rng = pii.fit(*pii.drawn(1500)), random.Random(4)
+    texts = [planted(rng) for _ in range(150)]
+    added = wanted = right = 0
+    for (text, want), (base, every) in zip(texts, pii.spans_of(p, [t for t, _ in texts]), strict=True):
+        new = set(every) - set(base)
+        added, wanted, right = added + len(new), wanted + len(set(want) - set(base)), right + len(new & set(want))
+        assert set(base) <= set(every)
+    assert right / added >= 0.9 and right / wanted >= 0.6, (added, wanted, right)
+    failing = [f"word {n} word" for n in (str(10**15 + k * 7919) for k in range(400)) if not pii.luhn(n)]
+    assert not any(every for _, every in pii.spans_of(p, failing))
+
+
+def slow_spans(p, text):
+    """Every window decoded by trying tags in plain loops, every character's tag from its most central window."""
+    x, best = pii.classes(text), [(-1, 0)] * len(text)
+    for a in pii.starts(len(text)):
+        part = [*x[a : a + pii.SPAN].tolist()]
+        part += [pii.PAD] * (pii.SPAN - len(part))
+        tags = [0] * pii.SPAN
+        if pii._trigger.search(text[a : a + pii.SPAN]) or any(a <= m.start() < a + pii.SPAN for m in pii._trigger.finditer(text)):
+            e = pii.unary(p, np.array([part]))[0][:, 0]
+            score, back = list(p["s"] + e[0]), []
+            for t in range(1, pii.SPAN):
+                came = [max(range(pii.TAGS), key=lambda i: (score[i] + p["t"][i][j], -i)) for j in range(pii.TAGS)]  # noqa: B023
+                score = [score[came[j]] + p["t"][came[j]][j] + e[t][j] for j in range(pii.TAGS)]
+                back.append(came)
+            tags[-1] = max(range(pii.TAGS), key=lambda i: (score[i], -i))
+            for t in range(pii.SPAN - 1, 0, -1):
+                tags[t - 1] = back[t - 1][tags[t]]
+        for d in range(min(pii.SPAN, len(text) - a)):
+            central = pii.SPAN / 2 - abs(d - (pii.SPAN - 1) / 2) + (pii.SPAN if a == 0 and d < pii.SPAN // 2 else 0)
+            if central > best[a + d][0]:
+                best[a + d] = (central, tags[d])
+    out, k = [], 0
+    while k < len(text):
+        kind, e = (best[k][1] + 1) // 2, k + 1
+        while e < len(text) and (best[e][1] + 1) // 2 == kind and best[e][1] % 2 == 0:
+            e += 1
+        if kind:
+            out.append((pii.KINDS[kind - 1], k, e))
+        k = e
+    return out
+
+
+def test_spans_equal_slow_decoder():
+    p, rng = pii.fit(*pii.drawn(400), steps=40), random.Random(6)
+    texts = [planted(rng)[0] for _ in range(12)] + ["", "no", "a1", "x" * 63 + "1" + "y" * 64, "me (at) home " * 9, "1" * 64, "4" * 100]
+    for text, got, (base, every) in zip(texts, pii.model_spans(p, texts), pii.spans_of(p, texts), strict=True):
+        assert got == (slow_spans(p, text) if pii._trigger.search(text) else [])
+        for kind, a, b in set(every) - set(base):
+            assert pii.plausible(kind, text[a:b]) and (kind, a, b) in pii.candidates(text, got)
+            assert not (b < len(text) and text[b].isdigit() and text[b - 1].isdigit()) and not (a and text[a - 1].isdigit() and text[a].isdigit())
+
+
 def test_find_takes_odd_rows(spark, odd_docs, no_docs):
     p = pii.init(np.random.default_rng(0))
     text = "a" * 70000 + " mail me@x.org now " + "7" * 3000
