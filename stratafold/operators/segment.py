@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import arrays
-from . import dp, families, prior
+from . import dp, families, prior, tiled
 
 RESULT = (
     "seq_id string, n int, k_max int, k_map int, log_evidence double, log_joint_map double, log_c array<double>, log_left_n array<double>, log_right_0 array<double>, "
@@ -19,9 +19,18 @@ RESULT = (
 )
 
 
-ARROW = {"string": "string()", "int": "int32()", "double": "float64()", "array<int>": "list_(pa.int32())", "array<double>": "list_(pa.float64())", "array<array<double>>": "list_(pa.list_(pa.float64()))"}
-#: Rows that a dense fit takes; its tables are squares of this. Longer sequences go through `sliding`.
-LONGEST = 8192
+#: Rows up to which a fit keeps dense tables, squares of this; longer sequences go through tiles. Rows that are taken at
+#: most: tiles take time that grows with the square (50,000 rows and 6 segments: see README), families without closed
+#: form always keep dense tables (about 60 n^2 bytes).
+DENSE, LONGEST, LONGEST_QUADRATURE = 1024, 65_536, 4096
+
+
+def arrow_type(name: str):
+    """The Arrow type of a column of `RESULT`."""
+    import pyarrow as pa
+
+    plain = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    return plain[name] if name in plain else pa.list_(arrow_type(name[len("array<") : -1]))
 
 
 def by_sequence(rows: DataFrame, columns: list[str], one, schema: str) -> DataFrame:
@@ -29,7 +38,7 @@ def by_sequence(rows: DataFrame, columns: list[str], one, schema: str) -> DataFr
     where the sequence changes; a dictionary per sequence comes back."""
     import pyarrow as pa
 
-    kinds = pa.schema([(c.split()[0], eval(f"pa.{ARROW[c.split()[1]]}", {"pa": pa})) for c in schema.split(", ")])  # noqa: S307
+    kinds = pa.schema([(name, arrow_type(kind)) for name, kind in (c.split() for c in schema.split(", "))])
 
     def run(batches):
         key, held, out = None, [], []
@@ -181,22 +190,56 @@ def fit_blocks(block: DataFrame, k_max: int, count=None, value: str = "log_a0",
     return Fit(block.groupBy("seq_id").applyInPandas(run, RESULT))
 
 
-def segment(seq: DataFrame, name: str, k_max: int, hyper_df: DataFrame | None = None, count=None, k: int | None = None, curves: bool = True, min_len: int = 1) -> Fit:
+def block_source(pdf: pd.DataFrame, name: str, h: dict[str, float], factor=None) -> tiled.Blocks:
+    """The prefix sums of one sequence's rows, from which tiles make block scores."""
+    terms, evidence, _ = families.FAMILIES[name]
+    t = terms({c: pdf[c].to_numpy(float) for c in families.ROW}, arrays)
+    return tiled.Blocks({k: np.concatenate([[0.0], np.cumsum(v)]) for k, v in t.items()}, evidence, h, factor)
+
+
+def length_factor(min_len: int = 1, span=None, u: np.ndarray | None = None):
+    """The log prior factor of blocks as a function of index arrays (i, j): -inf below `min_len` rows, plus
+    `span(length of the block on the axis of boundaries u)`, or of its number of rows without u; None without either."""
+    if min_len <= 1 and span is None:
+        return None
+
+    def factor(i, j):
+        d = np.abs(j - i)
+        g = np.where(d >= min_len, 0.0, -np.inf)
+        if span is None:
+            return g
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return g + np.where(d > 0, span(np.abs(u[j] - u[i]) if u is not None else d.astype(float)), 0.0)
+
+    return factor
+
+
+def segment(
+    seq: DataFrame, name: str, k_max: int, hyper_df: DataFrame | None = None, count=None, k: int | None = None, curves: bool = True, min_len: int = 1, span=None,
+    dense_rows: int = DENSE,
+) -> Fit:
     """Full fit of every sequence of `seq` (completed): hyperparameters by grouped aggregates, then one kernel per
-    sequence, so the only shuffles are by sequence and no block ever becomes a row."""
+    sequence, so the only shuffles are by sequence and no block ever becomes a row. `span` is a function of arrays of
+    block lengths (rows) that gives log prior factors, -inf where a block is not allowed; the normaliser follows it."""
     h = families.hyper(seq, name) if hyper_df is None else hyper_df
     names = families.FAMILIES[name][2] if name in families.FAMILIES else {"beta_obs": ("alpha", "beta"), "logistic_normal": ("nu", "rho2")}[name]
     rows = seq.join(h.select("seq_id", *[F.col(x).alias(f"h_{x}") for x in names]), "seq_id")
 
+    factor = length_factor(min_len, span)
+    most = LONGEST if name in families.FAMILIES else LONGEST_QUADRATURE
+
     def run(key, pdf):
-        if len(pdf) > LONGEST:
-            raise ValueError(f"sequence {key!r} has {len(pdf)} rows: beyond {LONGEST} use sliding windows")
-        s, mean = family_tables(pdf, name, {x: float(pdf[f"h_{x}"].iloc[0]) for x in names})
+        n, given = len(pdf), {x: float(pdf[f"h_{x}"].iloc[0]) for x in names}
+        if n > most:
+            raise ValueError(f"sequence {key!r} has {n} rows: beyond {most} use sliding windows")
+        if n > dense_rows and name in families.FAMILIES:
+            row = dict.fromkeys(c.split()[0] for c in RESULT.split(", ")) | {"seq_id": key, "n": n, "k_max": min(k_max, n)}
+            return tiled.solve(row, block_source(pdf, name, given, factor), k_max, count, curves, k)
+        s, mean = family_tables(pdf, name, given)
         g = None
-        if min_len > 1:
-            n = len(pdf)
+        if factor:
             i, j = np.indices((n + 1, n + 1))
-            g = np.where(j - i >= min_len, 0.0, -np.inf)
+            g = np.where(i < j, factor(i, j), -np.inf)
             s = s + g
         return solve(key, s, mean, g, k_max, count, curves, k)
 

@@ -390,3 +390,28 @@ def segment_ship_daily(spark, sf):
 
     days = bucketed(load(spark, sf, "lineitem"), F.col("l_returnflag"), F.date_trunc("day", "l_shipdate"), F.count(F.lit(1)).cast("double"))
     return segment.segment(src.complete(days), "poisson", 20, curves=False).segment
+
+
+def _clock(spark, sf, minutes: int):
+    """Counts of all events in each so many minutes that has any, as one sequence."""
+    from ..sources.sequences import bucketed
+
+    at = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / (60 * minutes)) * 60 * minutes)
+    return src.complete(bucketed(load(spark, sf, "events"), F.lit("all"), at, F.count(F.lit(1)).cast("double")))
+
+
+@query(
+    sql_blocks(SEQ["events"].replace("event_type", "'all'").replace("date_trunc('day', ts)", "time_bucket(interval 30 minutes, ts)"), "poisson", EB["poisson"])
+    + ", " + sql_forward(3) + ", " + sql_posterior(k_max=3) + ", " + sql_best(3) + ", " + PATH
+    + " select p.seq_id, p.q, p.i, p.j, round(a1, 6) as mean, kmap.k as k_map, round(z, 6) as log_evidence from path p join blk b using (seq_id, i, j) join kmap using (seq_id) join post on post.seq_id = p.seq_id and post.k = kmap.k"
+)
+def segment_half_hours(spark, sf):
+    """A fit over tiles (every length goes that way here) under SQL."""
+    fit = segment.segment(_clock(spark, sf, 30), "poisson", 3, curves=False, dense_rows=0)
+    return rounded(fit.segment.join(fit.summary, "seq_id").select("seq_id", "q", "i", "j", "mean", "k_map", "log_evidence"))
+
+
+@query()
+def segment_five_minutes(spark, sf):
+    """One long sequence, up to 8,640 rows: beyond dense tables, exact over tiles."""
+    return rounded(segment.segment(_clock(spark, sf, 5), "poisson", 6, curves=False).segment)
