@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_avg, exact_sum
 from . import families, predict, segment
 
 
@@ -17,9 +18,10 @@ def member_blocks(seq: DataFrame, name: str, member: str, hyper: DataFrame | Non
 
 
 def pool(blocks: DataFrame) -> DataFrame:
-    """Sums evidence over members where all of them have support; a1 is the members' mean of block means."""
+    """Sums evidence over members where all of them have support; a1 is the members' mean of block means. Both sums are
+    exact, so the same members give the same bits in any order and partitioning."""
     size = blocks.groupBy("seq_id").agg(F.count_distinct("member").alias("size"))
-    p = blocks.groupBy("seq_id", "i", "j").agg(F.sum("log_a0").alias("log_a0"), F.avg("a1").alias("a1"), F.count(F.lit(1)).alias("got"))
+    p = blocks.groupBy("seq_id", "i", "j").agg(exact_sum("log_a0").alias("log_a0"), exact_avg("a1").alias("a1"), F.count(F.lit(1)).alias("got"))
     return p.join(size, "seq_id").where("got = size").select("seq_id", "i", "j", "log_a0", "a1")
 
 
@@ -51,14 +53,14 @@ def independent(seq: DataFrame, name: str, member: str, k_max: int, hyper: DataF
     """(fits per member under seq_id|member, evidence summed per sequence)."""
     one = seq.withColumn("seq_id", F.concat_ws("|", "seq_id", F.col(member).cast("string")))
     fit = segment.segment(one, name, k_max, hyper, curves=False)
-    total = fit.summary.groupBy(F.substring_index("seq_id", "|", 1).alias("seq_id")).agg(F.sum("log_evidence").alias("log_evidence"), F.count(F.lit(1)).alias("members"))
+    total = fit.summary.groupBy(F.substring_index("seq_id", "|", 1).alias("seq_id")).agg(exact_sum("log_evidence").alias("log_evidence"), F.count(F.lit(1)).alias("members"))
     return fit, total
 
 
 def exemplars(seq: DataFrame, label: str = "label") -> DataFrame:
     """One pooled sequence per label: weighted mean of y, weights summed, at each idx."""
     return seq.groupBy(F.col(label).cast("string").alias("seq_id"), "idx").agg(
-        F.min("x").alias("x"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"), F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("a", "n_trials", "r", "phi")]
+        F.min("x").alias("x"), (exact_sum(F.col("w") * F.col("y")) / exact_sum("w")).alias("y"), exact_sum("w").alias("w"), *[F.first(c).alias(c) for c in ("a", "n_trials", "r", "phi")]
     )
 
 
