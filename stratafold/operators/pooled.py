@@ -57,6 +57,13 @@ def independent(seq: DataFrame, name: str, member: str, k_max: int, hyper: DataF
     return fit, total
 
 
+def evidence_levels(summary: DataFrame, levels: list[str]) -> DataFrame:
+    """Log evidence at every level of `levels` (columns of `summary`, coarse to fine) and of all, in one pass: the levels,
+    level (0 for the finest; the bits say which columns are summed over), log_evidence, per_row, sequences."""
+    t = summary.rollup(*levels).agg(F.grouping_id().alias("level"), exact_sum("log_evidence").alias("log_evidence"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("sequences"))
+    return t.select(*levels, "level", "log_evidence", (F.col("log_evidence") / F.col("n")).alias("per_row"), "sequences")
+
+
 def exemplars(seq: DataFrame, label: str = "label") -> DataFrame:
     """One pooled sequence per label: weighted mean of y, weights summed, at each idx."""
     return seq.groupBy(F.col(label).cast("string").alias("seq_id"), "idx").agg(

@@ -129,6 +129,25 @@ def interval_units(spark, sf):
     return rounded(predict.interval_units(queries_at(s), _EDGES).select("seq_id", "point", "unit_id", "low", "high"))
 
 
+_UNITS = "iv as (select seq_id, unit_id::bigint as unit_id, unit_id * 2.5 - (ascii(seq_id) % 3) as low, unit_id * 2.5 - (ascii(seq_id) % 3) + pow(2, unit_id % 5) as high from (select distinct seq_id from seq), range(0, 12) t(unit_id))"
+
+
+def _units(s):
+    """Overlapping intervals that differ per sequence, lengths 1 to 16."""
+    u, shift = F.col("unit_id"), F.ascii("seq_id") % 3
+    iv = s.select("seq_id").distinct().withColumn("unit_id", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    return iv.select("seq_id", "unit_id", (u * 2.5 - shift).alias("low"), (u * 2.5 - shift + F.pow(F.lit(2.0), u % 5)).alias("high"))
+
+
+@query(sql_scored("poisson") + f", {_UNITS} select iv.seq_id, unit_id, low::double as low, high, count(s.idx) as n_points, round(coalesce(sum(ld), 0), 6) as log_score from iv left join scored s on s.seq_id = iv.seq_id and s.idx > low and s.idx <= high group by all")
+def overlapping_units(spark, sf):
+    """Log likelihood of units whose intervals overlap and differ per sequence; some hold no point."""
+    from ..operators import units
+
+    t = scored(spark, sf, "poisson").withColumn("x", F.col("point").cast("double"))
+    return rounded(units.unit_log_likelihood(t, _units(sequence(spark, sf, "events"))))
+
+
 @query(sql_scored("poisson") + ", g as (select seq_id, sum(ld) as s, case when seq_id < 'f' then 3.0 else 1.0 end as w from scored group by 1), p as (select *, s + ln(w) - max(s + ln(w)) over () as d from g) select seq_id, round(s, 6) as log_score, round(exp(d) / sum(exp(d)) over (), 6) as prob from p")
 def group_prediction(spark, sf):
     """Each event type's model as a group; the fresh data are each group's own points."""
@@ -320,6 +339,30 @@ def independent_channels(spark, sf):
     return rounded(pooled.independent(s, "poisson", "member", 4, member_hyper(s))[1])
 
 
+@query("select l_returnflag as seq_id, round(sum(l_extendedprice), 2) as total, round(avg(l_extendedprice), 6) as mean, count(*) as n from lineitem group by 1")
+def exact_totals(spark, sf):
+    """Totals in which numbers up to 10^20 cancel: a plain sum of doubles would not keep a digit of the prices."""
+    from ..functions.exact import exact_sum
+
+    big = F.col("l_orderkey") * F.lit(1e12) + F.col("l_extendedprice")
+    v = load(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice", F.explode(F.array(big, -big, F.col("l_extendedprice"))).alias("v"))
+    out = v.groupBy(F.col("l_returnflag").alias("seq_id")).agg(exact_sum("v").alias("total"), (F.count(F.lit(1)) / 3).cast("long").alias("n"))
+    return out.select("seq_id", F.round("total", 2).alias("total"), F.round(F.col("total") / F.col("n"), 6).alias("mean"), "n")
+
+
+@query(
+    sql_blocks(SEQ["events"], "poisson", GIVEN["poisson"]) + ", " + sql_forward(4) + ", " + sql_posterior()
+    + """, z as (select distinct case when seq_id < 'f' then 'early' else 'late' end as label, post.seq_id, z, n from post join len using (seq_id))
+    select label, seq_id, cast(grouping(label) * 2 + grouping(seq_id) as bigint) as level, round(sum(z), 6) as log_evidence, round(sum(z) / sum(n), 6) as per_row, count(*) as sequences from z group by rollup (label, seq_id)"""
+)
+def evidence_rollup(spark, sf):
+    """Log evidence per sequence, per group of sequences and of all, in one pass."""
+    s = sequence(spark, sf, "events")
+    one = segment.segment(s, "poisson", 4, given(s, "poisson"), curves=False).summary
+    one = one.withColumn("label", F.when(F.col("seq_id") < "f", "early").otherwise("late"))
+    return rounded(pooled.evidence_levels(one, ["label", "seq_id"]))
+
+
 @query()
 def quantity_channels(spark, sf):
     s = src.complete(src.quantity_channels(load(spark, sf, "lineitem")))
