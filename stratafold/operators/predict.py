@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import beta_cdf, cols, normal_cdf
+from ..functions import incomplete
+from ..functions.special import cols, normal_cdf
 from . import families
 
 POLICIES = ("error", "nearest", "clip", "left_endpoint", "right_endpoint")
@@ -34,9 +35,11 @@ def locate(seq: DataFrame, queries: DataFrame, policy: str = "nearest") -> DataF
 
 
 def to_segment(located: DataFrame, segment: DataFrame) -> DataFrame:
-    """Adds the segment (q, i, j, mean) that holds each located row."""
-    s = segment.select("seq_id", "q", "i", "j", "mean")
-    return located.join(s, "seq_id").where((F.col("idx") > F.col("i")) & (F.col("idx") <= F.col("j")))
+    """Adds the segment (q, i, j, mean) that holds each located row. A sequence's segments come as one array, so a query
+    never meets those that do not hold it as rows."""
+    s = segment.groupBy("seq_id").agg(F.collect_list(F.struct("q", "i", "j", "mean")).alias("_s"))
+    t = located.join(s, "seq_id").withColumn("_s", F.get(F.filter("_s", lambda s: (F.col("idx") > s["i"]) & (F.col("idx") <= s["j"])), F.lit(0)))
+    return t.where("_s is not null").select(*located.columns, "_s.q", "_s.i", "_s.j", "_s.mean")
 
 
 def predict(seq: DataFrame, segment: DataFrame, queries: DataFrame, policy: str = "nearest") -> DataFrame:
@@ -104,14 +107,14 @@ def score_nodes(seq: DataFrame, name: str, segment: DataFrame, hyper: DataFrame,
     normal: a Bernoulli with the posterior mean rate, clipped; no pit."""
     from . import quadrature
 
-    w = node_weights(seq, name, segment, hyper, nodes)
-    q = locate(seq, queries, policy)
+    w = node_weights(seq, name, segment, hyper, nodes).drop("i", "j")
+    at = to_segment(locate(seq, queries, policy), segment).drop("i", "j", "mean")
     if name == "logistic_normal":
-        rate = w.groupBy("seq_id", "q", "i", "j").agg(F.sum(F.exp("lw") * F.col("value")).alias("rate"))
-        t = q.join(rate, "seq_id").where((F.col("idx") > F.col("i")) & (F.col("idx") <= F.col("j")))
+        rate = w.groupBy("seq_id", "q").agg(F.sum(F.exp("lw") * F.col("value")).alias("rate"))
         p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("rate")))
+        t = at.join(rate, ["seq_id", "q"])
         return t.withColumn("log_density", F.col("y") * F.log(p) + (1 - F.col("y")) * F.log1p(-p)).withColumn("pit", F.lit(None).cast("double"))
-    t = q.join(w, "seq_id").where((F.col("idx") > F.col("i")) & (F.col("idx") <= F.col("j")))
+    t = at.join(w, ["seq_id", "q"])
     inside = (F.col("y") > 0) & (F.col("y") < 1)
     y = F.when(inside, F.col("y")).otherwise(0.5)
     t = t.withColumn("l", F.col("lw") + quadrature._beta_node_terms(y, F.col("phi"), F.col("value"), cols))
@@ -123,14 +126,23 @@ def score_nodes(seq: DataFrame, name: str, segment: DataFrame, hyper: DataFrame,
 
 
 def incomplete_beta(x, a, b):
-    """The regularised incomplete beta function, an Arrow-batched kernel."""
+    """The regularised incomplete beta function as a Column: whole Arrow batches at once."""
 
     def run(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([beta_cdf(*v) for v in zip(x, a, b, strict=True)], dtype=float)
+        return pd.Series(incomplete.incomplete_beta(x.to_numpy(float), a.to_numpy(float), b.to_numpy(float)))
 
     return F.pandas_udf(run, "double")(x, a, b)
 
 
+def beta_less(a1, b1, a2, b2):
+    """P(U <= V) for U ~ Beta(a1, b1), V ~ Beta(a2, b2) as a Column: whole Arrow batches at once."""
+
+    def run(a1: pd.Series, b1: pd.Series, a2: pd.Series, b2: pd.Series) -> pd.Series:
+        return pd.Series(incomplete.beta_less(*(v.to_numpy(float) for v in (a1, b1, a2, b2))))
+
+    return F.pandas_udf(run, "double")(a1, b1, a2, b2)
+
+
 def predict_bayes(seq: DataFrame, curve: DataFrame, queries: DataFrame, column: str = "bayes_mixed", policy: str = "nearest") -> DataFrame:
     """Posterior mean curve at each query: the value at the training row at or before it."""
     return locate(seq, queries, policy).join(curve.select("seq_id", "idx", F.col(column).alias("mean")), ["seq_id", "idx"])
@@ -152,7 +164,7 @@ def score_points(seq: DataFrame, name: str, segment: DataFrame, hyper: DataFrame
     for k, v in {"w": 1.0, "n_trials": 1.0, "r": 1.0}.items():
         if k not in q.columns:
             q = q.withColumn(k, F.lit(v))
-    t = q.join(s, "seq_id").where((F.col("idx") > F.col("i")) & (F.col("idx") <= F.col("j")))
+    t = to_segment(q, segment).drop("i", "j", "mean").join(s, ["seq_id", "q"])
     return t.withColumn("log_density", log_density(name))
 
 
@@ -175,10 +187,25 @@ def pit_gaussian(scored: DataFrame) -> DataFrame:
 
 
 def pit_bounds(scored: DataFrame, name: str) -> DataFrame:
-    """Discrete PIT: F(y - 1) and F(y) as sums of the predictive mass over 0..y."""
-    below = F.aggregate(F.sequence(F.lit(0), F.col("y").cast("int")), F.lit(0.0), lambda acc, k: acc + F.when(k < F.col("y"), F.exp(log_density(name, k.cast("double")))).otherwise(0.0))
-    t = scored.withColumn("pit_low", below)
-    return t.withColumn("pit_high", F.col("pit_low") + F.exp("log_density"))
+    """Discrete PIT: pit_low = F(y - 1) and pit_high = F(y). A predictive distribution function at a count is one
+    incomplete beta function (Poisson) or the probability that one beta variable is below another (binomial, negative
+    binomial), whatever the count; none is a sum over counts."""
+    c, y = F.col, F.col("y").cast("double")
+    one = F.lit(1.0)
+    if name == "poisson":
+        below = incomplete_beta((c("beta") + c("s_e")) / (c("beta") + c("s_e") + c("w")), c("alpha") + c("s_s"), F.greatest(y, one))
+    elif name == "negbin":
+        below = beta_less(c("r"), F.greatest(y, one), c("alpha") + c("s_m"), c("beta") + c("s_s"))
+    elif name == "binomial":
+        a, b = _beta(c)
+        below = beta_less(c("n_trials") - y + 1.0, F.greatest(y, one), b, a)
+    elif name == "bernoulli":
+        a, b = _beta(c)
+        below = 1.0 - F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), a / (a + b)))
+    else:
+        raise NotImplementedError(f"no discrete probability integral transform for {name!r}")
+    t = scored.withColumn("pit_low", F.when(y > 0, below).otherwise(0.0))
+    return t.withColumn("pit_high", F.least(one, F.col("pit_low") + F.exp("log_density")))
 
 
 def pit(scored: DataFrame, name: str, seed: int = 0) -> DataFrame:
@@ -195,7 +222,11 @@ def pit(scored: DataFrame, name: str, seed: int = 0) -> DataFrame:
 
 
 def randomised_pit(bounded: DataFrame, seed: int = 0) -> DataFrame:
-    return bounded.withColumn("pit", F.col("pit_low") + F.rand(seed) * (F.col("pit_high") - F.col("pit_low")))
+    """Adds pit, a number between pit_low and pit_high drawn from a hash of the point: its sequence, position and value and,
+    where there is one, its `point`. A task that runs again draws the same."""
+    key = [k for k in ("seq_id", "unit_id", "point", "x", "y") if k in bounded.columns]
+    u = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
+    return bounded.withColumn("pit", F.col("pit_low") + u * (F.col("pit_high") - F.col("pit_low")))
 
 
 def softmax(df: DataFrame, value: str, by: list[str], name: str = "prob") -> DataFrame:
