@@ -1,12 +1,18 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""The folder that driver and executors share: cutting lineage, and keeping fits by what they are made from."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import re
 import tempfile
 import uuid
+from dataclasses import fields, is_dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,14 +32,81 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Set to anything to fit anew whatever has been kept.
+BYPASS = "STRATAFOLD_REFIT"
+MANIFEST = "version string, rows long"
+
+
+def table_digest(data: DataFrame) -> str:
+    """A digest of a table's columns and rows, whatever their order and partitioning: SHA-256 of the column types and of
+    four sums, each over 60 bits of every row's own SHA-256. Combined map-side; repeated rows count."""
+    cols = sorted(data.columns)
+    h = F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    sums = [F.sum(F.conv(F.substring("_h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    r = data.select(h.alias("_h")).agg(F.count(F.lit(1)).cast("string"), *sums).first()
+    return hashlib.sha256(json.dumps([[(c, data.schema[c].dataType.simpleString()) for c in cols], list(r)]).encode()).hexdigest()
+
+
+def stable(value):
+    """A parameter as JSON can hold it, the same in every process: numbers exactly, functions by their code."""
+    if isinstance(value, dict):
+        return {str(k): stable(v) for k, v in sorted(value.items(), key=lambda kv: str(kv[0]))}
+    if isinstance(value, (list, tuple)):
+        return [stable(v) for v in value]
+    if isinstance(value, (set, frozenset)):
+        return sorted((stable(v) for v in value), key=json.dumps)
+    if callable(value) and hasattr(value, "__code__"):
+        held = [c.cell_contents for c in value.__closure__ or ()]
+        return ["function", value.__code__.co_code.hex(), stable([c for c in value.__code__.co_consts if not hasattr(c, "co_code")]), list(value.__code__.co_names), stable(held), stable(value.__defaults__ or ())]
+    if hasattr(value, "tolist"):
+        return stable(value.tolist())
+    if isinstance(value, float):
+        return value.hex()
+    if value is None or isinstance(value, (bool, int, str)):
+        return value
+    if is_dataclass(value):
+        return [type(value).__name__, stable({f.name: getattr(value, f.name) for f in fields(value)})]
+    raise TypeError(f"no stable form of a {type(value).__name__}")
+
+
+def cache_key(data: DataFrame, params: dict, extra: str = "") -> str:
+    """The key of a fit: what it is made from (every value of `data`), how (`params`), and the version of this package."""
+    from .. import __version__
+
+    return hashlib.sha256(json.dumps([table_digest(data), stable(params), __version__, extra]).encode()).hexdigest()
+
+
+def _published(spark: SparkSession, base: str) -> str | None:
+    """The version that readers of a key agree on: the first by name of those that a manifest names."""
+    try:
+        named = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").parquet(f"{base}/manifest")
+        return named.agg(F.min("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def fit_or_load(spark: SparkSession, key: str, build, columns: list[str] | None = None) -> DataFrame:
+    """`build()`, kept under `key` in the shared folder and read from there ever after; only `columns`, if given, are kept.
+    A writer writes a version of its own and then a manifest of one file in a folder of its own, which Spark's committer
+    puts in place by a rename. So a reader sees no half-written version, two writers share no folder that either cleans
+    up, and all readers after them take the same version."""
+    base = f"{shared_dir(spark)}/stratafold/kept-{key}"
+    found = None if os.environ.get(BYPASS) else _published(spark, base)
+    if found is None:
+        version = uuid.uuid4().hex
+        out = build()
+        out = out.select(*columns) if columns else out
+        out.write.parquet(f"{base}/{version}")
+        if os.environ.get(BYPASS):
+            return spark.read.schema(out.schema).parquet(f"{base}/{version}")
+        rows = spark.read.schema(out.schema).parquet(f"{base}/{version}").count()
+        spark.createDataFrame([(version, rows)], MANIFEST).coalesce(1).write.parquet(f"{base}/manifest/of-{version}")
+        found = _published(spark, base)
+    return spark.read.parquet(f"{base}/{found}")
+
+
 def remembered(spark: SparkSession, key: str, build) -> DataFrame:
-    """`build()` written once per key below the shared folder; later calls with the key read it. The key should hold a
-    digest of the data (sources.sequences.content_hash) and the parameters."""
-    import hashlib
-
-    path = f"{shared_dir(spark)}/stratafold/kept-{hashlib.sha256(key.encode()).hexdigest()}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """`fit_or_load` under a key of any text."""
+    return fit_or_load(spark, hashlib.sha256(key.encode()).hexdigest(), build)

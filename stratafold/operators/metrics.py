@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -97,17 +99,30 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n")).alias("ece"))
 
 
-def bootstrap_ci(values: DataFrame, by: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean over `draws` resamples with replacement, seeded by the group's name. A group is one
-    sequence of scores or replicates; long ones are resampled one draw at a time to bound memory."""
+#: P(weight <= k) of Poisson(1) for k = 0.., in units of 2^-32; what lies above the last is below the resolution.
+POISSON_ONE = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(m) for m in range(k + 1))) for k in range(13)]
+
+
+def bootstrap_weights(values: DataFrame, key: list[str], draws: int, seed: int = 0) -> DataFrame:
+    """Every row once per draw (0..draws - 1) in which its weight w, a Poisson(1) number, is not zero. The weight follows
+    from a digest of the row's key, four draws from each, so it does not depend on partitions and a retry repeats it."""
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed)), F.col("_block").cast("string"))
+    t = values.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4)))).withColumn("_h", F.md5(text.cast("binary")))
+    t = t.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("draw", (F.col("_block") * 4 + F.col("_c")).cast("int")).where(F.col("draw") < draws)
+    u = F.conv(F.substring("_h", F.col("_c") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    w = sum(F.when(u >= c, 1).otherwise(0) for c in POISSON_ONE)
+    return t.withColumn("w", w).where("w > 0").drop("_block", "_c", "_h")
 
-    def run(key, pdf):
-        v = pdf[value].to_numpy(float)
-        rng = np.random.default_rng([seed, *np.frombuffer(str(key[0]).encode(), np.uint8)])
-        means = v[rng.integers(0, len(v), (draws, len(v)))].mean(axis=1) if len(v) < 5000 else np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(draws)])
-        return pd.DataFrame([(key[0], v.mean(), *np.percentile(means, [2.5, 97.5]))], columns=[by, "mean", "low", "high"])
 
-    return values.groupBy(by).applyInPandas(run, f"{by} string, mean double, low double, high double")
+def bootstrap_ci(values: DataFrame, by: str, value: str, key: list[str], draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Percentile interval of the mean: by, mean, low, high. A Poisson bootstrap: in each draw a row counts a Poisson(1)
+    number of times, which needs no resampling of a group as a whole, so weighted sums combine map-side per (group, draw)
+    and a group of any size is many tasks. `key` names columns that tell the rows of a group apart."""
+    v = values.select(by, *[k for k in key if k != by], F.col(value).cast("double").alias("_v")).where("_v is not null")
+    one = bootstrap_weights(v, [by, *key], draws, seed).groupBy(by, "draw").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias("m"))
+    tail = (1 - level) / 2
+    q = one.groupBy(by).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    return v.groupBy(by).agg(F.avg("_v").alias("mean")).join(q, by, "left").select(by, "mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
 def ks_uniform(pit: DataFrame) -> DataFrame:

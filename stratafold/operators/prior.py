@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,11 +28,6 @@ def count_prior(prior, k_max: int) -> np.ndarray:
     return np.log(np.maximum(p / p.sum(), 1e-300))
 
 
-def recovered(prior):
-    """The count prior that a missing choice stands for: the uniform one."""
-    return "uniform" if prior is None else prior
-
-
 def count_at(prior, k: int, k_max: int) -> float:
     """log p(k), for one k between 1 and k_max."""
     if not 1 <= k <= k_max:
@@ -59,7 +55,9 @@ def count_prior_table(spark: SparkSession, prior, k_max: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Partition:
-    """cohesion: uniform, span or length (factor (span / scale) ** power); hazard: uniform or poisson (rate).
+    """cohesion: uniform, span or length (factor (span / scale) ** power); hazard: uniform or poisson (rate). `span` is a log
+    factor of the caller's own, `span(length on the axis, ns)`, written against a namespace of functions so that the
+    kernels (`segment.segment(span=..., on_axis=True)`) can use it too; blocks where it is not finite disappear.
     `blocks` (i, j, factor) and `boundaries` (pos, factor) are side tables that override by position."""
 
     cohesion: str = "uniform"
@@ -70,6 +68,7 @@ class Partition:
     min_len: int = 1
     min_span: float = 0.0
     max_span: float = math.inf
+    span: Callable | None = None
     blocks: DataFrame | None = field(default=None, compare=False)
     boundaries: DataFrame | None = field(default=None, compare=False)
 
@@ -101,6 +100,8 @@ def with_prior(block: DataFrame, bound: DataFrame, prior: Partition) -> DataFram
     if prior.hazard == "poisson":
         g = g + F.when(F.col("j") < F.col("n"), hazard_term(F.col("du"), prior.rate)).otherwise(0.0)
     t = t.withColumn("log_g", g)
+    if prior.span is not None:
+        t = t.withColumn("f", prior.span(span, cols)).where("f > double('-inf') and f < double('inf')").withColumn("log_g", F.col("log_g") + F.col("f")).drop("f")
     if prior.blocks is not None:  # explicit factors, small side tables: 0 removes the block
         t = t.join(prior.blocks.select("i", "j", F.col("factor").alias("f")), ["i", "j"], "left").where("f is null or f > 0").withColumn("log_g", F.col("log_g") + F.log(F.coalesce("f", F.lit(1.0)))).drop("f")
     if prior.boundaries is not None:

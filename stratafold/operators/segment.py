@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import arrays
@@ -14,7 +14,7 @@ from . import dp, families, prior, tiled
 
 RESULT = (
     "seq_id string, n int, k_max int, k_map int, log_evidence double, log_joint_map double, log_c array<double>, log_left_n array<double>, log_right_0 array<double>, "
-    "log_post array<double>, boundaries array<int>, means array<double>, marginal array<double>, marginal_mixed array<double>, "
+    "log_post array<double>, log_p array<double>, boundaries array<int>, means array<double>, marginal array<double>, marginal_mixed array<double>, "
     "location array<array<double>>, curve_fixed array<double>, curve_mixed array<double>, error string"
 )
 
@@ -76,8 +76,9 @@ def solve(seq_id: str, s: np.ndarray, mean: np.ndarray, g: np.ndarray | None, k_
     row = dict.fromkeys(c.split()[0] for c in RESULT.split(", ")) | {"seq_id": seq_id, "n": n, "k_max": k_max}
     left, right = dp.forward(s, k_max), dp.backward(s, k_max)
     log_c = dp.log_normaliser(n, k_max, g)
+    log_p = prior.count_prior(count, k_max)
     try:
-        post, z = dp.posterior_k(left, log_c, prior.count_prior(count, k_max))
+        post, z = dp.posterior_k(left, log_c, log_p)
     except ValueError as e:
         return row | {"error": str(e)}
     k_map = k or int(post.argmax()) + 1
@@ -87,7 +88,7 @@ def solve(seq_id: str, s: np.ndarray, mean: np.ndarray, g: np.ndarray | None, k_
     fixed[k_map - 1] = 1.0
     mixed = sum(np.exp(post[q - 1]) * dp.marginals(left, right, q) for q in range(2, k_max + 1) if np.isfinite(post[q - 1]))
     return row | {
-        "k_map": k_map, "log_evidence": z, "log_joint_map": float(best[k_map, n]), "log_c": log_c, "log_left_n": left[1:, n], "log_right_0": right[1:, 0], "log_post": post,
+        "k_map": k_map, "log_evidence": z, "log_joint_map": float(best[k_map, n]), "log_c": log_c, "log_left_n": left[1:, n], "log_right_0": right[1:, 0], "log_post": post, "log_p": log_p,
         "boundaries": cut, "means": [float(mean[a, b]) for a, b in zip(cut[:-1], cut[1:], strict=True)],
         "marginal": dp.marginals(left, right, k_map), "marginal_mixed": mixed + np.zeros(n + 1), "location": [x.tolist() for x in dp.locations(left, right, k_map)],
         "curve_fixed": dp.curve(s, mean, left, right, fixed) if curves else None, "curve_mixed": dp.curve(s, mean, left, right, np.exp(post)) if curves else None,
@@ -144,6 +145,28 @@ class Fit:
     def boundary_marginal_mixed(self) -> DataFrame:
         return self._positions("marginal_mixed", "p").drop("k_map")
 
+    @property
+    def count_prior(self) -> DataFrame:
+        """The count prior that the fit was made under: seq_id, k, log_p."""
+        return self.rows.select("seq_id", F.posexplode("log_p").alias("k", "log_p")).select("seq_id", (F.col("k") + 1).alias("k"), "log_p")
+
+    def under(self, count) -> DataFrame:
+        """seq_id, k, log_post, log_evidence under another count prior (a name, a rate, a function of k; None for that of the
+        fit), from what the fit kept: no recursion runs again."""
+        most = self.rows.agg(F.max("k_max")).first()[0] or 1
+        t = self.rows.select("seq_id", "log_p", F.posexplode(F.arrays_zip("log_c", "log_left_n")).alias("k", "p"))
+        if count is None:
+            new = F.get("log_p", F.col("k"))
+        else:  # one prior per number of terms, as sequences shorter than k_max have fewer
+            new = F.get(F.get(F.array(*[F.array(*[F.lit(float(v)) for v in prior.count_prior(count, m)]) for m in range(1, most + 1)]), F.size("log_p") - 1), F.col("k"))
+        no = F.lit(float("-inf"))
+        t = t.select("seq_id", (F.col("k") + 1).alias("k"), F.when(F.col("p.log_c") > no, F.col("p.log_left_n") - F.col("p.log_c") + new).otherwise(no).alias("v"))
+        by = Window.partitionBy("seq_id")
+        top = F.max("v").over(by)
+        t = t.withColumn("top", top)
+        t = t.withColumn("log_evidence", F.col("top") + F.log(F.sum(F.exp(F.col("v") - F.col("top"))).over(by)))
+        return t.select("seq_id", "k", (F.col("v") - F.col("log_evidence")).alias("log_post"), "log_evidence")
+
     @property
     def boundary_location(self) -> DataFrame:
         p = self.rows.select("seq_id", "k_map", F.posexplode("location").alias("b", "at")).select("seq_id", "k_map", (F.col("b") + 1).alias("boundary"), F.posexplode("at").alias("pos", "p"))
@@ -169,8 +192,6 @@ class Fit:
 
     @property
     def modes(self) -> DataFrame:
-        from pyspark.sql import Window
-
         by = Window.partitionBy("seq_id").orderBy(F.desc("p"), "pos")
         return self.boundary_marginal.withColumn("rk", F.row_number().over(by)).where("rk < k_map").select("seq_id", "pos", "p")
 
@@ -197,9 +218,17 @@ def block_source(pdf: pd.DataFrame, name: str, h: dict[str, float], factor=None)
     return tiled.Blocks({k: np.concatenate([[0.0], np.cumsum(v)]) for k, v in t.items()}, evidence, h, factor)
 
 
+def axis(x: np.ndarray) -> np.ndarray:
+    """Boundary coordinates at positions 0..n, as `sources.sequences.bounds` has them."""
+    mid = (x[1:] + x[:-1]) / 2
+    first, last = ((x[1] - x[0]) / 2, (x[-1] - x[-2]) / 2) if len(x) > 1 else (0.5, 0.5)
+    return np.concatenate([[x[0] - first], mid, [x[-1] + last]])
+
+
 def length_factor(min_len: int = 1, span=None, u: np.ndarray | None = None):
     """The log prior factor of blocks as a function of index arrays (i, j): -inf below `min_len` rows, plus
-    `span(length of the block on the axis of boundaries u)`, or of its number of rows without u; None without either."""
+    `span(length of the block, namespace)`, its length on the axis of boundaries u, or in rows without u; what is not
+    finite there counts as not allowed. None without either."""
     if min_len <= 1 and span is None:
         return None
 
@@ -209,27 +238,30 @@ def length_factor(min_len: int = 1, span=None, u: np.ndarray | None = None):
         if span is None:
             return g
         with np.errstate(divide="ignore", invalid="ignore"):
-            return g + np.where(d > 0, span(np.abs(u[j] - u[i]) if u is not None else d.astype(float)), 0.0)
+            f = span(np.abs(u[j] - u[i]) if u is not None else d.astype(float), arrays)
+            return np.where((d > 0) & np.isfinite(f), g + f, np.where(d > 0, -np.inf, g))
 
     return factor
 
 
 def segment(
     seq: DataFrame, name: str, k_max: int, hyper_df: DataFrame | None = None, count=None, k: int | None = None, curves: bool = True, min_len: int = 1, span=None,
-    dense_rows: int = DENSE,
+    on_axis: bool = False, dense_rows: int = DENSE,
 ) -> Fit:
     """Full fit of every sequence of `seq` (completed): hyperparameters by grouped aggregates, then one kernel per
-    sequence, so the only shuffles are by sequence and no block ever becomes a row. `span` is a function of arrays of
-    block lengths (rows) that gives log prior factors, -inf where a block is not allowed; the normaliser follows it."""
+    sequence, so the only shuffles are by sequence and no block ever becomes a row. `span(length, ns)` gives the
+    log prior factor of a block from its length in rows, or `on_axis` on the axis x; it is written against a namespace of
+    functions (ns.ln, ns.where, ...) like the families, so the same function serves Columns (`prior.Partition(span=...)`)
+    and this kernel. Where it is not finite a block is not allowed; the normaliser follows it."""
     h = families.hyper(seq, name) if hyper_df is None else hyper_df
     names = families.FAMILIES[name][2] if name in families.FAMILIES else {"beta_obs": ("alpha", "beta"), "logistic_normal": ("nu", "rho2")}[name]
     rows = seq.join(h.select("seq_id", *[F.col(x).alias(f"h_{x}") for x in names]), "seq_id")
 
-    factor = length_factor(min_len, span)
     most = LONGEST if name in families.FAMILIES else LONGEST_QUADRATURE
 
     def run(key, pdf):
         n, given = len(pdf), {x: float(pdf[f"h_{x}"].iloc[0]) for x in names}
+        factor = length_factor(min_len, span, axis(pdf["x"].to_numpy(float)) if on_axis else None)
         if n > most:
             raise ValueError(f"sequence {key!r} has {n} rows: beyond {most} use sliding windows")
         if n > dense_rows and name in families.FAMILIES:
@@ -243,7 +275,8 @@ def segment(
             s = s + g
         return solve(key, s, mean, g, k_max, count, curves, k)
 
-    return Fit(by_sequence(families.checked(rows, name), [*families.ROW, *[f"h_{x}" for x in names]], run, RESULT))
+    more = ["x"] if on_axis else []
+    return Fit(by_sequence(families.checked(rows, name), [*families.ROW, *more, *[f"h_{x}" for x in names]], run, RESULT))
 
 
 def renewal(seq: DataFrame, name: str, k_max: int, rate: float, power: float, hyper_df: DataFrame | None = None) -> Fit:

@@ -187,8 +187,9 @@ def solve(row: dict, b: Blocks, k_max: int, count, curves: bool = True, k: int |
     k_max = min(k_max, n)
     left, best, back = sweep(b, k_max, paths=True)
     log_c = log_normaliser(b, k_max)
+    log_p = prior.count_prior(count, k_max)
     try:
-        post, z = dp.posterior_k(left, log_c, prior.count_prior(count, k_max))
+        post, z = dp.posterior_k(left, log_c, log_p)
     except ValueError as e:
         return row | {"error": str(e)}
     k_map = k or int(post.argmax()) + 1
@@ -201,7 +202,7 @@ def solve(row: dict, b: Blocks, k_max: int, count, curves: bool = True, k: int |
     mixed = sum(np.exp(post[q - 1]) * dp.marginals(left, right, q) for q in range(2, k_max + 1) if np.isfinite(post[q - 1]))
     lines = curve.values() if curves else [None, None]
     return row | {
-        "k_map": k_map, "log_evidence": z, "log_joint_map": float(best[k_map, n]), "log_c": log_c, "log_left_n": left[1:, n], "log_right_0": right[1:, 0], "log_post": post,
+        "k_map": k_map, "log_evidence": z, "log_joint_map": float(best[k_map, n]), "log_c": log_c, "log_left_n": left[1:, n], "log_right_0": right[1:, 0], "log_post": post, "log_p": log_p,
         "boundaries": cut, "means": mean, "marginal": dp.marginals(left, right, k_map), "marginal_mixed": mixed + np.zeros(n + 1),
         "location": [x.tolist() for x in dp.locations(left, right, k_map)], "curve_fixed": lines[0], "curve_mixed": lines[1],
     }

@@ -367,6 +367,37 @@ def posterior_k_cohesion(spark, sf):
     return rounded(segment.fit_blocks(b, 3, curves=False).posterior_k.select("seq_id", "k", "log_c", "log_py_k"))
 
 
+_SPAN = _EV + f", {_U}, gee as (select b.seq_id, b.i, b.j, ln(1 + uj.u - ui.u) - 0.2 * (uj.u - ui.u) as s from blk b join u ui on ui.seq_id = b.seq_id and ui.pos = b.i join u uj on uj.seq_id = b.seq_id and uj.pos = b.j where uj.u - ui.u <= 21), tilt as (select b.seq_id, b.i, b.j, b.s + g.s as s from blk b join gee g using (seq_id, i, j)), " + sql_forward(3, "tilt")
+_OWN_C = ", " + sql_forward(3, "gee").replace("fwd as", "gwd as").replace("f1", "g1").replace("f2", "g2").replace("f3", "g3") + " select f.seq_id, f.k, round(g.l, 6) as log_c, round(f.l - g.l, 6) as log_py_k from fwd f join gwd g using (seq_id, k, j) join len on len.seq_id = f.seq_id and f.j = len.n"
+
+
+def own_span(x, ns):
+    """A prior of the caller's own: short and middling blocks, none beyond 21 on the axis."""
+    return ns.where(x <= 21.0, ns.ln(1.0 + x) - 0.2 * x, float("-inf"))
+
+
+@query(_SPAN + _OWN_C)
+def span_prior_blocks(spark, sf):
+    """Evidence per k under a function of the span, by a block table."""
+    s = sequence(spark, sf, "events")
+    b = prior.with_prior(block_table(s, "poisson"), src.bounds(s), prior.Partition(span=own_span))
+    return rounded(segment.fit_blocks(b, 3, curves=False).posterior_k.where("log_c > double('-inf')").select("seq_id", "k", "log_c", "log_py_k"))
+
+
+@query(_SPAN + _OWN_C)
+def span_prior_kernel(spark, sf):
+    """The same function in the kernel that makes no block table."""
+    return rounded(_fit(spark, sf, k_max=3, curves=False, span=own_span, on_axis=True).posterior_k.where("log_c > double('-inf')").select("seq_id", "k", "log_c", "log_py_k"))
+
+
+@query(_PO + """, new as (select seq_id, k, log_py_k + ln(1.0 / k / (25.0 / 12)) as v, ln(pow(0.5, k - 1) / 1.875) as log_p from post), z as (select *, max(v) over (partition by seq_id) as m from new)
+  select seq_id, k, round(log_p, 6) as log_p, round(v - m - ln(sum(exp(v - m)) over (partition by seq_id)), 6) as log_post, round(m + ln(sum(exp(v - m)) over (partition by seq_id)), 6) as log_evidence from z""")
+def prior_exchange(spark, sf):
+    """A fit's own count prior, recovered from it, and its posterior under another one, without a new fit."""
+    fit = _fit(spark, sf, curves=False)
+    return rounded(fit.under(lambda k: 1.0 / k).join(fit.count_prior, ["seq_id", "k"]).select("seq_id", "k", "log_p", "log_post", "log_evidence"))
+
+
 @query(sql_blocks(SEQ["events"], "poisson", EB["poisson"]) + ", " + sql_forward(6) + ", " + sql_posterior(k_max=6) + ", " + sql_best(6) + ", " + PATH + " select p.seq_id, p.q, p.i, p.j, round(a1, 6) as mean, kmap.k as k_map, round(z, 6) as log_evidence, round(exp(e.log_post), 6) as p_k_max from path p join blk b using (seq_id, i, j) join kmap using (seq_id) join post e on e.seq_id = p.seq_id and e.k = 6")
 def segment_events_poisson(spark, sf):
     """Flagship: empirical-Bayes Poisson segmentation of the daily counts of each event type."""

@@ -140,9 +140,14 @@ def adjusted_rand(spark, sf):
     return rounded(metrics.adjusted_rand(load(spark, sf, "labels").select(F.col("quality").alias("truth"), F.col("toxic").alias("found"))))
 
 
-@query()
+_BOOT = "b as (select seq_id, y, d, ('0x' || substr(md5(seq_id || ':' || idx || ':7:' || (d // 4)), 1 + 8 * (d % 4), 8))::bigint as u from s, range(0, 500) t(d)), w as (select seq_id, y, d, " + " + ".join(f"(u >= {c})::int" for c in metrics.POISSON_ONE) + " as w from b)"
+
+
+@query(f"with s as ({SEQ['values']}), {_BOOT}, m as (select seq_id, d, sum(w * y) / sum(w) as m from w where w > 0 group by 1, 2), q as (select seq_id, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m group by 1), a as (select seq_id, avg(y) as mean from s group by 1) select seq_id, round(mean, 6) as mean, round(low, 6) as low, round(high, 6) as high from a join q using (seq_id)")
 def bootstrap_ci(spark, sf):
-    return metrics.bootstrap_ci(sequence(spark, sf, "values"), "seq_id", "y", 500)
+    """Every weight of every draw under SQL: both sides take it from the same digest."""
+    t = sequence(spark, sf, "values").withColumn("key", F.concat_ws(":", F.col("idx").cast("string")))
+    return rounded(metrics.bootstrap_ci(t, "seq_id", "y", ["key"], 500, seed=7))
 
 
 @query(f"with s as ({SEQ['ship']}), n as (select *, count(*) over (partition by seq_id) as n from s) select seq_id, idx from n where idx > floor(n * 0.4) and idx <= floor(n * 0.4) + floor(n * 0.15)")

@@ -161,7 +161,6 @@ def test_small_metrics(spark):
 
 
 def test_prior_lookups():
-    assert prior.recovered(None) == "uniform" and prior.recovered(0.5) == 0.5
     assert abs(prior.count_at("uniform", 2, 4) + np.log(4)) < 1e-12 and prior.cohesion_at(4.0, 0.5, 2.0) == 0.5 * np.log(2)
     lam = 0.6
     assert abs(prior.hazard_at(2.0, 0.3) - (lam + np.log(1 - np.exp(-lam)))) < 1e-12

@@ -50,7 +50,7 @@ def test_vectors_equal_block_table(seq, hyper, vec):
     assert [(i[p], j[p]) for p in mixture.places([0, 2, 3, 9], 9)] == [(0, 2), (2, 3), (3, 9)]
 
 
-@pytest.mark.parametrize("factor", [None, segment.length_factor(2), segment.length_factor(1, lambda x: 0.7 * np.log(x))])
+@pytest.mark.parametrize("factor", [None, segment.length_factor(2), segment.length_factor(1, lambda x, ns: 0.7 * ns.ln(x))])
 def test_m_step_equals_enumeration(spark, vec, factor):
     rng = np.random.default_rng(1)
     v = {r.seq_id: np.array(r.scores) for r in vec.collect()}

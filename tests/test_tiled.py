@@ -47,7 +47,7 @@ def test_equals_dense(name, n, k_max):
     same(*both(rows(n, name), name, k_max))
 
 
-@pytest.mark.parametrize("factor", [segment.length_factor(7), segment.length_factor(2, lambda x: 1.5 * np.log(x / 3)), segment.length_factor(1, lambda x: np.where(x % 5 == 3, -np.inf, -0.1 * x))])
+@pytest.mark.parametrize("factor", [segment.length_factor(7), segment.length_factor(2, lambda x, ns: 1.5 * ns.ln(x / 3)), segment.length_factor(1, lambda x, ns: ns.where(x % 5 == 3, -np.inf, -0.1 * x))])
 def test_equals_dense_under_length_priors(factor):
     for n in (1, 6, 20, 300):
         same(*both(rows(n, "gaussian", 3), "gaussian", 4, factor, "uniform"))
