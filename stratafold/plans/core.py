@@ -359,7 +359,7 @@ def bayes_curve_mixed(spark, sf):
 _HAZ = _EV.replace("with recursive seq", "with recursive seq") + ", tilt as (select b.seq_id, i, j, s + ln(j - i) as s from blk b), gee as (select seq_id, i, j, ln(j - i) as s from blk), " + sql_forward(3, "tilt")
 
 
-@query(_HAZ + ", " + sql_forward(3, "gee").replace("fwd as", "gwd as").replace("f1", "g1").replace("f2", "g2").replace("f3", "g3") + " select f.seq_id, f.k, round(g.l, 6) as log_c, round(f.l - g.l, 6) as log_py_k from fwd f join gwd g using (seq_id, k, j) join len on len.seq_id = f.seq_id and f.j = len.n")
+@query(_HAZ + ", " + sql_forward(3, "gee", "g", "gwd") + " select f.seq_id, f.k, round(g.l, 6) as log_c, round(f.l - g.l, 6) as log_py_k from fwd f join gwd g using (seq_id, k, j) join len on len.seq_id = f.seq_id and f.j = len.n")
 def posterior_k_cohesion(spark, sf):
     """Evidence per k under a length cohesion, with its own normaliser."""
     s = sequence(spark, sf, "events")
@@ -368,7 +368,7 @@ def posterior_k_cohesion(spark, sf):
 
 
 _SPAN = _EV + f", {_U}, gee as (select b.seq_id, b.i, b.j, ln(1 + uj.u - ui.u) - 0.2 * (uj.u - ui.u) as s from blk b join u ui on ui.seq_id = b.seq_id and ui.pos = b.i join u uj on uj.seq_id = b.seq_id and uj.pos = b.j where uj.u - ui.u <= 21), tilt as (select b.seq_id, b.i, b.j, b.s + g.s as s from blk b join gee g using (seq_id, i, j)), " + sql_forward(3, "tilt")
-_OWN_C = ", " + sql_forward(3, "gee").replace("fwd as", "gwd as").replace("f1", "g1").replace("f2", "g2").replace("f3", "g3") + " select f.seq_id, f.k, round(g.l, 6) as log_c, round(f.l - g.l, 6) as log_py_k from fwd f join gwd g using (seq_id, k, j) join len on len.seq_id = f.seq_id and f.j = len.n"
+_OWN_C = ", " + sql_forward(3, "gee", "g", "gwd") + " select f.seq_id, f.k, round(g.l, 6) as log_c, round(f.l - g.l, 6) as log_py_k from fwd f join gwd g using (seq_id, k, j) join len on len.seq_id = f.seq_id and f.j = len.n"
 
 
 def own_span(x, ns):

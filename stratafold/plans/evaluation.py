@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baselines, diagnose, metrics, quadrature, segment
 from .core import block_table, given, sequence
-from .registry import PHI, SEQ, query, rounded, sql_backward, sql_best, sql_blocks, sql_forward, sql_posterior
+from .registry import PATH, PHI, SEQ, query, rounded, sql_backward, sql_best, sql_blocks, sql_forward, sql_posterior
 from .core import GIVEN
 
 _EV = sql_blocks(SEQ["events"], "poisson", GIVEN["poisson"])
@@ -41,9 +41,33 @@ def diagnostic_report(spark, sf):
     return diagnose.report(diagnose.invariants(_fit(spark, sf)))
 
 
-@query()
+def sql_variant(prior: str, power: float = 0.0, k_max: int = 4) -> str:
+    """One query of all that a comparison of fits needs, under a count prior and a power of the block length: rows
+    (seq_id, kind, key, v) with p(k), mixed boundary marginals and MAP boundaries."""
+    b, log_c, own = "blk", "(lgamma(n) - lgamma(k) - lgamma(n - k + 1))", ""
+    if power:
+        b, log_c = "tilt", "(select g.l from gwd g where g.seq_id = f.seq_id and g.k = f.k and g.j = f.j)"
+        own = f", tilt as (select seq_id, i, j, s + {power} * ln(j - i) as s from blk), gee as (select seq_id, i, j, {power} * ln(j - i) as s from blk), " + sql_forward(k_max, "gee", "g", "gwd")
+    return (
+        "(" + _EV + own + ", " + sql_forward(k_max, b) + ", " + sql_backward(k_max, b) + ", " + sql_posterior(prior, k_max, log_c) + ", " + sql_best(k_max, b) + ", " + PATH + f""",
+        marg as (select f.seq_id, f.j as pos, f.k + b.k as k, sum(exp(f.l + b.l - t.l)) as p from fwd f join bwd b on f.seq_id = b.seq_id and f.j = b.i join len on len.seq_id = f.seq_id join fwd t on t.seq_id = f.seq_id and t.j = len.n and t.k = f.k + b.k where f.k + b.k <= {k_max} and f.j < len.n group by 1, 2, 3)
+        select seq_id, 'k' as kind, k as key, exp(log_post) as v from post union all select seq_id, 'm', pos, sum(exp(log_post) * p) from marg join post using (seq_id, k) group by 1, 3
+        union all select p.seq_id, 'b', p.j, 1.0 from path p join len using (seq_id) where p.j < n)"""
+    )
+
+
+_VARIANTS = {"uniform": ("1.0", 0.0), "geometric_0.8": ("pow(0.8, k - 1)", 0.0), "inverse": ("1.0 / k", 0.0), "length_0.5": ("pow(0.5, k - 1)", 0.5), "length_1.0": ("pow(0.5, k - 1)", 1.0)}
+_SENSITIVE = " union all ".join(
+    f"""select '{name}' as variant, seq_id, sum(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) filter (kind = 'k') as l1_k, sum(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) filter (kind = 'm') as l1_marginal,
+    max(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) filter (kind = 'm') as max_marginal, case when count(*) filter (kind = 'b') = 0 then 1.0 else count(*) filter (kind = 'b' and a.v = b.v) / count(*) filter (kind = 'b') end as jaccard
+    from {sql_variant("pow(0.5, k - 1)")} a full join {sql_variant(*v)} b using (seq_id, kind, key) group by seq_id"""
+    for name, v in _VARIANTS.items()
+)
+
+
+@query(f"select variant, seq_id, round(l1_k, 6) as l1_k, round(l1_marginal, 6) as l1_marginal, round(max_marginal, 6) as max_marginal, round(jaccard, 6) as jaccard from ({_SENSITIVE})")
 def prior_sensitivity(spark, sf):
-    return diagnose.prior_sensitivity(block_table(sequence(spark, sf, "events"), "poisson"), 4)
+    return rounded(diagnose.prior_sensitivity(block_table(sequence(spark, sf, "events"), "poisson"), 4))
 
 
 _NB = sql_blocks(SEQ["events"], "negbin", GIVEN["negbin"])
@@ -296,16 +320,31 @@ def wbs(spark, sf):
     return baselines.detect(sequence(spark, sf, "ship"), "wbs", changes=2)
 
 
-@query()
+_HELD = f"select * replace (case when idx > round(n * 0.3) and idx <= round(n * 0.45) then 0.0 else 1.0 end as a) from (select *, count(*) over (partition by seq_id) as n from ({SEQ['ship']}))"
+_LD = "lgamma(y + alpha + s_s) - lgamma(alpha + s_s) - lgamma(y + 1) + (alpha + s_s) * ln((beta + s_e) / (beta + s_e + 1)) + y * ln(1 / (beta + s_e + 1))"
+
+
+@query(
+    sql_blocks(_HELD, "poisson", GIVEN["poisson"]) + ", " + sql_forward(4) + ", " + sql_posterior() + ", " + sql_best(4) + ", " + PATH
+    + f""", seg as (select p.seq_id, p.i, p.j, true as fitted from path p union all select seq_id, 0, n, false from len),
+    ld as (select seq.seq_id, fitted, avg({_LD}) as v from seg join dif using (seq_id, i, j) join seq on seq.seq_id = seg.seq_id and idx > i and idx <= j where a = 0 group by 1, 2)
+    select x.seq_id, round(x.v, 6) as fitted, round(y.v, 6) as single, round(x.v - y.v, 6) as gain from ld x join ld y on x.seq_id = y.seq_id and x.fitted and not y.fitted"""
+)
 def null_comparison(spark, sf):
     s = sequence(spark, sf, "ship")
-    return segment.null_comparison(s, "poisson", 4, 0.3, 0.45, given(s, "poisson"))
+    return rounded(segment.null_comparison(s, "poisson", 4, 0.3, 0.45, given(s, "poisson")))
 
 
-@query()
+_RENEWAL = ", tilt as (select seq_id, i, j, s + 0.5 * ln(j - i) as s from blk), gee as (select seq_id, i, j, 0.5 * ln(j - i) as s from blk), " + sql_forward(4, "gee", "g", "gwd")
+
+
+@query(
+    _EV + _RENEWAL + ", " + sql_forward(4, "tilt") + ", " + sql_posterior("0.2 * pow(0.8, k - 1)", 4, "(select g.l from gwd g where g.seq_id = f.seq_id and g.k = f.k and g.j = f.j)") + ", " + sql_best(4, "tilt") + ", " + PATH
+    + " select p.seq_id, p.q, p.i, p.j, round(a1, 6) as mean from path p join blk b using (seq_id, i, j)"
+)
 def renewal_fit(spark, sf):
     s = sequence(spark, sf, "events")
-    return segment.renewal(s, "poisson", 4, 0.2, 0.5, given(s, "poisson")).segment
+    return rounded(segment.renewal(s, "poisson", 4, 0.2, 0.5, given(s, "poisson")).segment)
 
 
 @query(_EV + ", t as (select seq_id, n // 3 as t, n from len) select seq_id, round(0.5 * ln(t) + 0.5 * ln(n - t), 6) as log_prior from t")

@@ -8,7 +8,7 @@ from ..functions.special import cols
 from ..operators import pooled, predict, quadrature, segment
 from ..sources import sequences as src
 from .core import _K12, GIVEN, given, sequence
-from .registry import FAMILY, PATH, PHI, SEQ, load, query, rounded, sql_best, sql_blocks, sql_forward, sql_posterior
+from .registry import EB, FAMILY, PATH, PHI, SEQ, load, query, rounded, sql_best, sql_blocks, sql_forward, sql_posterior
 
 #: Fixed segmentation of every sequence into thirds, so that prediction is checked apart from fitting.
 THIRDS = "cut as (select seq_id, max(idx) as n from seq group by 1), seg as (select seq_id, 1::bigint as q, 0::bigint as i, n // 3 as j from cut union all select seq_id, 2, n // 3, 2 * n // 3 from cut union all select seq_id, 3, 2 * n // 3, n from cut)"
@@ -363,17 +363,36 @@ def evidence_rollup(spark, sf):
     return rounded(pooled.evidence_levels(one, ["label", "seq_id"]))
 
 
-@query()
+_MONTHS = "select l, avg(l_quantity) as q, avg(l_extendedprice) / 1000 as p, avg(l_discount) * 100 as d from (select *, date_trunc('month', l_shipdate) as l from lineitem) group by 1"
+_CHANNELS = f"select seq_id, idx, y, 1.0::double as w, 1.0::double as a from (select row_number() over (order by l) as idx, unnest(['0', '1', '2']) as seq_id, unnest([q, p, d])::double as y from ({_MONTHS}))"
+
+
+@query(
+    (sql_blocks(_CHANNELS, "gaussian", EB["gaussian"]).replace("blk as (", "own as (").replace(
+        "len as (select seq_id, max(j) as n from blk group by 1)", "blk as (select 'all' as seq_id, i, j, sum(s) as s, avg(a1) as a1 from own group by i, j), len as (select seq_id, max(j) as n from blk group by 1)")
+    + ", " + sql_forward(6) + ", " + sql_posterior("1.0", 6) + ", " + sql_best(6) + ", " + PATH)
+    + " select p.seq_id, o.seq_id::bigint as member, p.q, p.i, p.j, round(o.a1, 6) as mean from path p join own o on o.i = p.i and o.j = p.j"
+)
 def quantity_channels(spark, sf):
     s = src.complete(src.quantity_channels(load(spark, sf, "lineitem")))
-    return pooled.shared(s, "gaussian", "channel", 6)[1]
+    return rounded(pooled.shared(s, "gaussian", "channel", 6)[1])
 
 
-@query()
+_EXEMPLAR = f"select label as seq_id, idx, sum(w * y) / sum(w) as y, sum(w) as w, 1.0::double as a from (select *, case when seq_id < 'f' then 'early' else 'late' end as label from ({SEQ['events']})) group by 1, 2"
+
+
+@query(
+    sql_blocks(_EXEMPLAR, "poisson", EB["poisson"]) + ", " + sql_forward(3) + ", " + sql_posterior(k_max=3) + ", " + sql_best(3) + ", " + PATH
+    + f""", fresh as ({SEQ['events']}), size as (select case when seq_id < 'f' then 'early' else 'late' end as label, count(distinct seq_id) as weight from fresh group by 1),
+    pt as (select f.seq_id as unit_id, p.seq_id as label, lgamma(y + alpha + s_s) - lgamma(alpha + s_s) - lgamma(y + 1) + (alpha + s_s) * ln((beta + s_e) / (beta + s_e + 1)) + y * ln(1 / (beta + s_e + 1)) as ld
+      from path p join dif using (seq_id, i, j) join fresh f on f.idx > p.i and f.idx <= p.j),
+    sc as (select unit_id, label, sum(ld) + ln(min(weight)) as v from pt join size using (label) group by 1, 2), top as (select *, max(v) over (partition by unit_id) as m from sc)
+    select unit_id, label, round(v, 6) as log_score, round(exp(v - m) / sum(exp(v - m)) over (partition by unit_id), 6) as prob from top"""
+)
 def group_classifier(spark, sf):
     """Labels are two halves of the event types; the fresh sequences are the event types themselves."""
     s = sequence(spark, sf, "events").withColumn("label", F.when(F.col("seq_id") < "f", "early").otherwise("late"))
-    return pooled.classify(s, s, "poisson", 3)
+    return rounded(pooled.classify(s, s, "poisson", 3))
 
 
 @query(f"with s as ({SEQ['events']}), l as (select *, case when seq_id < 'f' then 'early' else 'late' end as label from s) select label as seq_id, idx, round(sum(w * y) / sum(w), 6) as y, sum(w) as w from l group by 1, 2")

@@ -106,12 +106,12 @@ def _lse(value: str, keys: str, source: str) -> str:
     return f"select {keys}, m + ln(sum(exp(v - m))) as l from (select {keys}, v, max(v) over (partition by {keys}) as m from (select {value} as v, {source})) group by {keys}, m"
 
 
-def sql_forward(k_max: int, blk: str = "blk") -> str:
-    """CTEs f1..fK and fwd(seq_id, k, j, l)."""
-    out = [f"f1 as (select seq_id, j, s as l from {blk} where i = 0)"]
+def sql_forward(k_max: int, blk: str = "blk", one: str = "f", all_: str = "fwd") -> str:
+    """CTEs f1..fK and fwd(seq_id, k, j, l); `one` and `all_` name them otherwise."""
+    out = [f"{one}1 as (select seq_id, j, s as l from {blk} where i = 0)"]
     for k in range(2, k_max + 1):
-        out.append(f"f{k} as ({_lse('f.l + b.s', 'seq_id, j', f'b.seq_id, b.j from f{k - 1} f join {blk} b on b.seq_id = f.seq_id and b.i = f.j')})")
-    return ", ".join(out) + ", fwd as (" + " union all ".join(f"select seq_id, {k}::bigint as k, j, l from f{k}" for k in range(1, k_max + 1)) + ")"
+        out.append(f"{one}{k} as ({_lse('f.l + b.s', 'seq_id, j', f'b.seq_id, b.j from {one}{k - 1} f join {blk} b on b.seq_id = f.seq_id and b.i = f.j')})")
+    return ", ".join(out) + f", {all_} as (" + " union all ".join(f"select seq_id, {k}::bigint as k, j, l from {one}{k}" for k in range(1, k_max + 1)) + ")"
 
 
 def sql_backward(k_max: int, blk: str = "blk") -> str:
