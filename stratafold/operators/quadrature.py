@@ -6,6 +6,7 @@ that sequence. `node_blocks` gives the same values as DataFrame operations (node
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -16,14 +17,19 @@ from pyspark.sql import functions as F
 from ..functions.special import arrays, cols, lse
 
 NODES, GH_NODES, MOST_STEPS = 32, 40, 60
+#: Blocks that an iteration holds at once, and rows that a sweep of expectation propagation takes at most (its tables hold
+#: n^2 / 4 sites times 25 nodes).
+CHUNK, LONGEST_SWEEP = 1 << 15, 1024
 
 
+@functools.lru_cache(maxsize=16)
 def legendre(n: int = NODES) -> tuple[np.ndarray, np.ndarray]:
     """Gauss-Legendre nodes and weights on (0, 1)."""
     x, w = np.polynomial.legendre.leggauss(n)
     return 0.5 * (x + 1), 0.5 * w
 
 
+@functools.lru_cache(maxsize=16)
 def hermite(n: int = GH_NODES) -> tuple[np.ndarray, np.ndarray]:
     return np.polynomial.hermite.hermgauss(n)
 
@@ -43,18 +49,32 @@ def _outer(v: np.ndarray) -> np.ndarray:
     return p[None, :] - p[:, None]
 
 
-def beta_obs(pdf: pd.DataFrame, h: dict[str, float], nodes: int = NODES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dense (log evidence, mean) and the node log weights (g, i, j)."""
-    mu, wt = legendre(nodes)
+def domain(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(power times weight, y, phi) of beta observations; hidden rows pass the domain check."""
     aw = (pdf["a"] * pdf["w"]).to_numpy(float)
-    y = np.where(aw > 0, pdf["y"].to_numpy(float), 0.5)  # hidden rows pass the domain check
+    y = np.where(aw > 0, pdf["y"].to_numpy(float), 0.5)
     if ((y <= 0) | (y >= 1)).any():
         raise ValueError("beta observations lie strictly between 0 and 1")
-    phi = pdf["phi"].to_numpy(float)
-    prior = (h["alpha"] - 1) * np.log(mu) + (h["beta"] - 1) * np.log1p(-mu) - float(arrays.lnbeta(np.float64(h["alpha"]), np.float64(h["beta"])))
-    lw = np.array([np.log(wt[g]) + prior[g] + _outer(aw * _beta_node_terms(y, phi, mu[g], arrays)) for g in range(nodes)])
-    ev = lse(lw, axis=0)
-    return ev, np.einsum("g,gij->ij", mu, np.exp(lw - ev)), lw
+    return aw, y, pdf["phi"].to_numpy(float)
+
+
+def beta_prior(mu: np.ndarray, h: dict[str, float]) -> np.ndarray:
+    """Log density of the prior at node means."""
+    return (h["alpha"] - 1) * np.log(mu) + (h["beta"] - 1) * np.log1p(-mu) - float(arrays.lnbeta(np.float64(h["alpha"]), np.float64(h["beta"])))
+
+
+def beta_obs(pdf: pd.DataFrame, h: dict[str, float], nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
+    """Dense (log evidence, mean); nodes are added one by one, so a handful of n x n tables is all that is held."""
+    mu, wt = legendre(nodes)
+    aw, y, phi = domain(pdf)
+    base, n = np.log(wt) + beta_prior(mu, h), len(y)
+    top, total, first = np.full((n + 1, n + 1), -np.inf), np.zeros((n + 1, n + 1)), np.zeros((n + 1, n + 1))
+    for g in range(nodes):
+        lw = base[g] + _outer(aw * _beta_node_terms(y, phi, mu[g], arrays))
+        new = np.maximum(top, lw)
+        keep, one = np.exp(top - new), np.exp(lw - new)
+        total, first, top = total * keep + one, first * keep + mu[g] * one, new
+    return top + np.log(total), first / total
 
 
 def gh(s, n, nu: float, rho2: float, nodes: int = GH_NODES) -> tuple[np.ndarray, np.ndarray]:
@@ -190,31 +210,113 @@ def sweep(y: np.ndarray, n: np.ndarray, nu: float, rho2: float, damping: float =
 STATUS = ("ok", "not_converged", "not_finite")
 
 
+def checked_integrals(value: np.ndarray, error: np.ndarray, converged: np.ndarray) -> np.ndarray:
+    """The status of each integral; errors must be finite and not negative where the value is finite. A value that is not
+    finite is reported as such, never as ok."""
+    finite = np.isfinite(value)
+    if not (np.isfinite(error[finite]) & (error[finite] >= 0)).all():
+        raise ValueError("an integration error is finite and not negative")
+    return np.where(finite, np.where(converged, STATUS[0], STATUS[1]), STATUS[2])
+
+
 def integrated(value, error=0.0, status: str = "ok") -> dict:
-    """What an integrator returns, validated: a value, an error that is not negative, a known status. A value that is
-    not finite is reported as such, never as ok."""
+    """What an integrator of the caller's own returns, validated: a value, an error, a status."""
     if status not in STATUS:
         raise ValueError(f"unknown status {status!r}")
     if not (np.isfinite(error) and error >= 0):
         raise ValueError("an integration error is finite and not negative")
-    return {"value": float(value), "error": float(error), "status": status if np.isfinite(value) else "not_finite"}
+    found = checked_integrals(np.array([float(value)]), np.array([float(error)]), np.array([status == "ok"]))[0]
+    return {"value": float(value), "error": float(error), "status": str(found) if found == "not_finite" else status}
+
+
+def doubled(evaluate, size: int, levels: tuple[int, ...], tol: float) -> dict[str, np.ndarray]:
+    """Integrals of `size` blocks by more and more nodes: `evaluate(blocks, nodes)` gives (log evidence, mean) of some
+    blocks; each is done when a level changes its log evidence by `tol` or less, and only the others go on. value, mean,
+    error (the last change), status, nodes."""
+    value, mean, error = np.full(size, np.nan), np.full(size, np.nan), np.full(size, np.inf)
+    nodes, live = np.zeros(size, np.int32), np.arange(size)
+    for m in levels:
+        if not len(live):
+            break
+        v, mu = evaluate(live, m)
+        change = np.abs(v - value[live])
+        value[live], mean[live], nodes[live] = v, mu, m
+        if m > levels[0]:
+            error[live] = change
+            live = live[~(change <= tol)]
+    ok = error <= tol
+    error = np.where(np.isfinite(error), error, 0.0 if len(levels) < 2 else np.finfo(float).max)
+    return {"value": value, "mean": mean, "error": error, "status": checked_integrals(value, error, ok), "nodes": nodes}
+
+
+#: Nodes tried, and the change in log evidence that counts as none.
+GH_LEVELS, LEGENDRE_LEVELS, TOLERANCE = (8, 16, 32, 64, 128), (16, 32, 64, 128, 256, 512), 1e-8
+
+
+def logistic_integrals(s, n, nu: float, rho2: float, levels: tuple[int, ...] = GH_LEVELS, tol: float = TOLERANCE) -> dict[str, np.ndarray]:
+    """Evidence of counts s of n by Gauss-Hermite nodes laid around each block's own mode at its own width, so that long
+    blocks, whose likelihood is narrow, need no more nodes than short ones."""
+    goal = lambda t, k: s[k] * t - n[k] * arrays.softplus(t) - (t - nu) ** 2 / (2 * rho2)
+    mode = np.full(len(s), float(nu))
+    for _ in range(200):
+        q = arrays.sigmoid(mode)
+        step = (s - n * q - (mode - nu) / rho2) / (n * q * (1 - q) + 1 / rho2)
+        every = np.arange(len(s))
+        for _ in range(40):
+            worse = goal(mode + step, every) < goal(mode, every) - 1e-12
+            if not worse.any():
+                break
+            step = np.where(worse, step / 2, step)
+        mode = mode + step
+        if np.abs(step).max(initial=0) < 1e-12:
+            break
+    q = arrays.sigmoid(mode)
+    width = np.sqrt(2 / (n * q * (1 - q) + 1 / rho2))
+
+    def evaluate(live, m):
+        x, w = hermite(m)
+        t = mode[live, None] + width[live, None] * x
+        lw = np.log(w) + x**2 + np.log(width[live, None]) + goal(t, live[:, None]) - 0.5 * math.log(2 * math.pi * rho2)
+        ev = lse(lw, axis=1)
+        return ev, (np.exp(lw - ev[:, None]) * arrays.sigmoid(t)).sum(axis=1)
+
+    return doubled(evaluate, len(s), levels, tol)
+
+
+def beta_integrals(pdf: pd.DataFrame, h: dict[str, float], i: np.ndarray, j: np.ndarray, levels: tuple[int, ...] = LEGENDRE_LEVELS, tol: float = TOLERANCE) -> dict[str, np.ndarray]:
+    """Evidence of the blocks (i, j] of beta observations by Gauss-Legendre nodes, doubled where they do not settle."""
+    aw, y, phi = domain(pdf)
+
+    def evaluate(live, m):
+        mu, wt = legendre(m)
+        p = np.array([_sums(aw * _beta_node_terms(y, phi, g, arrays)) for g in mu])
+        lw = (np.log(wt) + beta_prior(mu, h))[:, None] + p[:, j[live]] - p[:, i[live]]
+        ev = lse(lw, axis=0)
+        return ev, (mu[:, None] * np.exp(lw - ev)).sum(axis=0)
+
+    return doubled(evaluate, len(i), levels, tol)
 
 
 def logistic(pdf: pd.DataFrame, h: dict[str, float], approx: str = "gh", nodes: int = GH_NODES) -> tuple[np.ndarray, np.ndarray]:
-    aw = (pdf["a"] * pdf["w"]).to_numpy(float)
-    s, n = _outer(aw * pdf["y"].to_numpy(float)), _outer(aw * pdf["n_trials"].to_numpy(float))
-    i, j = np.triu_indices(len(pdf) + 1, 1)
-    out = np.full((2, len(pdf) + 1, len(pdf) + 1), -np.inf)
+    """Dense (log evidence, mean), made in chunks of blocks."""
+    aw, size = (pdf["a"] * pdf["w"]).to_numpy(float), len(pdf)
+    y, m = aw * pdf["y"].to_numpy(float), aw * pdf["n_trials"].to_numpy(float)
     if approx == "ep":
-        out[0], out[1] = sweep(aw * pdf["y"].to_numpy(float), aw * pdf["n_trials"].to_numpy(float), h["nu"], h["rho2"])
-    else:
-        run = {"gh": lambda *z: gh(*z, nodes), "quadrature": lambda *z: gh(*z, max(nodes, 80)), "laplace": laplace, "jj": jaakkola, "pg_vb": jaakkola}[approx]
-        out[0, i, j], out[1, i, j] = run(s[i, j], n[i, j], h["nu"], h["rho2"])[:2]
+        if size > LONGEST_SWEEP:
+            raise ValueError(f"expectation propagation takes at most {LONGEST_SWEEP} rows, not {size}")
+        return sweep(y, m, h["nu"], h["rho2"])
+    run = {"gh": lambda *z: gh(*z, nodes), "quadrature": lambda *z: gh(*z, max(nodes, 80)), "laplace": laplace, "jj": jaakkola, "pg_vb": jaakkola}[approx]
+    s, n = _sums(y), _sums(m)
+    i, j = np.triu_indices(size + 1, 1)
+    out = np.full((2, size + 1, size + 1), -np.inf)
+    for lo in range(0, len(i), CHUNK):
+        a, b = i[lo : lo + CHUNK], j[lo : lo + CHUNK]
+        out[0, a, b], out[1, a, b] = run(s[b] - s[a], n[b] - n[a], h["nu"], h["rho2"])[:2]
     return out[0], out[1]
 
 
 def tables(pdf: pd.DataFrame, name: str, h: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    return beta_obs(pdf, h)[:2] if name == "beta_obs" else logistic(pdf, h)
+    return beta_obs(pdf, h) if name == "beta_obs" else logistic(pdf, h)
 
 
 def nodes_of(kind: str, number: int):
@@ -264,3 +366,25 @@ def approximate_blocks(seq: DataFrame, hyper: DataFrame, approx: str) -> DataFra
         return pd.DataFrame({"seq_id": key[0], "i": i, "j": j, "log_a0": ev[i, j], "a1": mean[i, j]})
 
     return rows.groupBy("seq_id").applyInPandas(run, "seq_id string, i int, j int, log_a0 double, a1 double")
+
+
+def integrated_blocks(seq: DataFrame, hyper: DataFrame, name: str, tol: float = TOLERANCE, levels: tuple[int, ...] | None = None, min_len: int = 1) -> DataFrame:
+    """The block table of `beta_obs` or `logistic_normal` with error, status and nodes of every integral; a kernel per
+    sequence, in chunks of blocks. Blocks that do not settle at the last level are reported as not_converged."""
+    names = ("alpha", "beta") if name == "beta_obs" else ("nu", "rho2")
+    rows = seq.join(hyper.select("seq_id", *[F.col(c).alias(f"h_{c}") for c in names]), "seq_id")
+
+    def run(key, pdf):
+        pdf = pdf.sort_values("idx")
+        h = {c: float(pdf[f"h_{c}"].iloc[0]) for c in names}
+        aw = (pdf["a"] * pdf["w"]).to_numpy(float)
+        s, n = _sums(aw * pdf["y"].to_numpy(float)), _sums(aw * pdf["n_trials"].to_numpy(float))
+        i, j = np.triu_indices(len(pdf) + 1, min_len)
+        out = []
+        for lo in range(0, len(i), CHUNK):
+            a, b = i[lo : lo + CHUNK], j[lo : lo + CHUNK]
+            r = beta_integrals(pdf, h, a, b, levels or LEGENDRE_LEVELS, tol) if name == "beta_obs" else logistic_integrals(s[b] - s[a], n[b] - n[a], h["nu"], h["rho2"], levels or GH_LEVELS, tol)
+            out.append(pd.DataFrame({"seq_id": key[0], "i": a, "j": b, "log_a0": r["value"], "a1": r["mean"], "error": r["error"], "status": r["status"], "nodes": r["nodes"]}))
+        return pd.concat(out)
+
+    return rows.groupBy("seq_id").applyInPandas(run, "seq_id string, i int, j int, log_a0 double, a1 double, error double, status string, nodes int")

@@ -21,8 +21,8 @@ RESULT = (
 
 #: Rows up to which a fit keeps dense tables, squares of this; longer sequences go through tiles. Rows that are taken at
 #: most: tiles take time that grows with the square (50,000 rows and 6 segments: see README), families without closed
-#: form always keep dense tables (about 60 n^2 bytes).
-DENSE, LONGEST, LONGEST_QUADRATURE = 1024, 65_536, 4096
+#: form always keep dense tables (about 100 n^2 bytes).
+DENSE, LONGEST, LONGEST_QUADRATURE = 1024, 65_536, 3072
 
 
 def arrow_type(name: str):

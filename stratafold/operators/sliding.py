@@ -1,4 +1,5 @@
-"""Long sequences by overlapping windows: each window is a task, results are stitched by grouped aggregates."""
+"""Long sequences by overlapping windows, each a task: means over windows (`fit`), or one exact posterior over the
+lattice of all windows' candidates (`stitched`)."""
 
 from __future__ import annotations
 
@@ -42,6 +43,77 @@ def fit(seq: DataFrame, name: str, k_max: int, size: int, overlap: int, hyper: D
     return {"boundaries": cut, "curve": curve, "step": step, "marginal": marg, "evidence": ev, "k_hat": cut.groupBy("seq_id").agg((F.count(F.lit(1)) + 1).alias("k_hat"))}
 
 
+LATTICE = "seq_id string, n int, candidates array<int>, log_evidence double, k_map int, log_post array<double>, boundaries array<int>, means array<double>, marginal array<double>, curve array<double>, error string"
+
+
+def candidates(seq: DataFrame, name: str, k_max: int, size: int, overlap: int, hyper: DataFrame, least: float = 1e-3) -> DataFrame:
+    """seq_id, candidates (sorted positions with 0 and n): where some window's fit sees a boundary with probability `least`
+    or more or has one in its best segmentation, and where windows begin and end."""
+    w = windows(seq, size, overlap)
+    base, start = F.substring_index("seq_id", "#", 1), F.substring_index("seq_id", "#", -1).cast("int")
+    keys = w.select("seq_id").distinct()
+    f = segment.segment(w, name, k_max, keys.withColumn("base", base).join(hyper.withColumnRenamed("seq_id", "base"), "base").drop("base"), curves=False)
+    at = f.boundary_marginal_mixed.where(F.col("p") >= least).select("seq_id", "pos")
+    cut = f.rows.select("seq_id", F.explode("boundaries").alias("pos"))  # the ends of windows among them
+    t = at.unionByName(cut).select(base.alias("seq_id"), (F.col("pos") + start).alias("pos"))
+    return t.groupBy("seq_id").agg(F.array_sort(F.collect_set("pos")).alias("candidates"))
+
+
+def stitched(seq: DataFrame, name: str, k_max: int, size: int, overlap: int, hyper: DataFrame, count=None, window_k: int | None = None, least: float = 1e-3) -> DataFrame:
+    """One posterior of each whole sequence, exact over all partitions whose boundaries are among the windows' candidates
+    (`LATTICE`: positions in rows; log_post by k; marginal and curve at the candidates and in the cells between them).
+
+    Block scores come from prefix sums at the candidates, so nothing is averaged over windows. The prior is that of the
+    whole sequence (every position could be a boundary), so log_evidence is a lower bound of the dense fit's that it
+    reaches as the candidates take in all that has weight; with `least` = 0 and windows that overlap, all positions are
+    candidates and the two are equal."""
+    import numpy as np
+
+    from . import dp, families, tiled
+
+    c = candidates(seq, name, window_k or k_max, size, overlap, hyper, least)
+    names = families.FAMILIES[name][2]
+    rows = seq.join(hyper.select("seq_id", *[F.col(x).alias(f"h_{x}") for x in names]), "seq_id")
+    # the candidates travel as marks on the rows before them
+    marks = c.select("seq_id", F.explode("candidates").alias("idx")).where("idx > 0").withColumn("mark", F.lit(1.0))
+    rows = families.checked(rows, name).join(marks, ["seq_id", "idx"], "left").withColumn("mark", F.coalesce("mark", F.lit(0.0)))
+
+    def run(key, pdf):
+        n = len(pdf)
+        at = np.concatenate([[0], np.flatnonzero(pdf["mark"].to_numpy() > 0) + 1])
+        at = at if at[-1] == n else np.append(at, n)
+        whole = segment.block_source(pdf, name, {x: float(pdf[f"h_{x}"].iloc[0]) for x in names})
+        b = tiled.Blocks({k: v[at] for k, v in whole.sums.items()}, whole.evidence, whole.hyper)
+        most = min(k_max, len(at) - 1)
+        r = tiled.solve({"error": None}, b, most, count, True, None, dp.log_normaliser(n, most, None))
+        if r["error"]:
+            return {"seq_id": key, "n": n, "error": r["error"]}
+        return {
+            "seq_id": key, "n": n, "candidates": at, "log_evidence": r["log_evidence"], "k_map": r["k_map"], "log_post": r["log_post"], "boundaries": at[np.array(r["boundaries"])], "means": r["means"],
+            "marginal": r["marginal_mixed"], "curve": r["curve_mixed"],
+        }
+
+    return segment.by_sequence(rows, [*families.ROW, "mark", *[f"h_{x}" for x in names]], run, LATTICE)
+
+
+def stitched_marginal(fitted: DataFrame) -> DataFrame:
+    """seq_id, pos, p: boundary probabilities at the candidates inside the sequence; other positions have none."""
+    t = fitted.select("seq_id", "n", F.explode(F.arrays_zip("candidates", "marginal")).alias("c")).select("seq_id", "n", F.col("c.candidates").alias("pos"), F.col("c.marginal").alias("p"))
+    return t.where("pos > 0 and pos < n").drop("n")
+
+
+def stitched_segment(fitted: DataFrame) -> DataFrame:
+    """seq_id, q, i, j, mean of the most probable segmentation."""
+    s = fitted.select("seq_id", "boundaries", F.posexplode("means").alias("q", "mean"))
+    return s.select("seq_id", (F.col("q") + 1).alias("q"), F.get("boundaries", F.col("q")).alias("i"), F.get("boundaries", F.col("q") + 1).alias("j"), "mean")
+
+
+def stitched_curve(fitted: DataFrame) -> DataFrame:
+    """seq_id, i, j, mean: the posterior mean curve, constant between neighbouring candidates."""
+    c = fitted.select("seq_id", "candidates", F.posexplode("curve").alias("k", "mean"))
+    return c.select("seq_id", F.get("candidates", F.col("k")).alias("i"), F.get("candidates", F.col("k") + 1).alias("j"), "mean")
+
+
 def predict(seq: DataFrame, fitted: dict[str, DataFrame], queries: DataFrame, policy: str = "error") -> DataFrame:
     """Queries (seq_id, x, ...) with `mean`: the covering windows' mean step value at the training row at or before x.
     Every training row lies in a window, so no query is left without one."""

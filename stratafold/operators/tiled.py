@@ -181,12 +181,13 @@ class Curve:
         return [np.cumsum(d)[: self.n] for d in self.diff]
 
 
-def solve(row: dict, b: Blocks, k_max: int, count, curves: bool = True, k: int | None = None) -> dict:
-    """What `segment.solve` gives, for a sequence of any length; `row` is its empty result."""
+def solve(row: dict, b: Blocks, k_max: int, count, curves: bool = True, k: int | None = None, log_c: np.ndarray | None = None) -> dict:
+    """What `segment.solve` gives, for a sequence of any length; `row` is its empty result. `log_c` replaces the normaliser
+    if the blocks are those of a lattice."""
     n = b.n
     k_max = min(k_max, n)
     left, best, back = sweep(b, k_max, paths=True)
-    log_c = log_normaliser(b, k_max)
+    log_c = log_normaliser(b, k_max) if log_c is None else log_c[:k_max]
     log_p = prior.count_prior(count, k_max)
     try:
         post, z = dp.posterior_k(left, log_c, log_p)

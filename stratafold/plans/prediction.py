@@ -408,6 +408,31 @@ def special_functions(spark, sf):
     return x.select("x", *[(F.round(e, 6) + 0.0).alias(n) for n, e in (("lgamma", cols.lgamma(c)), ("lnbeta", cols.lnbeta(c, F.lit(2.5))), ("sigmoid", cols.sigmoid(c)), ("softplus", cols.softplus(c)))])
 
 
+_SHIP = sql_blocks(SEQ["ship"], "poisson", GIVEN["poisson"]) + ", " + sql_forward(4) + ", " + sql_posterior()
+
+
+def _stitched(spark, sf, least):
+    from ..operators import sliding
+
+    s = sequence(spark, sf, "ship")
+    return sliding.stitched(s, "poisson", 4, 40, 10, given(s, "poisson"), least=least)
+
+
+@query(_SHIP + ", " + sql_best(4) + ", " + PATH + " select p.seq_id, p.q, p.i, p.j, round(a1, 6) as mean, kmap.k as k_map, round(post.z, 6) as log_evidence from path p join blk b using (seq_id, i, j) join kmap using (seq_id) join post on post.seq_id = p.seq_id and post.k = kmap.k")
+def stitched_fit(spark, sf):
+    """Windows whose candidates are all positions: the dense fit, by way of the lattice."""
+    from ..operators import sliding
+
+    f = _stitched(spark, sf, 0.0)
+    return rounded(sliding.stitched_segment(f).join(f.select("seq_id", "k_map", "log_evidence"), "seq_id"))
+
+
+@query(_SHIP + " select seq_id, k, round(log_post, 6) as log_post from post")
+def stitched_posterior(spark, sf):
+    f = _stitched(spark, sf, 0.0)
+    return rounded(f.select("seq_id", F.posexplode("log_post").alias("k", "log_post")).select("seq_id", (F.col("k") + 1).alias("k"), "log_post"))
+
+
 @query()
 def sliding_window(spark, sf):
     from ..operators import sliding

@@ -87,7 +87,7 @@ def test_quadrature_families():
     y = np.array([1.0] * 3 + [0.0] * 5)
     assert abs(quadrature.expectation(y, np.ones(8), 0.3, 2.0)[0] + 6.1969) < 1e-3
     pdf = pd.DataFrame({"y": [0.2, 0.7], "w": 1.0, "a": 1.0, "phi": 20.0})
-    ev, mean, _ = quadrature.beta_obs(pdf, {"alpha": 2.0, "beta": 2.0}, 64)
+    ev, mean = quadrature.beta_obs(pdf, {"alpha": 2.0, "beta": 2.0}, 64)
     assert 0.2 < mean[0, 2] < 0.7 and np.isfinite(ev[0, 2])
     with pytest.raises(ValueError):
         quadrature.beta_obs(pdf.assign(y=1.0), {"alpha": 2.0, "beta": 2.0})
