@@ -46,7 +46,7 @@ class Blocks:
             return np.where(ok, g, -np.inf), None
         with np.errstate(all="ignore"):  # pairs that are no blocks have negative sums
             ev, mu = self.evidence({k: v[j] - v[i] for k, v in self.sums.items()}, self.hyper, arrays)
-        return np.where(ok, ev + g, -np.inf), np.where(ok, mu, np.nan) if mean else None
+        return np.where(ok, ev + g, -np.inf), np.where(ok, mu, np.nan) if mean and mu is not None else None
 
 
 def narrow_lse(a: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import baselines, diagnose, metrics, quadrature, segment
+from ..operators import baselines, diagnose, metrics, quadrature, segment, splits
 from .core import block_table, given, sequence
 from .registry import PATH, PHI, SEQ, query, rounded, sql_backward, sql_best, sql_blocks, sql_forward, sql_posterior
 from .core import GIVEN
@@ -320,7 +320,7 @@ c as (select a.seq_id, a.pos as i, b.pos as j, b.q - a.q - pow(b.s - a.s, 2) / (
 
 @query(_L2 + " select x.seq_id, round(min(x.c + y.c + z.c) / 1000, 5) as cost from c x join c y on x.seq_id = y.seq_id and y.i = x.j join c z on z.seq_id = x.seq_id and z.i = y.j join n on n.seq_id = x.seq_id and z.j = n.n where x.i = 0 group by 1")
 def optimal_partition_l2(spark, sf):
-    return rounded(baselines.detect(sequence(spark, sf, "ship"), "optimal", changes=2).select("seq_id", (F.col("cost") / 1000).alias("cost")), 5)
+    return rounded(splits.optimal_partition(sequence(spark, sf, "ship"), 2).select("seq_id", (F.col("cost") / 1000).alias("cost")), 5)
 
 
 #: Least penalised cost over all partitions, position after position; the list holds the best value of each prefix.
@@ -342,7 +342,7 @@ one as (select g.seq_id, arg_max(t, gain) as t from g join n on n.seq_id = g.seq
 two as (select g.seq_id, arg_max(g.t, gain) as u from g join one using (seq_id) join n using (seq_id) where (g.i = 0 and g.j = one.t) or (g.i = one.t and g.j = n.n) group by 1)
 select seq_id, least(t, u) as first, greatest(t, u) as second from one join two using (seq_id)""")
 def binary_segmentation(spark, sf):
-    d = baselines.detect(sequence(spark, sf, "ship"), "binseg", changes=2)
+    d = splits.binary_segmentation(sequence(spark, sf, "ship"), changes=2)
     return rounded(d.select("seq_id", F.get("boundaries", F.lit(1)).alias("first"), F.get("boundaries", F.lit(2)).alias("second")))
 
 
@@ -361,9 +361,19 @@ def sampled_segmentation(spark, sf):
     return baselines.detect(sequence(spark, sf, "ship"), "mcmc", scale=2.0)
 
 
-@query()
+#: Ends of 60 wild windows per sequence from digests, the best split of each, then the best two of all candidates.
+_WILD = """, e as (select seq_id, n, floor(('0x' || substr(h, 1, 8))::bigint / 4294967296.0 * (n + 1))::bigint as a, floor(('0x' || substr(h, 9, 8))::bigint / 4294967296.0 * (n + 1))::bigint as b from (select seq_id, n, md5(seq_id || ':' || k || ':3') as h from n, range(0, 60) t(k))),
+w as (select distinct seq_id, least(a, b) as lo, greatest(a, b) as hi from e union select seq_id, 0, n from n),
+sp as (select w.seq_id, w.lo, w.hi, l.j as t, c.c - l.c - r.c as gain from w join c on c.seq_id = w.seq_id and c.i = w.lo and c.j = w.hi join c l on l.seq_id = w.seq_id and l.i = w.lo join c r on r.seq_id = w.seq_id and r.i = l.j and r.j = w.hi),
+cand as (select distinct seq_id, t from (select seq_id, lo, hi, arg_max(t, gain) as t from sp group by 1, 2, 3))
+select n.seq_id, round(min(x.c + y.c + z.c) / 1000, 5) as cost, arg_min(u.t, x.c + y.c + z.c) as first, arg_min(v.t, x.c + y.c + z.c) as second from n join cand u on u.seq_id = n.seq_id join cand v on v.seq_id = n.seq_id and v.t >= u.t + 2
+join c x on x.seq_id = n.seq_id and x.i = 0 and x.j = u.t join c y on y.seq_id = n.seq_id and y.i = u.t and y.j = v.t join c z on z.seq_id = n.seq_id and z.i = v.t and z.j = n.n group by 1"""
+
+
+@query(_L2 + _WILD)
 def wbs(spark, sf):
-    return baselines.detect(sequence(spark, sf, "ship"), "wbs", changes=2)
+    d = splits.wild_binary_segmentation(sequence(spark, sf, "ship"), changes=2, windows=60, seed=3)
+    return rounded(d.select("seq_id", (F.col("cost") / 1000).alias("cost"), F.get("boundaries", F.lit(1)).alias("first"), F.get("boundaries", F.lit(2)).alias("second")), 5)
 
 
 _HELD = f"select * replace (case when idx > round(n * 0.3) and idx <= round(n * 0.45) then 0.0 else 1.0 end as a) from (select *, count(*) over (partition by seq_id) as n from ({SEQ['ship']}))"
