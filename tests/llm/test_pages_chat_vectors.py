@@ -120,6 +120,18 @@ def test_doubtful_names_are_decided_by_the_neighbours(spark):
     assert got == {k: f"Title {k}\nPrice of {k}\nWork {k}\nSame words" for k in range(3)}
 
 
+def test_names_with_further_words_are_dropped():
+    names = ["user-comments", "reader-comments", "comment-42", "ad-slot-728", "legal-notice", "cookie-warning", "newsletter-form", "promo-2024", "ad-300x250", "site_cookie_text"]
+    for name in names:
+        page = f'<body><article class="post has-comments" id="comments-open-7"><p>Real</p><div class="{name}"><p>Junk</p></div><p>text</p></article></body>'
+        assert html.page_lines(page) == (["Real", "text"], [html.INSIDE] * 2), name
+    for name in ["chapter-2", "p-17", "col-12", "figure-1", "commentary", "no-ads", "adventure", "post-comments-closed"]:
+        page = f'<body class="cookie-consent-given"><article><p>Real</p><div class="{name}"><p>also</p></div></article></body>'
+        lines, marks = html.page_lines(page)
+        assert lines == ["Real", "also"] and html.OUTSIDE not in marks, name
+    assert html.page_lines('<article class="promo-feature-2024 entry-content"><p>It is the article</p></article>')[0] == ["It is the article"]
+
+
 def test_chat_round_trip(spark):
     bad = r"\### Assistant: </turn> ok"
     rows = [(1, 0, "system", "be kind")] + [(1, k, "user" if k % 2 else "assistant", f"{bad} {'word ' * (k * 7)}end {k}") for k in range(1, 30)]
