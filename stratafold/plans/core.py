@@ -208,10 +208,22 @@ _EV = sql_blocks(SEQ["events"], "poisson", GIVEN["poisson"])
 _U = "u as (select seq_id, idx as pos, idx + 0.5 as u from seq union all select distinct seq_id, 0, 0.5 from seq)"
 
 
-@query("select 'geometric_0.5' as prior, k, round(ln(pow(0.5, k - 1) / (2 - pow(0.5, 7))), 6) as log_p from range(1, 9) t(k) union all select 'geometric_0.1', k, round(ln(pow(0.1, k - 1) / ((1 - pow(0.1, 8)) / 0.9)), 6) from range(1, 9) t(k) union all select 'uniform', k, round(ln(1 / 8.0), 6) from range(1, 9) t(k)")
+_LENGTHS = f"n as (select seq_id, least(8, max(idx)) as most, max(idx) as n from ({SEQ['ship']}) group by 1)"
+
+
+def _lengths(spark, sf):
+    return sequence(spark, sf, "ship").groupBy("seq_id").agg(F.max("idx").cast("long").alias("n"))
+
+
+@query(f"with {_LENGTHS}, p as (select * from (values ('geometric_0.5', 0.5::double), ('geometric_0.1', 0.1), ('uniform', 1.0)) t(prior, rate)), r as (select seq_id, prior, k, pow(rate, k - 1) as p from n, p, range(1, 9) t(k) where k <= most) select seq_id, prior, k, round(ln(p / sum(p) over (partition by seq_id, prior)), 6) as log_p from r")
 def prior_count(spark, sf):
-    one = [prior.count_prior_table(spark, p, 8).select(F.lit(p).alias("prior"), "k", "log_p") for p in ("geometric_0.5", "geometric_0.1", "uniform")]
-    return rounded(one[0].unionByName(one[1]).unionByName(one[2]))
+    """Count priors over as many numbers of segments as each sequence allows, 8 at most."""
+    most = _lengths(spark, sf).withColumn("most", F.least(F.lit(8), "n"))
+    rows = [prior.count_prior_table(spark, p, m).select(F.lit(p).alias("prior"), F.lit(m).alias("most"), "k", "log_p") for p in ("geometric_0.5", "geometric_0.1", "uniform") for m in range(1, 9)]
+    table = rows[0]
+    for r in rows[1:]:
+        table = table.unionByName(r)
+    return rounded(most.join(table, "most").select("seq_id", "prior", "k", "log_p"))
 
 
 @query(_EV + f", {_U} select b.seq_id, b.i, b.j, round(1.5 * ln((uj.u - ui.u) / 2.0), 6) as log_g from blk b join u ui on ui.seq_id = b.seq_id and ui.pos = b.i join u uj on uj.seq_id = b.seq_id and uj.pos = b.j")
@@ -239,10 +251,10 @@ def prior_min_length(spark, sf):
     return rounded(prior.with_prior(block_table(s, "poisson"), src.bounds(s), prior.Partition(min_len=6)).select("seq_id", "i", "j", "log_a0"))
 
 
-@query("select n, k, round(lgamma(n) - lgamma(k) - lgamma(n - k + 1), 6) as log_c from range(1, 41) a(n), range(1, 9) b(k) where k <= n")
+@query(f"with {_LENGTHS} select seq_id, n, k, round(lgamma(n) - lgamma(k) - lgamma(n - k + 1), 6) as log_c from n, range(1, 9) b(k) where k <= n")
 def log_ck_uniform(spark, sf):
-    k = spark.range(1, 41).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(1), F.least(F.lit(8), F.col("id").cast("int")))).alias("k"))
-    return rounded(k.select("n", "k", prior.log_ck_uniform(F.col("n"), F.col("k")).alias("log_c")))
+    k = _lengths(spark, sf).select("seq_id", "n", F.explode(F.sequence(F.lit(1), F.least(F.lit(8), F.col("n").cast("int")))).alias("k"))
+    return rounded(k.select("seq_id", "n", "k", prior.log_ck_uniform(F.col("n"), F.col("k")).alias("log_c")))
 
 
 _LEN = _EV + ", adm as (select seq_id, i, j, 0.0 as s from blk where j - i >= 4), " + sql_forward(4, "adm")

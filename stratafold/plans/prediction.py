@@ -401,9 +401,9 @@ def group_exemplars(spark, sf):
     return rounded(pooled.exemplars(s).select("seq_id", "idx", "y", "w"))
 
 
-@query("select x, round(lgamma(x), 6) as lgamma, round(lgamma(x) + lgamma(2.5) - lgamma(x + 2.5), 6) as lnbeta, round(1 / (1 + exp(-x)), 6) as sigmoid, round(greatest(x, 0) + ln(1 + exp(-abs(x))), 6) as softplus from (select (t.i * t.i + 1) / 40.0 as x from range(1, 200) t(i))")
+@query("select x, round(lgamma(x), 6) as lgamma, round(lgamma(x) + lgamma(2.5) - lgamma(x + 2.5), 6) as lnbeta, round(1 / (1 + exp(-x)), 6) as sigmoid, round(greatest(x, 0) + ln(1 + exp(-abs(x))), 6) as softplus from (select distinct (l_quantity * l_quantity + l_linenumber) / 40.0::double as x from lineitem)")
 def special_functions(spark, sf):
-    x = spark.range(1, 200).select(((F.col("id") * F.col("id") + 1) / 40.0).alias("x"))
+    x = load(spark, sf, "lineitem").select(((F.col("l_quantity") * F.col("l_quantity") + F.col("l_linenumber")) / F.lit(40.0)).alias("x")).distinct()
     c = F.col("x")
     return x.select("x", *[(F.round(e, 6) + 0.0).alias(n) for n, e in (("lgamma", cols.lgamma(c)), ("lnbeta", cols.lnbeta(c, F.lit(2.5))), ("sigmoid", cols.sigmoid(c)), ("softplus", cols.softplus(c)))])
 
