@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-
 import math
 
 import numpy as np
@@ -155,26 +154,46 @@ def adjusted_rand(labels: DataFrame) -> DataFrame:
     return t.select(F.when((F.col("a") + F.col("b")) / 2 == chance, 1.0).otherwise((F.col("cells") - chance) / ((F.col("a") + F.col("b")) / 2 - chance)).alias("ari"))
 
 
-def permuted_accuracy(labels: DataFrame) -> float:
-    """Best accuracy over relabellings: an assignment on the contingency table (one row per pair of groups), by a table
-    over the sets of found groups already used."""
-    rows = contingency(labels).collect()
-    truth, found = sorted({r["truth"] for r in rows}), sorted({r["found"] for r in rows})
-    if len(found) > len(truth):
-        rows = [{"truth": r["found"], "found": r["truth"], "n": r["n"]} for r in rows]
-        truth, found = found, truth
-    if len(found) > 20:
-        raise ValueError("more than 20 groups on both sides")
-    n = {(r["truth"], r["found"]): r["n"] for r in rows}
-    best = {0: 0}
-    for a in truth:  # each true group takes one unused found group or none
-        new = dict(best)
-        for used, v in best.items():
-            for k, b in enumerate(found):
-                if not used >> k & 1:
-                    new[used | 1 << k] = max(new.get(used | 1 << k, -1), v + n.get((a, b), 0))
-        best = new
-    return max(best.values()) / sum(n.values())
+def assignment(gain: np.ndarray) -> float:
+    """The largest total of an assignment of rows to different columns (some may stay free; gains are not negative), by
+    shortest augmenting paths with prices: cubic in the larger side."""
+    n = max(gain.shape)
+    cost = np.zeros((n + 1, n + 1))
+    cost[1 : gain.shape[0] + 1, 1 : gain.shape[1] + 1] = -gain
+    row_price, price, owner = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
+    for r in range(1, n + 1):
+        owner[0], j = r, 0
+        slack, came, used = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        while owner[j]:
+            used[j] = True
+            free = np.flatnonzero(~used)
+            reduced = cost[owner[j], free] - row_price[owner[j]] - price[free]
+            better = reduced < slack[free]
+            slack[free[better]], came[free[better]] = reduced[better], j
+            nxt = free[slack[free].argmin()]
+            d = slack[nxt]
+            row_price[owner[used]] += d
+            price[used] -= d
+            slack[free] -= d
+            j = int(nxt)
+        while j:  # turn the path round
+            owner[j], j = owner[came[j]], came[j]
+    return float(-sum(cost[owner[j], j] for j in range(1, n + 1)))
+
+
+def permuted_accuracy(labels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Best accuracy over relabellings of `found` for each value of the columns `by` (for all without): by, accuracy. An
+    assignment on the contingency table, which has a row per pair of groups, in one small task per value."""
+    keys = by or []
+    c = labels.groupBy(*keys, "truth", "found").agg(F.count(F.lit(1)).alias("n"))
+    c = c.select(*keys, F.col("truth").cast("string").alias("truth"), F.col("found").cast("string").alias("found"), "n")
+
+    def run(key, pdf):
+        t = pdf.fillna({"truth": "\0null", "found": "\0null"}).pivot_table(index="truth", columns="found", values="n", aggfunc="sum", fill_value=0).to_numpy(float)
+        return pd.DataFrame([(*key, assignment(t) / t.sum())], columns=[*keys, "accuracy"])
+
+    schema = ", ".join([*(f"{k} {labels.schema[k].dataType.simpleString()}" for k in keys), "accuracy double"])
+    return c.groupBy(*keys).applyInPandas(run, schema)
 
 
 def random_boundaries(n: int, k: int, min_len: int = 1, seed: int = 0) -> list[int]:

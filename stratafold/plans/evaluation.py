@@ -164,6 +164,15 @@ def adjusted_rand(spark, sf):
     return rounded(metrics.adjusted_rand(load(spark, sf, "labels").select(F.col("quality").alias("truth"), F.col("toxic").alias("found"))))
 
 
+@query("with c as (select l_linenumber::bigint as line, l_returnflag as t, l_suppkey % 2 as f, count(*) as n from lineitem group by 1, 2, 3), one as (select a.line, max(a.n + coalesce(b.n, 0)) as best from c a left join c b on a.line = b.line and a.t <> b.t and a.f <> b.f group by 1), n as (select line, sum(n) as n from c group by 1) select one.line, round(best / n, 6) as accuracy from one join n using (line)")
+def permuted_accuracy(spark, sf):
+    """How well a half of the suppliers tells return flags, under the best naming, per line number."""
+    from .registry import load
+
+    labels = load(spark, sf, "lineitem").select(F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("truth"), (F.col("l_suppkey") % 2).alias("found"))
+    return rounded(metrics.permuted_accuracy(labels, ["line"]))
+
+
 _BOOT = "b as (select seq_id, y, d, ('0x' || substr(md5(seq_id || ':' || idx || ':7:' || (d // 4)), 1 + 8 * (d % 4), 8))::bigint as u from s, range(0, 500) t(d)), w as (select seq_id, y, d, " + " + ".join(f"(u >= {c})::int" for c in metrics.POISSON_ONE) + " as w from b)"
 
 

@@ -153,7 +153,7 @@ def test_small_metrics(spark):
     t, f = rng.integers(0, 3, 60), rng.integers(0, 4, 60)
     want = max(np.mean([dict(zip(q, range(3))).get(b, -1) == a for a, b in zip(t, f)]) for q in itertools.permutations(range(4), 3))
     labels = spark.createDataFrame([(int(a), int(b)) for a, b in zip(t, f)], "truth int, found int")
-    assert abs(metrics.permuted_accuracy(labels) - want) < 1e-12
+    assert abs(metrics.permuted_accuracy(labels).first()["accuracy"] - want) < 1e-12
     curve = spark.createDataFrame([("s", 1, 1.0, 2.0), ("s", 2, 1.0, 1.0)], "seq_id string, idx int, mean double, signal double")
     assert metrics.signal_error(curve.drop("signal"), curve.drop("mean")).first()["mse"] == 0.5
     k = spark.createDataFrame([("s", 5, 3)], "seq_id string, k_map int, k int")
