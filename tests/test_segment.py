@@ -177,3 +177,20 @@ def test_remembered_and_requests(spark):
         baselines.request(s.withColumn("x", src.F.lit(1.0)), "univariate", 10).collect()
     with pytest.raises(KeyError):
         baselines.detect(s, "unknown")
+
+
+def test_blocks_of_a_long_sequence_are_made_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stratafold.plans import queries
+
+    spark.createDataFrame([(7 * k, k * k % 3 % 2, k % 5 // 4) for k in range(1200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = queries.QUERIES["bernoulli_blocks"](spark, str(tmp_path))
+    tasks = out.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 1200 * 1201 and len(tasks) > 4  # before: one task a sequence
+    rows = [(q, k, float(k), float(k * k % 3)) for q, n in (("a", 23), ("b", 1), ("c", 8)) for k in range(1, n + 1)]
+    seq = src.complete(spark.createDataFrame(rows, "seq_id string, idx int, x double, y double"))
+    h = seq.select("seq_id").distinct().withColumns({"alpha": F.lit(2.0), "beta": F.lit(3.0)})
+    for limits in ({}, {"min_len": 3, "max_len": 6}):
+        one, many = (sorted(map(tuple, families.blocks(seq, "poisson", h, tile=t, **limits).collect())) for t in (None, 4))
+        assert one == many and one
