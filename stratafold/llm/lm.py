@@ -6,8 +6,10 @@ Model. Outputs are the end of a text, the `WORDS` most frequent words, and for a
 two-byte endings and one output for the rest; below an ending a word has probability (c + 1/2) / (sum of the ending's
 words + 1/2), the last half for any unseen word, so the distribution over all words is normalised. The net predicts from
 the `BACK` outputs before: q = sum of r[output] * c[place], then a class by q.T + B and an output of the class by
-q.t + b. The classes are learnt: outputs are described by the frequent outputs that precede them in a bounded sample and
+q.t + b. The classes are learnt: outputs are described by the frequent outputs that precede them in all training tokens and
 halved along the principal direction until a class holds about `CLASS` of them.
+Codes. Texts are read once for the counts and once to be written as outputs, two bytes a token; classes, training and
+scores read these.
 Training. Each partition trains a copy of the model on all its training tokens by noise-contrastive estimation, once for
 the classes and once for the outputs (noise: their frequencies). Copies are averaged, weighted by tokens: first those of
 about a `1 / WARM` part of the documents, then, from that average, those of all.
@@ -34,8 +36,8 @@ WORDS, ENDINGS, FREQUENT = 8192, 255, 131_072
 WORD_BYTES = 64
 DIM, BACK, CLASS, BATCH, RATE = 16, 3, 96, 1024, 0.15
 CLASS_NOISE, WORD_NOISE, WARM = 64, 64, 8
-#: The classes are learnt from at most about so many documents and so many preceding outputs.
-CLASS_ROWS, PROFILE = 4000, 256
+#: The classes are learnt from so many preceding outputs, the most frequent ones.
+PROFILE = 256
 #: Distinct words that a counting task holds at once.
 HELD = 300_000
 SEED = 11
@@ -132,6 +134,10 @@ class Lexicon:
         self.p_class = np.bincount(self.cls, p, len(order))
         self.p_word = p / self.p_class[self.cls]
 
+    def code(self) -> type:
+        """The type in which outputs are written."""
+        return np.uint16 if self.size <= 1 << 16 else np.uint32
+
     def place(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Index among the frequent words (negative: none) and output of each word."""
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
@@ -185,15 +191,14 @@ class Trainer:
         grad /= np.sqrt(g, out=g)
         self.p[name][idx] -= grad
 
-    def contrast(self, name: str, q: np.ndarray, at: np.ndarray, cum: np.ndarray, noise: int) -> np.ndarray:
-        """One estimation: data `at` against `noise` draws shared by the batch; moves the table, returns the gradient by q."""
-        t = self.p[name]
+    def contrast(self, name: str, q1: np.ndarray, at: np.ndarray, cum: np.ndarray, noise: int) -> np.ndarray:
+        """One estimation: data `at` against `noise` draws shared by the batch; moves the table, returns the gradient by
+        q, which `q1` has with ones in a last column."""
+        t, q = self.p[name], q1[:, :-1]
         z = np.minimum(np.searchsorted(cum, self.rng.random(noise)), len(cum) - 1)
         ta, tz = t[at], t[z]
         e = -1 / (1 + np.exp(np.einsum("nd,nd->n", q, ta) - np.float32(np.log(noise))))
-        x = q @ tz.T
-        x -= np.float32(np.log(noise))
-        np.negative(x, out=x)
+        x = q1 @ np.column_stack([-tz, np.full(noise, np.log(noise), np.float32)]).T
         np.exp(x, out=x)
         x += 1
         np.reciprocal(x, out=x)
@@ -208,7 +213,8 @@ class Trainer:
         p, n = self.p, len(w)
         self.seen += n
         r = p["r"][ctx]
-        q = np.einsum("nkd,kd->nd", r, p["c"])
+        q = np.ones((n, DIM + 1), np.float32)
+        np.einsum("nkd,kd->nd", r, p["c"], out=q[:, :DIM])
         with np.errstate(over="ignore"):  # a score beyond exp's range has the gradient zero or one, as it should
             dq = self.contrast("T", q, self.lex.cls[w], self.class_cum, CLASS_NOISE)
             dq += self.contrast("t", q, w, self.word_cum, WORD_NOISE)
@@ -223,61 +229,127 @@ def contexts(out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([full[BACK - 1 - k : BACK - 1 - k + n] for k in range(BACK)], axis=1), full[BACK:]
 
 
-def learn_classes(docs: DataFrame, lex: Lexicon, rows: int = CLASS_ROWS) -> None:
-    """Groups the outputs by what precedes them in about `rows` rows of `docs` (all, if there are fewer)."""
+#: Parameters of a chunk, the unit in which copies are averaged.
+CHUNK = 1 << 12
+
+
+def by_chunk(df: DataFrame, dtype, weighted: bool = False) -> np.ndarray:
+    """Sums of the chunks `v` (k, v, n), or their means weighted by n, in order of k; empty without rows."""
+    import pyarrow as pa
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        seen: Counter = Counter()
+        for b in batches:
+            for k, v, n in zip(*(b.column(c).to_pylist() for c in ("k", "v", "n")), strict=True):
+                x = np.frombuffer(v, dtype)
+                x = x.astype(np.float64) * n if weighted else x
+                total[k] = total[k] + x if k in total else x
+                seen[k] += n
+        ks = sorted(total)
+        out = [(total[k] / seen[k] if weighted else total[k]).astype(dtype).tobytes() for k in ks]
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(out, pa.binary())], ["k", "v"])
+
+    got = sorted(df.repartition("k").mapInArrow(run, "k int, v binary").collect())  # of one size, whatever the input
+    return np.frombuffer(b"".join(bytes(r["v"]) for r in got), dtype)
+
+
+def chunks(v: np.ndarray, n: int):
+    """`v` in chunks as Arrow batches (k, v, n)."""
     import pyarrow as pa
 
-    keep = rows / max(1, docs.count())
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(keep * (1 << 30))) if keep < 1 else docs
+    for k, lo in enumerate(range(0, len(v), CHUNK)):
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v[lo : lo + CHUNK].tobytes()], pa.binary()), pa.array([n], pa.int64())], ["k", "v", "n"])
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Per row of `docs` (doc_id, text), kept in the shared folder: row (a number), doc_id, warm (whether the text belongs
+    to the first part of the training), out (its outputs), n_tokens, n_known and the sums that need no model; words and
+    times: those that are not broadcast."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches):
+        lex = shared.value
+        end = np.log10(lex.end_count + 0.5)
+        for b in batches:
+            rows: list = [[] for _ in range(7)]
+            for t in b.column("text").to_pylist():
+                words = tokens(t)
+                at, out = lex.place(words)
+                known = at >= 0
+                rare = Counter([words[k] for k in np.flatnonzero(~known)])
+                fill = out > lex.own  # words that share an output
+                log_c = lex.log_c[at[known]].sum() if len(lex.log_c) else 0.0
+                inside = (lex.log_c[at[known & fill]].sum() if len(lex.log_c) else 0.0) - lex.log_mass[out[fill] - 1 - lex.own].sum()
+                for col, x in zip(rows, (out.astype(lex.code()).tobytes(), len(words) + 1, int(known.sum()) + (lex.end_count > 0), log_c + end, inside, [r.decode() for r in rare], list(rare.values())), strict=True):
+                    col.append(x)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("warm"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))],
+                ["doc_id", "warm", "out", "n_tokens", "n_known", "log_c", "inside", "words", "times"],
+            )
+
+    base = docs.select("doc_id", "text", (F.pmod(F.xxhash64("text"), F.lit(WARM)) == 0).alias("warm"))
+    kind = base.schema["doc_id"].dataType.simpleString()
+    done = base.mapInArrow(run, f"doc_id {kind}, warm boolean, out binary, n_tokens long, n_known long, log_c double, inside double, words array<string>, times array<long>")
+    return materialise(done.withColumn("row", F.monotonically_increasing_id()))
+
+
+def read(batch, lex: Lexicon) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and outputs of each text of a batch of `encoded` rows."""
+    return [contexts(np.frombuffer(v, lex.code()).astype(np.int64)) for v in batch.column("out").to_pylist()]
+
+
+def learn_classes(codes: DataFrame, lex: Lexicon) -> None:
+    """Groups the outputs by what precedes them in all `encoded` rows: a task counts pairs of an output and a head in one
+    array of size x PROFILE, the arrays are summed by chunks."""
     heads = np.full(lex.size, PROFILE, np.int64)
     first = np.argsort(-lex.freq, kind="stable")[:PROFILE]
     heads[first] = np.arange(len(first))
-    known = docs.sparkSession.sparkContext.broadcast((lex, heads))
+    known = codes.sparkSession.sparkContext.broadcast((lex, heads))
 
     def run(batches):
         lex, heads = known.value
-        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = np.zeros(lex.size * PROFILE, np.int64)
 
-        def add(total, pairs):
-            k, inv = np.unique(np.concatenate([total[0], pairs]), return_inverse=True)
-            return k, np.bincount(inv, np.concatenate([total[1], np.ones(len(pairs), np.int64)]), len(k)).astype(np.int64)
+        def add(held):
+            ctx, w = (np.concatenate([h[k] for h in held]) for k in range(2))
+            h = heads[ctx]
+            total[:] += np.bincount((w[:, None] * PROFILE + h)[h < PROFILE], minlength=len(total))
 
+        held, n = [], 0
         for b in batches:
-            got = [contexts(lex.place(tokens(t))[1]) for t in b.column("text").to_pylist()]
-            if got:
-                ctx, w = (np.concatenate([g[k] for g in got]) for k in range(2))
-                h = heads[ctx]
-                pairs = (w[:, None] * PROFILE + h)[h < PROFILE]
-                total = add(total, pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], ["k", "n"])
-
-    got = some.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    x = np.zeros(lex.size * PROFILE, np.float64)  # rows of a bounded sample, at most one per pair of an output and a head
-    x[got.column("k").to_numpy()] = got.column("n").to_numpy()
-    x = x.reshape(lex.size, PROFILE)
+            for got in read(b, lex):
+                held.append(got)
+                n += len(got[1])
+                if n >= 8 * TOKENS:
+                    add(held)
+                    held, n = [], 0
+        if held:
+            add(held)
+        if total.any():
+            yield from chunks(total, 1)
+
+    x = by_chunk(codes.select("out").mapInArrow(run, "k int, v binary, n long"), np.int64).astype(np.float64)
+    x = (x if len(x) else np.zeros(lex.size * PROFILE)).reshape(lex.size, PROFILE)
     prior = x.sum(axis=0) / max(x.sum(), 1)
     x = np.sqrt((x + 4 * prior) / (x.sum(axis=1, keepdims=True) + 4))  # rows shrunk to the average, Hellinger scale
     lex.group(x)
 
 
-#: Parameters of a chunk, the unit in which copies are averaged.
-CHUNK = 1 << 12
-
-
-def averaged(docs: DataFrame, lex: Lexicon, params: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """`params` trained further on all rows of `docs` (text), one copy per partition, averaged by tokens."""
-    import pyarrow as pa
-
-    sc = docs.sparkSession.sparkContext
-    known = sc.broadcast((lex, params))
+def averaged(codes: DataFrame, lex: Lexicon, params: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """`params` trained further on all `encoded` rows, one copy per partition, averaged by tokens."""
+    known = codes.sparkSession.sparkContext.broadcast((lex, params))
 
     def run(batches):
         lex, params = known.value
         trainer, held, n = Trainer(lex, params), [], 0
         for b in batches:
-            for t in b.column("text").to_pylist():
-                held.append(contexts(lex.place(tokens(t))[1]))
-                n += len(held[-1][1])
+            for got in read(b, lex):
+                held.append(got)
+                n += len(got[1])
                 if n >= BATCH:
                     ctx, w = (np.concatenate([h[k] for h in held]) for k in range(2))
                     whole = n - n % BATCH
@@ -286,32 +358,22 @@ def averaged(docs: DataFrame, lex: Lexicon, params: dict[str, np.ndarray]) -> di
                     held, n = [(ctx[whole:], w[whole:])], n - whole
         if n:
             trainer.step(*(np.concatenate([h[k] for h in held]) for k in range(2)))
-        v = pack(trainer.p)
         if trainer.seen:
-            for k, lo in enumerate(range(0, len(v), CHUNK)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v[lo : lo + CHUNK].tobytes()], pa.binary()), pa.array([trainer.seen], pa.int64())], ["k", "v", "n"])
+            yield from chunks(pack(trainer.p), trainer.seen)
+
+    got = by_chunk(materialise(codes.select("out").mapInArrow(run, "k int, v binary, n long")), np.float32, weighted=True)
+    return unpack(got, params) if len(got) else params
 
-    def mean(batches):
-        total: dict[int, np.ndarray] = {}
-        seen: Counter = Counter()
-        for b in batches:
-            for k, v, n in zip(*(b.column(c).to_pylist() for c in ("k", "v", "n")), strict=True):
-                x = np.frombuffer(v, np.float32).astype(np.float64) * n
-                total[k] = total[k] + x if k in total else x
-                seen[k] += n
-        ks = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array([(total[k] / seen[k]).astype(np.float32).tobytes() for k in ks], pa.binary())], ["k", "v"])
 
-    copies = materialise(docs.select("text").mapInArrow(run, "k int, v binary, n long"))
-    got = sorted(copies.repartition("k").mapInArrow(mean, "k int, v binary").collect())  # the parameters, whatever the input
-    return unpack(np.frombuffer(b"".join(bytes(r["v"]) for r in got), np.float32), params) if got else params
+def fit(codes: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
+    """Classes of `lex` and averaged parameters over all `encoded` rows."""
+    learn_classes(codes, lex)
+    return averaged(codes, lex, averaged(codes.where("warm"), lex, initial(lex)))
 
 
 def train(docs: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
-    """Classes of `lex` and averaged parameters over all rows of `docs` (text)."""
-    learn_classes(docs, lex)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(WARM)) == 0)
-    return averaged(docs, lex, averaged(some, lex, initial(lex)))
+    """Classes of `lex` and averaged parameters over all rows of `docs` (doc_id, text)."""
+    return fit(encoded(docs, lex), lex)
 
 
 def log_share(q: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -352,12 +414,11 @@ ROWS = 2048
 TOKENS = 1 << 16
 
 
-def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, params: dict[str, np.ndarray]) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_tokens, n_known, base_score, score (log10)."""
+def scored(codes: DataFrame, counts: DataFrame, lexicon: Lexicon, params: dict[str, np.ndarray]) -> DataFrame:
+    """Per `encoded` row: doc_id, n_tokens, n_known, base_score, score (log10)."""
     import pyarrow as pa
 
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((lexicon, params))
+    shared = codes.sparkSession.sparkContext.broadcast((lexicon, params))
 
     def nets(held):
         """log10-probability of each text's outputs; texts share matrix products, a long one is cut into several."""
@@ -369,38 +430,21 @@ def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, params: dict[str
         return (np.diff(run[np.concatenate([[0], ends])]) / np.log(10)).tolist()
 
     def run(batches):
-        lex = shared.value[0]
-        end = np.log10(lex.end_count + 0.5)
         for b in batches:
-            rows: list = [[] for _ in range(6)]
             held, n, net = [], 0, []
-            for t in b.column("text").to_pylist():
-                words = tokens(t)
-                at, out = lex.place(words)
-                known = at >= 0
-                rare = Counter([words[k] for k in np.flatnonzero(~known)])
-                held.append(contexts(out))
-                n += len(words) + 1
+            for got in read(b, shared.value[0]):
+                held.append(got)
+                n += len(got[1])
                 if n >= TOKENS:
                     net, held, n = net + nets(held), [], 0
-                fill = out > lex.own  # words that share an output
-                log_c = lex.log_c[at[known]].sum() if len(lex.log_c) else 0.0
-                inside = (lex.log_c[at[known & fill]].sum() if len(lex.log_c) else 0.0) - lex.log_mass[out[fill] - 1 - lex.own].sum()
-                for col, x in zip(rows, (len(words) + 1, int(known.sum()) + (lex.end_count > 0), log_c + end, inside, [r.decode() for r in rare], list(rare.values())), strict=True):
-                    col.append(x)
             if held:
                 net += nets(held)
-            rows[3] = [x + y for x, y in zip(rows[3], net, strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["doc_id", "n_tokens", "n_known", "log_c", "net", "words", "times"]
-            )
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(net, pa.float64())], [*kept, "net"])
 
-    base = docs.select("doc_id", "text")
-    kind = base.schema["doc_id"].dataType.simpleString()
-    done = base.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, log_c double, net double, words array<string>, times array<long>")
-    done = materialise(done.withColumn("row", F.monotonically_increasing_id()))
-    rare = done.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times")
+    kept = ["row", "doc_id", "n_tokens", "n_known", "log_c", "inside"]
+    kind = codes.schema["doc_id"].dataType.simpleString()
+    done = codes.select(*kept, "out").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, log_c double, inside double, net double")
+    rare = codes.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times")
     found = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also")
     )
@@ -408,10 +452,15 @@ def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, params: dict[str
     more = F.coalesce("more", F.lit(0.0))
     return done.join(found, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        (F.col("log_c") + more - F.col("n_tokens") * unit).alias("base_score"), (F.col("net") + more).alias("score"),
+        (F.col("log_c") + more - F.col("n_tokens") * unit).alias("base_score"), (F.col("inside") + F.col("net") + more).alias("score"),
     )
 
 
+def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, params: dict[str, np.ndarray]) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_tokens, n_known, base_score, score (log10)."""
+    return scored(encoded(docs, lexicon), counts, lexicon, params)
+
+
 def held_out(doc_id="doc_id", n: int = 5, at: int = 1):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n)) == at, F.lit(False))
 
@@ -419,10 +468,10 @@ def held_out(doc_id="doc_id", n: int = 5, at: int = 1):
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered query: all documents scored by counts and by the model of the training fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    fit = docs.where(~held_out())
-    counts = materialise(word_counts(fit))
+    counts = materialise(word_counts(docs.where(~held_out())))
     lexicon = Lexicon(counts)
-    out = score(docs, counts, lexicon, train(fit, lexicon))
+    codes = encoded(docs, lexicon)
+    out = scored(codes, counts, lexicon, fit(codes.where(~held_out()), lexicon))
     return out.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(lexicon.n).cast("long").alias("train_tokens"), "base_score", "score"
     )

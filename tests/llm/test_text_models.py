@@ -270,6 +270,30 @@ def test_lm_equals_a_slow_scorer(spark, odd_docs, no_docs, monkeypatch):
     assert lm.score(odd_docs, empty, lex, lm.train(no_docs, lex)).where("n_known = 0").count() == 10
 
 
+def test_lm_classes_come_from_all_training_tokens(spark, monkeypatch):
+    texts = [f"w{k % 13} v{k * k % 17} w{k * 7 % 11} end{k % 5}" for k in range(4600)]  # samples of 4,000 rows were read before
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "CLASS", 4)
+    counts = lm.word_counts(docs).cache()
+    lex, want = lm.Lexicon(counts), lm.Lexicon(counts)
+    lm.learn_classes(lm.encoded(docs, lex), lex)
+    heads = np.argsort(-want.freq, kind="stable")[: lm.PROFILE].tolist()
+    x = np.zeros((want.size, lm.PROFILE))
+    for t in texts:
+        before = [0] * lm.BACK
+        for o in [*want.place(t.encode().split())[1].tolist(), 0]:
+            for b in before:
+                x[o, heads.index(b)] += 1
+            before = [o, *before[:-1]]
+    seen, prior = [], x.sum(axis=0) / x.sum()
+    monkeypatch.setattr(want, "group", seen.append)
+    monkeypatch.setattr(lex, "group", seen.append)
+    lm.learn_classes(lm.encoded(docs, lex), lex)
+    assert np.allclose(seen[0], np.sqrt((x + 4 * prior) / (x.sum(axis=1, keepdims=True) + 4)), atol=1e-12)
+    want.__class__.group(want, seen[0])
+    assert (want.cls == lex.cls).all() and len(want.members) > 4
+
+
 def test_decontamination_cases(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "Hello world"), (3, None), (None, "again"), (4, "a, b")], "item_id long, text string")
     rows = [(10, "x One two THREE four five six seven eight nine ten z"), (11, "one two three four five six seven eight nine"), (12, "hello, world! hello world"), (13, None), (10, "clean")]
