@@ -169,7 +169,7 @@ def summed(idx: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(idx.astype(np.uint16) if idx.max() < 1 << 16 else idx, kind="stable")  # a radix sort if it fits
     s = idx[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    return s[first], np.add.reduceat(grad[order], first, axis=0)
+    return s[first], np.add.reduceat(np.take(grad, order, axis=0), first, axis=0)
 
 
 class Trainer:
@@ -184,7 +184,7 @@ class Trainer:
         self.seen = 0
 
     def move(self, name: str, idx, grad: np.ndarray) -> None:
-        g = self.g[name][idx]
+        g = self.g[name][idx] if isinstance(idx, slice) else np.take(self.g[name], idx, axis=0)  # faster than an index
         g += grad * grad
         self.g[name][idx] = g
         grad *= RATE
@@ -196,7 +196,7 @@ class Trainer:
         q, which `q1` has with ones in a last column."""
         t, q = self.p[name], q1[:, :-1]
         z = np.minimum(np.searchsorted(cum, self.rng.random(noise)), len(cum) - 1)
-        ta, tz = t[at], t[z]
+        ta, tz = np.take(t, at, axis=0), t[z]
         e = -1 / (1 + np.exp(np.einsum("nd,nd->n", q, ta) - np.float32(np.log(noise))))
         x = q1 @ np.column_stack([-tz, np.full(noise, np.log(noise), np.float32)]).T
         np.exp(x, out=x)
@@ -212,7 +212,7 @@ class Trainer:
         """`ctx` (n, BACK): the outputs before, nearest first; `w` (n): the output that follows."""
         p, n = self.p, len(w)
         self.seen += n
-        r = p["r"][ctx]
+        r = np.take(p["r"], ctx, axis=0)
         q = np.ones((n, DIM + 1), np.float32)
         np.einsum("nkd,kd->nd", r, p["c"], out=q[:, :DIM])
         with np.errstate(over="ignore"):  # a score beyond exp's range has the gradient zero or one, as it should
@@ -379,13 +379,14 @@ def train(docs: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
 def log_share(q: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log of the softmax of q1 @ table.T at the columns `at`; the last column of `q` is one, that of `table` the bias."""
     out = np.empty(len(q), np.float32)
+    norm = lambda v: np.sqrt(np.einsum("nd,nd->n", v[:, :-1], v[:, :-1]).max(initial=0.0))
+    safe = norm(q) * norm(table) + np.abs(table[:, -1]).max(initial=0.0) < 60  # then no row can over- or underflow
     for lo in range(0, len(q), ROWS):
         x = q[lo : lo + ROWS] @ table.T
         pick = x[np.arange(len(x)), at[lo : lo + ROWS]]
-        top = x.max()
-        if top - x.min() > 60:  # else no row can over- or underflow
-            top = x.max(axis=1)
-        x -= top[:, None] if np.ndim(top) else top
+        top = np.float32(0) if safe else x.max(axis=1)
+        if not safe:
+            x -= top[:, None]
         np.exp(x, out=x)
         out[lo : lo + ROWS] = pick - top - np.log(x @ np.ones(x.shape[1], np.float32))
     return out
@@ -394,11 +395,11 @@ def log_share(q: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
 def log_prob(lex: Lexicon, p: dict[str, np.ndarray], ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Natural log-probability of each output `w` after `ctx`."""
     q = np.ones((len(w), DIM + 1), np.float32)
-    np.einsum("nkd,kd->nd", p["r"][ctx], p["c"], out=q[:, :DIM])
+    np.einsum("nkd,kd->nd", np.take(p["r"], ctx, axis=0), p["c"], out=q[:, :DIM])
     cls = lex.cls[w]
     out = log_share(q, np.column_stack([p["T"], p["B"]]), cls)
     order = np.argsort(cls.astype(np.uint16), kind="stable")
-    q, slot, t = q[order], lex.slot[w[order]], np.column_stack([p["t"], p["b"]])
+    q, slot, t = np.take(q, order, axis=0), lex.slot[w[order]], np.column_stack([p["t"], p["b"]])
     ends = np.cumsum(np.bincount(cls, minlength=len(lex.members)))
     inside = np.empty(len(w), np.float32)
     for m, lo, hi in zip(lex.members, [0, *ends[:-1]], ends, strict=True):
