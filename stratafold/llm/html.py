@@ -9,13 +9,14 @@ Differencing. The distinct pages of a host are ordered by URL path and id; each
 longest common subsequence and shared lines are deleted: what the site repeats goes, what is the page's own stays. A
 page that has no line of its own beside the other, or leaves it none, is a copy, not another page of the site, and one
 that shares nothing is of another make: the next one is taken. If more than `MUCH` of the lines are shared, they go only if the next nearest page shares them too.
-The deletion decides on all lines of pages without an article element and on doubtful lines. Lines that the page itself
-marks as its article and nothing puts in doubt stay even if shared: articles repeat passages of each other.
+Every page is compared, and every text comes out of the comparison. A check by the marks follows: a deleted line that the
+page itself marks as its article and nothing puts in doubt is put back, as articles repeat passages of each other; on pages
+with an article, lines outside it go even if they are the page's own.
 
 Scale. Only hashes of lines are ordered and compared. Equal pages of a host are one row there. The order is a range
 partitioning, so a host with a third of all pages is spread over tasks; positions in it cut the rows into blocks of
 `BLOCK`, which overlap by `REACH`. Nothing but counts per partition reaches the driver. Aligning takes the product of the
-two pages' lines in time, their sum in memory. If no page needs a deletion, none is computed.
+two pages' lines in time, their sum in memory. Lines that the check drops anyway are not shuffled as texts.
 
 Defined cases. Null html is empty text; null or odd urls have no neighbours. Equal urls are ordered by page_id. Repeated
 rows get a row each. Truncated pages and unclosed elements are read as far as they go. Empty tables give no rows.
@@ -248,8 +249,8 @@ REACH, BLOCK = 4, 64
 MUCH = 0.5
 
 
-def deleted(path: str, own: list[int], near: list[tuple[str, int, list[int]]]) -> list[int]:
-    """Places of a page's lines that the differencing deletes. `near` has the path, the distance (negative before the
+def deleted(path: str, own: list[int], near: list[tuple[str, int, list[int]]]) -> list[bool]:
+    """Which of a page's lines the differencing deletes. `near` has the path, the distance (negative before the
     page) and the line hashes of the other pages of the host around it."""
     found = None
     for _, _, other in sorted(near, key=lambda n: (-prefix(path, n[0]), abs(n[1]), n[1])):
@@ -262,17 +263,16 @@ def deleted(path: str, own: list[int], near: list[tuple[str, int, list[int]]]) -
         found = now
         if found.sum() <= MUCH * len(own):
             break
-    return [] if found is None else np.flatnonzero(found).tolist()
+    return [False] * len(own) if found is None else found.tolist()
 
 
 def decided(parsed: DataFrame) -> DataFrame:
-    """host, content, gone (places of deleted lines) of every distinct page of a host that has lines to decide on."""
+    """host, content, gone (for each line whether it is deleted) of every distinct page of a host that has lines."""
     import pyarrow as pa
 
-    longs = pa.list_(pa.int64())
     one = parsed.where("host <> '' and size(lines) > 0").groupBy("host", "content")
-    pages = one.agg(F.min(F.struct("path", "page_id")).alias("first"), F.min("lines").alias("lines"), F.max(~F.col("settled")).alias("asks"))
-    pages = pages.select("host", "content", "first.path", "first.page_id", "lines", "asks")
+    pages = one.agg(F.min(F.struct("path", "page_id")).alias("first"), F.min("lines").alias("lines"))
+    pages = pages.select("host", "content", "first.path", "first.page_id", "lines")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "page_id", "content"]
     ranged = pages.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
@@ -283,14 +283,14 @@ def decided(parsed: DataFrame) -> DataFrame:
         before[r["part"]], total = total, total + r["count"]
     offsets = [before.get(k, 0) for k in range(max(before, default=-1) + 1)]
     if not offsets:
-        return ranged.select("host", "content", F.array().cast("array<int>").alias("gone"))
+        return ranged.select("host", "content", F.array().cast("array<boolean>").alias("gone"))
     placed = ranged.withColumn("pos", F.element_at(F.lit(offsets), part + 1).cast("long") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at")
     block = F.sequence(F.floor((F.greatest(F.col("pos") - REACH, F.lit(0))) / BLOCK), F.floor((F.col("pos") + REACH) / BLOCK))
     blocks = placed.withColumn("block", F.explode(block)).repartition("block").sortWithinPartitions("block", "pos")
 
     def solve(rows):
         for k, r in enumerate(rows):
-            if r["asks"] and r["pos"] // BLOCK == r["block"]:
+            if r["pos"] // BLOCK == r["block"]:
                 near = [o for o in rows[max(0, k - REACH) : k + REACH + 1] if o is not r and o["host"] == r["host"]]
                 yield r["host"], r["content"], deleted(r["path"], r["lines"], [(o["path"], o["pos"] - r["pos"], o["lines"]) for o in near])
 
@@ -299,7 +299,7 @@ def decided(parsed: DataFrame) -> DataFrame:
 
         def flush():
             out = list(solve(held))
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.int32())))], ["host", "content", "gone"])
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.bool_())))], ["host", "content", "gone"])
 
         for b in batches:
             for r in b.to_pylist():
@@ -309,11 +309,12 @@ def decided(parsed: DataFrame) -> DataFrame:
                 held.append(r)
         yield flush()
 
-    return materialise(blocks.mapInArrow(run, "host string, content long, gone array<int>"))
+    return materialise(blocks.mapInArrow(run, "host string, content long, gone array<boolean>"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per row of `pages` (page_id, url, html): page_id, url, text."""
+    """Per row of `pages` (page_id, url, html): page_id, url, text, n_deleted (lines that the differencing deleted),
+    n_restored (those of them that are the article's)."""
     import pyarrow as pa
     import xxhash
 
@@ -321,51 +322,37 @@ def extract(pages: DataFrame) -> DataFrame:
     pid = rows.schema["page_id"].dataType.simpleString()
     digest = lambda h: xxhash.xxh64_intdigest(np.asarray(h, np.int64).tobytes()) >> 1
 
-    def settled(marks: list[int]) -> bool:
-        """Whether no line waits for a deletion."""
-        return DOUBTFUL not in marks and (INSIDE in marks or not marks)
-
     def parse(batches):
         for b in batches:
-            got = [page_lines(h) for h in b.column("html").to_pylist()]
             where = [url_parts(u) for u in b.column("url").to_pylist()]
-            lines = [hashes(g[0]) for g in got]
+            lines = [hashes(page_lines(h)[0]) for h in b.column("html").to_pylist()]
             cols = [pa.array([w[k] for w in where], pa.string()) for k in (0, 1)]
-            cols += [pa.array([digest(h) for h in lines], pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array([settled(g[1]) for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), *cols], ["page_id", "host", "path", "content", "lines", "settled"])
+            cols += [pa.array([digest(h) for h in lines], pa.int64()), pa.array(lines, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), *cols], ["page_id", "host", "path", "content", "lines"])
 
-    parsed = materialise(rows.mapInArrow(parse, f"page_id {pid}, host string, path string, content long, lines array<long>, settled boolean"))
+    parsed = materialise(rows.mapInArrow(parse, f"page_id {pid}, host string, path string, content long, lines array<long>"))
 
-    def plain(batches):
-        """Pages on which nothing is to be decided: the article's lines."""
+    def texts(batches):
+        """Lines that may be text, their places and whether the page marks them as its article without doubt."""
         for b in batches:
             got = [page_lines(h) for h in b.column("html").to_pylist()]
-            keep = pa.array([k for k, g in enumerate(got) if settled(g[1])], pa.int32())
-            texts = ["\n".join([x for x, m in zip(*got[k], strict=True) if m == INSIDE]) for k in keep.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(keep) for c in ("page_id", "url")), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    out = rows.mapInArrow(plain, f"page_id {pid}, url string, text string")
-    if not parsed.where("not settled").limit(1).count():
-        return out
-
-    def open_(batches):
-        for b in batches:
-            got = [page_lines(h) for h in b.column("html").to_pylist()]
-            keep = [k for k, g in enumerate(got) if not settled(g[1])]
-            urls = b.column("url").to_pylist()
-            cols = [b.column(c).take(pa.array(keep, pa.int32())) for c in ("page_id", "url")]
-            cols += [pa.array([url_parts(urls[k])[0] for k in keep], pa.string()), pa.array([digest(hashes(got[k][0])) for k in keep], pa.int64())]
-            cols += [pa.array([got[k][0] for k in keep], pa.list_(pa.string())), pa.array([got[k][1] for k in keep], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "content", "lines", "marks"])
-
-    left = rows.mapInArrow(open_, f"page_id {pid}, url string, host string, content long, lines array<string>, marks array<int>")
-    left = left.join(decided(parsed), ["host", "content"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    article = F.exists("marks", lambda m: m != OUTSIDE)
-    mark = lambda k: F.element_at("marks", k + 1)
-    kept = F.filter("lines", lambda x, k: F.when(article, (mark(k) == INSIDE) | ((mark(k) == DOUBTFUL) & ~F.array_contains("gone", k))).otherwise(~F.array_contains("gone", k)))
-    return out.unionByName(left.select("page_id", "url", F.array_join(kept, "\n").alias("text")))
+            may = [[k for k, m in enumerate(marks) if m != OUTSIDE] or list(range(len(marks))) for _, marks in got]
+            cols = [pa.array([url_parts(u)[0] for u in b.column("url").to_pylist()], pa.string()), pa.array([digest(hashes(g[0])) for g in got], pa.int64())]
+            cols += [pa.array([[g[0][k] for k in at] for g, at in zip(got, may, strict=True)], pa.list_(pa.string())), pa.array(may, pa.list_(pa.int32()))]
+            cols += [pa.array([[g[1][k] == INSIDE for k in at] for g, at in zip(got, may, strict=True)], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *cols], ["page_id", "url", "host", "content", "lines", "places", "inside"])
+
+    left = rows.mapInArrow(texts, f"page_id {pid}, url string, host string, content long, lines array<string>, places array<int>, inside array<boolean>")
+    left = left.join(decided(parsed), ["host", "content"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<boolean>")))
+    gone = lambda place: F.coalesce(F.get("gone", place), F.lit(False))
+    kept = F.filter("lines", lambda x, k: F.get("inside", k) | ~gone(F.get("places", k)))
+    restored = F.filter("places", lambda at, k: F.get("inside", k) & gone(at))
+    return left.select(
+        "page_id", "url", F.array_join(kept, "\n").alias("text"),
+        F.size(F.filter("gone", lambda g: g)).cast("long").alias("n_deleted"), F.size(restored).cast("long").alias("n_restored"),
+    )
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered query: the main text of every page."""
-    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_deleted", "n_restored")

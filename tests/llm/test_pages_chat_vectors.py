@@ -120,6 +120,16 @@ def test_doubtful_names_are_decided_by_the_neighbours(spark):
     assert got == {k: f"Title {k}\nPrice of {k}\nWork {k}\nSame words" for k in range(3)}
 
 
+def test_pages_that_mark_their_article_are_compared_too(spark):
+    def page(k):
+        return f"<body><div>Site</div><article><h1>Title {k}</h1><p>Same words</p><p>Story {k}</p></article><div>Also on this site {k}</div><div>Rights</div></body>"
+
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", page(k)) for k in range(5)] + [(5, "http://h.org/4", page(4)), (6, None, page(6)), (7, "http://h.org/7", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html.extract(df).collect()}
+    assert {k: r["text"] for k, r in got.items()} == {7: "", **{k: f"Title {min(k, 4) if k < 6 else k}\nSame words\nStory {min(k, 4) if k < 6 else k}" for k in range(7)}}
+    assert [(r["n_deleted"], r["n_restored"]) for _, r in sorted(got.items())] == [(3, 1)] * 6 + [(0, 0)] * 2
+
+
 def test_names_with_further_words_are_dropped():
     names = ["user-comments", "reader-comments", "comment-42", "ad-slot-728", "legal-notice", "cookie-warning", "newsletter-form", "promo-2024", "ad-300x250", "site_cookie_text"]
     for name in names:
