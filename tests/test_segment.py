@@ -194,3 +194,44 @@ def test_blocks_of_a_long_sequence_are_made_by_many_tasks(spark, tmp_path):
     for limits in ({}, {"min_len": 3, "max_len": 6}):
         one, many = (sorted(map(tuple, families.blocks(seq, "poisson", h, tile=t, **limits).collect())) for t in (None, 4))
         assert one == many and one
+
+
+def test_shuffle_of_long_block_tables_grows_with_the_rows(spark):
+    from pyspark.sql import functions as F
+
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled(n):
+        seq = src.complete(spark.range(1, n + 1).select(F.lit("a").alias("seq_id"), F.col("id").cast("int").alias("idx"), F.col("id").alias("x"), (F.col("id") * F.col("id") % 7 % 2).alias("y")))
+        h = seq.select("seq_id").distinct().withColumns({"alpha": F.lit(2.0), "beta": F.lit(3.0)})
+
+        def total():
+            sc.listenerBus().waitUntilEmpty(20_000)
+            return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+        before = total()
+        assert families.blocks(seq, "bernoulli", h, tile=4).agg(F.count("log_a0"), F.sum(F.col("j") - F.col("i"))).first() == (n * (n + 1) // 2, n * (n + 1) * (n + 2) // 6)
+        return total() - before
+
+    shuffled(100)
+    few, many = shuffled(500), shuffled(4000)
+    assert many < 16 * few  # 8 times the rows; before: every row once for each tile, 64 times as much
+
+
+def test_gathered_blocks_of_odd_sequences(spark):
+    """Sums that are null, no whole numbers, wide or infinite, and lengths at the edges of tiles."""
+    from pyspark.sql import functions as F
+
+    odd = {
+        "null": lambda k: (None if k < 6 or k % 7 == 0 else k % 2, 1.0), "all null": lambda k: (None, 1.0), "part": lambda k: (k % 3 / 2, 0.3 + k % 4), "wide": lambda k: (k % 2 * 40_000.0, 90_000.0),
+        "alike": lambda k: (1.0, 1.0), "hidden": lambda k: (k % 2, float(k % 5 > 2)), "one": lambda k: (1.0, 1.0), "not a number": lambda k: (float("nan") if k == 30 else 1.0, 1.0),
+    }
+    rows = [(q, k, float(k), None if f(k)[0] is None else float(f(k)[0]), f(k)[1]) for q, f in odd.items() for k in range(1, 2 if q == "one" else 60)]
+    seq = src.complete(spark.createDataFrame(rows, "seq_id string, idx int, x double, y double, w double"))
+    h = seq.select("seq_id").distinct().withColumns({"alpha": F.lit(2.0), "beta": F.lit(3.0)})
+    for limits in ({}, {"min_len": 9, "max_len": 9}, {"max_len": 1}, {"min_len": 58}):
+        one, many = (sorted(map(str, families.blocks(seq, "bernoulli", h, tile=t, **limits).collect())) for t in (None, 8))
+        assert one == many and one
+    g = families.gathered(seq.where("seq_id in ('hidden', 'alike')"), "bernoulli", h, tile=64)
+    sizes = {r["seq_id"]: (r["groups"], r["blocks"]) for r in g.groupBy("seq_id").agg(F.count("*").alias("groups"), F.sum(F.size("starts")).alias("blocks")).collect()}
+    assert sizes["alike"] == (59, 59 * 30) and sizes["hidden"][1] == 59 * 30 and sizes["hidden"][0] < 300
